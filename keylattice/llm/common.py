@@ -51,8 +51,8 @@ def id_bucket(column: str, modulus: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, max_docs: int, max_chars: int, positive: int = 1, share: float = 0.5) -> list[tuple[str, int]]:
-    """At most max_docs labelled training texts of at most max_chars characters each, in an order that only
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, max_docs: int, max_chars: int, positive: int = 1, share: float = 0.5) -> list[tuple[int, str, int]]:
+    """(id, text, label) of at most max_docs labelled training texts of at most max_chars characters each, in an order that only
     depends on their ids; up to `share` of them of the rarer class `positive`.
 
     Rows whose id or label is null are left out, repeated ids count once. This is the one place where labels are read; everything that is fitted comes
@@ -68,4 +68,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
         small = docs.sparkSession.createDataFrame([(r.doc_id, r.label) for r in ids], "doc_id long, label int")
         got = short.join(F.broadcast(small), "doc_id").select("doc_id", "text", "label").collect()
         rows += sorted({r.doc_id: r for r in got}.values(), key=lambda r: r.doc_id)
-    return [(r.text, r.label) for r in rows]
+    return [(r.doc_id, r.text, r.label) for r in rows]
