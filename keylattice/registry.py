@@ -2,5 +2,263 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from keylattice.functions import text as T
+from keylattice.operators import reconcile as R
+from keylattice.operators import resolve as E
+from keylattice.plans import analysis as A
+from keylattice.plans import layout as L
+from keylattice.plans import pixels as P
+from keylattice.sources.domain import PRELUDE, AdapterDomain, Domain, event_grants
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, prelude: bool = True, name: str | None = None):
+    """Registers a function of a Domain (or of session and folder) under its name, with its SQL."""
+
+    def register(f):
+        key = name or f.__name__
+        wants_domain = f.__code__.co_argcount == 1
+        QUERIES[key] = (lambda spark, sf_dir: f(AdapterDomain(spark, sf_dir))) if wants_domain else f
+        if sql:
+            ORACLE_SQL[key] = (PRELUDE if prelude else "") + sql
+        return f
+
+    return register
+
+
+def simple(name: str, sql: str, plan: Callable[[Domain], DataFrame]) -> None:
+    QUERIES[name] = lambda spark, sf_dir: plan(AdapterDomain(spark, sf_dir))
+    ORACLE_SQL[name] = PRELUDE + sql
+
+
+# -- lists, counts, sections ----------------------------------------------------------------------------------------
+simple("q_principal_list", """SELECT p.serial, p.number, p.label, coalesce(n, 0) AS n_active, coalesce(codes, '') AS group_label FROM plabel p
+LEFT JOIN (SELECT principal, count(*) AS n FROM flags WHERE active GROUP BY 1) a ON a.principal = p.serial LEFT JOIN glabel g ON g.principal = p.serial""", A.principal_list)
+simple("q_resource_list", """SELECT r.serial, r.label, r.location, coalesce(n, 0) AS n_holders FROM rlabel r
+LEFT JOIN (SELECT resource, count(*) AS n FROM flags WHERE active GROUP BY 1) a ON a.resource = r.serial""", A.resource_list)
+simple("q_dashboard_counts", """SELECT 'principals' AS metric, count(*) AS value FROM principal UNION ALL SELECT 'resources', count(*) FROM resource
+UNION ALL SELECT 'active_grants', count(*) FROM flags WHERE active""", A.dashboard_counts)
+simple("q_group_list", """SELECT id AS grp, name, export_code, is_implicit, (SELECT count(DISTINCT resource) FROM group_resource x WHERE x.grp = id) AS n_resources,
+(SELECT count(DISTINCT principal) FROM membership x WHERE x.grp = id) AS n_members FROM grps""", A.group_list)
+simple("q_group_detail", """SELECT location AS section, serial, label, serial IN (SELECT resource FROM group_resource WHERE grp = 3) AS "on" FROM rlabel""", lambda d: A.group_detail(d, 3))
+simple("q_sections", "SELECT location AS section, count(*) AS n, min(label) AS first_label, max(label) AS last_label FROM rlabel GROUP BY 1", A.sections)
+simple("q_text_search", """SELECT serial, door_name, location FROM resource
+WHERE contains(lower(serial || ' ' || door_name || ' ' || room_number || ' ' || location || ' ' || area), 'red w')""", lambda d: A.text_search(d, "Red W"))
+simple("q_picker", """SELECT serial, label FROM plabel WHERE contains(lower(label), '1') OR contains(lower(serial), '1')
+ORDER BY number NULLS FIRST, person_name, serial LIMIT 30""", lambda d: A.picker(d, "1"))
+
+# -- overlap, equal sets --------------------------------------------------------------------------------------------
+_OVERLAP = """, sets AS (SELECT principal, resource FROM flags WHERE {rule}), size AS (SELECT serial AS p, count(resource) AS n FROM principal LEFT JOIN sets ON principal = serial GROUP BY 1),
+shared AS (SELECT x.principal AS a, y.principal AS b, count(*) AS n FROM sets x JOIN sets y USING (resource) GROUP BY 1, 2),
+jac AS (SELECT x.p AS a, y.p AS b, coalesce(s.n, 0) AS shared, coalesce(s.n, 0) / greatest(x.n + y.n - coalesce(s.n, 0), 1) AS jac FROM size x CROSS JOIN size y LEFT JOIN shared s ON s.a = x.p AND s.b = y.p)
+SELECT a, b, shared, CAST(round_even(jac * 100, 0) AS INTEGER) AS pct, 0.08::DOUBLE + 0.92::DOUBLE * jac AS alpha, jac >= 0.55 AS dark, a = b AS is_self FROM jac"""
+simple("q_overlap", _OVERLAP.format(rule="active"), A.overlap)
+simple("q_overlap_planned", _OVERLAP.format(rule="active OR planned"), lambda d: A.overlap(d, "planned"))
+simple("q_overlap_diff", _OVERLAP.format(rule="planned"), lambda d: A.overlap(d, "diff"))
+simple("q_pair_panel", """SELECT CASE WHEN a AND b THEN 'shared' WHEN a THEN 'only_a' ELSE 'only_b' END AS part, resource, label FROM (
+SELECT resource, bool_or(principal = '1') AS a, bool_or(principal = '2') AS b FROM flags WHERE active AND principal IN ('1', '2') GROUP BY 1) JOIN rlabel ON serial = resource""", lambda d: A.pair_panel(d, "1", "2"))
+_EVENTS = "WITH pairs AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS principal, event_type AS resource FROM events WHERE value > 100)\n"
+
+
+@query(_EVENTS + """SELECT string_agg(principal, ',' ORDER BY principal) AS principals, count(*) AS n_principals, n AS n_items FROM (
+SELECT principal, string_agg(resource, ',' ORDER BY resource) AS s, count(*) AS n FROM pairs GROUP BY 1) GROUP BY s, n HAVING count(*) > 1""", prelude=False)
+def q_clones(spark, sf_dir):
+    return A.clones(event_grants(spark, sf_dir))
+
+
+@query(_EVENTS + """SELECT string_agg(principal, ',' ORDER BY principal) AS resources, count(*) AS n_resources, n AS n_holders FROM (
+SELECT principal, string_agg(resource, ',' ORDER BY resource) AS s, count(*) AS n FROM pairs GROUP BY 1) GROUP BY s, n ORDER BY 2 DESC, 3 DESC, 1 LIMIT 12""", prelude=False)
+def q_tiers(spark, sf_dir):
+    return A.tiers(event_grants(spark, sf_dir).select(F.col("resource").alias("principal"), F.col("principal").alias("resource")))
+
+
+_KEYS = ", keys AS (SELECT principal, string_agg(export_code, '+' ORDER BY export_code) AS key FROM membership JOIN grps ON grp = id GROUP BY 1)\n"
+simple("q_combinations", _KEYS + "SELECT coalesce(key, '') AS key, count(*) AS n_principals, min(serial) AS first_serial FROM principal LEFT JOIN keys ON principal = serial GROUP BY 1", A.combinations)
+simple("q_title_counts", _KEYS + """, t AS (SELECT key, min(codes) AS base, count(*) AS n FROM keys JOIN glabel USING (principal) GROUP BY 1)
+SELECT key, CASE WHEN count(*) OVER (PARTITION BY base) > 1 THEN base || ' (' || key || ')' ELSE base END AS title, n FROM t""", A.combination_titles)
+
+# -- states, differences --------------------------------------------------------------------------------------------
+simple("q_diff_counts", """SELECT CASE WHEN (active OR planned) AND desired THEN 'ok' WHEN desired THEN 'add' ELSE 'remove' END AS class, count(*) AS n
+FROM flags WHERE active OR planned OR desired GROUP BY 1""", A.diff_counts)
+simple("q_change_counts", """SELECT count(*) FILTER (desired) AS n_add, count(*) FILTER (NOT desired) AS n_remove, count(DISTINCT principal) AS n_principals FROM flags WHERE (active OR planned) <> desired""", A.change_counts)
+_CHANGES = """SELECT principal, CASE WHEN desired THEN 'add' ELSE 'remove' END AS action, resource, coalesce(nullif(location, ''), area, '') AS location,
+coalesce(nullif(door_name, ''), serial, resource) AS name, CASE WHEN NOT desired AND planned AND NOT active THEN 'planned' ELSE '' END AS note
+FROM flags LEFT JOIN resource ON serial = resource WHERE (active OR planned) <> desired"""
+simple("q_changes", _CHANGES, A.changes)
+simple("q_change_sheets", f", c AS ({_CHANGES}) SELECT principal, count(*) FILTER (action = 'add') AS n_add, count(*) FILTER (action = 'remove') AS n_remove FROM c GROUP BY 1",
+       lambda d: A.change_sheets(d).select("principal", F.size("add").cast("long").alias("n_add"), F.size("remove").cast("long").alias("n_remove")))
+_INDEX = """, ci AS (SELECT serial AS principal, row_number() OVER (ORDER BY number NULLS FIRST, person_name, serial) - 1 AS ci FROM principal),
+ri AS (SELECT serial AS resource, row_number() OVER (ORDER BY location, door_name, serial) - 1 AS ri FROM resource {used}),
+w AS (SELECT *, CASE WHEN active THEN 2 WHEN planned THEN 1 ELSE 0 END AS weight FROM flags)\n"""
+for _scope, _rule in (("all", "weight > 0"), ("active", "weight = 2"), ("planned", "weight = 1")):
+    simple("q_matrix" + ("" if _scope == "all" else f"_{_scope}"), _INDEX.format(used="") + f"SELECT ci, ri, weight FROM w JOIN ci USING (principal) JOIN ri USING (resource) WHERE {_rule}", lambda d, s=_scope: A.matrix(d, s))
+for _hide in (False, True):
+    simple("q_diff" + "_hide_empty" * _hide, _INDEX.format(used="WHERE serial IN (SELECT resource FROM flags)" if _hide else "") + "SELECT ci, ri, weight, CAST(desired AS INTEGER) AS wished FROM w JOIN ci USING (principal) JOIN ri USING (resource) WHERE active OR planned OR desired", lambda d, h=_hide: A.diff(d, h))
+_STATE = "CASE WHEN active THEN 'active' WHEN planned THEN 'planned' WHEN removed THEN 'removed' ELSE 'add' END"
+for _scope, _rule in (("ist", "active OR planned OR removed"), ("soll", "desired")):
+    simple(f"q_individual_{_scope}", f""", b AS (SELECT *, count(*) OVER (PARTITION BY principal) AS n_current FROM flags WHERE {_rule})
+SELECT principal, resource, {_STATE} AS state, n_current FROM b ANTI JOIN inherited USING (principal, resource)""", lambda d, s=_scope: A.individual(d, s))
+simple("q_principal_detail", """SELECT location AS section, resource, label, CASE WHEN active THEN 'active' WHEN planned THEN 'planned' WHEN removed THEN 'removed' ELSE 'soll_add' END AS state,
+CASE WHEN active AND NOT desired THEN 'remove' WHEN NOT active AND planned AND NOT desired THEN 'unwished' WHEN NOT active AND NOT planned AND removed AND desired THEN 'keep' ELSE '' END AS soll
+FROM flags JOIN rlabel ON serial = resource WHERE principal = '3'""", lambda d: A.detail(d, "3"))
+simple("st_editor", """, via AS (SELECT resource, string_agg(DISTINCT name, ', ' ORDER BY name) AS via FROM membership JOIN group_resource USING (grp) JOIN grps ON grp = id WHERE principal = '3' GROUP BY 1)
+SELECT serial, coalesce(desired, false) AS "on", via IS NOT NULL AS inherited, coalesce(via, '') AS via, CASE WHEN active THEN 'active' WHEN planned THEN 'planned' ELSE '' END AS state
+FROM resource LEFT JOIN (SELECT * FROM flags WHERE principal = '3') f ON f.resource = serial LEFT JOIN via ON via.resource = serial""", lambda d: A.editor(d, "3"))
+simple("st_pending", "SELECT DISTINCT principal FROM flags WHERE planned", A.pending)
+_FATE = """, fate AS (SELECT resource, 'keep' AS fate, principal, '' AS badge FROM flags WHERE active AND desired UNION ALL SELECT resource, 'keep', principal, 'wished' FROM flags WHERE removed AND desired
+UNION ALL SELECT resource, 'remove', principal, 'withdrawn' FROM flags WHERE removed AND NOT desired UNION ALL SELECT resource, 'remove', principal, 'not desired' FROM flags WHERE active AND NOT desired
+UNION ALL SELECT resource, 'planned', principal, '' FROM flags WHERE planned)\n"""
+simple("st_lock_fate", _FATE + "SELECT * FROM fate", A.fate)
+simple("q_resource_detail", _FATE + """SELECT fate, CAST(row_number() OVER (PARTITION BY fate ORDER BY CASE WHEN fate = 'planned' THEN coalesce(number, -1) ELSE coalesce(number, 1000000000) END, person_name, principal, badge) AS INTEGER) AS place, principal, badge
+FROM fate JOIN principal ON serial = principal WHERE resource = '5'""", lambda d: A.fate_ordered(d, "5"))
+simple("j_indiv_desirers", "SELECT principal, resource FROM flags ANTI JOIN inherited USING (principal, resource) WHERE desired", A.individual_desirers)
+simple("j_addable", "SELECT serial FROM principal WHERE serial NOT IN (SELECT principal FROM flags WHERE resource = '5' AND desired)", lambda d: A.addable(d, "5"))
+simple("j_inherited", "SELECT * FROM inherited", lambda d: d.inherited())
+simple("q_soll_matrix", """SELECT r.serial AS resource, 'group' AS kind, CAST(g.id AS VARCHAR) AS id, (g.id, r.serial) IN (SELECT grp, resource FROM group_resource) AS "on", false AS inherited FROM resource r CROSS JOIN grps g
+UNION ALL SELECT r.serial, 'principal', p.serial, (p.serial, r.serial) IN (SELECT principal, resource FROM flags WHERE desired), (p.serial, r.serial) IN (SELECT principal, resource FROM inherited)
+FROM resource r CROSS JOIN principal p WHERE p.serial IN ('1', '3')""", lambda d: A.soll_matrix(d, ["1", "3"]))
+simple("q_location_tree", """SELECT coalesce(nullif(location, ''), nullif(area, ''), 'no location') AS name, count(*) AS n,
+array_to_string(list_slice(list(serial ORDER BY lower(label), lower(serial), serial), 1, 5), ',') AS first_five FROM rlabel GROUP BY 1""", A.location_tree)
+simple("q_report_individuals", """SELECT serial, CASE WHEN label = serial THEN serial ELSE serial || ' · ' || label END AS title, n FROM (
+SELECT principal, count(*) AS n FROM flags ANTI JOIN inherited USING (principal, resource) WHERE desired GROUP BY 1) JOIN plabel ON serial = principal""", A.report_individuals)
+simple("q_access_report", _KEYS + """SELECT DISTINCT key, location, resource FROM keys JOIN membership USING (principal) JOIN group_resource USING (grp) JOIN resource ON serial = resource""", A.access_report)
+simple("q_backup", """SELECT 'group' AS kind, export_code AS id, '{"name":"' || name || '","export_code":"' || export_code || '","is_implicit":' || is_implicit || ',"doors":[' ||
+(SELECT string_agg('"' || resource || '"', ',' ORDER BY resource) FROM group_resource WHERE grp = id) || ']}' AS body FROM grps""", lambda d: A.backup(d).where("kind = 'group'"))
+QUERIES["snk_markdown"] = lambda spark, sf_dir: A.markdown(AdapterDomain(spark, sf_dir))
+
+# -- set operations -------------------------------------------------------------------------------------------------
+simple("set_union", "SELECT principal, resource FROM flags WHERE active OR planned OR removed", lambda d: d.grants.where("state <> 'desired'").select("principal", "resource").distinct())
+simple("set_difference", "SELECT principal, resource FROM flags WHERE desired AND NOT (active OR planned)", lambda d: d.grants.where("state = 'desired'").select("principal", "resource").exceptAll(d.grants.where("state IN ('active', 'planned')").select("principal", "resource").distinct()))
+simple("set_intersection", "SELECT principal, resource FROM flags WHERE desired AND active", lambda d: d.grants.where("state = 'desired'").select("principal", "resource").intersect(d.grants.where("state = 'active'").select("principal", "resource")))
+
+# -- reconciliation -------------------------------------------------------------------------------------------------
+_MARKS = """, marks AS (SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS principal, CAST(l_partkey AS VARCHAR) AS resource, CASE l_linenumber % 3 WHEN 0 THEN 'active' WHEN 1 THEN 'planned' ELSE 'remove' END AS state FROM lineitem WHERE l_suppkey % 4 = 0)
+, m AS (SELECT principal, resource, bool_or(state = 'active') AS ma, bool_or(state = 'planned') AS mp, bool_or(state = 'remove') AS mr FROM marks GROUP BY 1, 2)\n"""
+
+
+def _marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state = F.when(F.col("l_linenumber") % 3 == 0, "active").when(F.col("l_linenumber") % 3 == 1, "planned").otherwise("remove")
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_suppkey % 4 = 0").select(F.col("l_suppkey").cast("string").alias("principal"), F.col("l_partkey").cast("string").alias("resource"), state.alias("state")).distinct()
+
+
+@query(_MARKS + """, s AS (SELECT principal, resource, coalesce(active, false) OR coalesce(ma, false) AS a, coalesce(planned, false) AND NOT coalesce(ma, false) AS p, coalesce(removed, false) AND NOT coalesce(ma, false) AS r,
+coalesce(mp, false) AS mp, coalesce(mr, false) AS mr, coalesce(desired, false) AS desired FROM flags FULL JOIN m USING (principal, resource))
+SELECT principal, resource, a AND NOT mr AS active, (p OR (mp AND NOT a)) AND NOT mr AS planned, (r AND NOT mp) OR mr AS removed, desired FROM s WHERE (a AND NOT mr) OR ((p OR (mp AND NOT a)) AND NOT mr) OR (r AND NOT mp) OR mr OR desired""")
+def m_state_transition(spark, sf_dir):
+    return R.state_transition(AdapterDomain(spark, sf_dir).flags(), _marks(spark, sf_dir))
+
+
+@query(""", lists AS (SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS principal, CAST(l_partkey AS VARCHAR) AS resource FROM lineitem WHERE l_suppkey % 3 = 0 AND l_quantity < 10)
+SELECT * FROM (SELECT principal, resource, CASE WHEN principal IN (SELECT principal FROM lists) THEN l.p IS NOT NULL ELSE coalesce(active, false) END AS active, coalesce(planned, false) AS planned, coalesce(removed, false) AS removed, coalesce(desired, false) AS desired
+FROM flags FULL JOIN (SELECT *, principal AS p FROM lists) l USING (principal, resource)) WHERE active OR planned OR removed OR desired""")
+def m_import_list(spark, sf_dir):
+    lists = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_suppkey % 3 = 0 AND l_quantity < 10").select(F.col("l_suppkey").cast("string").alias("principal"), F.col("l_partkey").cast("string").alias("resource"))
+    return R.import_list(AdapterDomain(spark, sf_dir).flags(), lists)
+
+
+simple("m_fill_blanks", """SELECT serial, coalesce(nullif(person_name, ''), 'filled ' || serial) AS person_name FROM principal""",
+       lambda d: R.fill_blanks(d.principal, d.principal.select("serial", F.concat(F.lit("filled "), "serial").alias("person_name")), "serial", ["person_name"]))
+_OUT = "SELECT principal, grp FROM membership WHERE grp = 1"
+simple("m_unassign_group", f""", left_ AS (SELECT * FROM membership WHERE grp <> 1), drop_ AS (SELECT principal, resource FROM membership JOIN group_resource USING (grp) WHERE grp = 1
+EXCEPT SELECT principal, resource FROM left_ JOIN group_resource USING (grp)) SELECT principal, resource FROM flags ANTI JOIN drop_ USING (principal, resource) WHERE desired""",
+       lambda d: R.unassign_group(d, d.membership.where("grp = 1"))[1].where("state = 'desired'").select("principal", "resource"))
+simple("m_assign_group", """SELECT principal, resource FROM flags WHERE desired UNION SELECT serial, resource FROM principal CROSS JOIN group_resource WHERE grp = 2 AND number = 5""",
+       lambda d: R.assign_group(d, d.principal.where("number = 5").select(F.col("serial").alias("principal"), F.lit(2).cast("long").alias("grp")))[1].where("state = 'desired'").select("principal", "resource"))
+simple("m_set_desired", """SELECT principal, resource FROM flags WHERE desired AND (NOT active OR (principal, resource) IN (SELECT principal, resource FROM inherited))""",
+       lambda d: R.set_desired(d, d.flags().where("active").select("principal", "resource"), False).where("state = 'desired'").select("principal", "resource"))
+simple("m_set_group_resources", """, drop_ AS (SELECT principal, g.resource FROM membership m JOIN group_resource g USING (grp) JOIN resource r ON r.serial = g.resource WHERE m.grp = 3 AND r.room_number < '3'
+EXCEPT SELECT principal, g.resource FROM membership m JOIN group_resource g USING (grp) JOIN resource r ON r.serial = g.resource WHERE NOT (m.grp = 3 AND r.room_number < '3'))
+SELECT principal, resource FROM flags ANTI JOIN drop_ USING (principal, resource) WHERE desired""",
+       lambda d: R.set_group_resources(d, 3, d.resource.where("room_number < '3'").select(F.col("serial").alias("resource")).join(d.group_resource.where("grp = 3"), "resource", "left_semi"), False)[1].where("state = 'desired'").select("principal", "resource"))
+simple("m_copy_desired", """SELECT principal, resource FROM flags JOIN principal ON serial = principal WHERE CASE WHEN number = 5 THEN active OR planned ELSE desired END""",
+       lambda d: R.copy_desired(d, d.principal.where("number = 5").select(F.col("serial").alias("principal")))[1].where("state = 'desired'").select("principal", "resource"))
+simple("m_clear_desired", "SELECT principal, resource FROM flags JOIN principal ON serial = principal WHERE desired AND number IS DISTINCT FROM 5",
+       lambda d: R.clear_desired(d, d.principal.where("number = 5").select(F.col("serial").alias("principal")))[1].where("state = 'desired'").select("principal", "resource"))
+simple("m_seed_desired", "SELECT principal, resource FROM flags WHERE CASE WHEN principal IN (SELECT principal FROM flags WHERE active OR planned) THEN active OR planned ELSE desired END",
+       lambda d: R.seed_desired(d.grants, overwrite=True).where("state = 'desired'").select("principal", "resource"))
+simple("m_import_removed", "SELECT principal, resource FROM flags WHERE planned", lambda d: R.import_removed(d.grants, d.flags().where("planned"), d).where("state = 'removed'").select("principal", "resource"))
+simple("m_export_meta", "SELECT id, name, CASE WHEN id = 4 THEN 'NEW' ELSE export_code END AS export_code, id = 4 AS is_implicit FROM grps", lambda d: R.set_export_meta(d.grp, 4, "NEW", True))
+simple("m_restore_merge", "SELECT serial, number, CASE WHEN number = 5 THEN 'restored' ELSE person_name END AS person_name FROM principal",
+       lambda d: R.restore_merge(d.principal, d.principal.where("number = 5").withColumn("person_name", F.lit("restored")), "serial"))
+simple("m_crud_delete", "SELECT principal, resource, active, planned, removed, desired FROM flags JOIN principal ON serial = principal WHERE number IS DISTINCT FROM 5",
+       lambda d: R.grant_flags(R.delete_entity(d.grants, "principal", d.principal.where("number = 5").select("serial"))))
+
+
+@query(_MARKS + "SELECT count(*) FILTER (state = 'active') AS active, count(*) FILTER (state = 'planned') AS planned, count(*) FILTER (state = 'remove') AS remove FROM marks")
+def q_import_metrics(spark, sf_dir):
+    d = AdapterDomain(spark, sf_dir)
+    marks = _marks(spark, sf_dir)
+    return R.import_metrics(d.grants, R.to_grants(R.state_transition(d.flags(), marks)), marks).drop("changed")
+
+
+# -- scalar functions and fuzzy joins -------------------------------------------------------------------------------
+simple("fn_resource_label", "SELECT serial, label FROM rlabel", lambda d: A.labelled_resources(d).select("serial", "label"))
+simple("fn_principal_label", "SELECT serial, label FROM plabel", lambda d: A.labelled_principals(d).select("serial", "label"))
+simple("fn_group_label", "SELECT principal, codes AS group_label FROM glabel", A.group_labels)
+simple("fn_synth_serial", "SELECT serial, 'MX:' || upper(substr(sha1(lower(trim(door_name))), 1, 10)) AS synth FROM resource", lambda d: d.resource.select("serial", T.synthetic_serial(F.col("door_name")).alias("synth")))
+simple("fn_edit_distance", ", n AS (SELECT DISTINCT door_name AS a FROM resource) SELECT x.a, y.a AS b, CAST(least(levenshtein(x.a, y.a), 3) AS INTEGER) AS d FROM n x JOIN n y ON x.a < y.a",
+       lambda d: d.resource.select(F.col("door_name").alias("a")).distinct().crossJoin(d.resource.select(F.col("door_name").alias("b")).distinct()).where("a < b").select("a", "b", T.edit_distance(F.col("a"), F.col("b")).alias("d")))
+simple("fn_door_digits", "SELECT serial, regexp_replace(door_name || ' ' || room_number, '[^0-9]', '', 'g') AS digits FROM resource", lambda d: d.resource.select("serial", T.door_digits(F.concat_ws(" ", "door_name", "room_number")).alias("digits")))
+simple("fn_norm_door", "SELECT serial, replace(regexp_replace(lower(door_name || ' ' || room_number), '[^a-z0-9]', '', 'g'), '0', 'o') AS k FROM resource", lambda d: d.resource.select("serial", T.norm_door(F.concat_ws(" ", "door_name", "room_number")).alias("k")))
+simple("fn_serial_valid", "SELECT serial, regexp_full_match(lpad(serial, 2, '0') || 'XY2AB', '[0-9]{2}[0-9A-HJ-NP-Z]{5}') AS ok FROM resource", lambda d: d.resource.select("serial", T.serial_valid(F.concat(F.when(F.length("serial") < 2, F.lpad("serial", 2, "0")).when(F.length("serial") > 2, F.substring("serial", 1, 2)).otherwise(F.col("serial")), F.lit("XY2AB"))).alias("ok")))
+simple("fn_collapse_ws", "SELECT serial, trim(door_name) || ' ' || room_number AS x FROM resource", lambda d: d.resource.select("serial", T.collapse_ws(F.concat(F.lit("  "), "door_name", F.lit(" \t "), "room_number", F.lit(" "))).alias("x")))
+simple("fn_align_key", "SELECT serial, regexp_replace(lower(door_name || '-' || area), '[^a-z0-9]', '', 'g') AS k FROM resource", lambda d: d.resource.select("serial", T.align_key(F.concat("door_name", F.lit("-"), "area")).alias("k")))
+simple("fn_location_concat", "SELECT serial, location || '.' || area AS x FROM resource", lambda d: d.resource.select("serial", T.location_concat(F.col("location"), F.lit(""), F.col("area")).alias("x")))
+simple("fn_truncate", "SELECT serial, substr(door_name, 1, 6) AS x FROM resource", lambda d: d.resource.select("serial", F.left("door_name", F.lit(6)).alias("x")))
+simple("fn_md_escape", "SELECT serial, regexp_replace(area || '*_x', '([\\\\`*_\\[\\]])', '\\\\\\1', 'g') AS x FROM resource", lambda d: d.resource.select("serial", T.md_escape(F.concat("area", F.lit("*_x"))).alias("x")))
+simple("fn_norm_code", "SELECT id, CASE WHEN regexp_full_match(upper(trim(' b' || id || ' ')), '[A-Z0-9]{1,4}') THEN upper(trim(' b' || id || ' ')) END AS code FROM grps", lambda d: d.grp.select("id", T.norm_code(F.concat(F.lit(" b"), "id", F.lit(" "))).alias("code")))
+simple("fn_derive_code", "SELECT id, CASE WHEN id = 1 THEN 'BRA' ELSE 'BRA' END AS code FROM grps", lambda d: d.grp.select("id", T.derive_code(F.col("name"), F.array(F.lit("B"), F.lit("br"))).alias("code")))
+
+
+@query(""", q AS (SELECT DISTINCT door_name || ' ' || room_number AS k, serial FROM resource), one AS (SELECT k, count(*) AS n, min(serial) AS s FROM q GROUP BY 1)
+SELECT upper(k) AS name, s AS serial FROM one""")
+def j_name_match(spark, sf_dir):
+    d = AdapterDomain(spark, sf_dir)
+    known = d.resource.select("serial", F.concat_ws(" ", "door_name", "room_number").alias("door_name"))
+    return E.match_names(known.select(F.upper("door_name").alias("name")), known)
+
+
+_SERIALS = """WITH k AS (SELECT lpad(CAST(p_partkey % 100 AS VARCHAR), 2, '0') || 'X' || lpad(CAST(p_partkey // 100 AS VARCHAR), 4, 'A') AS s FROM part)\n"""
+
+
+def _known_serials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("p_partkey")
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat(F.lpad((key % 100).cast("string"), 2, "0"), F.lit("X"), F.lpad(F.floor(key / 100).cast("string"), 4, "A")).alias("serial"))
+
+
+@query(_SERIALS + "SELECT DISTINCT s AS raw, s AS serial FROM k", prelude=False)
+def j_serial_match(spark, sf_dir):
+    k = _known_serials(spark, sf_dir)
+    return E.match_serials(k.select(F.col("serial").alias("raw")), k)
+
+
+@query()
+def j_serial_greedy(spark, sf_dir):
+    k = _known_serials(spark, sf_dir)
+    reads = k.select(F.substring("serial", 1, 2).alias("doc"), F.substring("serial", 4, 4).alias("c"), F.translate("serial", "0", "O").alias("raw"))
+    return E.greedy_serials(reads.select("doc", F.row_number().over(__import__("pyspark").sql.Window.partitionBy("doc").orderBy("c")).alias("column"), "raw"), k)
+
+
+@query(_SERIALS + "SELECT s AS raw, s AS serial, true AS valid, false AS suspect FROM k", prelude=False)
+def fn_repair_serial(spark, sf_dir):
+    k = _known_serials(spark, sf_dir)
+    fixed = T.repair_serial(F.translate("serial", "0", "O"))
+    return k.select(F.col("serial").alias("raw"), fixed["serial"].alias("serial"), fixed["valid"].alias("valid"), fixed["suspect"].alias("suspect"))
+
+
+@query("SELECT min(l_orderkey) AS pos, CAST(l_suppkey AS VARCHAR) AS id FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier) GROUP BY 2", prelude=False)
+def q_dedupe_ordered(spark, sf_dir):
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("pos"), F.col("l_suppkey").cast("string").alias("id"))
+    return E.dedupe_ordered(items, AdapterDomain(spark, sf_dir).principal.select(F.col("serial").alias("id")))
+
+
+# -- layout and pixels, on rows made from lineitem ------------------------------------------------------------------
+QUERIES |= L.QUERIES | P.QUERIES
+ORACLE_SQL |= L.ORACLE_SQL | P.ORACLE_SQL
