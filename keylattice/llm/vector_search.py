@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from keylattice.llm.common import table
+from keylattice.llm.common import materialise, table
 
 PIVOTS, BLOCK, CHUNK = 32, 1024, 64
 
@@ -81,9 +81,9 @@ def top_k(vectors: DataFrame, query: Column, k: int = 5, id_col: str = "vec_id",
     chosen = [np.array(r.v, dtype=np.int64) for r in ready.orderBy(F.xxhash64("id"), "id").select("v").limit(pivots).collect()]
     sent = spark.sparkContext.broadcast(chosen)
     salts = max(1, spark.sparkContext.defaultParallelism * 2)
-    # The seeds of a block's number are its own first id and size, so that a recomputed block keeps its number.
-    q = _blocks(ready.where("_q").select("dim", "id", "v"), block).withColumn("qb", F.xxhash64("ids"))
-    c = _blocks(ready.select("dim", "id", "v"), block).withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int"))
+    # Which rows a block holds depends on the order in which a shuffle delivers them, so blocks are written before use.
+    q = materialise(_blocks(ready.where("_q").select("dim", "id", "v"), block), "query-blocks").withColumn("qb", F.xxhash64("ids"))
+    c = materialise(_blocks(ready.select("dim", "id", "v"), block), "candidate-blocks").withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int"))
     numbers = q.select("dim", "qb").groupBy("dim").agg(F.collect_set("qb").alias("qbs"))
     c = c.join(numbers, "dim").withColumn("qb", F.explode("qbs")).drop("qbs")
     q = q.select("qb", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
