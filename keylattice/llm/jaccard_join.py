@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keylattice.llm.common import materialise, table
+from keylattice.llm.common import materialise, release, settle, table
 from keylattice.llm.components import connected_components
 from keylattice.llm.shingles import shingle_sets
 from keylattice.llm.textbuf import pieces
@@ -191,19 +191,25 @@ def _linked(docs: DataFrame, pairs: DataFrame, words: int, percent: int, small:
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     signs = held.select("id", "n", "sig")
-    one = pairs.join(signs.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), "a")
-    two = one.join(signs.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "b")
+    one = pairs.join(signs.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")).hint("merge"), "a")
+    two = one.join(signs.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")).hint("merge"), "b")
     left = materialise(two.mapInArrow(bounded, "a long, b long"), "pairs-left")
-    one = left.join(held.select(F.col("id").alias("a"), F.col("items").alias("ia")), "a")
-    two = one.join(held.select(F.col("id").alias("b"), F.col("items").alias("ib")), "b")
-    return materialise(two.select("a", "b", "ia", "ib").mapInArrow(exact, "a long, b long"), "links")
+    ends = materialise(left.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "pair-ids")
+    items = held.select("id", "items").join(F.broadcast(ends) if ends.count() <= small else ends, "id")
+    one = left.join(items.select(F.col("id").alias("a"), F.col("items").alias("ia")).hint("merge"), "a")
+    two = one.join(items.select(F.col("id").alias("b"), F.col("items").alias("ib")).hint("merge"), "b")
+    links = materialise(two.select("a", "b", "ia", "ib").mapInArrow(exact, "a long, b long"), "links")
+    release(docs.sparkSession, *(f.rpartition("/")[0] for f in held.inputFiles()[:1]))
+    settle(docs.sparkSession)
+    return links
 
 
 def _tile_rows(docs: DataFrame, classes: DataFrame, common, words: int, percent: int) -> DataFrame:
     """token, tile, side, comp, doc, n, pos, early, sig: a row per class, prefix shingle and tile.
 
-    Only a frequent shingle has more than one tile, and only its rows carry the signature and the frequent shingles
-    before it in the order.
+    Texts don't move: a document's prefix meets its component as one packed row, and is dealt to tiles then. Only a
+    frequent shingle has more than one tile, and only its rows carry the signature and the frequent shingles before
+    it in the order.
     """
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,37 +220,53 @@ def _tile_rows(docs: DataFrame, classes: DataFrame, common, words: int, percent:
                 row = np.repeat(np.arange(len(n)), n)
                 count = common.value.of(h)
                 order = np.lexsort((h, count, row))
-                token, count = h[order], count[order]
                 pos = np.arange(len(h)) - np.repeat(b[:-1], n)
                 keep = pos <= (n - -(-percent * n // 100))[row]
-                token, count, pos, row = token[keep], count[keep], pos[keep], row[keep]
+                token, count, row = h[order][keep], count[order][keep], row[keep]
+                ends = np.searchsorted(row, np.arange(len(n) + 1))
+                runs = list(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
+                counts = [count[lo:hi][count[lo:hi] > 0] for lo, hi in runs]  # frequent ones come last
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array(n, pa.int32()), pa.array([token[lo:hi].tobytes() for lo, hi in runs], pa.binary()), pa.array([c.tobytes() for c in counts], pa.binary()), pa.array([signature(h[b[i] : b[i + 1]]) if len(c) else None for i, c in enumerate(counts)], pa.binary())],
+                    names=["doc_id", "n", "tokens", "counts", "sig"],
+                )
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                batch = whole.slice(at, 2000)
+                tokens = [np.frombuffer(t, np.uint64) for t in batch.column("tokens").to_pylist()]
+                counts = [np.frombuffer(c, np.int64) for c in batch.column("counts").to_pylist()]
+                signs = batch.column("sig").to_pylist()
+                size = np.array([len(t) for t in tokens], np.int64)
+                row = np.repeat(np.arange(len(size)), size)
+                token = np.concatenate([np.zeros(0, np.uint64), *tokens])
+                count = np.concatenate([np.zeros(0, np.int64), *(x for t, c in zip(tokens, counts, strict=True) for x in (np.zeros(len(t) - len(c), np.int64), c))])
+                starts = np.cumsum(size) - size
+                pos = np.arange(len(token)) - np.repeat(starts, size)
+                ids, n, comp = (np.asarray(batch.column(c)) for c in ("doc_id", "n", "comp"))
                 tiles = np.where(count > TILE, -(-count // TILE), 1)
-                ids = part.column("doc_id").to_numpy()
                 mine = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64)[row] % tiles
                 copy = np.repeat(np.arange(len(token)), tiles)
                 other = np.arange(len(copy)) - np.repeat(np.cumsum(tiles) - tiles, tiles)
                 lo, hi = np.minimum(mine[copy], other), np.maximum(mine[copy], other)
                 tile = lo * tiles[copy] + hi
                 side = (mine[copy] == hi).astype(np.int64)  # of a tile of one part all rows have side 1
-                hot = count > 0
                 early: list = [None] * len(token)
                 sig: list = [None] * len(token)
-                signs: dict[int, bytes] = {}
-                starts = np.searchsorted(row, np.arange(len(n)))
-                for i in np.flatnonzero(hot).tolist():
+                for i in np.flatnonzero(count > 0).tolist():
                     r = int(row[i])
-                    if r not in signs:
-                        signs[r] = signature(h[b[r] : b[r + 1]])
                     sig[i] = signs[r]
-                    first = int(starts[r]) + int(np.searchsorted(count[starts[r] : i], 1))
+                    first = int(starts[r] + size[r]) - len(counts[r])
                     early[i] = token[first : min(i, first + EARLY)].tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [_longs(token[copy]), pa.array(tile, pa.int32()), pa.array(side, pa.int32()), pa.array(np.asarray(part.column("comp"))[row[copy]]), pa.array(ids[row[copy]]), pa.array(n[row[copy]], pa.int32()), pa.array(pos[copy], pa.int32()), pa.array(early, pa.binary()).take(pa.array(copy)), pa.array(sig, pa.binary()).take(pa.array(copy))],
+                    [_longs(token[copy]), pa.array(tile, pa.int32()), pa.array(side, pa.int32()), pa.array(comp[row[copy]]), pa.array(ids[row[copy]]), pa.array(n[row[copy]], pa.int32()), pa.array(pos[copy], pa.int32()), pa.array(early, pa.binary()).take(pa.array(copy)), pa.array(sig, pa.binary()).take(pa.array(copy))],
                     names=["token", "tile", "side", "comp", "doc", "n", "pos", "early", "sig"],
                 )
 
-    chosen = docs.select("doc_id", "text").join(classes.select("doc_id", "comp"), "doc_id")
-    return chosen.mapInArrow(prefixes, "token long, tile int, side int, comp long, doc long, n int, pos int, early binary, sig binary")
+    packed = docs.select("doc_id", "text").mapInArrow(prefixes, "doc_id long, n int, tokens binary, counts binary, sig binary")
+    chosen = packed.join(classes.select("doc_id", "comp").hint("merge"), "doc_id")
+    return chosen.mapInArrow(dealt, "token long, tile int, side int, comp long, doc long, n int, pos int, early binary, sig binary")
 
 
 def tile_pairs(side: np.ndarray, comp: np.ndarray, n: np.ndarray, pos: np.ndarray, early: list, sig: list, percent: int, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
