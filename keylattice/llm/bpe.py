@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keylattice.llm.common import table
-from keylattice.llm.words import encode_words, ragged, split_units
+from keylattice.llm.words import encode_words, ragged, split_parts, texts_of
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -53,8 +53,8 @@ def encode_documents(docs: DataFrame, ranks_path: str | None = None, pattern: st
     ranks = spark.sparkContext.broadcast(read_ranks(spark, ranks_path or public_tokenizers.path(RANKS)))
     table_ = spark.sparkContext.broadcast(TokenBytes(ranks.value))
 
-    def split(texts: list[str]) -> tuple[list[str], list[np.ndarray]]:
-        return split_units(texts, regex.compile(pattern).findall)
+    def split(data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], list[np.ndarray]]:
+        return split_parts(texts_of(data, offsets), regex.compile(pattern).findall)
 
     def encoder() -> Callable[[list[str]], list[list[int]]]:
         coding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={})

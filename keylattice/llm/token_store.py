@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import zlib
 from collections.abc import Callable, Iterator
@@ -15,8 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from keylattice.llm.common import shared_path, table
-from keylattice.llm.words import encode_words, split_units
+from keylattice.llm.common import settle, shared_path, table
+from keylattice.llm.textbuf import LOWER, spans
+from keylattice.llm.words import encode_words, split_spans
 
 VOCABULARY = "word_bpe_49k.json"
 END = 1
@@ -123,9 +123,34 @@ def word_encoder(spark: SparkSession, path: str) -> Callable[[], Callable[[list[
     return make
 
 
-def _split(texts: list[str]) -> tuple[list[str], list[np.ndarray]]:
-    # The vocabulary's own normaliser lower-cases and drops white space; doing so for ASCII first makes fewer words.
-    return split_units([t.encode().lower().decode() for t in texts], None)
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_CUTTABLE = np.zeros(256, bool)
+_CUTTABLE[33:128] = True
+_CUTTABLE[39] = False
+
+
+def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte spans whose encodings, one after the other, are a text's: cut at spaces and line feeds, and between an
+    ASCII letter and another visible ASCII character.
+
+    The vocabulary's pre-tokeniser always has a boundary there and its normaliser never reaches across, but for
+    apostrophes, which open contractions, and characters beyond ASCII, which may combine: neither is cut off.
+    """
+    inside = (data != 32) & (data != 10)
+    starts, ends, rows = spans(inside, offsets)
+    letter, cuttable = _LETTER[data], _CUTTABLE[data]
+    cut = np.flatnonzero((letter[1:] != letter[:-1]) & cuttable[1:] & cuttable[:-1]) + 1 if len(data) else np.zeros(0, np.int64)
+    cut = cut[~np.isin(cut, offsets)]
+    all_starts = np.sort(np.concatenate([starts, cut]))
+    all_ends = np.sort(np.concatenate([ends, cut]))
+    return all_starts, all_ends, np.searchsorted(offsets, all_starts, "right") - 1
+
+
+def _split(data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], list[np.ndarray]]:
+    # The vocabulary's own normaliser lower-cases; doing so for ASCII first makes fewer words.
+    data = LOWER[data]
+    return split_spans(data, offsets, units)
 
 
 def write_store(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = END) -> None:
@@ -170,8 +195,7 @@ def write_store(docs: DataFrame, path: str, vocabulary: str | None = None, end_i
     schema = staged.schema
     # The word shuffles are done with; what the collector drops, Spark deletes from its disks.
     del staged
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    settle(spark)
     read = spark.read.schema(schema).parquet(f"{path}/staged")
     # A chunk reaches this once per batch that holds it, however many documents share it.
     chunks = read.where("kind = 'chunk'").select("address", "payload").dropDuplicates(["address"])

@@ -20,12 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from keylattice.llm.textbuf import pieces
+from keylattice.llm.textbuf import Hashes, pieces
 
 #: Bytes of text in one batch.
 BATCH_BYTES = 16 << 20
 
-Splitter = Callable[[list[str]], tuple[list[str], list[np.ndarray]]]
+Splitter = Callable[[np.ndarray, np.ndarray], tuple[list[str], list[np.ndarray]]]
 Encoder = Callable[[], Callable[[list[str]], list[list[int]]]]
 
 
@@ -46,27 +46,27 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - np.concatenate([[0], ends[:-1]]), lengths) + np.arange(ends[-1]) if len(lengths) else np.zeros(0, np.int64)
 
 
-def split_units(texts: list[str], parts_of: Callable[[str], list[str]] | None) -> tuple[list[str], list[np.ndarray]]:
-    """Distinct words of the texts, and each text as numbers of them.
+def texts_of(data: np.ndarray, offsets: np.ndarray) -> list[str]:
+    whole = data.tobytes()
+    return [whole[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
 
-    Texts are cut at single spaces first; a piece keeps its leading space when parts_of splits pieces further, and
-    is the word itself when parts_of is None. Texts with other than single inner spaces are pieces as a whole then.
+
+def split_parts(texts: list[str], parts_of: Callable[[str], list[str]]) -> tuple[list[str], list[np.ndarray]]:
+    """Distinct parts of the texts, and each text as numbers of them.
+
+    Texts are cut before single inner spaces first, where parts never span, and parts_of splits each distinct piece.
+    Texts with other spaces are pieces as a whole.
     """
     number: dict[str, int] = defaultdict(count().__next__)
     get = number.__getitem__
     rows = []
     for text in texts:
-        if parts_of is None:
-            units = text.replace("\n", " ").split(" ")
+        units = text.split(" ")
+        if "" in units or "\n" == units[-1][-1:]:
+            units = [text] if text else []
         else:
-            units = text.split(" ")
-            if "" in units or "\n" == units[-1][-1:]:
-                units = [text] if text else []
-            else:
-                units = [units[0], *map(" ".__add__, units[1:])]
+            units = [units[0], *map(" ".__add__, units[1:])]
         rows.append(np.fromiter(map(get, units), np.int64, len(units)))
-    if parts_of is None:
-        return list(number), rows
     word: dict[str, int] = defaultdict(count().__next__)
     split = [parts_of(u) for u in number]
     sizes = np.array([len(s) for s in split], dtype=np.int64)
@@ -75,10 +75,31 @@ def split_units(texts: list[str], parts_of: Callable[[str], list[str]] | None) -
     return list(word), [flat[ragged(starts[r], sizes[r])] for r in rows]
 
 
+def split_spans(data: np.ndarray, offsets: np.ndarray, units: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]], size: int = 2 << 20) -> tuple[list[str], list[np.ndarray]]:
+    """The same from the byte spans (starts, ends, rows) that `units` finds: spans of equal 64-bit hash and length are
+    one word. Hashes are made for a few rows, about `size` bytes, at a time."""
+    n = len(offsets) - 1
+    found = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32))]
+    lo = 0
+    while lo < n:
+        hi = min(n, max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + size, "right")) - 1))
+        part = data[offsets[lo] : offsets[hi]]
+        starts, ends, rows = units(part, offsets[lo : hi + 1] - offsets[lo])
+        found.append((Hashes(part).of(starts, ends), starts + offsets[lo], (ends - starts).astype(np.int32), (rows + lo).astype(np.int32)))
+        lo = hi
+    hashes, starts, length, rows = (np.concatenate(x) for x in zip(*found, strict=True))
+    del found
+    _, first, number = np.unique(hashes, return_index=True, return_inverse=True)
+    if (length != length[first][number]).any():
+        raise ValueError("two words of one batch share a hash")
+    words = [data[a : a + k].tobytes().decode() for a, k in zip(starts[first].tolist(), length[first].tolist(), strict=True)]
+    return words, np.split(number.astype(np.uint32), np.searchsorted(rows, np.arange(1, n))) if n else []
+
+
 def encode_words(docs: DataFrame, split: Splitter, encoder: Encoder, finish: Callable[[pa.Table, list[np.ndarray]], pa.Table], out_schema: StructType | str) -> DataFrame:
     """finish(rows, ids of each row) of all batches of `docs`, where ids are the codes of a row's words in order.
 
-    split: texts to distinct words and rows of word numbers; encoder: makes, in a task, the function that encodes a
+    split: texts (bytes and offsets) to distinct words and rows of word numbers; encoder: makes, in a task, the function that encodes a
     list of distinct words. Rows reach `finish` with all their columns but the text. The documents are read twice, and
     a batch is named by a hash of its texts; a source that gives other batches the second time is refused.
     """
@@ -91,8 +112,7 @@ def encode_words(docs: DataFrame, split: Splitter, encoder: Encoder, finish: Cal
         for batch in batches:
             for part, data, offsets in pieces(batch, batch.schema.names[at], BATCH_BYTES):
                 name = xxhash.xxh64(data.tobytes() + offsets.tobytes()).intdigest() - 2**63
-                texts = [t or "" for t in part.column(at).to_pylist()]
-                yield part, name, *split(texts)
+                yield part, name, *split(data, offsets)
 
     def word_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, name, words, _ in local(batches):
