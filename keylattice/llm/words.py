@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 from itertools import chain, count
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -89,7 +90,9 @@ def split_spans(data: np.ndarray, offsets: np.ndarray, units: Callable[[np.ndarr
         lo = hi
     hashes, starts, length, rows = (np.concatenate(x) for x in zip(*found, strict=True))
     del found
-    _, first, number = np.unique(hashes, return_index=True, return_inverse=True)
+    number, distinct = pd.factorize(hashes)  # by a hash table, in order of appearance: frequent words get small numbers
+    first = np.zeros(len(distinct), np.int64)
+    first[number[::-1]] = np.arange(len(number) - 1, -1, -1)
     if (length != length[first][number]).any():
         raise ValueError("two words of one batch share a hash")
     words = [data[a : a + k].tobytes().decode() for a, k in zip(starts[first].tolist(), length[first].tolist(), strict=True)]
