@@ -74,6 +74,9 @@ def test_toxic_neighbours_are_exact():
     sample = [(i, " ".join(rng.choices(vocabulary[:8] if i % 2 else vocabulary[8:], k=6)), i % 2) for i in range(300)]
     index = toxicity.BlockMaxIndex(sample)
     assert index.size
+    for texts in ([], [b""], [b"zzz"]):  # pieces without any term of the vocabulary
+        offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+        assert (index.documents(np.frombuffer(b"".join(texts), np.uint8), offsets)[0] == index.base).all()
     dense = np.zeros((index.size, len(index.word)))
     for t in range(len(index.word)):
         lo, hi = index.post_start[t], index.post_start[t + 1]
