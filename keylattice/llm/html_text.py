@@ -231,8 +231,10 @@ def extract_main_text(pages: DataFrame, max_pages: int = MAX_PAGES, max_chars: i
     named text or n_chars are replaced. One pass, no shuffle.
     """
     spark = pages.sparkSession
-    short = pages.where(F.char_length("html").between(1, max_chars)).select("html")
-    sample = [r.html for r in short.orderBy(F.xxhash64("html"), "html").limit(max_pages).collect()]
+    short = pages.where(F.char_length("html").between(1, max_chars)).select("html", F.xxhash64("html").alias("key"))
+    # Keys first: each task sends a few numbers, not its pages.
+    keys = [r.key for r in short.select("key").distinct().orderBy("key").limit(max_pages).collect()]
+    sample = [r.html for r in short.where(F.col("key").isin(keys)).groupBy("key").agg(F.min("html").alias("html")).orderBy("key").collect()]
     weights = spark.sparkContext.broadcast(train(sample))
 
     @F.pandas_udf("string")
