@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from keylattice.llm.common import materialise, release, settle, table
 from keylattice.llm.components import connected_components
 from keylattice.llm.shingles import shingle_sets
-from keylattice.llm.textbuf import pieces
+from keylattice.llm.textbuf import pieces, trim
 
 #: Shingles that occur in COMMON sets of one batch are counted; the MAX_COMMON most frequent go last in the order.
 COMMON, MAX_COMMON = 3, 400_000
@@ -344,6 +344,8 @@ def _candidates(rows: DataFrame, percent: int) -> DataFrame:
                 held = held.slice(cut)
         if held is not None and held.num_rows:
             yield emit(held)
+        del held
+        trim()
 
     return rows.repartition("token", "tile").sortWithinPartitions("token", "tile").mapInArrow(paired, "a long, b long").where("a <> b").distinct()
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,6 +30,14 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def trim() -> None:
+    """Give freed memory back to the system: a reused worker would keep the most it ever held."""
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if give_back:
+        give_back(0)
+
+
 def pieces(batch: pa.RecordBatch, column: str, size: int = PIECE) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Runs of whole rows with about `size` bytes of text each: (rows, bytes, offsets)."""
     data, offsets = raw(batch.column(column))
@@ -38,6 +47,7 @@ def pieces(batch: pa.RecordBatch, column: str, size: int = PIECE) -> Iterator[tu
         end = min(end, batch.num_rows)
         yield batch.slice(at, end - at), data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
         at = end
+    trim()
 
 
 def spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from keylattice.llm.textbuf import Hashes, pieces
+from keylattice.llm.textbuf import Hashes, pieces, trim
 
 #: Bytes of text in one batch.
 BATCH_BYTES = 16 << 20
@@ -142,6 +142,8 @@ def encode_words(docs: DataFrame, split: Splitter, encoder: Encoder, finish: Cal
                 sizes.append(pack(np.fromiter(map(len, mine), np.int64, len(mine))))
                 codes.append(pack(np.fromiter(chain.from_iterable(mine), np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column("batch"), batch.column("places"), pa.array(sizes, pa.binary()), pa.array(codes, pa.binary())], names=["batch", "places", "sizes", "codes"])
+        del known
+        trim()
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, name, _, rows in local(batches):
@@ -163,7 +165,9 @@ def encode_words(docs: DataFrame, split: Splitter, encoder: Encoder, finish: Cal
             if len(row) and (row.max() >= n or not known[row].all()):
                 raise ValueError("the documents were not the same when they were read again; write them to a table first")
             ids.append(codes[ragged(start[row], size[row])])
-        return finish(left.drop_columns(["_batch", "_row"]), ids)
+        out = finish(left.drop_columns(["_batch", "_row"]), ids)
+        trim()
+        return out
 
     lists = docs.mapInArrow(word_lists, "batch long, bucket int, words array<string>, places binary")
     coded = lists.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(encoded, "batch long, places binary, sizes binary, codes binary")
