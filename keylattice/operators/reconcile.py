@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keylattice.functions import text as T
+from keylattice.operators.resolve import greedy_serials, match_names
 from keylattice.sources.domain import STATES, Domain, grant_flags
 
 
@@ -144,3 +146,78 @@ def import_metrics(old: DataFrame, new: DataFrame, marks: DataFrame) -> DataFram
     changed = before.alias("b").join(after.alias("a"), ["principal", "resource"], "full").where(~(same[0] & same[1] & same[2]))
     counts = marks.agg(*(F.count_if(F.col("state") == s).alias(s) for s in ("active", "planned", "remove")))
     return counts.crossJoin(changed.agg(F.count("*").alias("changed")))  # one row by one row
+
+
+def resolve_padded(cards: DataFrame, known: DataFrame) -> DataFrame:
+    """raw, serial: the first of the serial itself, '0' + it and '00' + it that is known; others are left out."""
+    tries = cards.select("raw").distinct().select("raw", F.posexplode(F.array("raw", F.concat(F.lit("0"), "raw"), F.concat(F.lit("00"), "raw"))).alias("place", "serial"))
+    return tries.join(known.select("serial").distinct(), "serial").groupBy("raw").agg(F.min_by("serial", "place").alias("serial"))
+
+
+def seed_groups(domain: Domain, names: DataFrame, tokens: DataFrame, cards: DataFrame) -> Domain:
+    """The domain after groups are filled and handed out.
+
+    names(grp, door_name): resources of that name, white space and case apart; of several, the one of the largest
+    serial. tokens(grp, token), a short list: resources whose location or area contains the token. Both replace what
+    the group held. cards(raw, grp): memberships of known principals, which replace theirs; they wish for what their
+    groups hold.
+    """
+    fold = lambda c: T.casefold(T.collapse_ws(F.col(c)))
+    last = domain.resource.groupBy(fold("door_name").alias("k")).agg(F.max("serial").alias("resource"))
+    by_name = names.select("grp", fold("door_name").alias("k")).join(last, "k").select("grp", "resource")
+    place = domain.resource.select(F.col("serial").alias("resource"), F.lower(F.concat_ws(" ", "location", "area")).alias("place"))
+    by_token = place.join(F.broadcast(tokens), F.col("place").contains(F.lower(F.col("token")))).select("grp", "resource")
+    filled = by_name.unionByName(by_token).distinct()
+    touched = names.select("grp").union(tokens.select("grp")).distinct()
+    held = domain.group_resource.join(touched, "grp", "left_anti").unionByName(filled)
+    given = cards.join(resolve_padded(cards, domain.principal), "raw").select(F.col("serial").alias("principal"), "grp").distinct()
+    members = domain.membership.join(given.select("principal").distinct(), "principal", "left_anti").unionByName(given)
+    wished = given.join(held, "grp").select("principal", "resource")
+    grants = _with_desired(domain.grants, _desired(domain.grants).unionByName(wished))
+    return Domain(domain.principal, domain.resource, domain.grp, grants, members, held)
+
+
+def toggle_batch(domain: Domain, ops: list[dict], cut: int = 20) -> Domain:
+    """The domain after {kind: group or principal, id, on, resources} operations, one after the other.
+
+    A group's operation reaches its members, so the order counts and the last operation of a cell isn't enough. The
+    list is one request of a person; every `cut` operations the lineage ends in a checkpoint. Unknown kinds, ids and
+    resources are ignored.
+    """
+    spark = domain.resource.sparkSession
+    for i, op in enumerate(ops, 1):
+        listed = [str(r) for r in op.get("resources") or []]
+        known = domain.resource.where(F.col("serial").isin(listed)).select(F.col("serial").alias("resource"))
+        held, grants = domain.group_resource, domain.grants
+        if op.get("kind") == "group" and str(op.get("id")).isdigit():
+            here = known.join(F.broadcast(domain.grp.where(F.col("id") == int(op["id"])).select("id")), how="inner").select("resource")
+            held, grants = set_group_resources(domain, int(op["id"]), here, bool(op.get("on")))
+        elif op.get("kind") == "principal":
+            who = domain.principal.where(F.col("serial") == str(op.get("id"))).select(F.col("serial").alias("principal"))
+            grants = set_desired(domain, who.join(F.broadcast(known), how="inner"), bool(op.get("on")))
+        if i % cut == 0 and spark.sparkContext.getCheckpointDir():
+            held, grants = held.checkpoint(), grants.checkpoint()
+        domain = Domain(domain.principal, domain.resource, domain.grp, grants, domain.membership, held)
+    return domain
+
+
+def import_matrix(domain: Domain, columns: DataFrame, rows: DataFrame, marks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(principal, resource, flags, skipped) after matrices with columns(doc, column, raw, valid, number, person_name),
+    rows(doc, row, name, room_number, location) and marks(doc, column, row, state) come in.
+
+    Rows are matched by name with resources that were there before, else they get a synthetic serial, so two rows of
+    one file never match each other. Columns take known serials (greedy_serials); an unreadable one that matches
+    nothing is skipped. Existing entities only get their blank fields filled.
+    """
+    named = match_names(rows.select("name"), domain.resource)
+    door = rows.join(named, "name", "left").withColumn("resource", F.coalesce("serial", T.synthetic_serial(F.col("name")))).drop("serial")
+    claimed = greedy_serials(columns, domain.principal.select("serial")).withColumnRenamed("serial", "found")
+    who = columns.join(claimed, ["doc", "column"], "left").withColumn("principal", F.coalesce("found", F.when(F.col("valid"), F.col("raw"))))
+    news = who.where("principal IS NOT NULL").select(F.col("principal").alias("serial"), "person_name")
+    number = who.where("principal IS NOT NULL").groupBy(F.col("principal").alias("serial")).agg(F.min("number").alias("n_number"))
+    principal = fill_blanks(domain.principal, news, "serial", ["person_name"]).join(domain.principal.select("serial", "number"), "serial", "left").join(number, "serial", "left")
+    principal = principal.select("serial", F.coalesce("number", "n_number").alias("number"), "person_name")
+    resource = fill_blanks(domain.resource, door.select(F.col("resource").alias("serial"), F.col("name").alias("door_name"), "room_number", "location", F.lit("").alias("area")), "serial", ["door_name", "room_number", "location", "area"])
+    placed = marks.join(who.where("principal IS NOT NULL").select("doc", "column", "principal"), ["doc", "column"]).join(door.select("doc", "row", "resource"), ["doc", "row"])
+    flags = state_transition(domain.flags(), placed.select("principal", "resource", F.coalesce("state", F.lit("active")).alias("state")))
+    return principal, resource, flags, who.where("principal IS NULL").select("doc", "column", "raw")

@@ -318,3 +318,28 @@ def markdown(d: Domain) -> DataFrame:
     lines = rows.groupBy("key", "location").agg(F.array_sort(F.collect_list(F.struct(T.casefold(F.col("label")).alias("k"), "resource", T.md_escape(F.col("label")).alias("text")))).alias("items"))
     text = F.concat(F.lit("### "), T.md_escape(F.col("location")), F.lit("\n\n"), F.array_join(F.transform("items", lambda i: F.concat(F.lit("- "), i["text"], F.lit(" ("), i["resource"], F.lit(")"))), "\n"), F.lit("\n"))
     return lines.select("key", "location", text.alias("markdown"))
+
+
+def sql_script(d: Domain) -> DataFrame:
+    """part, key, statement: an idempotent script of principals, resources and active pairs, to be written in the
+    order of part and key. Of several rows of a serial, one with the largest values stays."""
+    lit = lambda c: T.sql_literal(F.col(c))
+
+    def upsert(df: DataFrame, part: int, table: str, numbers: tuple[str, ...] = ()) -> DataFrame:
+        rest = [c for c in df.columns if c != "serial"]
+        one = df.groupBy("serial").agg(F.max(F.struct(*rest)).alias("v")).select("serial", "v.*")
+        values = [F.coalesce(F.col(c).cast("string"), F.lit("NULL")) if c in numbers else lit(c) for c in df.columns]
+        ends = ", ".join(f"{c}=excluded.{c}" for c in rest)
+        text = F.concat(F.lit(f"INSERT INTO {table} ({', '.join(df.columns)}) VALUES ("), F.concat_ws(", ", *values), F.lit(f") ON CONFLICT (serial) DO UPDATE SET {ends};"))
+        return one.select(F.lit(part).alias("part"), F.col("serial").alias("key"), text.alias("statement"))
+
+    pairs = d.flags().where("active").select("principal", "resource").distinct()
+    link = F.concat(F.lit("INSERT INTO authorizations (principal, resource) VALUES ("), lit("principal"), F.lit(", "), lit("resource"), F.lit(") ON CONFLICT DO NOTHING;"))
+    people = upsert(d.principal.select("serial", "number", "person_name"), 1, "principals", ("number",))
+    doors = upsert(d.resource.select("serial", "door_name", "room_number", "location", "area"), 2, "resources")
+    return people.union(doors).union(pairs.select(F.lit(3), F.concat_ws("/", "principal", "resource"), link))
+
+
+def write_sql_script(d: Domain, path: str) -> None:
+    """The script as text files whose names and lines are in order; a range sort, not one task."""
+    sql_script(d).sort("part", "key").select("statement").write.text(path)

@@ -6,28 +6,42 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from keylattice.functions import text as T
+
 LINE_GAP, STRIP_GAP, COLUMN_SLACK, BAND_GAP, BAND_PAD, MARK_TOLERANCE = 3.0, 5.0, 25.0, 15.0, 4.0, 7.0
+HEADER_SPLIT, HEADER_GAP, LABEL_RIGHT, PROPERTY_GAP = 190.0, 20.0, 230.0, 10.0
 HEADER = r"^\s*(?:\[\s*\S+\s+(\d+)\s*\]\s*)?(.*?)\s*/\s*(\S+)\s*$"
 FOOTER = r"Zeile\s*(\d+)\s*-\s*(\d+)\s*;\s*Spalte\s*(\d+)\s*-\s*(\d+)"
 
 
-def lines(words: DataFrame, gap: float = LINE_GAP) -> DataFrame:
-    """doc, page, line, top, text: a word joins a line while its top is within `gap` of the line's first word.
+def line_words(words: DataFrame, gap: float = LINE_GAP) -> DataFrame:
+    """doc, page, line, top, ws (x0, text, x1, top): a word joins a line while its top is within `gap` of the line's
+    first word.
 
     The anchor is the first word, not the last one, so a page's ordered words are folded; a page is one small group.
     """
-    ordered = words.groupBy("doc", "page").agg(F.array_sort(F.collect_list(F.struct(F.bround("top", 1).alias("r"), "x0", "top", "text"))).alias("ws"))
-    one = lambda w: F.struct(w["top"].alias("top"), F.array(F.struct(w["x0"].alias("x0"), w["text"].alias("text"))).alias("ws"))
-    start = F.array().cast("array<struct<top:double,ws:array<struct<x0:double,text:string>>>>")
+    ordered = words.groupBy("doc", "page").agg(F.array_sort(F.collect_list(F.struct(F.bround("top", 1).alias("r"), "x0", "top", "text", "x1"))).alias("ws"))
+    word = lambda w: F.struct(*(w[c].alias(c) for c in ("x0", "text", "x1", "top")))
+    start = F.array().cast("array<struct<top:double,ws:array<struct<x0:double,text:string,x1:double,top:double>>>>")
 
     def step(acc, w):
         last = F.element_at(acc, -1)
         fits = (F.size(acc) > 0) & (F.abs(w["top"] - F.try_element_at(acc, F.lit(-1))["top"]) <= gap)
-        grown = F.struct(last["top"].alias("top"), F.array_append(last["ws"], F.struct(w["x0"].alias("x0"), w["text"].alias("text"))).alias("ws"))
-        return F.when(fits, F.array_append(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), grown)).otherwise(F.array_append(acc, one(w)))
+        grown = F.struct(last["top"].alias("top"), F.array_append(last["ws"], word(w)).alias("ws"))
+        alone = F.struct(w["top"].alias("top"), F.array(word(w)).alias("ws"))
+        return F.when(fits, F.array_append(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), grown)).otherwise(F.array_append(acc, alone))
 
     folded = ordered.select("doc", "page", F.posexplode(F.aggregate("ws", start, step)).alias("line", "l"))
-    return folded.select("doc", "page", "line", F.col("l.top").alias("top"), F.array_join(F.transform(F.array_sort("l.ws"), lambda w: w["text"]), " ").alias("text"))
+    return folded.select("doc", "page", "line", F.col("l.top").alias("top"), F.array_sort("l.ws").alias("ws"))
+
+
+def joined(ws: Column) -> Column:
+    return F.array_join(F.transform(ws, lambda w: w["text"]), " ")
+
+
+def lines(words: DataFrame, gap: float = LINE_GAP) -> DataFrame:
+    """doc, page, line, top, text of line_words."""
+    return line_words(words, gap).select("doc", "page", "line", "top", joined(F.col("ws")).alias("text"))
 
 
 def islands(df: DataFrame, keys: list[str], order: str, gap: float, name: str) -> DataFrame:
@@ -117,6 +131,50 @@ def coverage(found: DataFrame, expected: DataFrame) -> DataFrame:
     return expected.join(n, "doc", "left").select("doc", F.coalesce("n", F.lit(0)).alias("n"), "expected", (F.col("expected").isNull() | (F.coalesce("n", F.lit(0)) == F.col("expected"))).alias("consistent"))
 
 
+def native_columns(words: DataFrame, split: float = HEADER_SPLIT, gap: float = HEADER_GAP, widest: float = 20.0, label: str = "PERSONEN") -> DataFrame:
+    """doc, page, strip, xc, raw, name of each rotated header: its words are stored backwards, from below to above.
+
+    Above `split` stands the name. Below it stands the identifier, up to the first gap; what follows is another band.
+    The strip of the axis label, and strips without name and identifier, are left out.
+    """
+    s = strips(words.where(F.col("x1") - F.col("x0") <= widest))
+    low = s.where(F.col("top") >= split)
+    w = Window.partitionBy("doc", "page", "strip").orderBy("top", "x0")
+    cuts = F.sum(F.when(F.col("top") - F.lag("bottom").over(w) > gap, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    first = low.withColumn("_band", cuts).where("_band = 0").select("doc", "page", "strip", "top", "x0", "text")
+    upward = lambda: F.transform(F.array_sort(F.collect_list(F.struct((-F.col("top")).alias("up"), "x0", F.reverse("text").alias("text")))), lambda v: v["text"])
+    raw = first.groupBy("doc", "page", "strip").agg(F.trim(F.array_join(upward(), "")).alias("raw"))
+    name = s.where(F.col("top") < split).groupBy("doc", "page", "strip").agg(F.trim(F.array_join(upward(), " ")).alias("name"))
+    out = s.groupBy("doc", "page", "strip").agg(F.avg("xc").alias("xc")).join(raw, ["doc", "page", "strip"], "left").join(name, ["doc", "page", "strip"], "left")
+    out = out.withColumns({"raw": F.coalesce("raw", F.lit("")), "name": F.coalesce("name", F.lit(""))})
+    return out.where(~F.upper("name").contains(label) & ((F.col("name") != "") | T.repair_serial(F.col("raw"))["valid"]))
+
+
+def native_doors(words: DataFrame, left: float = LABEL_RIGHT, gap: float = PROPERTY_GAP, skip: tuple[str, ...] = ("NAME", "SCHLIESS", "Zeile", "Spalte")) -> DataFrame:
+    """doc, page, line, yc, name of each row label left of `left`; a lone number behind a wide gap is another column's."""
+    rows = line_words(words.where("upright")).withColumn("ws", F.filter("ws", lambda v: v["x0"] < left)).where(F.size("ws") > 0)
+    last, before = F.element_at("ws", -1), F.try_element_at("ws", F.lit(-2))
+    foreign = F.coalesce((F.size("ws") > 1) & last["text"].rlike(r"^\d+\z") & (last["x0"] - before["x1"] > gap), F.lit(False))
+    rows = rows.withColumn("ws", F.when(foreign, F.slice("ws", 1, F.size("ws") - 1)).otherwise(F.col("ws"))).withColumn("name", F.trim(joined(F.col("ws"))))
+    kept = ~F.col("name").rlike("|".join(skip)) & ~F.col("name").rlike(r"^[\d\s.]+\z") & (F.length("name") >= 3)
+    centre = F.aggregate("ws", F.lit(0.0), lambda a, v: a + v["top"]) / F.size("ws")
+    return rows.where(kept).select("doc", "page", "line", centre.alias("yc"), "name")
+
+
+def native_bases(pages: DataFrame) -> DataFrame:
+    """doc, axis, from, page, n, base of pages(doc, page, row_from, row_to, col_from, col_to, n_rows, n_cols).
+
+    The columns of a range come from its first page that has any, the rows of a band from its leftmost page; base is
+    how many stand before.
+    """
+    whole = pages.where("row_from IS NOT NULL AND col_from IS NOT NULL")
+    cols = whole.where("n_cols > 0").groupBy("doc", F.lit("column").alias("axis"), F.col("col_from").alias("from"), F.col("col_to").alias("to")).agg(F.min_by(F.struct("page", F.col("n_cols").alias("n")), "page").alias("p"))
+    rows = whole.groupBy("doc", F.lit("row").alias("axis"), F.col("row_from").alias("from"), F.col("row_to").alias("to")).agg(F.min_by(F.struct("page", F.col("n_rows").alias("n")), F.struct("col_from", "page")).alias("p"))
+    w = Window.partitionBy("doc", "axis").orderBy("from", "to").rowsBetween(Window.unboundedPreceding, -1)
+    out = cols.unionByName(rows).select("doc", "axis", "from", "to", "p.page", "p.n")
+    return out.withColumn("base", F.coalesce(F.sum("n").over(w), F.lit(0)))
+
+
 def detect_format(words: DataFrame, list_marker: str, serial: str, least: int = 5) -> DataFrame:
     """doc, format: a list marker wins on the first page that has one; else a footer or enough rotated serials mean matrix."""
     is_list = F.bool_or(F.col("text").contains(list_marker))
@@ -125,13 +183,22 @@ def detect_format(words: DataFrame, list_marker: str, serial: str, least: int =
 
 
 def _words(spark, sf_dir) -> DataFrame:
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_orderkey % 50 = 0").select("l_orderkey", "l_partkey", "l_linenumber").distinct()
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_linenumber").distinct()
     x = (F.col("l_partkey") % 97).cast("double")
     return li.select(F.col("l_orderkey").cast("string").alias("doc"), F.lit(1).alias("page"), F.col("l_partkey").cast("string").alias("text"), x.alias("x0"), (x + 2).alias("x1"), (F.col("l_linenumber") * 2.0).alias("top"), (F.col("l_linenumber") * 2.0 + 1).alias("bottom"), (F.col("l_partkey") % 2 == 0).alias("upright"))
 
 
+def _pages(spark, sf_dir) -> DataFrame:
+    """Orders as documents, their lines as pages of a grid."""
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    page = li.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"))
+    at = lambda c, k, step: (F.col(c) % k * step).cast("int")
+    row, col = at("p", 3, 10), at("s", 3, 20)
+    return page.select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("page"), row.alias("row_from"), (row + 9).alias("row_to"), col.alias("col_from"), (col + 19).alias("col_to"), at("p", 7, 1).alias("n_rows"), at("s", 5, 1).alias("n_cols"))
+
+
 _W = """WITH words AS (SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS doc, 1 AS page, CAST(l_partkey AS VARCHAR) AS text, CAST(l_partkey % 97 AS DOUBLE) AS x0, l_linenumber * 2.0::DOUBLE AS top, l_partkey % 2 = 0 AS upright
-FROM lineitem WHERE l_orderkey % 50 = 0)\n"""
+FROM lineitem)\n"""
 
 QUERIES = {
     "lay_lines": lambda s, d: lines(_words(s, d)),
@@ -144,6 +211,9 @@ QUERIES = {
     "lay_count_check": lambda s, d: count_check(_words(s, d), _words(s, d).select("doc").distinct().withColumn("stated", F.lit(4).cast("long"))),
     "lay_pages": lambda s, d: assemble_pages(_words(s, d).select("doc", F.col("top").alias("page"), F.lit(10).alias("start"), F.floor(F.col("x0") / 50).cast("int").alias("i"), F.concat_ws("/", F.col("upright").cast("string")).alias("value")).distinct()).select("doc", "index", "conflict"),
     "j_mark_nearest": lambda s, d: nearest_strip(_words(s, d).where("upright").select("doc", "page", F.col("text").alias("mark"), F.col("x0").alias("x")), strips(_words(s, d)).groupBy("doc", "page", "strip").agg(F.avg("xc").alias("xc"))),
+    "lay_native_cols": lambda s, d: native_columns(_words(s, d), split=9.0, gap=2.0).select("doc", "strip", "raw", "name"),
+    "lay_native_doors": lambda s, d: native_doors(_words(s, d), left=60.0).select("doc", "line", "name"),
+    "lay_native_geom": lambda s, d: native_bases(_pages(s, d)),
     "src_detect_format": lambda s, d: detect_format(_words(s, d), "77", r"^\d{3}$"),
 }
 ORACLE_SQL = {
@@ -155,5 +225,10 @@ SELECT *, x0 - lag(x0) OVER (PARTITION BY doc, page ORDER BY x0) AS d FROM words
     "lay_header_id": _W + "SELECT DISTINCT text, CAST(text AS INTEGER) AS number, 'Some Name' AS name, 'S' || text AS serial FROM words",
     "lay_count_check": _W + "SELECT doc, count(*) AS parsed, CAST(4 AS BIGINT) AS stated, count(*) = 4 AS consistent FROM words GROUP BY 1",
     "lay_pages": _W + "SELECT doc, CAST(10 + floor(x0 / 50) AS INTEGER) AS \"index\", count(DISTINCT upright) > 1 AS conflict FROM words GROUP BY 1, 2",
+    "lay_native_geom": """WITH g AS (SELECT l_orderkey AS doc, l_linenumber AS page, min(l_partkey) AS p, min(l_suppkey) AS s FROM lineitem GROUP BY 1, 2),
+k AS (SELECT doc, page, p % 3 * 10 AS r, s % 3 * 20 AS c, p % 7 AS nr, s % 5 AS nc FROM g),
+o AS (SELECT doc, 'column' AS axis, c AS "from", c + 19 AS "to", min(page) AS page, arg_min(nc, page) AS n FROM k WHERE nc > 0 GROUP BY 1, 2, 3, 4
+UNION ALL SELECT doc, 'row', r, r + 9, arg_min(page, (c, page)), arg_min(nr, (c, page)) FROM k GROUP BY 1, 2, 3, 4)
+SELECT doc, axis, CAST("from" AS INTEGER) AS "from", CAST("to" AS INTEGER) AS "to", page, CAST(n AS INTEGER) AS n, CAST(coalesce(sum(n) OVER (PARTITION BY doc, axis ORDER BY "from", "to" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS base FROM o""",
     "src_detect_format": _W + "SELECT doc, CASE WHEN bool_or(contains(text, '77')) THEN 'list' WHEN count(*) FILTER (NOT upright AND regexp_full_match(text, '[0-9]{3}')) >= 5 THEN 'matrix' ELSE 'list' END AS format FROM words GROUP BY 1",
 }

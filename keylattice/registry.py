@@ -139,13 +139,13 @@ simple("set_difference", "SELECT principal, resource FROM flags WHERE desired AN
 simple("set_intersection", "SELECT principal, resource FROM flags WHERE desired AND active", lambda d: d.grants.where("state = 'desired'").select("principal", "resource").intersect(d.grants.where("state = 'active'").select("principal", "resource")))
 
 # -- reconciliation -------------------------------------------------------------------------------------------------
-_MARKS = """, marks AS (SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS principal, CAST(l_partkey AS VARCHAR) AS resource, CASE l_linenumber % 3 WHEN 0 THEN 'active' WHEN 1 THEN 'planned' ELSE 'remove' END AS state FROM lineitem WHERE l_suppkey % 4 = 0)
+_MARKS = """, marks AS (SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS principal, CAST(l_partkey AS VARCHAR) AS resource, CASE l_linenumber % 3 WHEN 0 THEN 'active' WHEN 1 THEN 'planned' ELSE 'remove' END AS state FROM lineitem)
 , m AS (SELECT principal, resource, bool_or(state = 'active') AS ma, bool_or(state = 'planned') AS mp, bool_or(state = 'remove') AS mr FROM marks GROUP BY 1, 2)\n"""
 
 
 def _marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = F.when(F.col("l_linenumber") % 3 == 0, "active").when(F.col("l_linenumber") % 3 == 1, "planned").otherwise("remove")
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_suppkey % 4 = 0").select(F.col("l_suppkey").cast("string").alias("principal"), F.col("l_partkey").cast("string").alias("resource"), state.alias("state")).distinct()
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_suppkey").cast("string").alias("principal"), F.col("l_partkey").cast("string").alias("resource"), state.alias("state")).distinct()
 
 
 @query(_MARKS + """, s AS (SELECT principal, resource, coalesce(active, false) OR coalesce(ma, false) AS a, coalesce(planned, false) AND NOT coalesce(ma, false) AS p, coalesce(removed, false) AND NOT coalesce(ma, false) AS r,
@@ -155,12 +155,14 @@ def m_state_transition(spark, sf_dir):
     return R.state_transition(AdapterDomain(spark, sf_dir).flags(), _marks(spark, sf_dir))
 
 
-@query(""", lists AS (SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS principal, CAST(l_partkey AS VARCHAR) AS resource FROM lineitem WHERE l_suppkey % 3 = 0 AND l_quantity < 10)
+@query(""", lists AS (SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS principal, CAST(l_partkey AS VARCHAR) AS resource FROM lineitem JOIN principal ON serial = CAST(l_suppkey AS VARCHAR) WHERE number IS NOT NULL AND l_quantity < 10)
 SELECT * FROM (SELECT principal, resource, CASE WHEN principal IN (SELECT principal FROM lists) THEN l.p IS NOT NULL ELSE coalesce(active, false) END AS active, coalesce(planned, false) AS planned, coalesce(removed, false) AS removed, coalesce(desired, false) AS desired
 FROM flags FULL JOIN (SELECT *, principal AS p FROM lists) l USING (principal, resource)) WHERE active OR planned OR removed OR desired""")
 def m_import_list(spark, sf_dir):
-    lists = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_suppkey % 3 = 0 AND l_quantity < 10").select(F.col("l_suppkey").cast("string").alias("principal"), F.col("l_partkey").cast("string").alias("resource"))
-    return R.import_list(AdapterDomain(spark, sf_dir).flags(), lists)
+    d = AdapterDomain(spark, sf_dir)
+    small = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_quantity < 10").select(F.col("l_suppkey").cast("string").alias("principal"), F.col("l_partkey").cast("string").alias("resource"))
+    lists = small.join(d.principal.where("number IS NOT NULL").select(F.col("serial").alias("principal")), "principal", "left_semi")
+    return R.import_list(d.flags(), lists)
 
 
 simple("m_fill_blanks", """SELECT serial, coalesce(nullif(person_name, ''), 'filled ' || serial) AS person_name FROM principal""",
@@ -198,6 +200,44 @@ def q_import_metrics(spark, sf_dir):
     return R.import_metrics(d.grants, R.to_grants(R.state_transition(d.flags(), marks)), marks).drop("changed")
 
 
+simple("snk_sql", """SELECT 1 AS part, serial AS key, 'INSERT INTO principals (serial, number, person_name) VALUES (''' || serial || ''', ' || coalesce(CAST(number AS VARCHAR), 'NULL') || ', ''' || person_name || ''') ON CONFLICT (serial) DO UPDATE SET number=excluded.number, person_name=excluded.person_name;' AS statement FROM principal
+UNION ALL SELECT 2, serial, 'INSERT INTO resources (serial, door_name, room_number, location, area) VALUES (''' || array_to_string([serial, door_name, room_number, location, area], ''', ''') || ''') ON CONFLICT (serial) DO UPDATE SET door_name=excluded.door_name, room_number=excluded.room_number, location=excluded.location, area=excluded.area;' FROM resource
+UNION ALL SELECT 3, principal || '/' || resource, 'INSERT INTO authorizations (principal, resource) VALUES (''' || principal || ''', ''' || resource || ''') ON CONFLICT DO NOTHING;' FROM flags WHERE active""", A.sql_script)
+_RED = ", red AS (SELECT serial AS resource FROM resource WHERE contains(lower(location || ' ' || area), 'brand#1')), named AS (SELECT max(serial) AS resource FROM resource GROUP BY lower(door_name))\n"
+
+
+@query(_RED + """, held AS (SELECT * FROM group_resource WHERE grp NOT IN (2, 3) UNION SELECT 2, resource FROM named UNION SELECT 3, resource FROM red),
+given AS (SELECT serial AS principal, 2 AS grp FROM principal WHERE number = 5), wish AS (SELECT principal, resource FROM flags WHERE desired UNION SELECT principal, resource FROM given JOIN held USING (grp))
+SELECT 'held' AS what, CAST(grp AS VARCHAR) AS a, resource AS b FROM held UNION ALL SELECT 'member', principal, CAST(grp AS VARCHAR) FROM (SELECT * FROM membership WHERE principal NOT IN (SELECT principal FROM given) UNION SELECT * FROM given)
+UNION ALL SELECT 'wish', principal, resource FROM wish""")
+def m_seed_groups(spark, sf_dir):
+    d = AdapterDomain(spark, sf_dir)
+    names = d.resource.select(F.lit(2).cast("long").alias("grp"), F.upper("door_name").alias("door_name")).distinct()
+    cards = d.principal.where("number = 5").select(F.col("serial").alias("raw"), F.lit(2).cast("long").alias("grp"))
+    out = R.seed_groups(d, names, spark.createDataFrame([(3, "Brand#1")], "grp long, token string"), cards)
+    rows = out.group_resource.select(F.lit("held").alias("what"), F.col("grp").cast("string").alias("a"), F.col("resource").alias("b"))
+    rows = rows.union(out.membership.select(F.lit("member"), "principal", F.col("grp").cast("string")))
+    return rows.union(out.grants.where("state = 'desired'").select(F.lit("wish"), "principal", "resource"))
+
+
+simple("m_toggle_batch", """, held AS (SELECT * FROM group_resource EXCEPT SELECT 2, CAST(x AS VARCHAR) FROM range(1, 41) t(x)),
+lost AS (SELECT principal, serial AS resource FROM membership CROSS JOIN resource WHERE grp = 2 AND CAST(serial AS INTEGER) BETWEEN 1 AND 40 EXCEPT SELECT principal, resource FROM membership JOIN held USING (grp)),
+one AS (SELECT principal, resource FROM flags WHERE desired UNION SELECT '1', serial FROM resource WHERE serial IN ('7', '8', '9')) SELECT * FROM one EXCEPT SELECT * FROM lost""",
+       lambda d: R.toggle_batch(d, [{"kind": "principal", "id": "1", "on": True, "resources": ["7", "8", "9", "none"]}, {"kind": "nothing", "id": 1}, {"kind": "group", "id": 2, "on": False, "resources": [str(x) for x in range(1, 41)]}]).grants.where("state = 'desired'").select("principal", "resource"))
+simple("fn_digits_prefix_resolve", "SELECT serial AS raw, serial FROM principal", lambda d: R.resolve_padded(d.principal.select(F.col("serial").alias("raw")), d.principal))
+
+
+@query()
+def m_import_matrix(spark, sf_dir):
+    """Parts of each nation's suppliers as matrices whose column heads are the suppliers' keys."""
+    d = AdapterDomain(spark, sf_dir)
+    nation = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_nationkey").alias("doc"), F.col("s_suppkey").cast("int").alias("column"))
+    columns = nation.select("doc", "column", F.col("column").cast("string").alias("raw"), F.lit(False).alias("valid"), F.lit(None).cast("int").alias("number"), F.lit("new").alias("person_name"))
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").join(nation, F.col("l_suppkey") == F.col("column")).select("doc", "column", F.col("l_partkey").alias("row"), F.when(F.col("l_linenumber") % 3 == 0, "planned").when(F.col("l_linenumber") % 3 == 1, "remove").alias("state"))
+    rows = li.select("doc", "row").distinct().join(spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("row"), F.col("p_name").alias("name"), F.col("p_size").cast("string").alias("room_number"), F.col("p_type").alias("location")), "row")
+    return R.import_matrix(d, columns, rows, li)[2]
+
+
 # -- scalar functions and fuzzy joins -------------------------------------------------------------------------------
 simple("fn_resource_label", "SELECT serial, label FROM rlabel", lambda d: A.labelled_resources(d).select("serial", "label"))
 simple("fn_principal_label", "SELECT serial, label FROM plabel", lambda d: A.labelled_principals(d).select("serial", "label"))
