@@ -140,11 +140,13 @@ def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     inside = (data != 32) & (data != 10)
     starts, ends, rows = spans(inside, offsets)
     letter, cuttable = _LETTER[data], _CUTTABLE[data]
-    cut = np.flatnonzero((letter[1:] != letter[:-1]) & cuttable[1:] & cuttable[:-1]) + 1 if len(data) else np.zeros(0, np.int64)
-    cut = cut[~np.isin(cut, offsets)]
-    all_starts = np.sort(np.concatenate([starts, cut]))
-    all_ends = np.sort(np.concatenate([ends, cut]))
-    return all_starts, all_ends, np.searchsorted(offsets, all_starts, "right") - 1
+    at_cut = np.zeros(len(data) + 1, bool)
+    at_cut[1:-1] = (letter[1:] != letter[:-1]) & cuttable[1:] & cuttable[:-1]
+    at_cut[offsets] = False
+    at_end = at_cut.copy()
+    at_cut[starts], at_end[ends] = True, True
+    all_starts, all_ends = np.flatnonzero(at_cut), np.flatnonzero(at_end)
+    return all_starts, all_ends, np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(all_starts, offsets)))
 
 
 def _split(data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], list[np.ndarray]]:
