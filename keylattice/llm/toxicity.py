@@ -5,17 +5,22 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keylattice.llm.common import id_bucket, labelled_sample, table
-from keylattice.llm.textbuf import LOWER, Hashes, pieces, spans
+from keylattice.llm.textbuf import LOWER, Hashes, pieces, spans, trim
+from keylattice.llm.words import ragged
 
 #: Training bounds: labelled examples, and characters of an example. Every document is scored whole.
 MAX_EXAMPLES, MAX_CHARS = 6000, 40_000
-NEIGHBOURS, BLOCK, MAX_TERMS = 8, 64, 4096
-MIN_SHARE, RATIO = 0.03, 25
+NEIGHBOURS, BLOCK = 8, 64
+#: Terms in at least one of COMMON examples are kept as a dense matrix; MARGIN covers its single precision.
+COMMON, MARGIN = 20, 1e-4
+#: Weight of a term that tells nothing about the class, next to those that do.
+FLOOR = 0.1
 THRESHOLD = 0.3
 
 # Bytes of a term: ASCII letters and all of a multi-byte character.
@@ -39,12 +44,16 @@ def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class BlockMaxIndex:
-    """Postings by term over blocks of BLOCK examples, with each block's largest weight of each term."""
+    """Postings of all terms of all examples over blocks of BLOCK examples, with each block's largest weight of each term.
+
+    A term weighs its IDF times FLOOR plus the square of its standardised log ratio of toxic to other examples, where
+    that is positive. No term is dropped.
+    """
 
     def __init__(self, sample: list[tuple[int, str, int]], neighbours: int = NEIGHBOURS):
         self.k = neighbours
         labels = np.array([y for _, _, y in sample], dtype=np.int64)
-        found = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        found = [(np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32))]
         for at in range(0, len(sample), 100):
             encoded = [t.encode() for _, t, _ in sample[at : at + 100]]
             offsets = np.concatenate([[0], np.cumsum([len(t) for t in encoded])]).astype(np.int64)
@@ -52,77 +61,117 @@ class BlockMaxIndex:
             order = np.lexsort((rows, hashes))
             hashes, rows = hashes[order], rows[order]
             first = np.flatnonzero(np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (rows[1:] != rows[:-1])])) if len(rows) else np.zeros(0, np.int64)
-            found.append((hashes[first], rows[first] + at, np.diff(np.append(first, len(rows)))))
-        hashes, rows, counts = (np.concatenate(x) for x in zip(*found, strict=True))
+            found.append((hashes[first], (rows[first] + at).astype(np.int32), np.diff(np.append(first, len(rows))).astype(np.int32)))
+        hashes, row, counts = (np.concatenate(x) for x in zip(*found, strict=True))
+        del found
         order = np.argsort(hashes, kind="stable")
-        hashes, rows, counts = hashes[order], rows[order], counts[order]
+        hashes, row, counts = hashes[order], row[order], counts[order]
         n, bad = len(sample), int(labels.sum())
-        word, start, df = np.unique(hashes, return_index=True, return_counts=True)
-        df_bad = np.add.reduceat(labels[rows], start) if len(word) else np.zeros(0, np.int64)
-        # Terms that tell toxic examples from others: in at least 5 and MIN_SHARE of the toxic ones, and RATIO times their
-        # share among others, so that the words of one group of copies don't count.
-        ratio = (df_bad + 0.5) / (bad + 1) / ((df - df_bad + 0.5) / (n - bad + 1))
-        good = np.flatnonzero((df_bad >= max(5, MIN_SHARE * bad)) & (ratio >= RATIO))
-        good = good[np.argsort(-(df_bad[good] * np.log(ratio[good])), kind="stable")][:MAX_TERMS]
-        good = good[np.argsort(word[good])]
-        self.word = word[good]
-        self.idf = np.log((1 + n) / (1 + df[good])) + 1
-        self.quick = np.zeros(1 << 16, bool)
-        self.quick[(self.word & np.uint64(0xFFFF)).astype(np.int64)] = True
-        row, term, weight = self.vectors(hashes, rows, n, counts)
+        start = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.zeros(0, np.int64)
+        self.word = hashes[start]
+        self.post_start = np.append(start, len(hashes))
+        df = np.diff(self.post_start)
+        del hashes, order
+        df_bad = np.add.reduceat(labels[row], start) if len(start) else df
+        ratio = np.log((df_bad + 0.5) / (bad + 1) / ((df - df_bad + 0.5) / (n - bad + 1)))
+        tells = np.maximum(ratio, 0) / np.sqrt(1 / (df_bad + 0.5) + 1 / (df - df_bad + 0.5))
+        self.idf = (np.log((1 + n) / (1 + df)) + 1) * (FLOOR + tells**2)
+        term = np.repeat(np.arange(len(self.word), dtype=np.int32), df)
+        weight = (1 + np.log(counts)) * self.idf[term]
+        weight /= np.sqrt(np.bincount(row, weight**2, n))[row]
         some = np.zeros(n, bool)
         some[row] = True
         # Documents without any term are all alike: their score is their share of toxic examples.
         self.base = (labels[~some].sum() + 0.5) / ((~some).sum() + 10)
-        # Similar examples share a block, so that block maxima are tight.
+        # Similar examples share a block, so that block maxima are tight: they go by their heaviest term.
         lead = np.full(n, len(self.word))
-        np.minimum.at(lead, row, term)
-        order = np.lexsort((np.arange(n), lead, ~some))
-        place = np.empty(n, np.int64)
+        order = np.argsort(weight, kind="stable")
+        lead[row[order]] = term[order]
+        order = np.lexsort((np.arange(n), lead, labels, ~some))
+        place = np.empty(n, np.int32)
         place[order] = np.arange(n)
         self.ids = np.array([i for i, _, _ in sample], dtype=np.int64)[order]
         self.labels = labels[order]
         self.size = int(some.sum())
         self.blocks = -(-self.size // BLOCK)
-        at = place[row]
-        by = np.lexsort((at, term))
-        self.post_row, self.post_weight, term = at[by], weight[by], term[by]
-        self.post_start = np.searchsorted(term, np.arange(len(self.word) + 1))
-        self.block_max = np.zeros((len(self.word), max(self.blocks, 1)))
-        np.maximum.at(self.block_max, (term, self.post_row // BLOCK), self.post_weight)
-
-    def vectors(self, hashes: np.ndarray, rows: np.ndarray, n: int, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Rows, terms and weights of unit TF-IDF vectors."""
-        near = self.quick[(hashes & np.uint64(0xFFFF)).astype(np.int64)]
-        hashes, rows, counts = hashes[near], rows[near], None if counts is None else counts[near]
-        at = np.minimum(np.searchsorted(self.word, hashes), max(len(self.word) - 1, 0))
-        hit = self.word[at] == hashes if len(self.word) else np.zeros(len(hashes), bool)
-        key, inverse = np.unique(rows[hit] * len(self.word) + at[hit], return_inverse=True)
-        count = np.bincount(inverse, None if counts is None else counts[hit], len(key))
+        by = np.lexsort((place[row], term))
+        self.post_row, self.post_weight = place[row[by]], weight[by].astype(np.float32)
+
+    def derive(self) -> None:
+        """The matrix of common terms; of the others, runs of one term's postings in one block, and the largest weight of
+        each run; and the examples' own vectors."""
+        df = np.diff(self.post_start)
+        common = df * COMMON >= len(self.ids)
+        self.column = np.where(common, np.cumsum(common) - 1, -1)
+        term = np.repeat(np.arange(len(df), dtype=np.int32), df)
+        dense = common[term]
+        self.matrix = np.zeros((int(common.sum()), self.blocks * BLOCK), np.float32)
+        self.matrix[self.column[term[dense]], self.post_row[dense]] = self.post_weight[dense]
+        block = self.post_row // BLOCK
+        new = ~dense
+        new[1:] &= (block[1:] != block[:-1]) | (term[1:] != term[:-1])
+        start = np.flatnonzero(new)
+        length = np.diff(np.append(start, len(block)))
+        self.run_block, self.run_start, self.run_size = block[start], start.astype(np.int32), np.minimum(length, self.post_start[term[start] + 1] - start).astype(np.int32)
+        weight = np.where(dense, 0, self.post_weight)  # a run's slice may reach over common terms
+        self.run_max = np.maximum.reduceat(weight, start) if len(start) else self.post_weight[:0]
+        self.term_run = np.searchsorted(start, self.post_start)
+        order = np.argsort(self.post_row, kind="stable")
+        self.example_term, self.example_weight = term[order], self.post_weight[order]
+        self.example_start = np.searchsorted(self.post_row[order], np.arange(self.size + 1))
+        self.query = np.zeros(len(df))
+
+    def __getstate__(self) -> dict:
+        made = ("column", "matrix", "run_block", "run_start", "run_size", "run_max", "term_run", "example_term", "example_weight", "example_start", "query")
+        return {k: v for k, v in self.__dict__.items() if k not in made}
+
+    def vectors(self, hashes: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, terms and weights of unit TF-IDF vectors, over the terms that some example has."""
+        number, distinct = pd.factorize(hashes)
+        at = np.minimum(np.searchsorted(self.word, distinct), max(len(self.word) - 1, 0))
+        at = np.where(self.word[at] == distinct, at, -1)[number] if len(self.word) else np.full(len(hashes), -1)
+        hit = at >= 0
+        key, count = np.unique(rows[hit] * len(self.word) + at[hit], return_counts=True)
         row, term = (key // len(self.word), key % len(self.word)) if len(key) else (key, key)
         weight = (1 + np.log(count)) * self.idf[term]
         return row, term, weight / np.sqrt(np.bincount(row, weight**2, n))[row] if len(row) else weight
 
-    def nearest(self, term: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of highest cosine, exactly: blocks go by their upper bound until none can improve the result.
+    def common(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+        """Cosines of n documents and all examples as far as common terms make them."""
+        if "matrix" not in self.__dict__:  # made where it is used, not on the driver
+            self.derive()
+        column = self.column[term]
+        some = column >= 0
+        q = np.zeros((n, len(self.matrix)), np.float32)
+        q[row[some], column[some]] = weight[some]
+        return q @ self.matrix
+
+    def nearest(self, term: np.ndarray, weight: np.ndarray, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The k examples of highest cosine, exactly: from what common terms make, only blocks whose upper bound reaches
+        the k-th best are searched, and what may be among the k best is scored again in double precision.
 
         Ties go to the example's place in the index, so equal texts have equal neighbours.
         """
-        bound = weight @ self.block_max[term]
-        best_s, best_i = np.zeros(0), np.zeros(0, np.int64)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best_s) == self.k and bound[b] < best_s[-1] - 1e-12:
-                break
-            score = np.zeros(BLOCK)
-            for t, w in zip(term, weight, strict=True):
-                lo, hi = self.post_start[t], self.post_start[t + 1]
-                lo, hi = lo + np.searchsorted(self.post_row[lo:hi], [b * BLOCK, (b + 1) * BLOCK])
-                score[self.post_row[lo:hi] - b * BLOCK] += w * self.post_weight[lo:hi]
-            some = np.flatnonzero(score > 0)
-            best_s, best_i = np.concatenate([best_s, score[some]]), np.concatenate([best_i, some + b * BLOCK])
-            top = np.lexsort((best_i, -best_s))[: self.k]
-            best_s, best_i = best_s[top], best_i[top]
-        return best_s, best_i
+        if not self.size:
+            return np.zeros(0), np.zeros(0, np.int64)
+        score = (self.common(np.zeros(len(term), np.int64), term, weight, 1)[0] if known is None else known).astype(np.float64)
+        at = max(len(score) - self.k, 0)
+        first, n = self.term_run[term], self.term_run[term + 1] - self.term_run[term]
+        run, of = ragged(first, n), np.repeat(weight, n)
+        block = self.run_block[run]
+        bound = score.reshape(self.blocks, BLOCK).max(axis=1) + np.bincount(block, of * self.run_max[run], self.blocks)
+        mine = (bound >= np.partition(score, at)[at] - MARGIN)[block]
+        sizes = self.run_size[run[mine]]
+        post = ragged(self.run_start[run[mine]], sizes)
+        score += np.bincount(self.post_row[post], np.repeat(of[mine], sizes) * self.post_weight[post], len(score))
+        near = np.flatnonzero((score >= np.partition(score, at)[at] - MARGIN) & (score > 0))
+        self.query[term] = weight
+        start, sizes = self.example_start[near], self.example_start[near + 1] - self.example_start[near]
+        own = ragged(start, sizes)
+        exact = np.bincount(np.repeat(np.arange(len(near)), sizes), self.query[self.example_term[own]] * self.example_weight[own], len(near))
+        self.query[term] = 0
+        top = np.lexsort((near, -exact))[: self.k]
+        return exact[top], near[top]
 
     def documents(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[list[dict]]]:
         """Score and evidence of every row: distance-weighted votes of its neighbours, drawn to the base share."""
@@ -134,8 +183,12 @@ class BlockMaxIndex:
         if not len(row):
             return score, evidence
         starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-        for lo, hi in zip(starts, [*starts[1:], len(row)], strict=True):
-            s, i = self.nearest(term[lo:hi], weight[lo:hi])
+        ends = np.append(starts[1:], len(row))
+        for k, (lo, hi) in enumerate(zip(starts, ends, strict=True)):
+            if k % BLOCK == 0:
+                group = slice(lo, ends[min(k + BLOCK, len(ends)) - 1])
+                known = self.common(np.searchsorted(row[starts], row[group]) - k, term[group], weight[group], min(BLOCK, len(starts) - k))
+            s, i = self.nearest(term[lo:hi], weight[lo:hi], known[k % BLOCK])
             if len(s):
                 vote = 1 / (1.05 - np.minimum(s, 1))
                 score[row[lo]] = (vote @ self.labels[i] + self.base) / (vote.sum() + 1)
@@ -146,15 +199,17 @@ class BlockMaxIndex:
 def score_toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, max_chars: int = MAX_CHARS) -> DataFrame:
     """`docs` (doc_id, text, ...) with score (0 to 1, higher: toxic likelier), predicted and evidence.
 
-    Examples are a bounded sample of labelled rows outside the held-out fold (crc32(doc_id) mod 4 = 2); the
-    vocabulary is what tells the two classes apart in that sample. Evidence lists the neighbours: example id,
-    cosine and label. All whole texts are scored, in one pass without a shuffle. Texts without a term of the
-    vocabulary, null and empty ones too, get the share of toxic examples among such examples. Rows may repeat;
+    Examples are a bounded sample of labelled rows outside the held-out fold (crc32(doc_id) mod 4 = 2), both classes
+    with all their terms. Evidence lists the neighbours: example id, cosine and label. All whole texts are scored, in
+    one pass without a shuffle. Texts without a term of any example, null and empty ones too, get the share of toxic
+    examples among examples without terms. Rows may repeat;
     other columns stay, but columns named score, predicted or evidence are replaced.
     """
     spark = docs.sparkSession
     sample = labelled_sample(docs, labels, "toxic", id_bucket("doc_id", 4) != 2, max_examples, max_chars, share=1 / 3)
     index = spark.sparkContext.broadcast(BlockMaxIndex(sample))
+    del sample
+    trim()
     base = docs.drop("score", "predicted", "evidence")
     at = base.columns.index("text")
     nothing = F.array().cast("array<struct<example:bigint,similarity:double,label:int>>")

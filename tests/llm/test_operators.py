@@ -89,6 +89,45 @@ def test_toxic_neighbours_are_exact():
         assert np.allclose(s, scores[want])
 
 
+def test_toxicity_uses_all_terms_of_whole_texts():
+    rng = random.Random(9)
+    vocabulary = [f"{a}{b}word" for a in "abcdefghij" for b in "klmnopqrst"]
+    texts = [" ".join(rng.choices(vocabulary, k=rng.randint(3, 60))) + f" only{'xyzw'[i % 4]}{chr(97 + i % 26)}" for i in range(400)]
+    index = toxicity.BlockMaxIndex([(i, t, int(i % 5 == 0)) for i, t in enumerate(texts)])
+    assert index.size == len(texts) and set(index.labels) == {0, 1}
+
+    def vector(text):
+        counts = {}
+        for w in re.findall("[a-z]+", text):
+            for t in [w, *((n, w[:n]) for n in toxicity.PREFIXES if len(w) > n)]:
+                counts[t] = counts.get(t, 0) + 1
+        return counts
+
+    found = [vector(t) for t in texts]
+    df = {t: [sum(t in v for v in found[::5]), sum(t in v for v in found)] for t in set().union(*found)}
+    assert len(index.word) == len(df)
+
+    def weighed(v):
+        out = {}
+        for t, c in v.items():
+            if t in df:
+                bad, n = df[t]
+                z = max(0, np.log((bad + 0.5) / 81 / ((n - bad + 0.5) / 321))) / np.sqrt(1 / (bad + 0.5) + 1 / (n - bad + 0.5))
+                out[t] = (1 + np.log(c)) * (np.log(401 / (1 + n)) + 1) * (toxicity.FLOOR + z * z)
+        length = np.sqrt(sum(x * x for x in out.values()))
+        return {t: x / length for t, x in out.items()}
+
+    examples = [weighed(v) for v in found]
+    queries = ["akword", "zzz akword blword " * 3, "ONLYXA", *texts[::40]]
+    data = [q.encode() for q in queries]
+    _, evidence = index.documents(np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(d) for d in data])]).astype(np.int64))
+    for q, got in zip(queries, evidence, strict=True):
+        mine = weighed(vector(q.lower()))
+        scores = np.array([sum(x * e.get(t, 0) for t, x in mine.items()) for e in examples])
+        assert np.allclose([g["similarity"] for g in got], np.sort(scores)[::-1][: index.k], atol=1e-6)
+        assert np.allclose([g["similarity"] for g in got], scores[[g["example"] for g in got]], atol=1e-6)
+
+
 def test_media_round_trip_and_general_decoder():
     rng = random.Random(3)
     payloads = [b"", b"a", bytes(range(256)) * 2, rng.randbytes(3000), b"\0" * 500, b"\x01\x02\x00" * 99, "“é”\n".encode() * 50]
