@@ -8,6 +8,7 @@ row entry per batch, not one per occurrence, and no key is hotter than the numbe
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from itertools import chain, count
@@ -26,6 +27,9 @@ from keylattice.llm.textbuf import Hashes, pieces, trim
 #: Bytes of text in one batch.
 BATCH_BYTES = 16 << 20
 
+#: A space next to other white space (of Python's kind or Unicode's).
+BESIDE = re.compile(r"\s | \s")
+
 Splitter = Callable[[np.ndarray, np.ndarray], tuple[list[str], list[np.ndarray]]]
 Encoder = Callable[[], Callable[[list[str]], list[list[int]]]]
 
@@ -56,14 +60,14 @@ def split_parts(texts: list[str], parts_of: Callable[[str], list[str]]) -> tuple
     """Distinct parts of the texts, and each text as numbers of them.
 
     Texts are cut before single inner spaces first, where parts never span, and parts_of splits each distinct piece.
-    Texts with other spaces are pieces as a whole.
+    Texts with a space at an end or next to other white space, whose run can be one part, are pieces as a whole.
     """
     number: dict[str, int] = defaultdict(count().__next__)
     get = number.__getitem__
     rows = []
     for text in texts:
         units = text.split(" ")
-        if "" in units or "\n" == units[-1][-1:]:
+        if "" in units or "\n" == units[-1][-1:] or BESIDE.search(text):
             units = [text] if text else []
         else:
             units = [units[0], *map(" ".__add__, units[1:])]

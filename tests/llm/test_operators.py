@@ -184,6 +184,17 @@ def test_byte_bpe(spark, odd):
         assert r.decoded_sha256 == hashlib.sha256((TEXTS[r.doc_id] or "").encode()).hexdigest()
 
 
+def test_byte_bpe_of_mixed_white_space(spark):
+    units = [" \u00a0", "\u00a0 ", " \t", "\t ", " \n", "\n ", " \r", " \u2003", "\x1c ", " \x1c", " \x85", " \u200b"]
+    texts = ["a" + u * k + end for u in units for k in (1, 2, 3, 4, 8) for end in ("b", " b", "", " b c")] + ["a b\u00a0c d", "\u00a0 a b", "a b\t"]
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    coding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.tokens for r in bpe.encode_documents(docs, tokens=True).collect()}
+    assert [got[i] for i in range(len(texts))] == [coding.encode_ordinary(t) for t in texts]
+
+
 def test_html():
     w = html_text.train([])
     page = '<html><head><title>x</title><script>"<p>no</p>"</script></head><body><nav><a href=x>a</a></nav><div class="cookie-notice">We use cookies.</div><article><h1>T &amp; U</h1><p>Some text,\n with  words.</p><p>More text.<section id="comments"><p>nice!</p></section></article><footer>c</footer>'
