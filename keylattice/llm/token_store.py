@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -94,7 +95,6 @@ def word_encoder(spark: SparkSession, path: str) -> Callable[[], Callable[[list[
 
     def make() -> Callable[[list[str]], list[list[int]]]:
         coder = Tokenizer.from_str(vocabulary.value)
-        coder.encode_special_tokens = True
         one = lambda words: [e.ids for e in coder.encode_batch_fast(words, add_special_tokens=False)]
         mark = one([SENTINEL])[0]
 
@@ -130,18 +130,27 @@ _CUTTABLE[33:128] = True
 _CUTTABLE[39] = False
 
 
-def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+_NONE = np.zeros(0, np.int64)
+
+
+def units(data: np.ndarray, offsets: np.ndarray, marks: tuple[np.ndarray, np.ndarray] = (_NONE, _NONE)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte spans whose encodings, one after the other, are a text's: cut at spaces and line feeds, and between an
-    ASCII letter and another visible ASCII character.
+    ASCII letter and another visible ASCII character. The spans (starts, ends) of `marks` are units of their own.
 
     The vocabulary's pre-tokeniser always has a boundary there and its normaliser never reaches across, but for
     apostrophes, which open contractions, and characters beyond ASCII, which may combine: neither is cut off.
     """
     inside = (data != 32) & (data != 10)
+    for a, b in zip(*marks, strict=True):
+        inside[a:b] = True
     starts, ends, rows = spans(inside, offsets)
     letter, cuttable = _LETTER[data], _CUTTABLE[data]
     at_cut = np.zeros(len(data) + 1, bool)
     at_cut[1:-1] = (letter[1:] != letter[:-1]) & cuttable[1:] & cuttable[:-1]
+    for a, b in zip(*marks, strict=True):
+        at_cut[a + 1 : b] = False
+        at_cut[[a, b]] = True
+    at_cut[starts] = at_cut[ends] = False
     at_cut[offsets] = False
     at_end = at_cut.copy()
     at_cut[starts], at_end[ends] = True, True
@@ -149,10 +158,37 @@ def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return all_starts, all_ends, np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(all_starts, offsets)))
 
 
-def _split(data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], list[np.ndarray]]:
-    # The vocabulary's own normaliser lower-cases; doing so for ASCII first makes fewer words.
-    data = LOWER[data]
-    return split_spans(data, offsets, units)
+def special_strings(coder: Tokenizer) -> list[bytes]:
+    """The vocabulary's special strings, longest first; they are found in the raw text."""
+    found = []
+    for t in coder.get_added_tokens_decoder().values():
+        text = t.content.encode()
+        data = np.frombuffer(text, np.uint8)
+        if t.normalized or t.lstrip or t.rstrip or t.single_word or not t.special or len(units(data, np.array([0, len(data)]))[0]) < 2:
+            raise ValueError(f"added token {t.content!r} can't be found in raw text alone")
+        found.append(text)
+    return sorted(found, key=len, reverse=True)
+
+
+def splitter(specials: list[bytes]) -> Callable[[np.ndarray, np.ndarray], tuple[list[str], list[np.ndarray]]]:
+    pattern = re.compile(b"|".join(map(re.escape, specials)))
+
+    def split(data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], list[np.ndarray]]:
+        whole, marks = data.tobytes(), []
+        if any(s in whole for s in specials):
+            for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                marks += [m.span() for m in pattern.finditer(whole, lo, hi)]
+        del whole
+        first, last = np.array(marks, np.int64).reshape(-1, 2).T
+
+        def cut(part: np.ndarray, own: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            here = slice(*np.searchsorted(first, [at, at + len(part)]))
+            return units(part, own, (first[here] - at, last[here] - at))
+
+        # The vocabulary's own normaliser lower-cases; doing so for ASCII first makes fewer words.
+        return split_spans(LOWER[data], offsets, cut)
+
+    return split
 
 
 def write_store(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = END) -> None:
@@ -165,7 +201,8 @@ def write_store(docs: DataFrame, path: str, vocabulary: str | None = None, end_i
     """
     spark = docs.sparkSession
     source = vocabulary or public_tokenizers.path(VOCABULARY)
-    wide = Tokenizer.from_file(source).get_vocab_size() > 1 << 16
+    coder = Tokenizer.from_file(source)
+    wide = coder.get_vocab_size() > 1 << 16
     kind = "<u4" if wide else "<u2"
 
     def finish(rows: pa.Table, ids: list[np.ndarray]) -> pa.Table:
@@ -192,7 +229,7 @@ def write_store(docs: DataFrame, path: str, vocabulary: str | None = None, end_i
             "payload": pa.array([*[None] * n, *seen.values()], pa.binary()),
         })
 
-    staged = encode_words(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _split, word_encoder(spark, source), finish, "kind string, doc_id long, n_tokens long, addresses array<binary>, root binary, address binary, payload binary")
+    staged = encode_words(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), splitter(special_strings(coder)), word_encoder(spark, source), finish, "kind string, doc_id long, n_tokens long, addresses array<binary>, root binary, address binary, payload binary")
     staged.write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/staged")
     schema = staged.schema
     # The word shuffles are done with; what the collector drops, Spark deletes from its disks.

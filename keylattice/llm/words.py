@@ -80,8 +80,8 @@ def split_parts(texts: list[str], parts_of: Callable[[str], list[str]]) -> tuple
     return list(word), [flat[ragged(starts[r], sizes[r])] for r in rows]
 
 
-def split_spans(data: np.ndarray, offsets: np.ndarray, units: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]], size: int = 2 << 20) -> tuple[list[str], list[np.ndarray]]:
-    """The same from the byte spans (starts, ends, rows) that `units` finds: spans of equal 64-bit hash and length are
+def split_spans(data: np.ndarray, offsets: np.ndarray, units: Callable[[np.ndarray, np.ndarray, int], tuple[np.ndarray, np.ndarray, np.ndarray]], size: int = 2 << 20) -> tuple[list[str], list[np.ndarray]]:
+    """The same from the byte spans (starts, ends, rows) that `units` finds in a part (its bytes, offsets and place): spans of equal 64-bit hash and length are
     one word. Hashes are made for a few rows, about `size` bytes, at a time."""
     n = len(offsets) - 1
     found = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32))]
@@ -89,7 +89,7 @@ def split_spans(data: np.ndarray, offsets: np.ndarray, units: Callable[[np.ndarr
     while lo < n:
         hi = min(n, max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + size, "right")) - 1))
         part = data[offsets[lo] : offsets[hi]]
-        starts, ends, rows = units(part, offsets[lo : hi + 1] - offsets[lo])
+        starts, ends, rows = units(part, offsets[lo : hi + 1] - offsets[lo], int(offsets[lo]))
         found.append((Hashes(part).of(starts, ends), starts + offsets[lo], (ends - starts).astype(np.int32), (rows + lo).astype(np.int32)))
         lo = hi
     hashes, starts, length, rows = (np.concatenate(x) for x in zip(*found, strict=True))

@@ -167,6 +167,20 @@ def test_token_store(spark, odd):
         at += len(ids)
 
 
+def test_token_store_keeps_special_strings(spark):
+    a, b = "<|startoftext|>", "<|endoftext|>"
+    texts = [f"end {b} x", f"A{b}B", b, a + b, f" {b}{b} it's{a}'s", f"é{b}\u0301 {b.upper()} <|EndOfText|>", f"<{b}> <|end {b}\n", "<|endof", "text|> x", f"x{a}", f"{b[:-1]} {b}", f"1{a}2 \t{b}\t", "word " * 9 + b]
+    texts += [f"{t} tail" for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    path = token_store.shared_path(spark, "special-test")
+    token_store.write_store(docs, path)
+    coder = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in token_store.read_store(spark, path).collect()}
+    for i, t in enumerate(texts):
+        ids = np.array([*coder.encode(t, add_special_tokens=False).ids, 1], "<u4")
+        assert got[i] == (len(ids), zlib.crc32(ids.tobytes())), t
+
+
 def test_chunks_follow_content():
     ids = np.random.default_rng(4).integers(0, 40_000, 20_000)
     a, b = token_store.cuts(ids), token_store.cuts(np.concatenate([[7] * 333, ids]))
