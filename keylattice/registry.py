@@ -131,6 +131,14 @@ SELECT principal, count(*) AS n FROM flags ANTI JOIN inherited USING (principal,
 simple("q_access_report", _KEYS + """SELECT DISTINCT key, location, resource FROM keys JOIN membership USING (principal) JOIN group_resource USING (grp) JOIN resource ON serial = resource""", A.access_report)
 simple("q_backup", """SELECT 'group' AS kind, export_code AS id, '{"name":"' || name || '","export_code":"' || export_code || '","is_implicit":' || is_implicit || ',"doors":[' ||
 (SELECT string_agg('"' || resource || '"', ',' ORDER BY resource) FROM group_resource WHERE grp = id) || ']}' AS body FROM grps""", lambda d: A.backup(d).where("kind = 'group'"))
+# The whole export; q_backup has the groups alone.
+simple("q_backup_records", """, lists AS (SELECT principal, string_agg('"' || resource || '"', ',' ORDER BY resource) FILTER (active) AS active, string_agg('"' || resource || '"', ',' ORDER BY resource) FILTER (planned) AS planned,
+string_agg('"' || resource || '"', ',' ORDER BY resource) FILTER (removed) AS removed, string_agg('"' || resource || '"', ',' ORDER BY resource) FILTER (desired) AS desired FROM flags GROUP BY 1)
+, codes AS (SELECT principal, string_agg('"' || export_code || '"', ',' ORDER BY export_code) AS groups FROM membership JOIN grps ON grp = id GROUP BY 1)
+SELECT 'principal' AS kind, serial AS id, '{"serial":"' || serial || '","number":' || coalesce(CAST(number AS VARCHAR), 'null') || ',"person_name":"' || person_name || '","active":[' || coalesce(active, '') || '],"planned":[' || coalesce(planned, '')
+|| '],"removed":[' || coalesce(removed, '') || '],"desired":[' || coalesce(desired, '') || '],"groups":[' || coalesce(groups, '') || ']}' AS body FROM principal LEFT JOIN lists ON lists.principal = serial LEFT JOIN codes ON codes.principal = serial
+UNION ALL SELECT 'group', export_code, '{"name":"' || name || '","export_code":"' || export_code || '","is_implicit":' || is_implicit || ',"doors":[' || (SELECT string_agg('"' || resource || '"', ',' ORDER BY resource) FROM group_resource WHERE grp = id) || ']}' FROM grps
+UNION ALL SELECT 'resource', serial, '{"serial":"' || serial || '","door_name":"' || door_name || '","room_number":"' || room_number || '","location":"' || location || '","area":"' || area || '"}' FROM resource""", A.backup)
 QUERIES["snk_markdown"] = lambda spark, sf_dir: A.markdown(AdapterDomain(spark, sf_dir))
 
 # -- set operations -------------------------------------------------------------------------------------------------
@@ -200,6 +208,16 @@ def q_import_metrics(spark, sf_dir):
     return R.import_metrics(d.grants, R.to_grants(R.state_transition(d.flags(), marks)), marks).drop("changed")
 
 
+@query(_MARKS + """, s AS (SELECT coalesce(active, false) AS a0, coalesce(planned, false) AS p0, coalesce(removed, false) AS r0, coalesce(ma, false) AS ma, coalesce(mp, false) AS mp, coalesce(mr, false) AS mr FROM flags FULL JOIN m USING (principal, resource))
+, t AS (SELECT *, (a0 OR ma) AND NOT mr AS a1, ((p0 AND NOT ma) OR (mp AND NOT a0 AND NOT ma)) AND NOT mr AS p1, (r0 AND NOT ma AND NOT mp) OR mr AS r1 FROM s)
+SELECT count(*) FILTER (state = 'active') AS active, count(*) FILTER (state = 'planned') AS planned, count(*) FILTER (state = 'remove') AS remove, (SELECT count(*) FROM t WHERE (a0, p0, r0) <> (a1, p1, r1)) AS changed FROM marks""")
+def q_import_changes(spark, sf_dir):
+    """All metrics of the import; q_import_metrics has the counts of marks alone."""
+    d = AdapterDomain(spark, sf_dir)
+    marks = _marks(spark, sf_dir)
+    return R.import_metrics(d.grants, R.to_grants(R.state_transition(d.flags(), marks)), marks)
+
+
 simple("snk_sql", """SELECT 1 AS part, serial AS key, 'INSERT INTO principals (serial, number, person_name) VALUES (''' || serial || ''', ' || coalesce(CAST(number AS VARCHAR), 'NULL') || ', ''' || person_name || ''') ON CONFLICT (serial) DO UPDATE SET number=excluded.number, person_name=excluded.person_name;' AS statement FROM principal
 UNION ALL SELECT 2, serial, 'INSERT INTO resources (serial, door_name, room_number, location, area) VALUES (''' || array_to_string([serial, door_name, room_number, location, area], ''', ''') || ''') ON CONFLICT (serial) DO UPDATE SET door_name=excluded.door_name, room_number=excluded.room_number, location=excluded.location, area=excluded.area;' FROM resource
 UNION ALL SELECT 3, principal || '/' || resource, 'INSERT INTO authorizations (principal, resource) VALUES (''' || principal || ''', ''' || resource || ''') ON CONFLICT DO NOTHING;' FROM flags WHERE active""", A.sql_script)

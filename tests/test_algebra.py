@@ -161,3 +161,12 @@ def test_empty_tables(spark):
     assert A.clones(d.flags().select("principal", "resource")).count() == 0
     assert A.changes(d).count() == 0
     assert A.individual(d).count() == 0
+
+
+def test_whole_backup_and_import_metrics_are_registered(spark):
+    from keylattice import registry
+
+    rows = registry.QUERIES["q_backup_records"](spark, "/root/testdata/sf0.001").groupBy("kind").count().collect()
+    sizes = {t: spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").count() for t in ("supplier", "part")}
+    assert {r.kind: r["count"] for r in rows if r.kind != "group"} == {"principal": sizes["supplier"], "resource": sizes["part"]}
+    assert registry.QUERIES["q_import_changes"](spark, "/root/testdata/sf0.001").first().changed > 0
