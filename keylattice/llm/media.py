@@ -443,26 +443,51 @@ def store_media(docs: DataFrame, path: str) -> None:
     rows.mapInArrow(stored, rows.select("doc_id", F.lit(0).cast("long").alias("n_bytes"), F.lit(b"").alias("media")).schema).write.option("compression", "zstd").parquet(path)
 
 
-def read_media(spark: SparkSession, path: str, tensors: bool = False) -> DataFrame:
-    """What the stored pictures hold: payload digests, media digests and features, with `rgb` (height, width and the
-    full-resolution RGB bytes) on request."""
+#: Tensors that are in memory at once, as one batch.
+TENSOR_ROWS = 256
+
+NAMES = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "height", "width", "rgb"]
+
+
+def store_tensors(spark: SparkSession, path: str, to: str) -> None:
+    """Decodes the stored pictures and writes what they hold: payload and media digests, height, width and the
+    full-resolution RGB bytes of every document."""
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for media in batch.column("media").to_pylist():
-                parts, factors, size, steps, comment = decode_jpeg(media)
-                payload, rgb = payload_from(parts, comment), rgb_tensor(parts, factors, size, steps)
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(rgb), rgb.shape[0], rgb.shape[1], rgb.tobytes() if tensors else b""))
-            cols = list(zip(*rows, strict=True)) or [()] * 9
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=names)
-
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "height", "width", "rgb"]
+        for whole in batches:
+            for at in range(0, whole.num_rows, TENSOR_ROWS):
+                batch = whole.slice(at, TENSOR_ROWS)
+                rows = []
+                for media in batch.column("media").to_pylist():
+                    parts, factors, size, steps, comment = decode_jpeg(media)
+                    payload, rgb = payload_from(parts, comment), rgb_tensor(parts, factors, size, steps)
+                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), rgb.shape[0], rgb.shape[1], rgb.tobytes()))
+                cols = list(zip(*rows, strict=True))
+                kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=NAMES)
+
     media = spark.read.parquet(path)
     id_type = media.schema["doc_id"].dataType.simpleString()
-    out = media.mapInArrow(decoded, f"doc_id {id_type}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, height int, width int, rgb binary")
-    return out if tensors else out.drop("rgb", "height", "width")
+    out = media.mapInArrow(decoded, f"doc_id {id_type}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, height int, width int, rgb binary")
+    out.write.option("compression", "zstd").parquet(to)
+
+
+def read_media(spark: SparkSession, path: str, tensors: bool = False) -> DataFrame:
+    """Payload digests, media digests and features of the stored pictures, with `rgb` (height, width and the
+    full-resolution RGB bytes) on request. The tensors are stored in a table of their own; features are read from there."""
+    to = shared_path(spark, "tensors")
+    store_tensors(spark, path, to)
+
+    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = zip(batch.column("rgb"), batch.column("height").to_pylist(), batch.column("width").to_pylist(), strict=True)
+            features = pa.array([feature_of(np.frombuffer(b.as_buffer(), np.uint8).reshape(h, w, 3)) for b, h, w in size], pa.string())
+            kept = [batch.column(c) for c in NAMES] if tensors else [batch.column(c) for c in NAMES[:7]]
+            yield pa.RecordBatch.from_arrays([*kept[:7], features, *kept[7:]], names=[*NAMES[:7], "feature", *(NAMES[7:] if tensors else [])])
+
+    stored = spark.read.parquet(to).select(*NAMES)
+    made = [*NAMES[:7], F.lit("").alias("feature"), *(NAMES[7:] if tensors else [])]
+    return stored.mapInArrow(featured, stored.select(*made).schema)
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:

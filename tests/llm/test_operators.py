@@ -154,6 +154,20 @@ def test_media_query(spark, odd):
         assert len(r.rgb) == r.height * r.width * 3
 
 
+def test_media_tensors_are_stored(spark, odd):
+    path, to = token_store.shared_path(spark, "media-stored"), token_store.shared_path(spark, "tensors-stored")
+    media.store_media(odd, path)
+    media.store_tensors(spark, path, to)
+    stored = {r.doc_id: r for r in spark.read.parquet(to).collect()}
+    pictures = {r.doc_id: r.media for r in spark.read.parquet(path).collect()}
+    features = {r.doc_id: r.feature for r in media.read_media(spark, path).collect()}
+    assert stored.keys() == pictures.keys() == set(range(len(TEXTS)))
+    for i, r in stored.items():
+        rgb = media.rgb_tensor(*media.decode_jpeg(pictures[i])[:4])
+        assert (r.height, r.width, 3) == rgb.shape and bytes(r.rgb) == rgb.tobytes()
+        assert features[i] == media.feature_of(rgb)
+
+
 def test_token_store(spark, odd):
     path = token_store.shared_path(spark, "store-test")
     token_store.write_store(odd, path)
