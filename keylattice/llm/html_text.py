@@ -21,7 +21,7 @@ MAX_PAGES, MAX_CHARS = 400, 60_000
 NEXT, SIBLING = 0.4, 0.4
 
 # Elements whose content is never text of the page; fixed values.
-HIDDEN = "script|style|noscript|template|title|textarea|select|button|svg|iframe|object|canvas|math"
+HIDDEN = "script|style|noscript|template|title|textarea|select|button|svg|iframe|object|canvas"
 # Elements that end a block; fixed values.
 BLOCK = set(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header "
@@ -39,8 +39,10 @@ BAD_WORDS = set(
 )
 GOOD_WORDS = set("article main content body post entry story text".split())
 
+# A self-closed svg has no content; a slash that ends an unquoted value doesn't close it.
+_EMPTY = r"<svg(?:\s+[^\s=>\"'/]++(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"']++))?)*+\s*/>"
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<hidden>{HIDDEN})(?=[\s>/])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=hidden)\s*>|\Z)|"
+    rf"<!--.*?(?:-->|\Z)|{_EMPTY}|<(?P<hidden>{HIDDEN})(?=[\s>/])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=hidden)\s*>|\Z)|"
     r"<(?P<close>/?)(?P<tag>[a-zA-Z][^\s>/]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
     re.S | re.I,
 )

@@ -238,6 +238,16 @@ def test_html():
         assert abs(cost(html_text.min_cut(gain, edges)) - best) < 1e-9
 
 
+def test_html_self_closed_svg_and_formulas():
+    w = html_text.train([])
+    page = "<html><body><article><h1>T</h1><p>Some text, with words {}and more words.</p><p>More text.</p></article></body></html>"
+    want = html_text.main_text(page.format(""), w)
+    assert "more words" in want and "More text." in want
+    for icon in ("<svg/>", "<svg />", '<SVG class="a>b" hidden/>', "<svg a='1' b=2 />", "<math/>", "<svg><path d=x/>gone</svg>", "<svg a=b/>gone</svg>"):
+        assert html_text.main_text(page.format(icon), w) == want, icon
+    assert "x+1" in html_text.main_text(page.format("<math><mi>x</mi><mo>+</mo><mn>1</mn></math> "), w)
+
+
 def test_html_odd_pages(spark):
     pages = spark.createDataFrame([(1, None), (2, ""), (3, "<"), (4, "<div>" * 3000 + "text"), (5, "<script>")], "page_id long, html string")
     assert {r.page_id: r.n_chars for r in html_text.extract_main_text(pages).collect()}.keys() == {1, 2, 3, 4, 5}
