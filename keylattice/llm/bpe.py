@@ -81,4 +81,9 @@ def encode_documents(docs: DataFrame, ranks_path: str | None = None, pattern: st
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of all `documents`.
+
+    Null and empty texts have no token and the digests of nothing; null and repeated ids stay, a row each; very long texts
+    are batches of their own; other columns are not read; an empty table gives an empty result.
+    """
     return encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))

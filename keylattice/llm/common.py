@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,9 +13,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); one of our own only where it is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir).
+
+    Where it is unset, a folder of this machine does, but only for a session that runs on this machine alone; a
+    cluster without a shared folder is refused.
+    """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = getattr(shared_root, "own", None) or "file://" + tempfile.mkdtemp(prefix="spark-keylattice-")
         shared_root.own = root
     return root
@@ -28,28 +32,42 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str, **options) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.options(**({"compression": "zstd"} | options)).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Spark then deletes an execution's shuffle files when the execution ends.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def release(spark: SparkSession, *paths: str) -> None:
-    """Delete intermediate tables of ours through Spark's file system layer."""
-    jvm = spark.sparkContext._jvm
-    for p in paths:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def written(df: DataFrame, path: str, partitioned_by: str | None = None, **options) -> None:
+    """Write a table to `path`; nothing reads its shuffles after it, so they go with the write."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEAN, "false")
+    conf.set(CLEAN, "true")
+    try:
+        writer = df.write.options(**({"compression": "zstd"} | options))
+        (writer.partitionBy(partitioned_by) if partitioned_by else writer).parquet(path)
+    finally:
+        conf.set(CLEAN, before)
 
 
-def settle(spark: SparkSession) -> None:
-    """Let go of finished shuffles: Spark deletes their files when the driver has collected what refers to them."""
-    for _ in range(2):  # what only the first collection sets free takes a second one
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+def materialise(df: DataFrame, name: str, partitioned_by: str | None = None, **options) -> DataFrame:
+    """Write a table to the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    `release` deletes it.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    schema = df.schema
+    written(df, path, partitioned_by, **options)
+    out = spark.read.schema(schema).parquet(path)
+    out._keylattice_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that `materialise` made, through Spark's file system layer. Only when nothing reads them any more."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t._keylattice_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keylattice.llm.common import materialise, release, settle, table
+from keylattice.llm.common import materialise, release, table
 from keylattice.llm.components import connected_components
 from keylattice.llm.shingles import shingle_sets
 from keylattice.llm.textbuf import pieces, trim
@@ -194,13 +194,12 @@ def _linked(docs: DataFrame, pairs: DataFrame, words: int, percent: int, small:
     one = pairs.join(signs.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")).hint("merge"), "a")
     two = one.join(signs.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")).hint("merge"), "b")
     left = materialise(two.mapInArrow(bounded, "a long, b long"), "pairs-left")
-    ends = materialise(left.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "pair-ids")
+    ends = materialise(left.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "left-ids")
     items = held.select("id", "items").join(F.broadcast(ends) if ends.count() <= small else ends, "id")
     one = left.join(items.select(F.col("id").alias("a"), F.col("items").alias("ia")).hint("merge"), "a")
     two = one.join(items.select(F.col("id").alias("b"), F.col("items").alias("ib")).hint("merge"), "b")
     links = materialise(two.select("a", "b", "ia", "ib").mapInArrow(exact, "a long, b long"), "links")
-    release(docs.sparkSession, *(f.rpartition("/")[0] for f in held.inputFiles()[:1]))
-    settle(docs.sparkSession)
+    release(pairs, ids, held, left, ends)
     return links
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from keylattice.llm.common import settle, shared_path, table
+from keylattice.llm.common import materialise, release, shared_path, table, written
 from keylattice.llm.textbuf import LOWER, spans
 from keylattice.llm.words import encode_words, split_spans
 
@@ -191,19 +191,23 @@ def splitter(specials: list[bytes]) -> Callable[[np.ndarray, np.ndarray], tuple[
     return split
 
 
+def unit_of(size: int) -> int:
+    """Bytes of an id in a vocabulary of this size."""
+    return 2 if size <= 1 << 16 else 4
+
+
 def write_store(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = END) -> None:
     """Writes the store of `docs` (doc_id, text) below `path`.
 
-    chunks/: (address, payload: ids as little-endian 16-bit integers, 32-bit in vocabularies that need it), each once.
-    recipes/: a row per document in ascending order of doc_id (null first; equal ids by content): part, place,
-    doc_id, n_tokens, addresses, root (Merkle manifest), before (ids of earlier documents of its part).
-    Null and empty texts are the end id alone.
+    chunks/: (address, unit, payload: ids as little-endian integers of `unit` bytes, 2 or, in vocabularies that need
+    it, 4), each once. recipes/: a row per document in ascending order of doc_id (null first; equal ids by content):
+    part, place, doc_id, n_tokens, addresses, root (Merkle manifest), before (ids of earlier documents of its part).
+    Null and empty texts are the end id alone; repeated rows are documents of their own; an empty table gives an empty store.
     """
     spark = docs.sparkSession
     source = vocabulary or public_tokenizers.path(VOCABULARY)
     coder = Tokenizer.from_file(source)
-    wide = coder.get_vocab_size() > 1 << 16
-    kind = "<u4" if wide else "<u2"
+    unit = unit_of(max(coder.get_vocab_size(), end_id + 1))
 
     def finish(rows: pa.Table, ids: list[np.ndarray]) -> pa.Table:
         seen: dict[bytes, bytes] = {}
@@ -212,7 +216,7 @@ def write_store(docs: DataFrame, path: str, vocabulary: str | None = None, end_i
             own = np.append(own, np.uint32(end_id))
             leaves, last = [], 0
             for at in cuts(own):
-                payload = own[last:at].astype(kind).tobytes()
+                payload = own[last:at].astype(f"<u{unit}").tobytes()
                 leaves.append(address(payload))
                 seen.setdefault(leaves[-1], payload)
                 last = at
@@ -220,7 +224,7 @@ def write_store(docs: DataFrame, path: str, vocabulary: str | None = None, end_i
             sizes.append(len(own))
         n, m = len(ids), len(seen)
         return pa.table({
-            "kind": pa.array(["recipe"] * n + ["chunk"] * m),
+            "kind": pa.array(["recipe"] * n + ["chunk"] * m, pa.string()),
             "doc_id": pa.concat_arrays([rows.column("doc_id").combine_chunks(), pa.nulls(m, pa.int64())]),
             "n_tokens": pa.array([*sizes, *[None] * m], pa.int64()),
             "addresses": pa.array([*recipes, *[None] * m], pa.list_(pa.binary())),
@@ -230,15 +234,10 @@ def write_store(docs: DataFrame, path: str, vocabulary: str | None = None, end_i
         })
 
     staged = encode_words(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), splitter(special_strings(coder)), word_encoder(spark, source), finish, "kind string, doc_id long, n_tokens long, addresses array<binary>, root binary, address binary, payload binary")
-    staged.write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/staged")
-    schema = staged.schema
-    # The word shuffles are done with; what the collector drops, Spark deletes from its disks.
-    del staged
-    settle(spark)
-    read = spark.read.schema(schema).parquet(f"{path}/staged")
+    read = materialise(staged, "staged", partitioned_by="kind")
     # A chunk reaches this once per batch that holds it, however many documents share it.
-    chunks = read.where("kind = 'chunk'").select("address", "payload").dropDuplicates(["address"])
-    chunks.write.option("compression", "zstd").parquet(f"{path}/chunks")
+    chunks = read.where("kind = 'chunk'").select("address", F.lit(unit).alias("unit"), "payload").dropDuplicates(["address"])
+    written(chunks, f"{path}/chunks")
 
     def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -254,22 +253,38 @@ def write_store(docs: DataFrame, path: str, vocabulary: str | None = None, end_i
 
     recipes = read.where("kind = 'recipe'").select("doc_id", "n_tokens", "addresses", "root")
     ordered = recipes.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id", "root").sortWithinPartitions("doc_id", "root")
-    ordered.mapInPandas(placed, "part int, place long, doc_id long, n_tokens long, addresses array<binary>, root binary, before long").write.option("compression", "zstd").parquet(f"{path}/recipes")
+    written(ordered.mapInPandas(placed, "part int, place long, doc_id long, n_tokens long, addresses array<binary>, root binary, before long"), f"{path}/recipes")
+    release(read)
+
+
+def _checked(parts: list, root: bytes, n_tokens: int) -> list:
+    """A recipe's chunks in order; an error unless all are there and fit the manifest and the document's length."""
+    parts = sorted(parts, key=lambda p: p["at"])
+    if not all(p["n"] is not None and p["n"] > 0 for p in parts) or merkle_root([bytes(p["address"]) for p in parts]) != bytes(root) or sum(p["n"] for p in parts) != n_tokens:
+        raise ValueError("a recipe does not fit its manifest or misses a chunk")
+    return parts
 
 
-def read_store(spark: SparkSession, path: str, wide: bool = False) -> DataFrame:
+def _with_parts(spark: SparkSession, path: str, chunks: DataFrame) -> DataFrame:
+    """Every recipe with its chunks' columns, also those that are missing, as `parts`."""
+    recipes = spark.read.parquet(f"{path}/recipes")
+    single = recipes.select("part", "place", "doc_id", "n_tokens", "root", "before", F.posexplode_outer("addresses").alias("at", "address")).join(chunks, "address", "left")
+    made = [c for c in chunks.columns if c != "address"]
+    return single.groupBy("part", "place").agg(*(F.first(c).alias(c) for c in ("doc_id", "n_tokens", "root", "before")), F.collect_list(F.struct("at", "address", *made)).alias("parts"))
+
+
+def read_store(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32, root of every document, from the files alone.
 
     Every chunk is read once: its address is recomputed, and its checksum stands for it from then on. Documents
     join their chunks' checksums (a shared chunk is a skewed key that adaptive execution splits), which are
-    combined in order; a wrong or missing chunk, or a Merkle root that doesn't fit, is an error.
+    combined in order; a damaged or missing chunk, a Merkle root or a length that doesn't fit is an error.
     """
-    unit = 4 if wide else 2
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             crc, n = [], []
-            for a, payload in zip(batch.column("address").to_pylist(), batch.column("payload").to_pylist(), strict=True):
+            for a, unit, payload in zip(batch.column("address").to_pylist(), batch.column("unit").to_pylist(), batch.column("payload").to_pylist(), strict=True):
                 if address(payload) != a:
                     raise ValueError(f"chunk {a.hex()} is damaged")
                 ids = np.frombuffer(payload, f"<u{unit}").astype("<u4")
@@ -278,32 +293,49 @@ def read_store(spark: SparkSession, path: str, wide: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("address"), pa.array(crc, pa.int64()), pa.array(n, pa.int64())], names=["address", "crc", "n"])
 
     @F.pandas_udf("long")
-    def combined(parts: pd.Series, addresses: pd.Series, roots: pd.Series) -> pd.Series:
+    def combined(parts: pd.Series, roots: pd.Series, n_tokens: pd.Series) -> pd.Series:
         out = []
-        for ps, own, root in zip(parts, addresses, roots, strict=True):
-            if len(ps) != len(own) or merkle_root(list(own)) != root:
-                raise ValueError("a recipe does not fit its manifest or misses a chunk")
+        for ps, root, n in zip(parts, roots, n_tokens, strict=True):
             crc = 0
-            for p in sorted(ps, key=lambda p: p["at"]):
-                crc = crc_combine(crc, p["crc"], 4 * p["n"])
+            for p in _checked(ps, root, n):
+                crc = crc_combine(crc, int(p["crc"]), 4 * int(p["n"]))
             out.append(crc)
         return pd.Series(out, dtype="int64")
 
     chunks = spark.read.parquet(f"{path}/chunks").mapInArrow(digests, "address binary, crc long, n long")
-    recipes = spark.read.parquet(f"{path}/recipes")
-    single = recipes.select("part", "place", F.posexplode("addresses").alias("at", "address")).join(chunks, "address")
-    parts = single.groupBy("part", "place").agg(F.collect_list(F.struct("at", "crc", "n")).alias("parts"))
-    totals = recipes.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()  # a row per file part
+    totals = spark.read.parquet(f"{path}/recipes").groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()  # a row per file part
     starts, before = [], 0
     for r in totals:
         starts.append((r.part, before))
         before += r.n
     offsets = spark.createDataFrame(starts, "part int, part_start long")
-    joined = recipes.join(parts, ["part", "place"]).join(F.broadcast(offsets), "part")
-    return joined.select("doc_id", (F.col("part_start") + F.col("before")).alias("start"), "n_tokens", combined("parts", "addresses", "root").alias("ids_crc32"), "root")
+    joined = _with_parts(spark, path, chunks).join(F.broadcast(offsets), "part")
+    return joined.select("doc_id", (F.col("part_start") + F.col("before")).alias("start"), "n_tokens", combined("parts", "root", "n_tokens").alias("ids_crc32"), "root")
+
+
+def read_ids(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, ids (array<long>) of every document, put together from its chunks and checked against its manifest."""
+
+    @F.pandas_udf("array<long>")
+    def joined(parts: pd.Series, roots: pd.Series, n_tokens: pd.Series) -> pd.Series:
+        out = []
+        for ps, root, n in zip(parts, roots, n_tokens, strict=True):
+            own = _checked([p | {"n": None if p["payload"] is None else len(p["payload"]) // int(p["unit"])} for p in ps], root, n)
+            if any(address(p["payload"]) != bytes(p["address"]) for p in own):
+                raise ValueError("a chunk is damaged")
+            out.append(np.concatenate([np.frombuffer(p["payload"], f"<u{int(p['unit'])}").astype(np.int64) for p in own]))
+        return pd.Series(out, dtype=object)
+
+    return _with_parts(spark, path, spark.read.parquet(f"{path}/chunks")).select("doc_id", joined("parts", "root", "n_tokens").alias("ids"))
 
 
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of all `documents`, read back from a new store in the shared folder.
+
+    Null, empty and blank texts are the end id alone; repeated ids are documents of their own, in an order by content;
+    null ids come first; very long texts are batches of their own; other columns are not stored; an empty table
+    gives an empty result.
+    """
     path = shared_path(spark, "token-store")
     write_store(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
     return read_store(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")

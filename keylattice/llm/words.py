@@ -16,11 +16,12 @@ from itertools import chain, count
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from keylattice.llm.textbuf import Hashes, pieces, trim
 
@@ -107,37 +108,51 @@ def encode_words(docs: DataFrame, split: Splitter, encoder: Encoder, finish: Cal
     """finish(rows, ids of each row) of all batches of `docs`, where ids are the codes of a row's words in order.
 
     split: texts (bytes and offsets) to distinct words and rows of word numbers; encoder: makes, in a task, the function that encodes a
-    list of distinct words. Rows reach `finish` with all their columns but the text. The documents are read twice, and
-    a batch is named by a hash of its texts; a source that gives other batches the second time is refused.
+    list of distinct words. Rows reach `finish` with all their columns but the text, whatever their names.
+
+    Texts are read and split once. One exchange carries both kinds of rows by `key`: a batch's word numbers and other columns under
+    the batch's name (its partition and number, from 0 up), and word lists under their bucket (from -1 down). Both
+    readers, the encoder and the assembly, take the same exchange. A batch also carries a checksum of its texts: should a lost
+    task be run again over rows in another order, the assembly refuses what no longer belongs together.
     """
     spark = docs.sparkSession
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     at = docs.columns.index("text")
-    rest = [c for c in docs.columns if c != "text"]
+    rest = [i for i in range(len(docs.columns)) if i != at]
+    rest_names = [docs.columns[i] for i in rest]
+    # Columns go by place: other columns may have any name, also one of ours.
+    held = docs.select(F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("batch"), F.lit(0).cast("long").alias("check"), F.array().cast("array<string>").alias("words"), F.lit(b"").alias("numbers"), *(F.col(f"`{docs.columns[i]}`").alias(f"c{i}") for i in rest))
+    schema = StructType([StructField(f.name, f.dataType) for f in held.schema.fields])
+
+    def split_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, list[str], list[np.ndarray]]]:
+        place = count(TaskContext.get().partitionId() << 32)
         for batch in batches:
             for part, data, offsets in pieces(batch, batch.schema.names[at], BATCH_BYTES):
-                name = xxhash.xxh64(data.tobytes() + offsets.tobytes()).intdigest() - 2**63
-                yield part, name, *split(data, offsets)
-
-    def word_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, name, words, _ in local(batches):
-            bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in words), np.int64, len(words))
-            order = np.argsort(bucket, kind="stable")
-            ends = np.searchsorted(bucket[order], np.arange(buckets), "right")
-            used = np.flatnonzero(np.diff(ends, prepend=0))
-            runs = [order[ends[b - 1] if b else 0 : ends[b]] for b in used]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([name] * len(used), pa.int64()), pa.array(used, pa.int32()), pa.array([[words[i] for i in r] for r in runs], pa.list_(pa.string())), pa.array([pack(r) for r in runs], pa.binary())],
-                names=["batch", "bucket", "words", "places"],
-            )
+                name, check = next(place), xxhash.xxh64(data.tobytes() + offsets.tobytes()).intdigest() - 2**63
+                words, rows = split(data, offsets)
+                n = part.num_rows
+                kept = [part.column(i) for i in rest]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.int64()), pa.array([name] * n, pa.int64()), pa.array([check] * n, pa.int64()), pa.nulls(n, pa.list_(pa.string())), pa.array([pack(r) for r in rows], pa.binary()), *kept], names=schema.names)
+                bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in words), np.int64, len(words))
+                order = np.argsort(bucket, kind="stable")
+                ends = np.searchsorted(bucket[order], np.arange(buckets), "right")
+                used = np.flatnonzero(np.diff(ends, prepend=0))
+                runs = [order[ends[b - 1] if b else 0 : ends[b]] for b in used]
+                n = len(used)
+                lists = pa.array([[words[i] for i in r] for r in runs], pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([pa.array(-1 - used, pa.int64()), pa.array([name] * n, pa.int64()), pa.array([check] * n, pa.int64()), lists, pa.array([pack(r) for r in runs], pa.binary()), *(pa.nulls(n, c.type) for c in kept)], names=schema.names)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, known, current = encoder(), {}, None
+        encode, known, current = None, {}, None
         for batch in batches:
-            names, sizes, codes = [], [], []
-            for b, words in zip(batch.column("bucket").to_pylist(), batch.column("words").to_pylist(), strict=True):
+            batch = batch.select([0, 1, 2, 3, 4]).filter(pc.less(batch.column(0), 0))
+            if not batch.num_rows:
+                continue
+            encode = encode or encoder()
+            sizes, codes = [], []
+            for b, words in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if b != current:  # rows come in the order of buckets
                     current, known = b, {}
                 new = [w for w in words if w not in known]
@@ -145,36 +160,35 @@ def encode_words(docs: DataFrame, split: Splitter, encoder: Encoder, finish: Cal
                 mine = [known[w] for w in words]
                 sizes.append(pack(np.fromiter(map(len, mine), np.int64, len(mine))))
                 codes.append(pack(np.fromiter(chain.from_iterable(mine), np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("batch"), batch.column("places"), pa.array(sizes, pa.binary()), pa.array(codes, pa.binary())], names=["batch", "places", "sizes", "codes"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(4), pa.array(sizes, pa.binary()), pa.array(codes, pa.binary())], names=["key", "check", "places", "sizes", "codes"])
         del known
         trim()
 
-    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, name, _, rows in local(batches):
-            kept = [c for i, c in enumerate(part.columns) if i != at]
-            yield pa.RecordBatch.from_arrays([pa.array([name] * part.num_rows, pa.int64()), pa.array([pack(r) for r in rows], pa.binary()), *kept], names=["_batch", "_row", *rest])
-
     def assembled(left: pa.Table, right: pa.Table) -> pa.Table:
-        places = [unpack(p) for p in right.column("places").to_pylist()]
-        sizes = [unpack(p) for p in right.column("sizes").to_pylist()]
-        codes = np.concatenate([np.zeros(0, np.uint32), *(unpack(p) for p in right.column("codes").to_pylist())])
+        left = left.filter(pc.greater_equal(left.column(0), 0))
+        kept = left.select(list(range(5, left.num_columns))).rename_columns(rest_names)
+        if not left.num_rows:  # the word lists of a bucket
+            return finish(kept, [])
+        if len({*left.column(2).to_pylist(), *right.column(1).to_pylist()}) > 1:
+            raise ValueError("the documents came in another order when a task was run again; write them to a table first")
+        places = [unpack(p) for p in right.column(2).to_pylist()]
+        sizes = [unpack(p) for p in right.column(3).to_pylist()]
+        codes = np.concatenate([np.zeros(0, np.uint32), *(unpack(p) for p in right.column(4).to_pylist())])
         n = 1 + max((int(p.max()) for p in places if len(p)), default=-1)
         size, start, known = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
         if places:
             place, each = np.concatenate(places), np.concatenate(sizes).astype(np.int64)
             size[place], start[place], known[place] = each, np.cumsum(each) - each, True
         ids = []
-        for r in left.column("_row").to_pylist():
+        for r in left.column(4).to_pylist():
             row = unpack(r)
             if len(row) and (row.max() >= n or not known[row].all()):
-                raise ValueError("the documents were not the same when they were read again; write them to a table first")
+                raise ValueError("words of a batch are missing")
             ids.append(codes[ragged(start[row], size[row])])
-        out = finish(left.drop_columns(["_batch", "_row"]), ids)
+        out = finish(kept, ids)
         trim()
         return out
 
-    lists = docs.mapInArrow(word_lists, "batch long, bucket int, words array<string>, places binary")
-    coded = lists.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(encoded, "batch long, places binary, sizes binary, codes binary")
-    kept = docs.select(F.lit(0).cast("long").alias("_batch"), F.lit(None).cast("binary").alias("_row"), *rest).schema
-    rows = docs.mapInArrow(documents, kept)
-    return rows.groupBy("_batch").cogroup(coded.groupBy("batch")).applyInArrow(assembled, out_schema)
+    dealt = docs.mapInArrow(split_once, schema).repartition("key")
+    coded = dealt.sortWithinPartitions("key").mapInArrow(encoded, "key long, check long, places binary, sizes binary, codes binary")
+    return dealt.groupBy("key").cogroup(coded.groupBy("key")).applyInArrow(assembled, out_schema)

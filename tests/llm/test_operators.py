@@ -172,7 +172,6 @@ def test_token_store(spark, odd):
     path = token_store.shared_path(spark, "store-test")
     token_store.write_store(odd, path)
     coder = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    coder.encode_special_tokens = True
     got = {r.doc_id: r for r in token_store.read_store(spark, path).collect()}
     at = 0
     for i, t in enumerate(TEXTS):
@@ -195,6 +194,43 @@ def test_token_store_keeps_special_strings(spark):
         assert got[i] == (len(ids), zlib.crc32(ids.tobytes())), t
 
 
+def test_token_store_gives_ids_back_and_misses_nothing(spark, odd):
+    path = token_store.shared_path(spark, "store-ids")
+    long = " ".join(f"w{i}" for i in range(20_000))
+    docs = odd.select("doc_id", "text").unionByName(spark.createDataFrame([(50, long), (51, "a b"), (51, "c"), (None, "d"), (52, long + " x")], "doc_id long, text string"))
+    token_store.write_store(docs, path)
+    coder = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = sorted((str(r.doc_id), [*coder.encode(r.text or "", add_special_tokens=False).ids, 1]) for r in docs.collect())
+    assert sorted((str(r.doc_id), r.ids) for r in token_store.read_ids(spark, path).collect()) == want
+    chunks = spark.read.parquet(f"{path}/chunks").toPandas()
+    recipes = spark.read.parquet(f"{path}/recipes")
+    assert chunks.address.map(bytes).is_unique and len(chunks) < recipes.select(F.sum(F.size("addresses"))).first()[0]
+    for what in ("missing", "damaged"):
+        other = token_store.shared_path(spark, f"store-{what}")
+        recipes.write.parquet(f"{other}/recipes")
+        odd_chunks = chunks.iloc[1:] if what == "missing" else chunks.assign(payload=[bytes(p) if i else b"xx" + bytes(p)[2:] for i, p in enumerate(chunks.payload)])
+        spark.createDataFrame(odd_chunks, "address binary, unit int, payload binary").write.parquet(f"{other}/chunks")
+        for read in (token_store.read_store, token_store.read_ids):
+            with pytest.raises(Exception, match="chunk"):
+                read(spark, other).collect()
+    assert token_store.unit_of(1 << 16) == 2 and token_store.unit_of((1 << 16) + 1) == 4
+
+
+def test_token_store_and_bpe_of_nothing(spark, odd):
+    none = odd.limit(0)
+    path = token_store.shared_path(spark, "store-none")
+    token_store.write_store(none, path)
+    assert token_store.read_store(spark, path).count() == 0
+    assert bpe.encode_documents(none, tokens=True).collect() == []
+
+
+def test_words_keep_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(i % 3, "a b c" if i % 2 else "", i, "x", f"n{i}") for i in range(40)], "doc_id long, text string, key long, check string, c0 string").repartition(3)
+    got = bpe.encode_documents(docs)
+    assert got.columns == ["doc_id", "key", "check", "c0", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert sorted((r.key, r.doc_id, r.check, r.c0, r.n_tokens) for r in got.collect()) == [(i, i % 3, "x", f"n{i}", 3 * (i % 2)) for i in range(40)]
+
+
 def test_chunks_follow_content():
     ids = np.random.default_rng(4).integers(0, 40_000, 20_000)
     a, b = token_store.cuts(ids), token_store.cuts(np.concatenate([[7] * 333, ids]))
