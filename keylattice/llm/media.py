@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keylattice.llm.common import shared_path, table
+from keylattice.llm.common import shared_path, table, written
 
 UNIT = 64
 #: Last coefficient of the low band.
 LOW = 5
-#: MCUs in a row of the picture.
+#: MCUs in a row of the picture, at most, but for pictures of over 4000 rows.
 WIDTH = 32
 
 # The zigzag order of the JPEG standard, by rule: anti-diagonals of alternating direction.
@@ -80,9 +80,12 @@ def _values_of(words: np.ndarray) -> np.ndarray:
 
 AC_VALUE, DC_VALUE = _values_of(AC_BYTE), _values_of(DC_BYTE)
 
-# Payload bytes as coefficients: 0 to 127 as they are, the rest negative. -1 and -128, which need the slow way in some
-# scan, stand for 0xC1 and 0xC0, which UTF-8 never holds.
+# Payload bytes as coefficients: 2 to 127 as they are, those from 128 negative. -1, -128, 0 and 1, which need the slow way
+# in some scan, stand for 0xC1, 0xC0, 0xFF and 0xFE, which UTF-8 never holds; 0 and 1 have the places of the latter two.
 TO_COEFFICIENT = np.array([b if b < 128 else -1 - (b - 0xC1) % 128 for b in range(256)], np.int16)
+TO_COEFFICIENT[[0x00, 0x01, 0xFF, 0xFE]] = TO_COEFFICIENT[[0xFF, 0xFE, 0x00, 0x01]]
+#: Coefficients of blocks that only fill the picture up.
+FILL = 2
 TO_BYTE = np.zeros(257, np.uint8)
 TO_BYTE[TO_COEFFICIENT + 128] = np.arange(256)
 
@@ -314,8 +317,8 @@ def _head() -> bytes:
 def geometry(blocks: int) -> tuple[int, int]:
     """MCUs in a row, and rows, of the picture that holds so many blocks; an MCU has four of Y, one of Cb, one of Cr."""
     units = max(1, -(-blocks // 6))
-    width = min(units, max(WIDTH, -(-units // 4000)))
-    return width, -(-units // width)
+    height = -(-units // max(WIDTH, -(-units // 4000)))
+    return -(-units // height), height
 
 
 def payload_of(text: bytes) -> bytes:
@@ -326,7 +329,7 @@ def encode_jpeg(payload: bytes) -> bytes:
     """A progressive JPEG with the payload's bytes as coefficients; a comment segment holds the payload's length."""
     blocks = np.frombuffer(payload, np.uint8).reshape(-1, UNIT)
     w, h = geometry(len(blocks))
-    c = np.zeros((w * h * 6, UNIT), np.int16)
+    c = np.full((w * h * 6, UNIT), FILL, np.int16)
     c[: len(blocks)] = TO_COEFFICIENT[blocks]
     n = w * h
     out = [_head(), _segment(0xFE, struct.pack(">Q", len(payload))), _segment(0xC2, struct.pack(">BHHB", 8, 16 * h, 16 * w, 3) + bytes([1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0]))]
@@ -440,18 +443,21 @@ def store_media(docs: DataFrame, path: str) -> None:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array([encode_jpeg(payload_of(t)) for t in texts], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     rows = docs.select("doc_id", "text")
-    rows.mapInArrow(stored, rows.select("doc_id", F.lit(0).cast("long").alias("n_bytes"), F.lit(b"").alias("media")).schema).write.option("compression", "zstd").parquet(path)
+    written(rows.mapInArrow(stored, rows.select("doc_id", F.lit(0).cast("long").alias("n_bytes"), F.lit(b"").alias("media")).schema), path)
 
 
 #: Tensors that are in memory at once, as one batch.
 TENSOR_ROWS = 256
 
-NAMES = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "height", "width", "rgb"]
+MADE = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, height int, width int, rgb binary"
 
 
-def store_tensors(spark: SparkSession, path: str, to: str) -> None:
-    """Decodes the stored pictures and writes what they hold: payload and media digests, height, width and the
-    full-resolution RGB bytes of every document."""
+def read_media(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id and n_bytes of every stored picture, and what its bytes hold: payload and media digests, the feature, and
+    the full-resolution RGB tensor (height, width, rgb: height x width x 3 bytes), of which the feature is made.
+
+    The tensor is a media column of the table that is returned: whoever writes that table stores it.
+    """
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -461,36 +467,23 @@ def store_tensors(spark: SparkSession, path: str, to: str) -> None:
                 for media in batch.column("media").to_pylist():
                     parts, factors, size, steps, comment = decode_jpeg(media)
                     payload, rgb = payload_from(parts, comment), rgb_tensor(parts, factors, size, steps)
-                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), rgb.shape[0], rgb.shape[1], rgb.tobytes()))
-                cols = list(zip(*rows, strict=True))
-                kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=NAMES)
+                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(rgb), rgb.shape[0], rgb.shape[1], rgb.tobytes()))
+                cols = zip(*rows, strict=True)
+                kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "n_bytes", *names])
 
+    names = [c.split()[0] for c in MADE.split(", ")]
     media = spark.read.parquet(path)
-    id_type = media.schema["doc_id"].dataType.simpleString()
-    out = media.mapInArrow(decoded, f"doc_id {id_type}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, height int, width int, rgb binary")
-    out.write.option("compression", "zstd").parquet(to)
-
-
-def read_media(spark: SparkSession, path: str, tensors: bool = False) -> DataFrame:
-    """Payload digests, media digests and features of the stored pictures, with `rgb` (height, width and the
-    full-resolution RGB bytes) on request. The tensors are stored in a table of their own; features are read from there."""
-    to = shared_path(spark, "tensors")
-    store_tensors(spark, path, to)
-
-    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            size = zip(batch.column("rgb"), batch.column("height").to_pylist(), batch.column("width").to_pylist(), strict=True)
-            features = pa.array([feature_of(np.frombuffer(b.as_buffer(), np.uint8).reshape(h, w, 3)) for b, h, w in size], pa.string())
-            kept = [batch.column(c) for c in NAMES] if tensors else [batch.column(c) for c in NAMES[:7]]
-            yield pa.RecordBatch.from_arrays([*kept[:7], features, *kept[7:]], names=[*NAMES[:7], "feature", *(NAMES[7:] if tensors else [])])
-
-    stored = spark.read.parquet(to).select(*NAMES)
-    made = [*NAMES[:7], F.lit("").alias("feature"), *(NAMES[7:] if tensors else [])]
-    return stored.mapInArrow(featured, stored.select(*made).schema)
+    return media.mapInArrow(decoded, f"doc_id {media.schema['doc_id'].dataType.simpleString()}, n_bytes long, {MADE}")
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digests, features and RGB tensors of all `documents`, from progressive JPEGs in a new table of the shared folder.
+
+    Null and empty texts are a payload of 64 zero bytes; null and repeated ids stay, a row each; equal texts have equal values;
+    a very long text is one picture, with rows of more MCUs from 4,000 rows up; other columns are not read; an empty table
+    gives an empty result.
+    """
     path = shared_path(spark, "media")
     store_media(table(spark, sf_dir, "documents"), path)
     return read_media(spark, path)
