@@ -167,7 +167,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS,
     named score or predicted are replaced. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(train(labelled_sample(docs, labels, "quality", id_bucket("doc_id", 5) != 0, max_docs, max_chars, positive=0)))
+    model = spark.sparkContext.broadcast(train(labelled_sample(docs, labels, "quality", id_bucket("doc_id", 5) != 0, max_docs, max_chars, positive=0)[0]))
     base = docs.drop("score", "predicted")
     at = base.columns.index("text")
     schema = F.struct(*base.columns, F.lit(0.0).alias("score"))

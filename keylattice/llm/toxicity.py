@@ -15,7 +15,9 @@ from keylattice.llm.textbuf import LOWER, Hashes, pieces, spans, trim
 from keylattice.llm.words import ragged
 
 #: Training bounds: labelled examples, and characters of an example. Every document is scored whole.
-MAX_EXAMPLES, MAX_CHARS = 6000, 40_000
+MAX_EXAMPLES, MAX_CHARS = 3000, 20_000
+#: Examples of each class that the calibration is fitted on, each scored without itself.
+FOLD = 400
 NEIGHBOURS, BLOCK = 8, 64
 #: Terms in at least one of COMMON examples are kept as a dense matrix; MARGIN covers its single precision.
 COMMON, MARGIN = 20, 1e-4
@@ -28,7 +30,7 @@ _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 _LETTER[128:] = True
 #: A word also counts by its leading bytes, which stand for inflected forms.
-PREFIXES = (4, 5, 6, 8)
+PREFIXES = (3, 5, 7)
 
 
 def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -43,16 +45,31 @@ def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(out), np.concatenate(of)
 
 
+def telling(df: np.ndarray, df_bad: np.ndarray, n: int, bad: int) -> np.ndarray:
+    """Factor of a term's IDF: FLOOR, and the root of its log-likelihood ratio (of presence against class, over n examples,
+    `bad` of them toxic) where toxic examples have it more often."""
+    ratio = np.zeros(len(df))
+    for seen, of, here in ((df_bad, bad, df), (df - df_bad, n - bad, df), (bad - df_bad, bad, n - df), (n - bad - df + df_bad, n - bad, n - df)):
+        expected = of * here / max(n, 1)
+        ratio += np.where(seen > 0, seen * np.log(np.maximum(seen, 0.5) / np.maximum(expected, 1e-9)), 0)
+    return FLOOR + np.where(df_bad * n > df * bad, np.sqrt(np.maximum(2 * ratio, 0)), 0)
+
+
 class BlockMaxIndex:
     """Postings of all terms of all examples over blocks of BLOCK examples, with each block's largest weight of each term.
 
-    A term weighs its IDF times FLOOR plus the square of its standardised log ratio of toxic to other examples, where
-    that is positive. No term is dropped.
+    A term weighs its IDF times `telling`, which is never 0: no term is dropped.
     """
 
-    def __init__(self, sample: list[tuple[int, str, int]], neighbours: int = NEIGHBOURS):
+    def __init__(self, sample: list[tuple[int, str, int]], neighbours: int = NEIGHBOURS, prior: float | None = None):
+        """prior: share of toxic rows among all labelled training rows; by default that of the sample."""
         self.k = neighbours
         labels = np.array([y for _, _, y in sample], dtype=np.int64)
+        share = float(labels.mean()) if len(labels) else 0.0
+        self.prior = share if prior is None or share in (0.0, 1.0) else prior
+        # The sample has more toxic rows than the labels: votes count as if it had as many.
+        self.odds = np.array([(1 - self.prior) / (1 - share), self.prior / share]) if 0 < share < 1 else np.ones(2)
+        self.slope, self.offset = 1.0, 0.0
         found = [(np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32))]
         for at in range(0, len(sample), 100):
             encoded = [t.encode() for _, t, _ in sample[at : at + 100]]
@@ -73,16 +90,15 @@ class BlockMaxIndex:
         df = np.diff(self.post_start)
         del hashes, order
         df_bad = np.add.reduceat(labels[row], start) if len(start) else df
-        ratio = np.log((df_bad + 0.5) / (bad + 1) / ((df - df_bad + 0.5) / (n - bad + 1)))
-        tells = np.maximum(ratio, 0) / np.sqrt(1 / (df_bad + 0.5) + 1 / (df - df_bad + 0.5))
-        self.idf = (np.log((1 + n) / (1 + df)) + 1) * (FLOOR + tells**2)
+        self.idf = (np.log((1 + n) / (1 + df)) + 1) * telling(df, df_bad, n, bad)
         term = np.repeat(np.arange(len(self.word), dtype=np.int32), df)
         weight = (1 + np.log(counts)) * self.idf[term]
         weight /= np.sqrt(np.bincount(row, weight**2, n))[row]
         some = np.zeros(n, bool)
         some[row] = True
         # Documents without any term are all alike: their score is their share of toxic examples.
-        self.base = (labels[~some].sum() + 0.5) / ((~some).sum() + 10)
+        alike = np.bincount(labels[~some], minlength=2) * self.odds
+        self.base = float((alike[1] + 10 * self.prior) / (alike.sum() + 10))
         # Similar examples share a block, so that block maxima are tight: they go by their heaviest term.
         lead = np.full(n, len(self.word))
         order = np.argsort(weight, kind="stable")
@@ -146,7 +162,7 @@ class BlockMaxIndex:
         q[row[some], column[some]] = weight[some]
         return q @ self.matrix
 
-    def nearest(self, term: np.ndarray, weight: np.ndarray, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, term: np.ndarray, weight: np.ndarray, known: np.ndarray | None = None, k: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of highest cosine, exactly: from what common terms make, only blocks whose upper bound reaches
         the k-th best are searched, and what may be among the k best is scored again in double precision.
 
@@ -154,8 +170,9 @@ class BlockMaxIndex:
         """
         if not self.size:
             return np.zeros(0), np.zeros(0, np.int64)
+        k = k or self.k
         score = (self.common(np.zeros(len(term), np.int64), term, weight, 1)[0] if known is None else known).astype(np.float64)
-        at = max(len(score) - self.k, 0)
+        at = max(len(score) - k, 0)
         first, n = self.term_run[term], self.term_run[term + 1] - self.term_run[term]
         run, of = ragged(first, n), np.repeat(weight, n)
         block = self.run_block[run]
@@ -170,11 +187,46 @@ class BlockMaxIndex:
         own = ragged(start, sizes)
         exact = np.bincount(np.repeat(np.arange(len(near)), sizes), self.query[self.example_term[own]] * self.example_weight[own], len(near))
         self.query[term] = 0
-        top = np.lexsort((near, -exact))[: self.k]
+        top = np.lexsort((near, -exact))[:k]
         return exact[top], near[top]
 
+    def vote(self, score: np.ndarray, near: np.ndarray) -> float:
+        """Share of toxic among the neighbours, weighted by nearness and drawn to the prior."""
+        vote = self.odds[self.labels[near]] / (1.05 - np.minimum(score, 1))
+        return float((vote @ self.labels[near] + self.prior) / (vote.sum() + 1))
+
+    def calibrated(self, vote: float) -> float:
+        """The vote as a probability: a logistic function of its log odds."""
+        odds = np.log(max(vote, 1e-6) / max(1 - vote, 1e-6))
+        return float(1 / (1 + np.exp(-np.clip(self.slope * odds + self.offset, -30, 30))))
+
+    def calibrate(self, fold: int = FOLD) -> None:
+        """Fits the logistic function on examples that are scored by their neighbours without themselves."""
+        if not self.size or self.labels[: self.size].min() == self.labels[: self.size].max():
+            return
+        self.derive()
+        x, y = [], []
+        for label in (0, 1):
+            own = np.flatnonzero(self.labels[: self.size] == label)
+            for j in own[:: max(1, -(-len(own) // fold))]:
+                at = slice(*self.example_start[j : j + 2])
+                score, near = self.nearest(self.example_term[at], self.example_weight[at].astype(np.float64), k=self.k + 1)
+                keep = np.flatnonzero(near != j)[: self.k]
+                x.append(np.log((v := min(max(self.vote(score[keep], near[keep]), 1e-6), 1 - 1e-6)) / (1 - v)))
+                y.append(label)
+        x, y = np.array(x), np.array(y, dtype=float)
+        weight = np.where(y == 1, self.prior / max(y.mean(), 1e-9), (1 - self.prior) / max(1 - y.mean(), 1e-9))
+        a, b = 1.0, 0.0
+        for _ in range(50):  # Newton steps, drawn a little to the identity
+            p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
+            g = np.array([(weight * (p - y) * x).sum() + (a - 1), (weight * (p - y)).sum() + b])
+            h = weight * p * (1 - p)
+            step = np.linalg.solve(np.array([[(h * x * x).sum() + 1, (h * x).sum()], [(h * x).sum(), h.sum() + 1]]), g)
+            a, b = a - np.clip(step[0], -1, 1), b - np.clip(step[1], -1, 1)
+        self.slope, self.offset = float(max(a, 0.1)), float(b)
+
     def documents(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[list[dict]]]:
-        """Score and evidence of every row: distance-weighted votes of its neighbours, drawn to the base share."""
+        """Score and evidence of every row: its neighbours' calibrated vote; `base` without a neighbour."""
         n = len(offsets) - 1
         score, evidence = np.full(n, self.base), [[] for _ in range(n)]
         if not self.size:
@@ -190,8 +242,7 @@ class BlockMaxIndex:
                 known = self.common(np.searchsorted(row[starts], row[group]) - k, term[group], weight[group], min(BLOCK, len(starts) - k))
             s, i = self.nearest(term[lo:hi], weight[lo:hi], known[k % BLOCK])
             if len(s):
-                vote = 1 / (1.05 - np.minimum(s, 1))
-                score[row[lo]] = (vote @ self.labels[i] + self.base) / (vote.sum() + 1)
+                score[row[lo]] = self.calibrated(self.vote(s, i))
                 evidence[row[lo]] = [{"example": int(self.ids[j]), "similarity": float(c), "label": int(self.labels[j])} for c, j in zip(s, i, strict=True)]
         return score, evidence
 
@@ -200,14 +251,20 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_E
     """`docs` (doc_id, text, ...) with score (0 to 1, higher: toxic likelier), predicted and evidence.
 
     Examples are a bounded sample of labelled rows outside the held-out fold (crc32(doc_id) mod 4 = 2), both classes
-    with all their terms. Evidence lists the neighbours: example id, cosine and label. All whole texts are scored, in
-    one pass without a shuffle. Texts without a term of any example, null and empty ones too, get the share of toxic
-    examples among examples without terms. Rows may repeat;
+    with all their terms. Evidence lists the neighbours: example id, cosine and label. The score is the neighbours'
+    vote, weighted by nearness and by the share of each class among all labels, and calibrated on examples that are
+    scored without themselves. All whole texts are scored, in one pass without a shuffle; a very long one is a piece of its
+    own. Texts without a term of any example, null and empty ones too, get the share of toxic examples among examples
+    without terms, drawn to that of all labels; without any label the score is 0. Ties among neighbours go by their
+    place in the index. Rows may repeat and ids be null; an empty table gives an empty result;
     other columns stay, but columns named score, predicted or evidence are replaced.
     """
     spark = docs.sparkSession
-    sample = labelled_sample(docs, labels, "toxic", id_bucket("doc_id", 4) != 2, max_examples, max_chars, share=1 / 3)
-    index = spark.sparkContext.broadcast(BlockMaxIndex(sample))
+    sample, prior = labelled_sample(docs, labels, "toxic", id_bucket("doc_id", 4) != 2, max_examples, max_chars, share=1 / 3)
+    made = BlockMaxIndex(sample, prior=prior)
+    made.calibrate()
+    index = spark.sparkContext.broadcast(made)
+    del made
     del sample
     trim()
     base = docs.drop("score", "predicted", "evidence")
@@ -227,5 +284,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_E
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of all `documents`; null, empty, very long and repeated texts as in `score_toxicity`."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return score_toxicity(docs, table(spark, sf_dir, "labels")).select("doc_id", (id_bucket("doc_id", 4) == 2).alias("held_out"), "score", "predicted")

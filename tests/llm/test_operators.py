@@ -89,43 +89,88 @@ def test_toxic_neighbours_are_exact():
         assert np.allclose(s, scores[want])
 
 
-def test_toxicity_uses_all_terms_of_whole_texts():
-    rng = random.Random(9)
-    vocabulary = [f"{a}{b}word" for a in "abcdefghij" for b in "klmnopqrst"]
-    texts = [" ".join(rng.choices(vocabulary, k=rng.randint(3, 60))) + f" only{'xyzw'[i % 4]}{chr(97 + i % 26)}" for i in range(400)]
-    index = toxicity.BlockMaxIndex([(i, t, int(i % 5 == 0)) for i, t in enumerate(texts)])
-    assert index.size == len(texts) and set(index.labels) == {0, 1}
+def _tfidf_by_hand(sample):
+    """Unit vectors of (text, toxic) examples, and a function that makes one of any text, term by term."""
 
-    def vector(text):
+    def counted(text):
         counts = {}
-        for w in re.findall("[a-z]+", text):
+        for w in re.findall(rb"[a-z\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode())):
             for t in [w, *((n, w[:n]) for n in toxicity.PREFIXES if len(w) > n)]:
                 counts[t] = counts.get(t, 0) + 1
         return counts
 
-    found = [vector(t) for t in texts]
-    df = {t: [sum(t in v for v in found[::5]), sum(t in v for v in found)] for t in set().union(*found)}
-    assert len(index.word) == len(df)
-
-    def weighed(v):
-        out = {}
-        for t, c in v.items():
-            if t in df:
-                bad, n = df[t]
-                z = max(0, np.log((bad + 0.5) / 81 / ((n - bad + 0.5) / 321))) / np.sqrt(1 / (bad + 0.5) + 1 / (n - bad + 0.5))
-                out[t] = (1 + np.log(c)) * (np.log(401 / (1 + n)) + 1) * (toxicity.FLOOR + z * z)
+    found = [counted(t) for t, _ in sample]
+    n, bad = len(sample), sum(y for _, y in sample)
+    df = {}
+    for v, (_, y) in zip(found, sample, strict=True):
+        for t in v:
+            df.setdefault(t, [0, 0])[y] += 1
+
+    def weight(t):
+        good, toxic = df[t]
+        table = [(toxic, bad, good + toxic), (good, n - bad, good + toxic), (bad - toxic, bad, n - good - toxic), (n - bad - good, n - bad, n - good - toxic)]
+        g = 2 * sum(o * np.log(o * n / (row * col)) for o, row, col in table if o)
+        return (np.log((1 + n) / (1 + good + toxic)) + 1) * (toxicity.FLOOR + (np.sqrt(max(g, 0)) if toxic * n > (good + toxic) * bad else 0))
+
+    weights = {t: weight(t) for t in df}
+
+    def vector(counts):
+        out = {t: (1 + np.log(c)) * weights[t] for t, c in counts.items() if t in weights}
         length = np.sqrt(sum(x * x for x in out.values()))
         return {t: x / length for t, x in out.items()}
 
-    examples = [weighed(v) for v in found]
+    return [vector(v) for v in found], lambda text: vector(counted(text)), len(df)
+
+
+def _check_evidence(index, examples, vector, texts, got):
+    place = {int(i): k for k, i in enumerate(index)}
+    for text, evidence in zip(texts, got, strict=True):
+        mine = vector(text)
+        scores = np.array([sum(x * e.get(t, 0) for t, x in mine.items()) for e in examples])
+        want = np.sort(scores[scores > 0])[::-1][: toxicity.NEIGHBOURS]
+        assert np.allclose([g["similarity"] for g in evidence], want, atol=1e-6)
+        assert np.allclose([g["similarity"] for g in evidence], scores[[place[g["example"]] for g in evidence]], atol=1e-6)
+
+
+def test_toxicity_uses_all_terms_of_whole_texts():
+    rng = random.Random(9)
+    vocabulary = [f"{a}{b}word" for a in "abcdefghij" for b in "klmnopqrst"]
+    texts = [" ".join(rng.choices(vocabulary, k=rng.randint(3, 60))) + f" only{'xyzw'[i % 4]}{chr(97 + i % 26)}" for i in range(400)]
+    sample = [(t, int(i % 5 == 0)) for i, t in enumerate(texts)]
+    index = toxicity.BlockMaxIndex([(i, t, y) for i, (t, y) in enumerate(sample)])
+    assert index.size == len(texts) and set(index.labels) == {0, 1}
+    examples, vector, terms = _tfidf_by_hand(sample)
+    assert len(index.word) == terms
     queries = ["akword", "zzz akword blword " * 3, "ONLYXA", *texts[::40]]
     data = [q.encode() for q in queries]
     _, evidence = index.documents(np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(d) for d in data])]).astype(np.int64))
-    for q, got in zip(queries, evidence, strict=True):
-        mine = weighed(vector(q.lower()))
-        scores = np.array([sum(x * e.get(t, 0) for t, x in mine.items()) for e in examples])
-        assert np.allclose([g["similarity"] for g in got], np.sort(scores)[::-1][: index.k], atol=1e-6)
-        assert np.allclose([g["similarity"] for g in got], scores[[g["example"] for g in got]], atol=1e-6)
+    _check_evidence(range(400), examples, vector, queries, evidence)
+
+
+def test_toxicity_query_equals_brute_force(spark):
+    docs, labels = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{DIR}/labels.parquet")
+    label = {r.doc_id: r.toxic for r in labels.collect() if r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2}
+    sample = sorted((r.doc_id, r.text, label[r.doc_id]) for r in docs.collect() if r.doc_id in label and r.text is not None and len(r.text) <= toxicity.MAX_CHARS)
+    examples, vector, _ = _tfidf_by_hand([(t, y) for _, t, y in sample])
+    rows = toxicity.score_toxicity(docs, labels).collect()
+    held = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
+    assert sum(bool(r.evidence) for r in held) > len(held) // 2
+    _check_evidence([i for i, _, _ in sample], examples, vector, [r.text for r in rows[::5]], [r.evidence for r in rows[::5]])
+    query = {r.doc_id: r for r in toxicity.op5_toxicity(spark, DIR).collect()}
+    assert len(query) == len(rows)
+    assert all(abs(query[r.doc_id].score - r.score) < 1e-9 and query[r.doc_id].predicted == (r.score >= 0.3) and query[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
+
+
+def test_toxicity_votes_are_calibrated():
+    rng = random.Random(10)
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(200)]
+    sample = [(i, " ".join([*rng.choices(words, k=30), *["idiot", "clown"][: i % 3 == 0 and 2]]), int(i % 3 == 0)) for i in range(600)]
+    index = toxicity.BlockMaxIndex(sample, prior=0.1)
+    index.calibrate()
+    assert index.slope > 0 and index.calibrated(0.01) < index.calibrated(0.5) < index.calibrated(0.99)
+    texts = [" ".join(rng.choices(words, k=30)).encode() for _ in range(100)] + [(" ".join(rng.choices(words, k=30)) + " clown idiot").encode() for _ in range(20)]
+    score, _ = index.documents(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64))
+    assert (score[:100] < 0.3).mean() > 0.95 and (score[100:] >= 0.3).all()
 
 
 def test_media_round_trip_and_general_decoder():
@@ -144,28 +189,35 @@ def test_media_round_trip_and_general_decoder():
     assert (media.rgb_tensor([c, none, none], [(1, 1)] * 3, (8, 8), [np.ones(64, int)] * 3) == 138).all()
 
 
+def test_media_has_no_slow_text():
+    every = "".join(map(chr, range(0x80))) * 3 + "".join(map(chr, [0x80, 0xFF, 0x100, 0x7FF, 0x800, 0xD7FF, 0xE000, 0xFFFF, 0x10000, 0x10FFFF]))
+    blocks = np.frombuffer(media.payload_of(every.encode()), np.uint8)
+    c = media.TO_COEFFICIENT[blocks]
+    assert len(set(media.TO_COEFFICIENT.tolist())) == 256 and (np.abs(c) >= 2).all() and (c > -128).all()
+    for units in [1, 5, 32, 33, 64, 65, 1000, 127_999, 200_000]:
+        w, h = media.geometry(6 * units)
+        assert units <= w * h < units + h and 16 * w < 1 << 16 and h <= 4000
+
+
 def test_media_query(spark, odd):
     path = token_store.shared_path(spark, "media-test")
-    media.store_media(odd, path)
-    for r in media.read_media(spark, path, tensors=True).collect():
+    rows = odd.unionByName(odd.where("doc_id < 6").withColumn("doc_id", F.lit(None).cast("long")))
+    media.store_media(rows, path)
+    pictures = {r.doc_id: r.media for r in spark.read.parquet(path).where("doc_id is not null").collect()}
+    got = media.read_media(spark, path).collect()
+    assert len(got) == len(TEXTS) + 6
+    for r in got:
+        if r.doc_id is None:
+            continue
         text = (TEXTS[r.doc_id] or "").encode()
         payload = media.payload_of(text)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
-        assert len(r.rgb) == r.height * r.width * 3
-
-
-def test_media_tensors_are_stored(spark, odd):
-    path, to = token_store.shared_path(spark, "media-stored"), token_store.shared_path(spark, "tensors-stored")
-    media.store_media(odd, path)
-    media.store_tensors(spark, path, to)
-    stored = {r.doc_id: r for r in spark.read.parquet(to).collect()}
-    pictures = {r.doc_id: r.media for r in spark.read.parquet(path).collect()}
-    features = {r.doc_id: r.feature for r in media.read_media(spark, path).collect()}
-    assert stored.keys() == pictures.keys() == set(range(len(TEXTS)))
-    for i, r in stored.items():
-        rgb = media.rgb_tensor(*media.decode_jpeg(pictures[i])[:4])
-        assert (r.height, r.width, 3) == rgb.shape and bytes(r.rgb) == rgb.tobytes()
-        assert features[i] == media.feature_of(rgb)
+        assert (r.media_bytes, r.media_sha256) == (len(pictures[r.doc_id]), hashlib.sha256(pictures[r.doc_id]).hexdigest())
+        rgb = media.rgb_tensor(*media.decode_jpeg(pictures[r.doc_id])[:4])
+        assert (r.height, r.width, 3) == rgb.shape and bytes(r.rgb) == rgb.tobytes() and r.feature == media.feature_of(rgb)
+    none = token_store.shared_path(spark, "media-none")
+    media.store_media(odd.limit(0), none)
+    assert media.read_media(spark, none).count() == 0
 
 
 def test_token_store(spark, odd):
