@@ -5,7 +5,6 @@ from __future__ import annotations
 import html as entities
 import math
 import re
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +20,7 @@ MAX_PAGES, MAX_CHARS = 400, 60_000
 NEXT, SIBLING = 0.4, 0.4
 
 # Elements whose content is never text of the page; fixed values.
-HIDDEN = "script|style|noscript|template|title|textarea|select|button|svg|iframe|object|canvas"
+HIDDEN = "script|style|template|title|textarea|select|button|svg|iframe"
 # Elements that end a block; fixed values.
 BLOCK = set(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header "
@@ -30,13 +29,17 @@ BLOCK = set(
 BOILERPLATE = set("nav header footer aside form menu dialog".split())
 CONTENT = set("article main".split())
 VOID = set("br hr img input meta link area base col embed source track wbr".split())
-# Words of class, id and role that stand for boilerplate or for content; fixed values.
+# Names (or last words of names) in class, id and role that stand for boilerplate; fixed values.
 BAD_WORDS = set(
-    "ad ads advert advertisement advertising adverts adbox adsense banner breadcrumb breadcrumbs comment comments commentlist discussion disqus reply replies "
-    "respond cookie cookies consent gdpr notice notices notification alert popup modal overlay promo promoted promotion sponsor sponsored subscribe subscription "
-    "newsletter signup login share sharing social menu nav navbar navigation navigation topnav header masthead footer foot sidebar side rail widget widgets related "
-    "recommended recommendations more pagination pager paging toolbar copyright legal disclaimer search tags outbrain taboola teaser contentinfo complementary form".split()
+    "ad ads advert advertisement advertising adverts adbox adsense banner breadcrumb breadcrumbs comment comments commentlist discussion disqus replies "
+    "cookie cookies consent gdpr notice notices notification alert popup modal promo promoted promotion sponsor sponsored subscribe subscription "
+    "newsletter signup login share sharing social menu nav navbar navigation navigation topnav masthead footer sidebar widget widgets related "
+    "recommended recommendations pagination pager toolbar copyright disclaimer outbrain taboola teaser contentinfo complementary".split()
 )
+# Words that, after a word of boilerplate, name its container: `share-buttons`, `comment-list`; fixed values.
+PARTS = set("area bar block body box button buttons container content form group inner item items label left link links list outer panel right row section slot thread top unit wrap wrapper".split())
+# First words that stand for boilerplate only before such a word or in a role; fixed values.
+WEAK_WORDS = set("search tags tag legal more header side rail overlay paging form respond".split())
 GOOD_WORDS = set("article main content body post entry story text".split())
 
 # A self-closed svg has no content; a slash that ends an unquoted value doesn't close it.
@@ -46,19 +49,30 @@ TOKEN = re.compile(
     r"<(?P<close>/?)(?P<tag>[a-zA-Z][^\s>/]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
     re.S | re.I,
 )
-HINT = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+HINT = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORDS = re.compile(r"[a-z]+")
 
 
+def _names_boilerplate(words: list[str], role: bool) -> bool:
+    last = len(words)
+    while last > 1 and words[last - 1] in PARTS:
+        last -= 1
+    return words[last - 1] in BAD_WORDS or words[last - 1] in WEAK_WORDS and (role or last < len(words))
+
+
 def hint_of(tag: str, attrs: str, inside: int) -> int:
     """-1 boilerplate, 1 content, 0 what the parent is. `inside` is the parent's."""
     if attrs and ("=" in attrs):
-        words: set[str] = set()
+        good = bad = False
         for m in HINT.findall(attrs):
-            words.update(WORDS.findall(("".join(m)).lower()))
-        if words & BAD_WORDS and not (tag in CONTENT and words & GOOD_WORDS):
+            for name in "".join(m[1:]).lower().split():
+                words = WORDS.findall(name)
+                if words:
+                    bad |= _names_boilerplate(words, m[0].lower() == "role")
+                    good |= not GOOD_WORDS.isdisjoint(words)
+        if bad and not (tag in CONTENT and good):
             return -1
-        if words & GOOD_WORDS and tag not in BOILERPLATE:
+        if good and tag not in BOILERPLATE:
             return 1
     if tag == "header" and inside > 0:  # the heading of an article
         return 0
@@ -73,50 +87,72 @@ class Block:
 
 
 def blocks_of(page: str) -> list[Block]:
-    """Non-empty text blocks in page order, with their hint from the nearest ancestor that has one, and their parent."""
+    """Non-empty text blocks in page order, with their parent and their hint: that of the nearest ancestor that has one, of the
+    paragraph itself, or of inline elements that hold most of the text."""
     out: list[Block] = []
     stack: list[tuple[str, int, int]] = [("", 0, 0)]  # tag, hint, number
+    depth: dict[str, int] = {}  # open elements of each name
     text: list[str] = []
-    linked = opened = 0
+    linked = vetoed = opened = own = 0
     in_link, tag = False, ""
+    inline, level = "", 0  # the inline element of boilerplate that is open, and how often its name is
     at = 0
 
     def end() -> None:
-        nonlocal linked, text
+        nonlocal linked, text, vetoed, own
         if text:
-            joined = " ".join(entities.unescape("".join(text)).split())
+            raw = "".join(text)
+            joined = " ".join(entities.unescape(raw).split())
             if joined:
-                out.append(Block(joined, min(linked, len(joined)), stack[-1][1], stack[-1][2], tag))
-            text, linked = [], 0
+                hint = -1 if 2 * vetoed > len(raw) else own or stack[-1][1]
+                out.append(Block(joined, min(linked, len(joined)), hint, stack[-1][2], tag))
+            text, linked, vetoed = [], 0, 0
+        own = 0
 
     for m in TOKEN.finditer(page):
         if m.start() > at:
             text.append(page[at : m.start()])
             if in_link:
                 linked += m.start() - at
+            if inline:
+                vetoed += m.start() - at
         at = m.end()
         name = m["tag"]
         if name is None:
             continue
         name = name.lower()
-        if name == "a":
-            in_link = not m["close"]
-        elif name == "br":
-            text.append(" ")
-        elif name in BLOCK:
+        if name in BLOCK:
             end()
-            tag = name
+            tag, inline = name, ""
             if m["close"]:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
-                        break
-            elif name not in ("p", "hr") and name not in VOID and not m["attrs"].endswith("/"):
+                if depth.get(name):
+                    while True:
+                        gone = stack.pop()[0]
+                        depth[gone] -= 1
+                        if gone == name:
+                            break
+            elif name == "p":
+                own = hint_of(name, m["attrs"], stack[-1][1]) if m["attrs"] else 0
+            elif name not in VOID and not m["attrs"].endswith("/"):
                 opened += 1
                 hint = hint_of(name, m["attrs"], stack[-1][1]) or stack[-1][1]
                 stack.append((name, hint, opened))
+                depth[name] = depth.get(name, 0) + 1
+            continue
+        if name == "a":
+            in_link = not m["close"]
+        elif name == "br":
+            text.append(" ")
+        if name == inline:
+            level += -1 if m["close"] else 1
+            if not level:
+                inline = ""
+        elif not inline and m["attrs"] and not m["close"] and name not in VOID and not m["attrs"].endswith("/") and hint_of(name, m["attrs"], 0) < 0:
+            inline, level = name, 1
     if at < len(page):
         text.append(page[at:])
+        if inline:
+            vetoed += len(page) - at
     end()
     return out
 
@@ -163,48 +199,52 @@ def train(pages: list[str], rounds: int = 1500) -> np.ndarray:
     return weights
 
 
-def min_cut(gain: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
-    """Source side of a minimum cut. gain > 0: capacity from the source, < 0: to the sink; edges go both ways.
+def min_cut(gain: list[float], parents: list[int]) -> list[bool]:
+    """Source side of a minimum cut. gain > 0: capacity from the source, < 0: to the sink; edges, both ways, join neighbours in
+    page order (NEXT) and neighbours among the blocks of one parent (SIBLING).
 
-    Shortest augmenting paths from the blocks with capacity left to the nearest block with sink capacity left.
+    Elements nest, so no two edges cross, and the maximum flow is found by series reduction: a block between two others is
+    replaced by the equivalent edge and terminal capacities of these, which pass on whatever flow it lets through; an edge
+    beside another one adds its capacity. Blocks are put back in reverse, each on its cheaper side. Linear in the blocks.
     """
-    left = list(gain)
-    cap: list[dict[int, float]] = [{} for _ in gain]
-    for a, b, c in edges:
-        cap[a][b] = cap[a].get(b, 0) + c
-        cap[b][a] = cap[b].get(a, 0) + c
-    for s in range(len(left)):
-        while left[s] > 1e-12:
-            came, queue, end = {s: s}, deque([s]), -1
-            while queue and end < 0:
-                u = queue.popleft()
-                for v, c in cap[u].items():
-                    if c > 1e-12 and v not in came:
-                        came[v] = u
-                        if left[v] < -1e-12:
-                            end = v
-                            break
-                        queue.append(v)
-            if end < 0:
-                break
-            flow, v = min(left[s], -left[end]), end
-            while v != s:
-                flow, v = min(flow, cap[came[v]][v]), came[v]
-            v = end
-            while v != s:
-                cap[came[v]][v] -= flow
-                cap[v][came[v]] += flow
-                v = came[v]
-            left[s] -= flow
-            left[end] += flow
-    side = [x > 1e-12 for x in left]
-    queue = deque(i for i, x in enumerate(side) if x)
-    while queue:
-        u = queue.popleft()
-        for v, c in cap[u].items():
-            if c > 1e-12 and not side[v]:
-                side[v] = True
-                queue.append(v)
+    g = list(gain)
+    path: list[int] = []  # blocks not yet replaced, and the capacity from each to the one before
+    cap: list[float] = []
+    last: dict[int, int] = {}
+    gone: list[tuple[int, int, int, float, float, float]] = []
+
+    def reduced(x: int, u: int, v: int, c: float, d: float) -> float:
+        """Takes x from between u (capacity c) and v (capacity d; -1: there is none); the capacity of the new edge."""
+        t, s = max(g[x], 0.0), max(-g[x], 0.0)  # costs of x as boilerplate and as content
+        gone.append((x, u, v, c, d, g[x]))
+        if v < 0:
+            g[u] -= min(s, t + c) - min(t, s + c)
+            return 0.0
+        none, both = min(t, s + c + d), min(s, t + c + d)
+        left, right = min(t + c, s + d), min(t + d, s + c)  # u alone is content, v alone is
+        g[u] -= (left - right + both - none) / 2
+        g[v] -= (right - left + both - none) / 2
+        return max((left + right - none - both) / 2, 0.0)
+
+    for i, parent in enumerate(parents):
+        path.append(i)
+        cap.append(NEXT if i else 0.0)
+        before = last.get(parent)
+        if before is not None:
+            while path[-2] != before:
+                c, d = cap[-2], cap[-1]
+                x = path.pop(-2)
+                cap[-2:] = [reduced(x, path[-2], i, c, d)]
+            cap[-1] += SIBLING
+        last[parent] = i
+    while len(path) > 1:
+        x = path.pop()
+        reduced(x, path[-1], -1, cap.pop(), 0.0)
+    side = [x > 1e-12 for x in g]
+    for x, u, v, c, d, own in reversed(gone):
+        content = max(-own, 0.0) + c * (not side[u]) + (d * (not side[v]) if v >= 0 else 0.0)
+        boilerplate = max(own, 0.0) + c * side[u] + (d * side[v] if v >= 0 else 0.0)
+        side[x] = content < boilerplate - 1e-12
     return side
 
 
@@ -214,14 +254,7 @@ def main_text(page: str, weights: np.ndarray) -> str:
     if not blocks:
         return ""
     gain = (features(blocks) @ weights).tolist()
-    edges, last = [], {}
-    for i, b in enumerate(blocks):
-        if i:
-            edges.append((i - 1, i, NEXT))
-        if b.parent in last:
-            edges.append((last[b.parent], i, SIBLING))
-        last[b.parent] = i
-    return "\n".join(b.text for b, keep in zip(blocks, min_cut(gain, edges), strict=True) if keep)
+    return "\n".join(b.text for b, keep in zip(blocks, min_cut(gain, [b.parent for b in blocks]), strict=True) if keep)
 
 
 def extract_main_text(pages: DataFrame, max_pages: int = MAX_PAGES, max_chars: int = MAX_CHARS) -> DataFrame:
@@ -229,10 +262,12 @@ def extract_main_text(pages: DataFrame, max_pages: int = MAX_PAGES, max_chars: i
 
     Block costs come from a classifier that is fitted on a bounded sample of pages and become terminal
     capacities; page order and a shared DOM parent give the smoothness edges; the cut decides. Null and empty
-    pages, and pages without a content block, get an empty text. Rows may repeat; other columns stay, but columns
+    pages, and pages without a content block, get an empty text; an empty table gives an empty result. The cost of a page is
+    linear in its length. Of equal costs, boilerplate wins. Rows may repeat and ids be null; other columns stay, but columns
     named text or n_chars are replaced. One pass, no shuffle.
     """
     spark = pages.sparkSession
+    pages = pages.drop("text", "n_chars")
     short = pages.where(F.char_length("html").between(1, max_chars)).select("html", F.xxhash64("html").alias("key"))
     # Keys first: each task sends a few numbers, not its pages.
     keys = [r.key for r in short.select("key").distinct().orderBy("key").limit(max_pages).collect()]
@@ -249,4 +284,5 @@ def extract_main_text(pages: DataFrame, max_pages: int = MAX_PAGES, max_chars: i
 
 
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text, n_chars of all `pages`; null, empty, very long and repeated pages as in `extract_main_text`."""
     return extract_main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
