@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keylattice.llm.common import materialise
+from keylattice.llm.common import materialise, release
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -19,15 +19,19 @@ def connected_components(edges: DataFrame) -> DataFrame:
     edges = materialise(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     labels = materialise(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node")), "labels")
     while not edges.isEmpty():
-        hooks = materialise(edges.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("p")), "hooks")
-        while True:
+        hooks = materialise(edges.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("p")).withColumn("moved", F.lit(True)), "hooks")
+        moved = True
+        while moved:
             up = hooks.select(F.col("u").alias("p"), F.col("p").alias("pp"))
-            jumped = materialise(hooks.join(up, "p", "left").select("u", F.coalesce("pp", "p").alias("p"), F.col("pp").isNotNull().alias("moved")), "hooks")
-            hooks = jumped.select("u", "p")
-            if jumped.where("moved").isEmpty():
-                break
-        labels = materialise(labels.join(hooks, F.col("label") == F.col("u"), "left").select("node", F.coalesce("p", "label").alias("label")), "labels")
-        one = edges.join(hooks, F.col("a") == F.col("u"), "left").select(F.coalesce("p", "a").alias("a"), "b")
-        both = one.join(hooks, F.col("b") == F.col("u"), "left").select("a", F.coalesce("p", "b").alias("b"))
-        edges = materialise(both.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+            jumped = materialise(hooks.select("u", "p").join(up, "p", "left").select("u", F.coalesce("pp", "p").alias("p"), F.col("pp").isNotNull().alias("moved")), "hooks")
+            release(hooks)
+            hooks, moved = jumped, not jumped.where("moved").isEmpty()
+        roots = hooks.select("u", "p")
+        shorter = materialise(labels.join(roots, F.col("label") == F.col("u"), "left").select("node", F.coalesce("p", "label").alias("label")), "labels")
+        one = edges.join(roots, F.col("a") == F.col("u"), "left").select(F.coalesce("p", "a").alias("a"), "b")
+        both = one.join(roots, F.col("b") == F.col("u"), "left").select("a", F.coalesce("p", "b").alias("b"))
+        fewer = materialise(both.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+        release(hooks, labels, edges)
+        labels, edges = shorter, fewer
+    release(edges)
     return labels

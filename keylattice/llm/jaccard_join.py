@@ -1,7 +1,8 @@
 """N-gram Jaccard join: size-banded tiles with hashed bitmap signatures, then exact sorted-array intersection.
 
-Exact texts of one shingle set are one class. Classes meet in tiles: a tile holds the classes that have a shingle in
-their prefix in common (with a global order, linked sets share one), split by hash where a shingle is frequent. In a
+Exact texts of one shingle set are one class. Shingles are counted over the whole table; frequent ones come last in a
+global order. Classes meet in tiles: a tile holds the classes that have a shingle in their prefix in common (linked sets share
+one), split by hash where a shingle is frequent, and split again by its true size wherever a tile turns out too large. In a
 tile, sizes must be within the band that the similarity allows; bit counts of the signatures bound the overlap from
 above; what is left is decided by the sorted arrays. Since components are asked for, a first round links classes to
 the most central class of a few tiles, and later tiles skip what is linked already; no link between components is lost.
@@ -20,30 +21,35 @@ from pyspark.sql import functions as F
 from keylattice.llm.common import materialise, release, table
 from keylattice.llm.components import connected_components
 from keylattice.llm.shingles import shingle_sets
-from keylattice.llm.textbuf import pieces, trim
+from keylattice.llm.textbuf import mix, pieces, trim
 
-#: Shingles that occur in COMMON sets of one batch are counted; the MAX_COMMON most frequent go last in the order.
-COMMON, MAX_COMMON = 3, 400_000
-#: Tokens of the first round; rows of a tile; earlier frequent shingles that a row remembers.
+#: Shingles of MANY sets or more are kept with their counts; the most frequent, MAX_COMMON at most, go last in the order.
+MANY, MAX_COMMON = 8, 400_000
+#: Shingles that one task counts at a time.
+COUNTED = 1 << 22
+#: Tokens of the first round; rows of a tile's part; earlier frequent shingles that a row remembers.
 STARS, TILE, EARLY = 4, 2048, 8
+#: Rows that a tile may have without signatures; one with more is split by its true size, and gets them.
+UNSIGNED = 512
 
 
 class Common:
-    """Frequent shingles and their counts: any list, even an incomplete one, gives a valid global order."""
+    """Frequent shingles (their leading bits) and their counts: any list, even an incomplete one, gives a valid global order."""
 
-    def __init__(self, tokens: np.ndarray, counts: np.ndarray):
-        order = np.argsort(tokens)
-        self.tokens, self.counts = tokens[order], counts[order]
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, shift: int):
+        order = np.argsort(keys)
+        self.keys, self.counts, self.shift = keys[order], counts[order], np.uint64(shift)
         self.quick = np.zeros(1 << 16, bool)
-        self.quick[(tokens & np.uint64(0xFFFF)).astype(np.int64)] = True
+        self.quick[(keys & np.uint64(0xFFFF)).astype(np.int64)] = True
 
     def of(self, h: np.ndarray) -> np.ndarray:
         """Count of each shingle, 0 for those that aren't frequent."""
         out = np.zeros(len(h), np.int64)
-        near = np.flatnonzero(self.quick[(h & np.uint64(0xFFFF)).astype(np.int64)])
-        if len(near) and len(self.tokens):
-            at = np.minimum(np.searchsorted(self.tokens, h[near]), len(self.tokens) - 1)
-            hit = self.tokens[at] == h[near]
+        key = h >> self.shift
+        near = np.flatnonzero(self.quick[(key & np.uint64(0xFFFF)).astype(np.int64)])
+        if len(near) and len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, key[near]), len(self.keys) - 1)
+            hit = self.keys[at] == key[near]
             out[near[hit]] = self.counts[at[hit]]
         return out
 
@@ -87,12 +93,25 @@ def _longs(h: np.ndarray) -> pa.Array:
     return pa.array(h.view(np.int64), pa.int64())
 
 
-def _common_counts(docs: DataFrame, words: int) -> DataFrame:
-    """token, n: sets of one batch that hold a shingle, where they are COMMON or more; equal sets of a batch count once."""
+def _common_counts(docs: DataFrame, words: int, bits: int) -> DataFrame:
+    """key, n: sets that hold a shingle, over the whole table, where they are MANY or more; key: its leading 32 + `bits` bits.
+
+    Tasks send sorted arrays of distinct shingles, 4 bytes and a count each, to the bucket of their first `bits` bits, so a hot
+    shingle is one entry of each task. Equal sets of a task count once.
+    """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, seen, size = [], set(), 0
+
+        def sent() -> pa.RecordBatch:
+            tokens, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
+            at = np.searchsorted(tokens >> np.uint64(64 - bits), np.arange(1 + (1 << bits)).astype(np.uint64))
+            used = np.flatnonzero(np.diff(at))
+            low, n = (tokens >> np.uint64(32 - bits)).astype(np.uint32), n.astype(np.uint32)
+            cut = lambda x: pa.array([x[at[i] : at[i + 1]].tobytes() for i in used], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), cut(low), cut(n)], names=["bucket", "low", "n"])
+
         for batch in batches:
-            held, seen = [np.zeros(0, np.uint64)], set()
             for part, data, offsets in pieces(batch, "text"):
                 h, b = shingle_sets(data, offsets, words)
                 for i in range(part.num_rows):
@@ -100,11 +119,52 @@ def _common_counts(docs: DataFrame, words: int) -> DataFrame:
                     if (key := hashlib.blake2b(own.tobytes(), digest_size=8).digest()) not in seen:
                         seen.add(key)
                         held.append(own)
-            tokens, n = np.unique(np.concatenate(held), return_counts=True)
-            some = n >= COMMON
-            yield pa.RecordBatch.from_arrays([_longs(tokens[some]), pa.array(n[some], pa.int64())], names=["token", "n"])
+                        size += len(own) + 8
+                if size > COUNTED:
+                    yield sent()
+                    held, seen, size = [], set(), 0
+        yield sent()
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low, n, current = [], [], -1
+
+        def done() -> pa.RecordBatch:
+            distinct, place = np.unique(np.concatenate([np.zeros(0, np.uint32), *low]), return_inverse=True)
+            total = np.bincount(place, np.concatenate([np.zeros(0, np.uint32), *n]), len(distinct)).astype(np.int64)
+            some = total >= MANY
+            key = distinct[some].astype(np.int64) | current << 32
+            return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(total[some], pa.int64())], names=["key", "n"])
+
+        for batch in batches:
+            for bucket, x, y in zip(batch.column("bucket").to_pylist(), batch.column("low").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                if bucket != current:
+                    if low:
+                        yield done()
+                    low, n, current = [], [], bucket
+                low.append(np.frombuffer(x, np.uint32))
+                n.append(np.frombuffer(y, np.uint32))
+        if low:
+            yield done()
+        trim()
+
+    lists = docs.select("text").mapInArrow(counted, "bucket int, low binary, n binary")
+    return lists.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(summed, "key long, n long")
 
-    return docs.select("text").mapInArrow(counted, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+
+def _most_common(docs: DataFrame, words: int) -> Common:
+    """The most frequent shingles, MAX_COMMON at most: a histogram of the counts gives the least count that fits."""
+    bits = min(16, max(4, (4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()))
+    counts = materialise(_common_counts(docs, words, bits), "shingle-counts")
+    place = F.floor(F.log2("n") * 16)
+    fit, least = 0, 1 << 16
+    for r in counts.groupBy(place.alias("place")).count().orderBy(F.desc("place")).collect():
+        fit += r["count"]
+        if fit > MAX_COMMON:
+            break
+        least = r["place"]
+    top = counts.where(place >= least).toPandas()
+    release(counts)
+    return Common(top["key"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64), 32 - bits)
 
 
 def _profiles(docs: DataFrame, common, words: int) -> DataFrame:
@@ -146,15 +206,17 @@ def _stars(classes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(doc[first]), pa.array(central[first]), pa.array(doc)], names=["token", "lead", "central", "doc"])
 
     rows = materialise(classes.select("doc_id", "central", "keys").mapInArrow(local, "token long, lead long, central double, doc long"), "stars")
-    leads = rows.where("lead = doc").groupBy("token").agg(F.max(F.struct("central", (-F.col("lead")).alias("less"))).alias("most"), F.collect_set("lead").alias("leads")).where(F.size("leads") > 1)
-    across = leads.select((-F.col("most.less")).alias("a"), F.explode("leads").alias("b"))
+    leads = rows.where("lead = doc").select("token", "lead", "central").distinct()
+    most = leads.groupBy("token").agg(F.max(F.struct("central", (-F.col("lead")).alias("less"))).alias("most"))
+    across = leads.join(most, "token").select((-F.col("most.less")).alias("a"), F.col("lead").alias("b"))
     pairs = rows.select(F.col("lead").alias("a"), F.col("doc").alias("b")).union(across).where("a <> b")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    out = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "star-pairs")
+    release(rows)
+    return out
 
 
 def _linked(docs: DataFrame, pairs: DataFrame, words: int, percent: int, small: int = 2_000_000) -> DataFrame:
-    """The pairs (a, b) whose documents are linked: bit counts of signatures first, then sorted arrays."""
-    pairs = materialise(pairs, "pairs")
+    """The pairs (a, b), a table that is released, whose documents are linked: bit counts of signatures first, then sorted arrays."""
     ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "pair-ids")
     wanted = F.broadcast(ids) if ids.count() <= small else ids  # beyond that size, texts are shuffled to their ids
 
@@ -203,6 +265,16 @@ def _linked(docs: DataFrame, pairs: DataFrame, words: int, percent: int, small:
     return links
 
 
+def deal(ids: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (as indexes), tiles and sides: a row whose token `count` sets have goes to each tile of its part and another one."""
+    tiles = np.where(count > TILE, -(-count // TILE), 1)
+    mine = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % tiles
+    copy = np.repeat(np.arange(len(ids)), tiles)
+    other = np.arange(len(copy)) - np.repeat(np.cumsum(tiles) - tiles, tiles)
+    lo, hi = np.minimum(mine[copy], other), np.maximum(mine[copy], other)
+    return copy, lo * tiles[copy] + hi, (mine[copy] == hi).astype(np.int64)  # of a tile of one part all rows have side 1
+
+
 def _tile_rows(docs: DataFrame, classes: DataFrame, common, words: int, percent: int) -> DataFrame:
     """token, tile, side, comp, doc, n, pos, early, sig: a row per class, prefix shingle and tile.
 
@@ -244,13 +316,7 @@ def _tile_rows(docs: DataFrame, classes: DataFrame, common, words: int, percent:
                 starts = np.cumsum(size) - size
                 pos = np.arange(len(token)) - np.repeat(starts, size)
                 ids, n, comp = (np.asarray(batch.column(c)) for c in ("doc_id", "n", "comp"))
-                tiles = np.where(count > TILE, -(-count // TILE), 1)
-                mine = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64)[row] % tiles
-                copy = np.repeat(np.arange(len(token)), tiles)
-                other = np.arange(len(copy)) - np.repeat(np.cumsum(tiles) - tiles, tiles)
-                lo, hi = np.minimum(mine[copy], other), np.maximum(mine[copy], other)
-                tile = lo * tiles[copy] + hi
-                side = (mine[copy] == hi).astype(np.int64)  # of a tile of one part all rows have side 1
+                copy, tile, side = deal(ids[row], count)
                 early: list = [None] * len(token)
                 sig: list = [None] * len(token)
                 for i in np.flatnonzero(count > 0).tolist():
@@ -311,13 +377,25 @@ def tile_pairs(side: np.ndarray, comp: np.ndarray, n: np.ndarray, pos: np.ndarra
     return np.concatenate(out_a), np.concatenate(out_b)
 
 
-def _candidates(rows: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) of different components from all tiles."""
+def _met(rows: DataFrame, percent: int, unsigned: int | None = UNSIGNED) -> DataFrame:
+    """a, b: pairs of different components from all tiles; and, with a token, the rows (a: document) of tiles that are too large.
+
+    Rows come in the order of tiles. A tile that grows beyond its limit while it is read is passed on, row by row, not held.
+    """
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
+        names = ["a", "b", "token", "comp", "n", "pos"]
+
+        def passed(t: pa.Table) -> pa.RecordBatch:
+            # Rows of one tile share a token of their own from here on.
+            key = t.column("token").to_numpy().view(np.uint64) ^ mix(t.column("tile").to_numpy().astype(np.uint64))
+            cols = [t.column(c).combine_chunks() for c in ("doc", "comp", "n", "pos")]
+            return pa.RecordBatch.from_arrays([cols[0], pa.nulls(len(key), pa.int64()), _longs(key), *cols[1:]], names=names)
+
+        def limit(t: pa.Table) -> float:
+            return float("inf") if unsigned is None else unsigned if t.column("sig")[0].as_py() is None else 4 * TILE
 
-        def emit(t: pa.Table) -> pa.RecordBatch:
+        def emit(t: pa.Table) -> Iterator[pa.RecordBatch]:
             token, tile = t.column("token").to_numpy(), t.column("tile").to_numpy()
             comp, doc = t.column("comp").to_numpy(), t.column("doc").to_numpy()
             starts = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (tile[1:] != tile[:-1])]))
@@ -327,26 +405,90 @@ def _candidates(rows: DataFrame, percent: int) -> DataFrame:
             early, sig = t.column("early"), t.column("sig")
             found = [np.zeros((2, 0), np.int64)]
             for s, e in zip(starts[low != high].tolist(), ends[low != high].tolist(), strict=True):
+                if e - s > UNSIGNED and e - s > limit(part := t.slice(s, e - s)):
+                    yield passed(part)
+                    continue
                 x, y = tile_pairs(side[s:e], comp[s:e], n[s:e], pos[s:e], early[s:e].to_pylist(), sig[s:e].to_pylist(), percent)
                 found.append(np.sort(np.stack([doc[s + x], doc[s + y]]), 0))
             pairs = np.unique(np.concatenate(found, 1), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], names=["a", "b"])
+            pairs = pairs[:, pairs[0] != pairs[1]]
+            m = pairs.shape[1]
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32())], names=names)
 
+        held: list[pa.Table] = []
+        size, key, passing = 0, None, False
         for batch in batches:
+            if not batch.num_rows:
+                continue
             now = pa.Table.from_batches([batch])
-            held = now if held is None else pa.concat_tables([held, now])
-            token, tile = held.column("token").to_numpy(), held.column("tile").to_numpy()
-            open_ = np.flatnonzero((token != token[-1]) | (tile != tile[-1])) if len(token) else token
-            if len(open_):  # all but the last tile are complete
-                cut = int(open_[-1]) + 1
-                yield emit(held.slice(0, cut))
-                held = held.slice(cut)
-        if held is not None and held.num_rows:
-            yield emit(held)
+            token, tile = now.column("token").to_numpy(), now.column("tile").to_numpy()
+            if passing:  # the rest of a large tile
+                other = np.flatnonzero((token != key[0]) | (tile != key[1]))
+                cut = int(other[0]) if len(other) else len(token)
+                if cut:
+                    yield passed(now.slice(0, cut))
+                if cut == len(token):
+                    continue
+                now, token, tile, passing = now.slice(cut), token[cut:], tile[cut:], False
+            last = (token[-1], tile[-1])
+            before = np.flatnonzero((token != last[0]) | (tile != last[1]))
+            if held and not len(before) and key == last:
+                held.append(now)
+                size += now.num_rows
+            else:  # all but the last tile are complete
+                cut = int(before[-1]) + 1 if len(before) else 0
+                if held or cut:
+                    yield from emit(pa.concat_tables([*held, now.slice(0, cut)]))
+                held, key = [now.slice(cut)], last
+                size = held[0].num_rows
+            if size > UNSIGNED and size > limit(held[0]):
+                for t in held:
+                    yield passed(t)
+                held, size, passing = [], 0, True
+        if held:
+            yield from emit(pa.concat_tables(held))
         del held
         trim()
 
-    return rows.repartition("token", "tile").sortWithinPartitions("token", "tile").mapInArrow(paired, "a long, b long").where("a <> b").distinct()
+    return rows.repartition("token", "tile").sortWithinPartitions("token", "tile").mapInArrow(paired, "a long, b long, token long, comp long, n int, pos int")
+
+
+def _candidates(docs: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of different components from all tiles.
+
+    Tiles that turned out too large, for shingles that are not among the listed ones, are dealt again by their true sizes, with
+    signatures; there is no other end to them than pairs.
+    """
+    met = materialise(_met(rows, percent), "met")
+    pairs = met.where("token IS NULL").select("a", "b")
+    large = met.where("token IS NOT NULL").select("token", F.col("a").alias("doc_id"), "comp", "n", "pos")
+    if not large.isEmpty():
+
+        def signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part, data, offsets in pieces(batch, "text"):
+                    h, b = shingle_sets(data, offsets, words)
+                    sigs = [signature(h[lo:hi]) for lo, hi in zip(b[:-1], b[1:], strict=True)]
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sigs, pa.binary())], names=["doc_id", "sig"])
+
+        def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for at in range(0, whole.num_rows, 200):
+                    batch = whole.slice(at, 200)
+                    copy, tile, side = deal(batch.column("doc_id").to_numpy(), batch.column("held").to_numpy())
+                    taken = batch.take(pa.array(copy))
+                    yield pa.RecordBatch.from_arrays(
+                        [taken.column("token"), pa.array(tile, pa.int32()), pa.array(side, pa.int32()), *(taken.column(c) for c in ("comp", "doc_id", "n", "pos")), pa.array([b""] * len(copy), pa.binary()), taken.column("sig")],
+                        names=["token", "tile", "side", "comp", "doc", "n", "pos", "early", "sig"],
+                    )
+
+        signed = materialise(docs.join(large.select("doc_id").distinct(), "doc_id").select("doc_id", "text").mapInArrow(signs, "doc_id long, sig binary").dropDuplicates(["doc_id"]), "large-signs")
+        sizes = large.groupBy("token").agg(F.count("*").alias("held"))
+        again = large.join(sizes, "token").join(signed, "doc_id").select("token", "doc_id", "comp", "n", "pos", "held", "sig").mapInArrow(dealt, "token long, tile int, side int, comp long, doc long, n int, pos int, early binary, sig binary")
+        pairs = pairs.union(_met(again, percent, None).select("a", "b"))
+    out = materialise(pairs.distinct(), "pairs")
+    release(met)
+    return out
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
@@ -354,34 +496,39 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
 
     Two documents are linked when 100 * shared shingles >= percent * shingles of both; a component is what links
     connect, named by its smallest doc_id. Null, empty and blank texts have no shingle and are linked with nothing.
-    Rows with one doc_id are one document for links; rows without an id keep a null component. No partner, tile or
-    candidate is capped.
+    Rows with one doc_id are one document for links; rows without an id keep a null component. A very long text is a piece of its
+    own; an empty table gives an empty result; other columns are not read. No partner, tile or candidate is capped.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    top = _common_counts(docs, words).orderBy(F.desc("n"), "token").limit(MAX_COMMON).toPandas()
-    common = spark.sparkContext.broadcast(Common(top["token"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)))
+    common = spark.sparkContext.broadcast(_most_common(docs, words))
     profiles = materialise(_profiles(docs, common, words), "profiles")
     full = profiles.where("n > 0 AND doc_id IS NOT NULL")
     classes = materialise(full.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.max("central").alias("central"), F.first("keys").alias("keys")), "classes")
     first = _linked(docs, _stars(classes), words, percent)
     labels = connected_components(first)
     known = materialise(classes.join(labels, F.col("doc_id") == F.col("node"), "left").select("digest", "doc_id", F.coalesce("label", "doc_id").alias("comp")), "components")
-    second = _linked(docs, _candidates(_tile_rows(docs, known, common, words, percent), percent), words, percent)
+    release(classes, first, labels)
+    second = _linked(docs, _candidates(docs, _tile_rows(docs, known, common, words, percent), words, percent), words, percent)
     comps = known.select(F.col("doc_id").alias("d"), "comp")
     ends = second.join(comps, F.col("a") == F.col("d")).select(F.col("comp").alias("a"), "b").join(comps, F.col("b") == F.col("d")).select("a", F.col("comp").alias("b"))
     merged = connected_components(ends)
+    release(second)
     final = known.join(merged, F.col("comp") == F.col("node"), "left").select("digest", F.coalesce("label", "comp").alias("component_id"))
     out = profiles.join(final, "digest", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
-    """`docs` with one document of each component: that of its smallest doc_id. Rows that repeat an id count once;
-    rows without an id stay."""
+    """`docs` with one document of each component: that of its smallest doc_id. Rows that repeat its id and text count once,
+    rows that repeat its id with another text stay, like rows without an id."""
     kept = jaccard_components(docs, words, percent).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
+    led = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").select(*docs.columns)
+    named = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    once = led.select(*named, F.xxhash64("text").alias("text_key")).dropDuplicates([f"c{docs.columns.index('doc_id')}", "text_key"])
+    return once.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)]).unionByName(docs.where("doc_id IS NULL"))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id of all `documents`; null, empty, very long and repeated texts as in `jaccard_components`."""
     return jaccard_components(table(spark, sf_dir, "documents"))

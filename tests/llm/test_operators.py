@@ -316,14 +316,63 @@ def test_html():
     page = '<html><head><title>x</title><script>"<p>no</p>"</script></head><body><nav><a href=x>a</a></nav><div class="cookie-notice">We use cookies.</div><article><h1>T &amp; U</h1><p>Some text,\n with  words.</p><p>More text.<section id="comments"><p>nice!</p></section></article><footer>c</footer>'
     assert html_text.main_text(page, w) == "T & U\nSome text, with words.\nMore text."
     assert html_text.main_text("", w) == ""
+
+
+def test_html_cut_is_minimal():
     rng = random.Random(5)
-    for _ in range(30):  # a minimum cut by enumeration
-        n = 6
-        gain = [rng.uniform(-2, 2) for _ in range(n)]
-        edges = [(i, j, rng.uniform(0, 1)) for i in range(n) for j in range(i) if rng.random() < 0.5]
+    for _ in range(300):  # against all labellings of random trees of elements
+        n, stack, opened, parents = rng.randint(1, 9), [0], 0, []
+        while len(parents) < n:
+            what = rng.random()
+            if what < 0.3:
+                opened += 1
+                stack.append(opened)
+            elif what < 0.5 and len(stack) > 1:
+                stack.pop()
+            else:
+                parents.append(stack[-1])
+        gain = [rng.choice([rng.uniform(-2, 2), rng.uniform(-0.3, 0.3)]) for _ in range(n)]
+        last, edges = {}, [(i, i + 1, html_text.NEXT) for i in range(n - 1)]
+        for i, p in enumerate(parents):
+            if p in last:
+                edges.append((last[p], i, html_text.SIBLING))
+            last[p] = i
         cost = lambda side: sum(abs(g) for g, s in zip(gain, side, strict=True) if s != (g > 0)) + sum(c for a, b, c in edges if side[a] != side[b])  # noqa: B023, E731
         best = min(cost([bool(k >> i & 1) for i in range(n)]) for k in range(2**n))
-        assert abs(cost(html_text.min_cut(gain, edges)) - best) < 1e-9
+        assert abs(cost(html_text.min_cut(gain, parents)) - best) < 1e-9
+
+
+def test_html_marks():
+    w = html_text.train([])
+    body = "<article><h1>A heading</h1><p>Some text, with words and more words.</p>{}<p>More text, with other words at the end.</p></article>"
+    for kept in ('<div class="search-intro"><p>Here is what was found, in some words.</p></div>', '<div class="legal-analysis"><p>The law says many words here.</p></div>', "<p>Let <math>x+1</math> be it, in this sentence.</p>", "<p>An <object>object with a text</object> in this sentence.</p>", "<p><canvas>A picture, in words that stay here.</canvas></p>", "<noscript><p>Words for those without scripts are here.</p></noscript>", '<p>It has <span class="ad">an ad</span> in the middle of a sentence that is longer than it.</p>'):
+        got = html_text.main_text(body.format(kept), w).split("\n")
+        assert len(got) == 4 and got[2] == " ".join(re.sub("<[^>]*>", "", kept).split()), kept
+    for gone in ('<p class="advert">Buy this now, it is cheap and good.</p>', '<p><span class="ad-label">Buy this now, it is cheap and good.</span></p>', '<div class="share-buttons"><p>Share this with all your friends today.</p></div>', '<div id="comments"><p>I think that this is a nice text.</p></div>', '<div role="search"><p>Search for words on this site here.</p></div>', '<div class="site-footer"><p>All the rights belong to the owner.</p></div>'):
+        assert len(html_text.main_text(body.format(gone), w).split("\n")) == 3, gone
+
+
+def test_html_of_very_long_pages_is_quick():
+    import time
+
+    w = html_text.train([])
+    page = "<html><body><nav><a href=x>a</a></nav><article>" + "".join(f"<p>Paragraph {i} has some words, and it ends here.</p>" + "<div>" * (i % 3 == 0) for i in range(20_000)) + "</section>" * 20_000
+    began = time.process_time()
+    assert html_text.main_text(page, w).count("\n") == 19_999
+    assert time.process_time() - began < 6
+
+
+def test_html_query_equals_a_plain_extractor(spark):
+    import html as entities
+
+    rows = html_text.op6_html_text(spark, DIR).collect()
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{DIR}/pages.parquet").collect()}
+    assert len(rows) == len(pages)
+    for r in rows:
+        inner = "".join(re.findall(r"(?s)<article>(.*?)</article>", pages[r.page_id] or ""))
+        blocks = [" ".join(entities.unescape(re.sub(r"<br\s*/?>", " ", b)).split()) for b in re.split(r"</?(?:h1|p)>", re.sub(r"</?b>", "", inner))]
+        want = "\n".join(b for b in blocks if b)
+        assert (r.text, r.n_chars) == (want, len(want))
 
 
 def test_html_self_closed_svg_and_formulas():
@@ -387,6 +436,45 @@ def test_jaccard(spark, odd):
     assert jaccard_join.jaccard_components(docs.limit(0)).count() == 0
 
 
+def test_jaccard_splits_tiles_of_uncounted_shingles(spark, monkeypatch):
+    """Shingles that no list holds are in many sets: their tiles are split by true size, and no link is lost."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(700):  # one passage in front of texts of their own, some of which come in near copies
+        own = [f"u{i // 2 if i < 80 else i}x{k}" for k in range(8)]
+        if i < 80 and i % 2:
+            own[-1] = "other"
+        rows.append((i, " ".join(["one passage that all of them do have in common", *own, *(["t"] * (i % 3))])))
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    monkeypatch.setattr(jaccard_join, "MAX_COMMON", 0)  # an empty list of frequent shingles
+    monkeypatch.setattr(jaccard_join, "UNSIGNED", 40)
+    monkeypatch.setattr(jaccard_join, "TILE", 64)
+    met = []
+    monkeypatch.setattr(jaccard_join, "_met", lambda *a, f=jaccard_join._met: met.append(a) or f(*a))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs).collect()}
+    assert got == _brute_components(rows)
+    assert len(met) == 2  # the second time for the large tiles
+
+
+def test_shingles_are_counted_over_the_whole_table(spark):
+    """A shingle that each task holds once or twice is counted as often as it occurs."""
+    rows = [(i, f"the very same five words a{i} b{i} c{i} d{i} e{i}") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(50)
+    common = jaccard_join._most_common(docs, 5)
+    h, _ = jaccard_join.shingle_sets(np.frombuffer(b"the very same five words", np.uint8), np.array([0, 24]), 5)
+    assert common.of(h).tolist() == [50] and len(common.keys) == 1
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    long = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, long, "a"), (1, long, "a"), (1, "something else that is short", "b"), (2, long + " x", "c"), (None, long, "d"), (3, None, "e"), (3, None, "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, c0 string")
+    got = jaccard_join.drop_near_duplicates(docs)
+    assert got.columns == docs.columns
+    assert sorted(r.c0 for r in got.collect()) == ["a", "b", "d", "e"]
+
+
 def test_tiles_lose_no_pair():
     rng = np.random.default_rng(7)
     n, m = 40, 30
