@@ -45,6 +45,31 @@ def test_top_k_ties_and_odd_vectors(spark):
     assert vector_search.top_k(df.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def _brute_top(rows, asks, k=5):
+    ready = {(i, tuple(int(np.floor(256 * float(np.float32(x)))) for x in v)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)}
+    out = {}
+    for i, q in ready:
+        if asks(i):
+            out.setdefault(i, set()).update((-sum(a * b for a, b in zip(q, x, strict=True)), j) for j, x in ready if j != i and len(x) == len(q))
+    return sorted((i, r + 1, j, -s) for i, found in out.items() for r, (s, j) in enumerate(sorted(found)[:k]))
+
+
+def test_top_k_equals_brute_force_and_evaluates_little(spark, monkeypatch):
+    monkeypatch.setattr(vector_search, "PAGE", 3)
+    monkeypatch.setattr(vector_search, "SAMPLE", 200)
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(12, 8)) * 6
+    rows = [(i, [float(x) for x in centres[i % 12] + rng.normal(size=8) * 0.05]) for i in range(1500)]
+    rows += [(i, rows[i % 100][1]) for i in range(1500, 1600)] + [(7, rows[7][1]), (7, rows[8][1]), (None, rows[0][1]), (1700, None)]  # ties, repeated rows and ids, nulls
+    rows += [(2000 + i, [float(x) for x in rng.normal(size=3)]) for i in range(9)] + [(3000 + i, [5e5 * (i + 1), -4e5 * i]) for i in range(4)]  # other dimensions, large numbers
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("near", F.lit("x")).repartition(5)
+    got = vector_search.top_k(df, F.col("vec_id") % 50 < 8, block=64, evaluated=True).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == _brute_top(rows, lambda i: i % 50 < 8)
+    tried = {r.query_id: r.evaluated for r in got if r.query_id < 1500}
+    assert sum(tried.values()) < 0.2 * len(tried) * 1600
+    assert sorted(map(tuple, vector_search.top_k(df, F.col("vec_id") % 50 < 8, pivots=0).collect())) == sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got)
+
+
 def test_quality_and_toxicity_on_odd_texts(spark, odd):
     labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(len(TEXTS))], "doc_id long, quality int, toxic int")
     for got in (quality.score_quality(odd, labels), toxicity.score_toxicity(odd, labels), quality.score_quality(odd, labels.limit(0)), toxicity.score_toxicity(odd, labels.limit(0))):
