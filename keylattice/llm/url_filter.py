@@ -1,18 +1,19 @@
-"""URL filters: a sorted array of 64-bit digests of rules, memory-mapped by each task and probed by binary search."""
+"""URL filters: a sorted array of 64-bit digests of rules in a file that each machine maps once and its tasks probe by binary search."""
 
 from __future__ import annotations
 
 import string
-import tempfile
 from collections.abc import Iterable, Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keylattice.llm.common import table
+from keylattice.llm.common import shared_path, table
 
 #: The rules of the registered query: (verdict, host, path prefix). Fixed values.
 RULES = [
@@ -35,33 +36,35 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def array_file(rules: Sequence[Rule]) -> bytes:
+    """The file of a rule list: four counts, the lengths of paths, sorted 64-bit digests, ends of the rule strings, verdicts
+    (1: block), and the full rule strings that confirm a hit. Of equal rules, block wins."""
+    kept: dict[str, str] = {}
+    for verdict, host, path in rules:
+        if kept.get(host + path) != "block":
+            kept[host + path] = verdict
+    texts = sorted(kept, key=lambda r: (xxhash.xxh64_intdigest(r), r))
+    raw = [r.encode() for r in texts]
+    lengths = np.array(sorted({len(p) for _, _, p in rules}), np.int64)
+    keys = np.array([xxhash.xxh64_intdigest(r) for r in texts], np.uint64)
+    ends = np.cumsum([len(r) for r in raw], dtype=np.int64)
+    counts = np.array([len(lengths), len(texts), int(ends[-1]) if len(ends) else 0, 0], np.int64)
+    return b"".join([counts.tobytes(), lengths.tobytes(), keys.tobytes(), ends.tobytes(), bytes(kept[r] == "block" for r in texts), *raw])
+
+
 class DigestArray:
-    """Rules as three flat arrays: sorted 64-bit digests, offsets, and the full rule strings that confirm a hit."""
-
-    def __init__(self, rules: Sequence[Rule]):
-        kept: dict[str, str] = {}
-        for verdict, host, path in rules:  # of equal rules, block wins
-            if kept.get(host + path) != "block":
-                kept[host + path] = verdict
-        texts = sorted(kept, key=lambda r: (xxhash.xxh64_intdigest(r), r))
-        self.keys = np.array([xxhash.xxh64_intdigest(r) for r in texts], dtype=np.uint64)
-        self.block = np.array([kept[r] == "block" for r in texts], dtype=bool)
-        raw = [r.encode() for r in texts]
-        self.ends = np.cumsum([len(r) for r in raw], dtype=np.int64)
-        self.text = b"".join(raw)
-        self.lengths = sorted({len(p) for _, _, p in rules})
-
-    def mapped(self) -> DigestArray:
-        """The same with its keys in an unlinked, memory-mapped file of this task."""
-        if len(self.keys):
-            with tempfile.TemporaryFile() as f:
-                f.write(self.keys.tobytes())
-                f.flush()
-                self.keys = np.memmap(f, dtype=np.uint64, mode="r")
-        return self
+    """A mapped file of rules: nothing of it is read but the pages that probes touch."""
+
+    def __init__(self, path: str):
+        data = np.memmap(path, np.uint8, "r")
+        n_lengths, n, text, _ = data[:32].view(np.int64).tolist()
+        ends = 32 + np.cumsum([0, 8 * n_lengths, 8 * n, 8 * n, n, text])
+        part = [data[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        self.lengths = part[0].view(np.int64).tolist()
+        self.keys, self.ends, self.block, self.text = part[1].view(np.uint64), part[2].view(np.int64), part[3], part[4]
 
     def rule(self, at: int) -> bytes:
-        return self.text[self.ends[at - 1] if at else 0 : self.ends[at]]
+        return self.text[self.ends[at - 1] if at else 0 : self.ends[at]].tobytes()
 
     def probe(self, candidates: list[bytes]) -> np.ndarray:
         """Position of each candidate among the rules, or -1. Equal digests are told apart by the stored strings."""
@@ -97,45 +100,53 @@ class DigestArray:
         return rules, verdicts
 
 
-def judge_urls(pages: DataFrame, rules: Sequence[Rule], default: str = "allow", max_rule_bytes: int = 256 << 20) -> DataFrame:
+@lru_cache(4)
+def mapped(name: str) -> DigestArray:
+    return DigestArray(SparkFiles.get(name))
+
+
+def share(spark: SparkSession, rules: Sequence[Rule]) -> str:
+    """Writes the rules' file to the shared folder, from where Spark brings it to every executor once; its name."""
+    jvm, path = spark.sparkContext._jvm, shared_path(spark, "rules")
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target)
+    try:
+        data = array_file(rules)
+        for at in range(0, len(data), 1 << 22):
+            out.write(bytearray(data[at : at + (1 << 22)]))
+    finally:
+        out.close()
+    spark.sparkContext.addFile(path)
+    return path.rpartition("/")[2]
+
+
+def judge_urls(pages: DataFrame, rules: Sequence[Rule], default: str = "allow") -> DataFrame:
     """Host, path, the longest fitting rule and the verdict of each url.
 
     A rule (verdict, host, path) fits a host and all its subdomains when the url's path starts with the rule's.
-    The longest `host + path` wins; without one, the verdict is `default` (the url is not in the digest array).
-    Null urls and urls without :// have an empty host and path and get the default; repeated rows stay; an
-    empty rule list gives every row the default. Rules are given by the caller, so their size is known: above
-    max_rule_bytes they are not sent to tasks but joined (`judge_urls_joined`).
+    The longest `host + path` wins, of equal rules block; without one, the verdict is `default` (the url is not in the digest
+    array). Null urls and urls without :// have an empty host and path and get the default; repeated rows and null ids stay; a
+    very long url is probed whole; an empty rule list gives every row the default, an empty table an empty result. Columns named
+    host, path, rule or verdict are replaced.
+
+    Rules are a list of the caller's. They go to a file that every executor gets once and all its tasks map.
     """
-    parts = pages.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
-    if sum(len(h) + len(p) + 24 for _, h, p in rules) > max_rule_bytes:
-        return judge_urls_joined(parts, pages.sparkSession.createDataFrame(list(rules), "verdict string, host string, path string"), default)
-    index = pages.sparkSession.sparkContext.broadcast(DigestArray(rules))
+    pages = pages.drop("host", "path", "rule", "verdict")
+    name = share(pages.sparkSession, rules)
 
     @F.pandas_udf("rule string, verdict string")
     def judged(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        own = index.value.mapped()
+        own = mapped(name)
         for hosts, paths in batches:
             found, verdicts = own.judge(hosts.tolist(), paths.tolist(), default)
             yield pd.DataFrame({"rule": pd.Series(found, dtype=object), "verdict": pd.Series(verdicts, dtype=object)})
 
-    return parts.withColumn("_judged", judged("host", "path")).select(*[c for c in parts.columns if c not in ("rule", "verdict")], "_judged.rule", "_judged.verdict")
-
-
-def judge_urls_joined(parts: DataFrame, rules: DataFrame, default: str) -> DataFrame:
-    """The way for rule lists of any size: every (host suffix, path prefix) of each distinct (host, path) joins the rules."""
-    rules = rules.groupBy(F.concat("host", "path").alias("rule")).agg(F.max("verdict").alias("verdict"))
-    urls = parts.select("host", "path").distinct()
-    labels = F.split("host", r"\.")
-    suffix = F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")))
-    keys = urls.where("host <> ''").withColumn("suffix", suffix).where("suffix <> ''")
-    prefix = F.explode(F.transform(F.sequence(F.lit(0), F.char_length("path")), lambda n: F.substring("path", F.lit(1), n)))
-    keys = keys.withColumn("prefix", prefix).select("host", "path", F.concat("suffix", "prefix").alias("rule"))
-    hits = keys.join(rules, "rule").groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), F.char_length("rule")).alias("_hit"))
-    out = parts.join(hits, ["host", "path"], "left")
-    return out.select(*[c for c in parts.columns if c not in ("rule", "verdict")], "_hit.rule", F.coalesce("_hit.verdict", F.lit(default)).alias("verdict"))
+    parts = pages.select(F.struct("*").alias("page"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    return parts.select("page", "host", "path", judged("host", "path").alias("found")).select("page.*", "host", "path", "found.rule", "found.verdict")
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, host, path, rule, verdict of all `pages`; null, odd and repeated urls as in `judge_urls`."""
     return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
