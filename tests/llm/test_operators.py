@@ -415,13 +415,38 @@ def test_html_odd_pages(spark):
     assert {r.page_id: r.n_chars for r in html_text.extract_main_text(pages).collect()}.keys() == {1, 2, 3, 4, 5}
 
 
-def test_urls_joined_and_probed_agree(spark):
-    urls = [None, "x", "http://a.example.org/es/1", "http://EXAMPLE.org/en/12?q", "https://b.com/fr/", "https://b.com/de/x#y", "ftp://com/de/", "http://org", "http://notorg/", "a://b://c/de/"]
-    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id int, url string")
-    one = sorted(map(tuple, url_filter.judge_urls(pages, url_filter.RULES).select("page_id", "rule", "verdict").collect()))
-    two = sorted(map(tuple, url_filter.judge_urls(pages, url_filter.RULES, max_rule_bytes=0).select("page_id", "rule", "verdict").collect()))
-    assert one == two
-    assert [r[2] for r in one] == ["allow", "allow", "block", "block", "allow", "block", "block", "allow", "allow", "allow"]
+URLS = [None, "x", "http://a.example.org/es/1", "http://EXAMPLE.org/en/12?q", "https://b.com/fr/", "https://b.com/de/x#y", "ftp://com/de/", "http://org", "http://notorg/", "a://b://c/de/", "", "http://É.com/de/é", "http://org/" + "x" * 50_000]
+
+
+def _judged(url, rules, default="allow"):
+    host = path = ""
+    if url and "://" in url:
+        rest = url.split("://", 1)[1]
+        host, path = re.match(r"(?s)([^/?#]*)([^?#]*)", rest).groups()
+        host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
+    fits = [(len(h + p), v == "block", h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return (host, path, *(max(fits)[2:] if fits else (None, default)))
+
+
+def test_urls_equal_brute_force(spark):
+    pages = spark.createDataFrame([*((i, u, "old") for i, u in enumerate(URLS)), (None, URLS[2], "old"), (2, URLS[2], "old")], "page_id int, url string, verdict string")
+    many = [*url_filter.RULES, ("allow", "com", "/de/"), *(("block", f"h{i}.net", f"/{i % 7}") for i in range(3000))]
+    for rules in (url_filter.RULES, many, []):
+        got = url_filter.judge_urls(pages, rules)
+        assert got.columns == ["page_id", "url", "host", "path", "rule", "verdict"]
+        rows = got.collect()
+        assert len(rows) == len(URLS) + 2
+        assert all((r.host, r.path, r.rule, r.verdict) == _judged(r.url, rules) for r in rows)
+    assert url_filter.judge_urls(pages.limit(0), url_filter.RULES).count() == 0
+
+
+def test_equal_digests_are_told_apart_by_the_stored_strings(monkeypatch, tmp_path):
+    monkeypatch.setattr(url_filter.xxhash, "xxh64_intdigest", lambda text: 7)
+    (tmp_path / "rules").write_bytes(url_filter.array_file(url_filter.RULES))
+    array = url_filter.DigestArray(str(tmp_path / "rules"))
+    for url in URLS[2:9]:
+        host, path, rule, verdict = _judged(url, url_filter.RULES)
+        assert array.judge([host], [path], "allow") == ([rule], [verdict])
 
 
 def _brute_components(rows):
@@ -520,24 +545,57 @@ def test_components(spark):
     assert got == {i: 0 for i in [*range(41), 200]} | {100: 100, 101: 100}
 
 
-def test_mixing(spark):
+def _targets(sizes, weights, share, most):
+    """By rounds: what is above a source's limit is dealt again among the others."""
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    target, open_, budget = {}, list(order), share * sum(sizes.values())
+    while open_:
+        total = sum(weight[s] for s in open_)
+        above = [s for s in open_ if budget * weight[s] / total >= most * sizes[s]]
+        if not above:
+            return target | {s: budget * weight[s] / total for s in open_}
+        target |= {s: most * sizes[s] for s in above}
+        budget -= sum(target[s] for s in above)
+        open_ = [s for s in open_ if s not in above]
+    return target
+
+
+def test_mixing_equals_brute_force(spark):
     rng = random.Random(8)
-    rows = [(i, " w" * rng.randint(1, 40), rng.choice("abcd")) for i in range(3000)] + [(1, None, None), (2, "", "e"), (None, "a b", None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = mixing.mix_sources(docs).toPandas()
-    again = mixing.mix_sources(docs.repartition(7)).toPandas()
-    assert (got.taken <= 2 * got["size"]).all()
-    assert sorted(got.taken) == sorted(again.taken)
-    for _, part in got[got.source.isin(list("abcd"))].groupby("source"):
-        assert abs(part.taken.sum() - part.target.iloc[0]) <= 40
+    rows = [(i, " w" * rng.randint(1, 40), rng.choice(["a", "b", "c", "é", "z", "\U0001f600"]), 1) for i in range(3000)] + [(1, None, None, 1), (2, "", "e", 1), (None, "a b", None, 1), (5, "x y z", "a", 1), (5, "x y z", "a", 1), (6, "w " * 70_000, "long", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, key int")
+    for weights, share in (((5, 2, 1), 1.5), ((1, 1, 50), 0.4), ((1,), 3.0)):
+        got = mixing.mix_sources(docs, weights, share).collect()
+        assert sorted(map(str, got)) == sorted(map(str, mixing.mix_sources(docs.repartition(7), weights, share).collect()))
+        sizes = {}
+        for _, t, s, _ in rows:
+            sizes[s] = sizes.get(s, 0) + len((t or "").split())
+        want = _targets(sizes, weights, share, 2)
+        by = {}
+        for r in got:
+            assert abs(r.target - want[r.source]) < 1e-6 and r.source_size == sizes[r.source] and 0 <= r.taken <= 2 * r.size and r.taken == r.copies * r.size
+            by.setdefault(r.source, []).append(r)
+        for s, own in by.items():  # by hash order, the one of two neighbouring cuts that is nearer to the target
+            whole = int(want[s] // sizes[s]) if sizes[s] else 0
+            rest, upto, cuts = want[s] - whole * sizes[s], 0, [0]
+            keys = {}
+            for r in own:
+                keys[r.key % 2**64] = keys.get(r.key % 2**64, 0) + r.size
+            for k in sorted(keys):
+                upto += keys[k]
+                cuts.append(upto)
+            assert abs(sum(r.taken for r in own) - whole * sizes[s] - min(cuts, key=lambda c: abs(c - rest))) <= 0 or abs(abs(sum(r.taken for r in own) - want[s]) - min(abs(c - rest) for c in cuts)) < 1e-6  # noqa: B023
     assert mixing.mix_sources(docs.limit(0)).count() == 0
 
 
-def test_targets_stop_at_twice_the_size():
-    t = mixing.source_targets([("a", 10), ("b", 1000), (None, 100)], (5, 2, 1), 1.5, 2)
-    assert t["a"] == 20
-    assert abs(sum(t.values()) - 1665) < 1e-6
-    assert all(v <= 2 * n + 1e-9 for v, n in zip(t.values(), (10, 1000, 100), strict=True))
+def test_targets_of_many_sources(spark):
+    rng = random.Random(13)
+    sizes = {f"s{i}": rng.choice([0, rng.randint(1, 10), rng.randint(1, 100_000)]) for i in range(2000)} | {None: 50}
+    table = spark.createDataFrame(list(sizes.items()), "source string, n long").repartition(5)
+    want = _targets(sizes, (5, 2, 1), 1.5, 2)
+    got = {r.source: r.target for r in mixing.with_targets(mixing.ranked_sources(table), (5, 2, 1), 1.5, 2).collect()}
+    assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-6 * max(1, want[s]) for s in want)
 
 
 def test_pipeline(spark):
