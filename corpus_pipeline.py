@@ -39,10 +39,12 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them: a document taken twice is there twice."""
     ship(spark)
-    plan = mix_sources(docs).where("copies > 0").select("source", "_key", "copies").distinct()
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    taken = keyed.alias("d").join(plan.alias("p"), (F.col("d._key") == F.col("p._key")) & F.col("d.source").eqNullSafe(F.col("p.source")))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col(f"d.{c}") for c in docs.columns])
+    plan = mix_sources(docs).where("copies > 0").select("source", "key", "copies").distinct()
+    # Columns of documents may have any name, so they go as one.
+    whole = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("doc"), F.xxhash64("doc_id", "text").alias("key"), F.col("source").alias("from"))
+    taken = whole.alias("d").join(plan.alias("p"), (F.col("d.key") == F.col("p.key")) & F.col("d.from").eqNullSafe(F.col("p.source")))
+    copies = taken.select("d.doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    return copies.select(*[F.col(f"doc.c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
