@@ -73,7 +73,7 @@ def door_digits(x: Column) -> Column:
 
 
 def door_sides(x: Column) -> Column:
-    """Sorted set of what tells sides apart: orientation words, single letters, an orientation glued to a number."""
+    """The marks by which otherwise like names differ, in order: compass and position words, lone letters, a compass word behind a number."""
     words = F.regexp_extract_all(casefold(fold_marks(x)), F.lit("([a-z0-9]+)"), 1)
     known = F.array(*map(F.lit, ORIENTATION))
     glued = lambda t: F.regexp_extract(t, r"^[0-9]+(" + "|".join(SUFFIXES) + r")$", 1)
@@ -143,7 +143,8 @@ def iso_date(x: Column) -> Column:
 
 
 def utc_iso(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    """The instant in UTC, whatever the session's time zone."""
+    return F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
 def md_escape(x: Column) -> Column:

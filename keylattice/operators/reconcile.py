@@ -90,7 +90,7 @@ def set_group_resources(domain: Domain, group: int, resources: DataFrame, includ
     """(group_resource, grants): resources join or leave a group; members' wishes follow, kept where another group covers."""
     change = resources.select(F.lit(group).cast("long").alias("grp"), "resource").distinct()
     members = domain.membership.where(F.col("grp") == group).select("principal")
-    touched = members.join(F.broadcast(change.select("resource")), how="inner")
+    touched = members.join(change.select("resource"), how="inner")
     if included:
         return domain.group_resource.unionByName(change).distinct(), _with_desired(domain.grants, _desired(domain.grants).unionByName(touched))
     held = domain.group_resource.join(change, ["grp", "resource"], "left_anti")
@@ -166,7 +166,7 @@ def seed_groups(domain: Domain, names: DataFrame, tokens: DataFrame, cards: Data
     last = domain.resource.groupBy(fold("door_name").alias("k")).agg(F.max("serial").alias("resource"))
     by_name = names.select("grp", fold("door_name").alias("k")).join(last, "k").select("grp", "resource")
     place = domain.resource.select(F.col("serial").alias("resource"), F.lower(F.concat_ws(" ", "location", "area")).alias("place"))
-    by_token = place.join(F.broadcast(tokens), F.col("place").contains(F.lower(F.col("token")))).select("grp", "resource")
+    by_token = place.join(tokens, F.col("place").contains(F.lower(F.col("token")))).select("grp", "resource")
     filled = by_name.unionByName(by_token).distinct()
     touched = names.select("grp").union(tokens.select("grp")).distinct()
     held = domain.group_resource.join(touched, "grp", "left_anti").unionByName(filled)

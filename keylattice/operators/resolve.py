@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -70,6 +72,18 @@ def dedupe_ordered(items: DataFrame, known: DataFrame) -> DataFrame:
     return first.join(known.select("id"), "id", "left_semi").select("pos", "id")
 
 
-def rank_rows(df: DataFrame, *order, name: str = "index") -> DataFrame:
-    """Dense 0-based positions over a default order; for dimension tables only, which are small."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)) - 1)
+def rank_rows(df: DataFrame, *order, runs: tuple[Column, ...], name: str = "index") -> DataFrame:
+    """Dense 0-based positions over an order that begins with `runs` (nulls first), or with what they are a prefix of.
+
+    Each run of equal `runs` is numbered on its own; the rows before it are a running sum over the counts of runs, so no
+    task sees all rows.
+    """
+    keys = [f"run{i}" for i in range(len(runs))]
+    placed = df.select(F.struct("*").alias("row"), *(c.alias(k) for c, k in zip(runs, keys, strict=True)))
+    inside = [c if isinstance(c, Column) else F.col(c) for c in order]
+    own = df.select(F.struct("*").alias("row"), *(c.alias(k) for c, k in zip(runs, keys, strict=True)), F.row_number().over(Window.partitionBy(*runs).orderBy(*inside)).alias("own"))
+    before = Window.orderBy(*(F.asc_nulls_first(k) for k in keys)).rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy(*keys).agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    same = [F.col(f"o.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]
+    joined = own.alias("o").join(starts.alias("s"), reduce(lambda a, b: a & b, same))
+    return joined.select("o.row.*", (F.col("before") + F.col("own") - 1).alias(name))

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from keylattice.functions import text as T
 from keylattice.operators.resolve import rank_rows
@@ -22,7 +27,7 @@ def labelled_resources(d: Domain) -> DataFrame:
 
 def group_labels(d: Domain) -> DataFrame:
     """principal, group_label for principals with a group."""
-    g = d.membership.join(F.broadcast(d.grp.select(F.col("id").alias("grp"), F.struct("name", F.col("export_code").alias("code"), F.col("is_implicit").alias("implicit")).alias("g"))), "grp")
+    g = d.membership.join(d.grp.select(F.col("id").alias("grp"), F.struct("name", F.col("export_code").alias("code"), F.col("is_implicit").alias("implicit")).alias("g")), "grp")
     return g.groupBy("principal").agg(F.collect_list("g").alias("gs")).select("principal", T.group_label(F.col("gs")).alias("group_label"))
 
 
@@ -83,20 +88,47 @@ def _scoped(flags: DataFrame, scope: str) -> DataFrame:
 def overlap(d: Domain, scope: str = "active") -> DataFrame:
     """a, b, shared, pct, alpha, dark, self for every pair of principals, the dense matrix that is asked for.
 
-    Shared counts come from a sparse self-join on the resource (a < b only, then mirrored); the dense frame is the one
-    place where all pairs are the result itself.
+    All pairs are the result itself, so principals are packed into blocks, and each pair of blocks makes its part of the
+    matrix where its sets meet: no pair is ever shuffled, and a resource that all hold is one column of each block.
     """
-    sets = _scoped(d.flags(), scope)
-    size = sets.groupBy("principal").agg(F.count("*").alias("n"))
-    half = sets.alias("x").join(sets.alias("y"), F.col("x.resource") == F.col("y.resource")).where("x.principal < y.principal").groupBy(F.col("x.principal").alias("a"), F.col("y.principal").alias("b")).agg(F.count("*").alias("shared"))
-    own = size.select(F.col("principal").alias("a"), F.col("principal").alias("b"), F.col("n").alias("shared"))
-    sparse = half.unionByName(half.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared")).unionByName(own)
-    sized = d.principal.select(F.col("serial").alias("principal")).join(size, "principal", "left").select("principal", F.coalesce("n", F.lit(0)).alias("n"))
-    dense = sized.select(F.col("principal").alias("a"), F.col("n").alias("na")).crossJoin(sized.select(F.col("principal").alias("b"), F.col("n").alias("nb")))
-    shared = F.coalesce("shared", F.lit(0))
-    jac = shared / F.greatest(F.col("na") + F.col("nb") - shared, F.lit(1))
-    out = dense.join(sparse, ["a", "b"], "left").select("a", "b", shared.alias("shared"), jac.alias("jac"))
-    return out.select("a", "b", "shared", F.bround(F.col("jac") * 100).cast("int").alias("pct"), (0.08 + 0.92 * F.col("jac")).alias("alpha"), (F.col("jac") >= 0.55).alias("dark"), (F.col("a") == F.col("b")).alias("is_self"))
+    sets = _scoped(d.flags(), scope).withColumnRenamed("principal", "serial")
+    blocks = max(1, -(-d.principal.count() // OVERLAP_BLOCK))
+    held = d.principal.select("serial").join(sets, "serial", "left").withColumn("block", F.pmod(F.xxhash64("serial"), F.lit(blocks)))
+    met = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "serial", "resource")
+    return met.groupBy("low", "high").applyInArrow(_block_overlap, "a string, b string, shared long, pct int, alpha double, dark boolean, is_self boolean")
+
+
+#: Principals of a block of the overlap matrix, and resources that are multiplied at a time.
+OVERLAP_BLOCK, OVERLAP_CHUNK = 256, 8192
+
+
+def _block_overlap(rows: pa.Table) -> pa.Table:
+    """The matrix, both ways, of the principals of block `low` with those of block `high`."""
+    low, high = rows.column("low")[0].as_py(), rows.column("high")[0].as_py()
+    who = rows.column("serial").combine_chunks().dictionary_encode()
+    what = rows.column("resource").combine_chunks().dictionary_encode()
+    p = who.indices.to_numpy()
+    r = what.indices.fill_null(-1).to_numpy()
+    n = len(who.dictionary)
+    shared = np.zeros((n, n), np.float64)
+    order = np.argsort(r, kind="stable")
+    p_of, r_of = p[order], r[order]
+    for at in range(0, len(what.dictionary), OVERLAP_CHUNK):
+        some = slice(*np.searchsorted(r_of, [at, at + OVERLAP_CHUNK]))
+        part = np.zeros((n, OVERLAP_CHUNK), np.float32)  # counts up to the chunk's width are exact
+        part[p_of[some], r_of[some] - at] = 1
+        shared += part @ part.T
+    block = np.zeros(n, np.int64)
+    block[p] = rows.column("block").to_numpy()
+    first, second = np.flatnonzero(block == low), np.flatnonzero(block == high)
+    a, b = np.repeat(first, len(second)), np.tile(second, len(first))
+    if low != high:
+        a, b = np.concatenate([a, b]), np.concatenate([b, a])
+    size, both = np.diag(shared), shared[a, b]
+    jac = both / np.maximum(size[a] + size[b] - both, 1)
+    names = who.dictionary.cast(pa.string())
+    cols = [names.take(pa.array(a)), names.take(pa.array(b)), both.astype(np.int64), np.rint(jac * 100).astype(np.int32), 0.08 + 0.92 * jac, jac >= 0.55, a == b]
+    return pa.Table.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], names=["a", "b", "shared", "pct", "alpha", "dark", "is_self"])
 
 
 def pair_panel(d: Domain, a: str, b: str, scope: str = "active") -> DataFrame:
@@ -108,31 +140,31 @@ def pair_panel(d: Domain, a: str, b: str, scope: str = "active") -> DataFrame:
 
 
 def equal_sets(pairs: DataFrame, owner: str, item: str, least: int = 2) -> DataFrame:
-    """Owners grouped by exactly equal non-empty item sets: items (ordered), owners (ordered), counts."""
-    sets = pairs.groupBy(owner).agg(F.array_join(F.array_sort(F.collect_set(item)), ",").alias("items"), F.count_distinct(item).alias("n_items"))
-    return sets.groupBy("items", "n_items").agg(F.count("*").alias("n_owners"), F.array_join(F.array_sort(F.collect_list(owner)), ",").alias("owners")).where(F.col("n_owners") >= least)
+    """Owners grouped by exactly equal non-empty item sets: items and owners (ordered arrays), counts."""
+    sets = pairs.groupBy(owner).agg(F.array_sort(F.collect_set(item)).alias("items"))
+    return sets.groupBy("items").agg(F.count("*").alias("n_owners"), F.array_sort(F.collect_list(owner)).alias("owners")).where(F.col("n_owners") >= least).withColumn("n_items", F.size("items").cast("long"))
 
 
 def clones(pairs: DataFrame) -> DataFrame:
-    return equal_sets(pairs, "principal", "resource").select(F.col("owners").alias("principals"), F.col("n_owners").alias("n_principals"), "n_items")
+    return equal_sets(pairs, "principal", "resource").select(F.array_join("owners", ",").alias("principals"), F.col("n_owners").alias("n_principals"), "n_items")
 
 
 def tiers(pairs: DataFrame, top: int = 12) -> DataFrame:
     """Resources grouped by their exact holder set; most resources first, then most holders, then smallest resource."""
-    t = equal_sets(pairs, "resource", "principal", least=1).select(F.col("owners").alias("resources"), F.col("n_owners").alias("n_resources"), F.col("n_items").alias("n_holders"))
+    t = equal_sets(pairs, "resource", "principal", least=1).select(F.array_join("owners", ",").alias("resources"), F.col("n_owners").alias("n_resources"), F.col("n_items").alias("n_holders"))
     return t.orderBy(F.desc("n_resources"), F.desc("n_holders"), "resources").limit(top)
 
 
 def combinations(d: Domain) -> DataFrame:
     """Principals by their exact set of group codes; none is a set too."""
-    codes = d.membership.join(F.broadcast(d.grp.select(F.col("id").alias("grp"), "export_code")), "grp").groupBy(F.col("principal").alias("serial")).agg(F.array_join(F.array_sort(F.collect_set("export_code")), "+").alias("key"))
+    codes = d.membership.join(d.grp.select(F.col("id").alias("grp"), "export_code"), "grp").groupBy(F.col("principal").alias("serial")).agg(F.array_join(F.array_sort(F.collect_set("export_code")), "+").alias("key"))
     return d.principal.select("serial").join(codes, "serial", "left").groupBy(F.coalesce("key", F.lit("")).alias("key")).agg(F.count("*").alias("n_principals"), F.min("serial").alias("first_serial"))
 
 
 def combination_titles(d: Domain) -> DataFrame:
     """Titles of the sets of groups; titles that several sets share get their key in brackets."""
     labels = group_labels(d).withColumnRenamed("principal", "serial")
-    codes = d.membership.join(F.broadcast(d.grp.select(F.col("id").alias("grp"), "export_code")), "grp").groupBy(F.col("principal").alias("serial")).agg(F.array_join(F.array_sort(F.collect_set("export_code")), "+").alias("key"))
+    codes = d.membership.join(d.grp.select(F.col("id").alias("grp"), "export_code"), "grp").groupBy(F.col("principal").alias("serial")).agg(F.array_join(F.array_sort(F.collect_set("export_code")), "+").alias("key"))
     keyed = codes.join(labels, "serial").groupBy("key").agg(F.min("group_label").alias("base"), F.count("*").alias("n"))
     shared = keyed.groupBy("base").agg(F.count("*").alias("uses"))
     return keyed.join(shared, "base").select("key", F.when(F.col("uses") > 1, F.concat("base", F.lit(" ("), "key", F.lit(")"))).otherwise(F.col("base")).alias("title"), "n")
@@ -169,12 +201,15 @@ def change_sheets(d: Domain) -> DataFrame:
 
 
 def principals_indexed(d: Domain) -> DataFrame:
-    return rank_rows(labelled_principals(d), F.asc_nulls_first("number"), "person_name", "serial", name="ci").select(F.col("serial").alias("principal"), "ci")
+    """principal, ci: the places of all principals by number (none first), name and serial."""
+    order = (F.asc_nulls_first("number"), "person_name", "serial")
+    return rank_rows(labelled_principals(d), *order, runs=(F.col("number"), F.left("person_name", F.lit(12))), name="ci").select(F.col("serial").alias("principal"), "ci")
 
 
 def resources_indexed(d: Domain, used: DataFrame | None = None) -> DataFrame:
+    """resource, ri: the places of all resources, or of the used ones, by location, name and serial."""
     r = d.resource if used is None else d.resource.join(used.select(F.col("resource").alias("serial")).distinct(), "serial", "left_semi")
-    return rank_rows(r, "location", "door_name", "serial", name="ri").select(F.col("serial").alias("resource"), "ri")
+    return rank_rows(r, "location", "door_name", "serial", runs=(F.col("location"), F.left("door_name", F.lit(2))), name="ri").select(F.col("serial").alias("resource"), "ri")
 
 
 def matrix(d: Domain, scope: str = "all") -> DataFrame:
@@ -183,7 +218,7 @@ def matrix(d: Domain, scope: str = "all") -> DataFrame:
         raise ValueError(f"scope must be all, active or planned, not {scope!r}")
     cells = d.flags().withColumn("weight", weight(F.col("active"), F.col("planned"))).where("weight > 0")
     cells = cells.where({"all": "true", "active": "weight = 2", "planned": "weight = 1"}[scope])
-    return cells.join(F.broadcast(principals_indexed(d)), "principal").join(resources_indexed(d), "resource").select("ci", "ri", "weight")
+    return cells.join(principals_indexed(d), "principal").join(resources_indexed(d), "resource").select("ci", "ri", "weight")
 
 
 def diff(d: Domain, hide_empty: bool = False) -> DataFrame:
@@ -191,7 +226,7 @@ def diff(d: Domain, hide_empty: bool = False) -> DataFrame:
     flags = d.flags()
     cells = flags.where("active OR planned OR desired").select("principal", "resource", weight(F.col("active"), F.col("planned")).alias("weight"), F.col("desired").cast("int").alias("wished"))
     rows = resources_indexed(d, flags if hide_empty else None)
-    return cells.join(F.broadcast(principals_indexed(d)), "principal").join(rows, "resource").select("ci", "ri", "weight", "wished")
+    return cells.join(principals_indexed(d), "principal").join(rows, "resource").select("ci", "ri", "weight", "wished")
 
 
 def individual(d: Domain, scope: str = "soll") -> DataFrame:
@@ -200,11 +235,18 @@ def individual(d: Domain, scope: str = "soll") -> DataFrame:
     n_current is the size of the basis before the groups' resources are taken off.
     """
     rule = "active OR planned OR removed" if scope == "ist" else "desired"
-    basis = d.flags().where(rule)
-    n = basis.groupBy("principal").agg(F.count("*").alias("n_current"))
-    own = basis.join(d.inherited(), ["principal", "resource"], "left_anti")
+    basis = d.flags().where(rule).withColumn("n_current", F.count("*").over(Window.partitionBy("principal")))
     state = F.when(F.col("active"), "active").when(F.col("planned"), "planned").when(F.col("removed"), "removed").otherwise("add")
-    return own.join(n, "principal").select("principal", "resource", state.alias("state"), "n_current")
+    return beyond_groups(d, basis).select("principal", "resource", state.alias("state"), "n_current")
+
+
+def beyond_groups(d: Domain, pairs: DataFrame) -> DataFrame:
+    """Pairs (principal, resource, ...) whose resource no group of the principal holds. Each pair meets the groups of its
+    principal and those of its resource; what groups hold is never written out for every member."""
+    mine = d.membership.groupBy("principal").agg(F.collect_set("grp").alias("own_groups"))
+    holders = d.group_resource.groupBy("resource").agg(F.collect_set("grp").alias("held_by"))
+    met = pairs.join(mine, "principal", "left").join(holders, "resource", "left")
+    return met.where(~F.coalesce(F.arrays_overlap("own_groups", "held_by"), F.lit(False))).select(*pairs.columns)
 
 
 def detail(d: Domain, principal: str) -> DataFrame:
@@ -218,7 +260,7 @@ def detail(d: Domain, principal: str) -> DataFrame:
 def editor(d: Domain, principal: str) -> DataFrame:
     """Every resource with: wished, inherited, the groups it comes through, current state."""
     mine = d.flags().where(F.col("principal") == principal).drop("principal").withColumnRenamed("resource", "serial")
-    via = d.membership.where(F.col("principal") == principal).join(d.group_resource, "grp").join(F.broadcast(d.grp.select(F.col("id").alias("grp"), "name")), "grp")
+    via = d.membership.where(F.col("principal") == principal).join(d.group_resource, "grp").join(d.grp.select(F.col("id").alias("grp"), "name"), "grp")
     via = via.groupBy(F.col("resource").alias("serial")).agg(F.array_join(F.array_sort(F.collect_set("name")), ", ").alias("via"))
     state = F.when(F.col("active"), "active").when(F.col("planned"), "planned").otherwise("")
     return d.resource.select("serial").join(mine, "serial", "left").join(via, "serial", "left").select("serial", F.coalesce("desired", F.lit(False)).alias("on"), F.col("via").isNotNull().alias("inherited"), F.coalesce("via", F.lit("")).alias("via"), state.alias("state"))
@@ -230,33 +272,28 @@ def pending(d: Domain) -> DataFrame:
 
 def fate(d: Domain) -> DataFrame:
     """resource, fate, principal, badge. A pair that is active and removed has two items."""
-    f = d.flags()
-    pick = lambda rule, name, badge: f.where(rule).select("resource", F.lit(name).alias("fate"), "principal", F.lit(badge).alias("badge"))
-    parts = [
-        pick("active AND desired", "keep", ""),
-        pick("removed AND desired", "keep", "wished"),
-        pick("removed AND NOT desired", "remove", "withdrawn"),
-        pick("active AND NOT desired", "remove", "not desired"),
-        pick("planned", "planned", ""),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    kinds = (
+        ("active AND desired", "keep", ""),
+        ("removed AND desired", "keep", "wished"),
+        ("removed AND NOT desired", "remove", "withdrawn"),
+        ("active AND NOT desired", "remove", "not desired"),
+        ("planned", "planned", ""),
+    )
+    items = F.array(*(F.when(F.expr(rule), F.struct(F.lit(name).alias("fate"), F.lit(badge).alias("badge"))) for rule, name, badge in kinds))
+    f = d.flags().select("resource", "principal", F.explode(F.filter(items, lambda i: i.isNotNull())).alias("item"))
+    return f.select("resource", "item.fate", "principal", "item.badge")
 
 
 def fate_ordered(d: Domain, resource: str) -> DataFrame:
     """One resource's items with their place: null numbers last, but first among planned."""
     rows = fate(d).where(F.col("resource") == resource).join(d.principal.select(F.col("serial").alias("principal"), "number", "person_name"), "principal")
     key = F.when(F.col("fate") == "planned", F.coalesce("number", F.lit(-1))).otherwise(F.coalesce("number", F.lit(NUMBER_LAST)))
-    from pyspark.sql.window import Window
-
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("fate").orderBy(key, "person_name", "principal", "badge"))).select("fate", "place", "principal", "badge")
 
 
 def individual_desirers(d: Domain) -> DataFrame:
     """(resource, principal) that is wished without a group of the principal that holds the resource."""
-    return d.flags().where("desired").select("principal", "resource").join(d.inherited(), ["principal", "resource"], "left_anti")
+    return beyond_groups(d, d.flags().where("desired").select("principal", "resource"))
 
 
 def addable(d: Domain, resource: str) -> DataFrame:
@@ -266,11 +303,11 @@ def addable(d: Domain, resource: str) -> DataFrame:
 
 def soll_matrix(d: Domain, selected: list[str]) -> DataFrame:
     """resource, kind, id, on, inherited for all resources by groups and selected principals (a bounded list)."""
-    groups = d.resource.select(F.col("serial").alias("resource")).join(F.broadcast(d.grp.select(F.col("id").alias("grp"))), how="inner")
+    groups = d.resource.select(F.col("serial").alias("resource")).join(d.grp.select(F.col("id").alias("grp")), how="inner")
     held = d.group_resource.withColumn("on", F.lit(True))
     part = groups.join(held, ["grp", "resource"], "left").select("resource", F.lit("group").alias("kind"), F.col("grp").cast("string").alias("id"), F.coalesce("on", F.lit(False)).alias("on"), F.lit(False).alias("inherited"))
     who = d.principal.where(F.col("serial").isin(selected)).select(F.col("serial").alias("principal"))
-    cells = d.resource.select(F.col("serial").alias("resource")).join(F.broadcast(who), how="inner")
+    cells = d.resource.select(F.col("serial").alias("resource")).join(who, how="inner")
     wished = d.flags().where(F.col("desired") & F.col("principal").isin(selected)).select("principal", "resource", F.lit(True).alias("on"))
     inh = d.inherited().where(F.col("principal").isin(selected)).withColumn("inherited", F.lit(True))
     own = cells.join(wished, ["principal", "resource"], "left").join(inh, ["principal", "resource"], "left").select("resource", F.lit("principal").alias("kind"), F.col("principal").alias("id"), F.coalesce("on", F.lit(False)).alias("on"), F.coalesce("inherited", F.lit(False)).alias("inherited"))
@@ -293,7 +330,7 @@ def report_individuals(d: Domain) -> DataFrame:
 
 def access_report(d: Domain) -> DataFrame:
     """key, location, resource of each set of groups: the union of its groups' resources by location."""
-    codes = d.membership.join(F.broadcast(d.grp.select(F.col("id").alias("grp"), "export_code")), "grp").groupBy("principal").agg(F.array_join(F.array_sort(F.collect_set("export_code")), "+").alias("key"), F.collect_set("grp").alias("grps"))
+    codes = d.membership.join(d.grp.select(F.col("id").alias("grp"), "export_code"), "grp").groupBy("principal").agg(F.array_join(F.array_sort(F.collect_set("export_code")), "+").alias("key"), F.collect_set("grp").alias("grps"))
     sets = codes.select("key", "grps").dropDuplicates(["key"])
     doors = sets.select("key", F.explode("grps").alias("grp")).join(d.group_resource, "grp").select("key", "resource").distinct()
     return doors.join(d.resource.select(F.col("serial").alias("resource"), F.coalesce(F.nullif(F.col("location"), F.lit("")), F.nullif(F.col("area"), F.lit("")), F.lit("no location")).alias("location")), "resource").select("key", "location", "resource")
@@ -302,7 +339,7 @@ def access_report(d: Domain) -> DataFrame:
 def backup(d: Domain) -> DataFrame:
     """kind, id, body: every record of the nested export as compact JSON, its lists ordered."""
     lists = d.flags().groupBy(F.col("principal").alias("serial")).agg(*(F.array_sort(F.collect_list(F.when(F.col(s), F.col("resource")))).alias(s) for s in ("active", "planned", "removed", "desired")))
-    codes = d.membership.join(F.broadcast(d.grp.select(F.col("id").alias("grp"), "export_code")), "grp").groupBy(F.col("principal").alias("serial")).agg(F.array_sort(F.collect_set("export_code")).alias("groups"))
+    codes = d.membership.join(d.grp.select(F.col("id").alias("grp"), "export_code"), "grp").groupBy(F.col("principal").alias("serial")).agg(F.array_sort(F.collect_set("export_code")).alias("groups"))
     none = F.array().cast("array<string>")
     p = d.principal.join(lists, "serial", "left").join(codes, "serial", "left")
     p = p.select(F.lit("principal").alias("kind"), F.col("serial").alias("id"), F.to_json(F.struct("serial", "number", "person_name", *(F.coalesce(c, none).alias(c) for c in ("active", "planned", "removed", "desired", "groups"))), {"ignoreNullFields": "false"}).alias("body"))
@@ -322,21 +359,25 @@ def markdown(d: Domain) -> DataFrame:
 
 def sql_script(d: Domain) -> DataFrame:
     """part, key, statement: an idempotent script of principals, resources and active pairs, to be written in the
-    order of part and key. Of several rows of a serial, one with the largest values stays."""
+    order of part and key. Of several rows of a serial the last one, by the column `place` where there is one, stays; of equal places,
+    the one with the largest values."""
     lit = lambda c: T.sql_literal(F.col(c))
 
     def upsert(df: DataFrame, part: int, table: str, numbers: tuple[str, ...] = ()) -> DataFrame:
-        rest = [c for c in df.columns if c != "serial"]
-        one = df.groupBy("serial").agg(F.max(F.struct(*rest)).alias("v")).select("serial", "v.*")
-        values = [F.coalesce(F.col(c).cast("string"), F.lit("NULL")) if c in numbers else lit(c) for c in df.columns]
+        names = [c for c in df.columns if c != "place"]
+        rest = [c for c in names if c != "serial"]
+        last = F.struct(*(["place"] if "place" in df.columns else []), *rest)
+        one = df.groupBy("serial").agg(F.max(last).alias("v")).select("serial", *(f"v.{c}" for c in rest))
+        values = [F.coalesce(F.col(c).cast("string"), F.lit("NULL")) if c in numbers else lit(c) for c in names]
         ends = ", ".join(f"{c}=excluded.{c}" for c in rest)
-        text = F.concat(F.lit(f"INSERT INTO {table} ({', '.join(df.columns)}) VALUES ("), F.concat_ws(", ", *values), F.lit(f") ON CONFLICT (serial) DO UPDATE SET {ends};"))
+        text = F.concat(F.lit(f"INSERT INTO {table} ({', '.join(names)}) VALUES ("), F.concat_ws(", ", *values), F.lit(f") ON CONFLICT (serial) DO UPDATE SET {ends};"))
         return one.select(F.lit(part).alias("part"), F.col("serial").alias("key"), text.alias("statement"))
 
     pairs = d.flags().where("active").select("principal", "resource").distinct()
     link = F.concat(F.lit("INSERT INTO authorizations (principal, resource) VALUES ("), lit("principal"), F.lit(", "), lit("resource"), F.lit(") ON CONFLICT DO NOTHING;"))
-    people = upsert(d.principal.select("serial", "number", "person_name"), 1, "principals", ("number",))
-    doors = upsert(d.resource.select("serial", "door_name", "room_number", "location", "area"), 2, "resources")
+    placed: Callable[[DataFrame], list[str]] = lambda df: ["place"] if "place" in df.columns else []
+    people = upsert(d.principal.select("serial", "number", "person_name", *placed(d.principal)), 1, "principals", ("number",))
+    doors = upsert(d.resource.select("serial", "door_name", "room_number", "location", "area", *placed(d.resource)), 2, "resources")
     return people.union(doors).union(pairs.select(F.lit(3), F.concat_ws("/", "principal", "resource"), link))
 
 
