@@ -14,7 +14,7 @@ from keylattice.llm.common import id_bucket, labelled_sample, table
 from keylattice.llm.textbuf import LOWER, WORD_BYTE, Hashes, pieces, spans
 
 #: Training bounds: documents, and characters of a training document. Every document is scored whole.
-MAX_DOCS, MAX_CHARS = 2000, 40_000
+MAX_DOCS, MAX_CHARS = 2000, 20_000
 #: A document is rejected below this score.
 THRESHOLD = 0.3
 
@@ -102,6 +102,48 @@ def marginals(emission: np.ndarray, trans: np.ndarray, rows: np.ndarray) -> tupl
     return good, pair
 
 
+#: Below so many chains of a length, lines go one by one instead of step by step.
+FEW = 16
+
+
+def good_lines(emission: np.ndarray, trans: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """P(line is good) of every line, as `marginals` gives it, from the odds of both directions: a step is one fraction.
+
+    Chains go together, step by step, while there are FEW or more; the rest of the longest ones goes line by line.
+    """
+    if not len(rows):
+        return np.zeros(0)
+    e, ((t00, t01), (t10, t11)) = np.exp(np.clip(emission, -500, 500)), np.exp(trans).tolist()
+    first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+    sizes = np.diff(np.append(first, len(rows)))
+    order = np.argsort(-sizes, kind="stable")
+    first, sizes = first[order], sizes[order]
+    together = int(sizes[FEW - 1]) if len(sizes) >= FEW else 1
+    active = [int(np.searchsorted(-sizes, -t, "left")) for t in range(together + 1)]  # chains longer than t
+    long = [(int(a), int(n)) for a, n in zip(first, sizes, strict=True) if n > together]
+    ahead, behind = e.copy(), np.ones(len(e))  # odds of a line given the lines before, and the factor of those after
+    for t in range(1, together):
+        i = first[: active[t]] + t
+        ahead[i] *= (t01 + t11 * ahead[i - 1]) / (t00 + t10 * ahead[i - 1])
+    for a, n in long:
+        f, out = float(ahead[a + together - 1]), []
+        for x in e[a + together : a + n].tolist():
+            f = x * (t01 + t11 * f) / (t00 + t10 * f)
+            out.append(f)
+        ahead[a + together : a + n] = out
+        b, out = 1.0, []
+        for x in e[a + together : a + n][::-1].tolist():
+            b = (t10 + t11 * x * b) / (t00 + t01 * x * b)
+            out.append(b)
+        behind[a + together - 1 : a + n - 1] = out[::-1]
+    for t in range(together - 2, -1, -1):
+        i = first[: active[t + 1]] + t
+        x = e[i + 1] * behind[i + 1]
+        behind[i] = (t10 + t11 * x) / (t00 + t01 * x)
+    odds = ahead * behind
+    return odds / (1 + odds)
+
+
 @dataclass
 class LineCrf:
     """Weights of a line's features, transitions between line labels, and the calibration of a document's mean."""
@@ -115,7 +157,7 @@ class LineCrf:
     def documents(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Score of every row: length-weighted mean of its lines' marginals, calibrated; `empty` without a word."""
         x, length, rows = line_features(data, offsets)
-        good, _ = marginals(x @ self.weights, self.trans, rows)
+        good = good_lines(x @ self.weights, self.trans, rows)
         n = len(offsets) - 1
         total = np.bincount(rows, length, n)
         mean = np.bincount(rows, length * good, n) / np.maximum(total, 1)
@@ -163,7 +205,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS,
 
     The model is fitted on a bounded sample of labelled rows outside the held-out fold (crc32(doc_id) mod 5 = 0)
     and is a few hundred bytes. All whole texts are scored, in one pass without a shuffle. Null and empty texts
-    have no line and get the sample's share of good documents. Rows may repeat; other columns stay, but columns
+    have no line and get the sample's share of good documents; without any label every score is 1. A very long text is a piece
+    of its own, in time linear in its lines. Rows may repeat and ids be null; other columns stay, but columns
     named score or predicted are replaced. An empty table gives an empty result.
     """
     spark = docs.sparkSession
@@ -184,5 +227,6 @@ def score_quality(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS,
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of all `documents`; null, empty, very long and repeated texts as in `score_quality`."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return score_quality(docs, table(spark, sf_dir, "labels")).select("doc_id", (id_bucket("doc_id", 5) == 0).alias("held_out"), "score", "predicted")

@@ -93,6 +93,42 @@ def test_crf_marginals_equal_enumeration():
         assert np.allclose(good[at], hit / total)
 
 
+def test_chains_of_any_length_equal_forward_backward(monkeypatch):
+    rng = np.random.default_rng(14)
+    for few, sizes in ((2, [1, 5, 40, 41, 3, 300]), (16, [7]), (16, [2] * 30 + [90, 1]), (1, [4, 4])):
+        monkeypatch.setattr(quality, "FEW", few)
+        rows = np.repeat(np.arange(len(sizes)), sizes)
+        e, trans = rng.normal(size=len(rows)) * 3, rng.normal(size=(2, 2))
+        assert np.allclose(quality.good_lines(e, trans, rows), quality.marginals(e, trans, rows)[0])
+    assert len(quality.good_lines(np.zeros(0), np.zeros((2, 2)), np.zeros(0, int))) == 0
+
+
+def test_quality_query_equals_brute_force(spark):
+    docs, labels = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{DIR}/labels.parquet")
+    label = {r.doc_id: r.quality for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    sample = sorted(((i, t, label[i]) for i, t in texts.items() if i in label and t is not None and len(t) <= quality.MAX_CHARS), key=lambda r: (r[2], r[0]))
+    model = quality.train(sample)
+    rows = quality.op2_quality(spark, DIR).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        data = np.frombuffer((texts[r.doc_id] or "").encode(), np.uint8)
+        x, length, _ = quality.line_features(data, np.array([0, len(data)]))
+        want = model.empty
+        if len(x):  # sums over all paths, line by line, in logarithms
+            em = x @ model.weights
+            f, b = [np.array([0, em[0]])], [np.zeros(2)]
+            for v in em[1:]:
+                f.append(np.logaddexp(f[-1][0] + model.trans[0], f[-1][1] + model.trans[1]) + [0, v])
+            for v in em[:0:-1]:
+                n = b[-1] + [0, v]
+                b.append(np.logaddexp(model.trans[:, 0] + n[0], model.trans[:, 1] + n[1]))
+            both = np.array(f) + np.array(b[::-1])
+            good = 1 / (1 + np.exp(both[:, 0] - both[:, 1]))
+            want = 1 / (1 + np.exp(-(model.slope * (length @ good) / length.sum() + model.offset)))
+        assert abs(r.score - want) < 1e-6 and r.predicted == (r.score >= 0.3) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
 def test_toxic_neighbours_are_exact():
     rng = random.Random(2)
     vocabulary = [f"w{chr(97 + i)}x" for i in range(20)]
