@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -31,6 +32,17 @@ def fold_marks(x: Column) -> Column:
     return F.translate(F.regexp_replace(x, r"\p{M}", ""), MARKED, BASE)
 
 
+#: Stands before the number of a principal, as a pattern; the label of a site's own numbering.
+NUMBER_PREFIX = r"No\.?"
+
+
+def number_split(x: Column, prefix: str = NUMBER_PREFIX) -> Column:
+    """struct(number, name) of `prefix n name`; all else is the name."""
+    pattern = rf"(?s)^(?:{prefix})\s*(\d{{1,3}})\b[.,]?\s*(.*)\z"
+    number = F.nullif(F.regexp_extract(x, pattern, 1), F.lit("")).cast("int")
+    return F.struct(number.alias("number"), F.when(number.isNotNull(), F.trim(F.regexp_extract(x, pattern, 2))).otherwise(x).alias("name"))
+
+
 def casefold(x: Column) -> Column:
     return F.replace(F.lower(x), F.lit("ß"), F.lit("ss"))
 
@@ -39,16 +51,29 @@ def serial_valid(x: Column) -> Column:
     return F.coalesce(x.rlike(SERIAL), F.lit(False))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is evaluated, and written into the plan, once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def repair_serial(raw: Column) -> Column:
     """struct(serial, valid, suspect). Suspect: it took more than the trivial repairs."""
-    clean = F.translate(fold_marks(raw), NOISE, "")
-    trivial = F.translate(clean, *TRIVIAL)
-    full = reduce(lambda s, d: F.replace(s, F.lit(d[0]), F.lit(d[1])), DIGRAPHS, clean)
-    full = F.upper(F.translate(F.translate(F.translate(full, *TRIVIAL), *SYMBOLS), *LOWERCASE))
-    placed = F.concat(F.translate(F.substring(full, 1, 2), *DIGIT_PLACES), F.substring(full, 3, 5))
-    full = F.when((F.length(full) == 7) & ~full.contains("-"), placed).otherwise(full)
     made = lambda s, valid, suspect: F.struct(s.alias("serial"), valid.alias("valid"), F.lit(suspect).alias("suspect"))
-    return F.when(serial_valid(clean), made(clean, F.lit(True), False)).when(serial_valid(trivial), made(trivial, F.lit(True), False)).otherwise(made(full, serial_valid(full), True))
+
+    def whole(clean: Column) -> Column:
+        digraphs = reduce(lambda s, d: F.replace(s, F.lit(d[0]), F.lit(d[1])), DIGRAPHS, clean)
+        return F.upper(F.translate(F.translate(F.translate(digraphs, *TRIVIAL), *SYMBOLS), *LOWERCASE))
+
+    def placed(full: Column) -> Column:
+        digits = F.concat(F.translate(F.substring(full, 1, 2), *DIGIT_PLACES), F.substring(full, 3, 5))
+        return F.when((F.length(full) == 7) & ~full.contains("-"), digits).otherwise(full)
+
+    def judged(clean: Column) -> Column:
+        trivial = F.translate(clean, *TRIVIAL)
+        full = bound(bound(whole(clean), placed), lambda s: made(s, serial_valid(s), True))
+        return F.when(serial_valid(clean), made(clean, F.lit(True), False)).when(serial_valid(trivial), made(trivial, F.lit(True), False)).otherwise(full)
+
+    return bound(F.translate(fold_marks(raw), NOISE, ""), judged)
 
 
 def lookalike_equal(a: Column, b: Column) -> Column:

@@ -30,12 +30,45 @@ def state_transition(flags: DataFrame, marks: DataFrame) -> DataFrame:
     return out.where("active OR planned OR removed OR desired")
 
 
-def fill_blanks(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Upsert that only fills blank fields of existing rows; unknown keys are inserted."""
-    o, n = old.select(key, *columns), new.groupBy(key).agg(*(F.max(c).alias(f"n_{c}") for c in columns))
+def fill_blanks(old: DataFrame, new: DataFrame, key: str, columns: list[str], order: str | None = None) -> DataFrame:
+    """Upsert that only fills blank fields of existing rows; unknown keys are inserted. Of several new values, the first that
+    isn't blank by `order` counts, or else the largest."""
+    best = lambda c: F.min_by(c, F.when(F.col(c) != "", F.col(order))) if order else F.max(c)
+    o, n = old.select(key, *columns), new.groupBy(key).agg(*(best(c).alias(f"n_{c}") for c in columns))
     return o.join(n, key, "full").select(key, *(F.coalesce(F.nullif(F.col(c), F.lit("")), F.col(f"n_{c}"), F.lit("")).alias(c) for c in columns))
 
 
+#: Longest names, and other fields, of an imported resource.
+LONG, SHORT = 255, 64
+
+
+def import_lists(domain: Domain, heads: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(principal, resource, flags, summary) after list printouts (heads and rows of `parse_list`) come in.
+
+    Resources are inserted, or get their blank fields filled, cut to their lengths. Principals are inserted, or all of their
+    number, name, system, print date and source are replaced, as far as the table has them. The active set of every listed
+    principal is replaced. summary: doc, serial, label, parsed, stated, created, consistent. Of several printouts of a
+    principal the last by name counts.
+    """
+    cut = lambda c, n: F.left(F.trim(F.coalesce(c, F.lit(""))), F.lit(n)).alias(c)
+    place = F.struct("doc", "row")
+    doors = rows.select("serial", cut("door_name", LONG), *(cut(c, SHORT) for c in ("room_number", "location", "area")), place.alias("place"))
+    resource = fill_blanks(domain.resource, doors, "serial", ["door_name", "room_number", "location", "area"], "place")
+
+    given = heads.withColumn("source_file", F.col("doc")).withColumns({c: F.coalesce(c, F.lit("")) for c in ("person_name", "locking_system")})
+    fields = [c for c in ("number", "person_name", "locking_system", "printed_on", "source_file") if c in domain.principal.columns]
+    last = given.groupBy("serial").agg(F.max_by(F.struct("doc", *fields), "doc").alias("new"))
+    both = domain.principal.withColumn("there", F.lit(True)).join(last, "serial", "full")
+    value = lambda c: F.when(F.col("new").isNotNull(), F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) if c in fields else F.col(c)
+    principal = both.select(*(value(c) for c in domain.principal.columns))
+
+    kept = last.select(F.col("serial").alias("principal"), F.col("new.doc").alias("doc"))
+    lists = kept.join(rows.select("doc", F.col("serial").alias("resource")), "doc", "left").select("principal", "resource")
+    known = domain.principal.select("serial").withColumn("there", F.lit(True))
+    summary = given.join(known, "serial", "left").select("doc", "serial", T.principal_label(F.col("person_name"), F.col("number"), F.col("serial")).alias("label"), "parsed", "stated", F.col("there").isNull().alias("created"), "consistent")
+    return principal, resource, import_list(domain.flags(), lists), summary
+
+
 def import_list(flags: DataFrame, lists: DataFrame) -> DataFrame:
     """The active set of every listed principal is replaced by the list's; the other states stay."""
     listed = lists.select("principal").distinct().withColumn("listed", F.lit(True))
@@ -177,28 +210,95 @@ def seed_groups(domain: Domain, names: DataFrame, tokens: DataFrame, cards: Data
     return Domain(domain.principal, domain.resource, domain.grp, grants, members, held)
 
 
-def toggle_batch(domain: Domain, ops: list[dict], cut: int = 20) -> Domain:
+def toggle_batch(domain: Domain, ops: list[dict]) -> Domain:
     """The domain after {kind: group or principal, id, on, resources} operations, one after the other.
 
-    A group's operation reaches its members, so the order counts and the last operation of a cell isn't enough. The
-    list is one request of a person; every `cut` operations the lineage ends in a checkpoint. Unknown kinds, ids and
-    resources are ignored.
+    A group's operation reaches its members, so the order counts and the last operation of a cell isn't enough: each pair
+    that some operation may touch folds the list, which is one request of a person, on its own. What groups hold only depends
+    on the last operation of each. The plan is the same for any number of operations. Unknown kinds, ids and resources are ignored.
     """
     spark = domain.resource.sparkSession
-    for i, op in enumerate(ops, 1):
-        listed = [str(r) for r in op.get("resources") or []]
-        known = domain.resource.where(F.col("serial").isin(listed)).select(F.col("serial").alias("resource"))
-        held, grants = domain.group_resource, domain.grants
-        if op.get("kind") == "group" and str(op.get("id")).isdigit():
-            here = known.join(F.broadcast(domain.grp.where(F.col("id") == int(op["id"])).select("id")), how="inner").select("resource")
-            held, grants = set_group_resources(domain, int(op["id"]), here, bool(op.get("on")))
-        elif op.get("kind") == "principal":
-            who = domain.principal.where(F.col("serial") == str(op.get("id"))).select(F.col("serial").alias("principal"))
-            grants = set_desired(domain, who.join(F.broadcast(known), how="inner"), bool(op.get("on")))
-        if i % cut == 0 and spark.sparkContext.getCheckpointDir():
-            held, grants = held.checkpoint(), grants.checkpoint()
-        domain = Domain(domain.principal, domain.resource, domain.grp, grants, domain.membership, held)
-    return domain
+    rows = [(i, str(op.get("kind")), str(op.get("id")), bool(op.get("on")), [str(r) for r in op.get("resources") or []]) for i, op in enumerate(ops)]
+    asked = spark.createDataFrame(rows, "place int, kind string, id string, on boolean, resources array<string>")
+    group_ops = asked.where("kind = 'group'").withColumn("grp", F.expr("try_cast(id AS bigint)")).join(domain.grp.select(F.col("id").alias("grp")), "grp")
+    own_ops = asked.where("kind = 'principal'").join(domain.principal.select(F.col("serial").alias("id")), "id")
+    known = domain.resource.select(F.col("serial").alias("resource"))
+    cells = group_ops.select("grp", "place", "on", F.explode("resources").alias("resource")).join(known, "resource", "left_semi")
+    last = cells.groupBy("grp", "resource").agg(F.max_by("on", "place").alias("on"))
+    held = domain.group_resource.join(last, ["grp", "resource"], "left_anti").unionByName(last.where("on").select("grp", "resource"))
+
+    reached = cells.join(domain.membership, "grp").select("principal", "resource")
+    reached = reached.unionByName(own_ops.select(F.col("id").alias("principal"), F.explode("resources").alias("resource")).join(known, "resource", "left_semi")).distinct()
+    mine = domain.membership.groupBy("principal").agg(F.collect_set("grp").alias("own"))
+    holders = domain.group_resource.groupBy("resource").agg(F.collect_set("grp").alias("held"))
+    wished = _desired(domain.grants).withColumn("wished", F.lit(True))
+    valid = group_ops.select("place", "kind", F.col("grp").cast("string").alias("id"), "on", "resources").unionByName(own_ops.select("place", "kind", "id", "on", "resources"))
+    request = valid.agg(F.array_sort(F.collect_list(F.struct("place", "kind", "id", "on", "resources"))).alias("ops"))  # one row
+    none = F.array().cast("array<bigint>")
+    pairs = reached.join(mine, "principal", "left").join(holders, "resource", "left").join(wished, ["principal", "resource"], "left").crossJoin(request)
+    start = F.struct(F.coalesce("wished", F.lit(False)).alias("wished"), F.coalesce("held", none).alias("held"))
+
+    def step(acc, op):
+        g = op["id"].try_cast("bigint")
+        here = F.array_contains(op["resources"], F.col("resource"))
+        of_group = here & (op["kind"] == "group")
+        now = F.when(of_group & op["on"], F.array_union(acc["held"], F.array(g))).when(of_group, F.array_except(acc["held"], F.array(g))).otherwise(acc["held"])
+        meant = F.when(of_group, F.array_contains(F.coalesce("own", none), g)).otherwise(here & (op["id"] == F.col("principal")))
+        covered = F.arrays_overlap(now, F.coalesce("own", none))
+        wish = F.when(meant & op["on"], True).when(meant, acc["wished"] & covered).otherwise(acc["wished"])
+        return F.struct(wish.alias("wished"), now.alias("held"))
+
+    after = pairs.select("principal", "resource", F.aggregate("ops", start, step)["wished"].alias("wished"))
+    desired = _desired(domain.grants).join(after, ["principal", "resource"], "left_anti").unionByName(after.where("wished").select("principal", "resource"))
+    return Domain(domain.principal, domain.resource, domain.grp, _with_desired(domain.grants, desired), domain.membership, held)
+
+
+def _matched(domain: Domain, columns: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(columns with `found` and `principal`, rows with `matched` and `resource`): who and what the matrices mean."""
+    named = match_names(rows.select("name"), domain.resource).withColumnRenamed("serial", "matched")
+    door = rows.join(named, "name", "left").withColumn("resource", F.coalesce("matched", T.synthetic_serial(F.col("name"))))
+    claimed = greedy_serials(columns, domain.principal.select("serial")).withColumnRenamed("serial", "found")
+    who = columns.join(claimed, ["doc", "column"], "left").withColumn("principal", F.coalesce("found", F.when(F.col("valid"), F.col("raw"))))
+    return who, door
+
+
+def matrix_metrics(domain: Domain, columns: DataFrame, rows: DataFrame, marks: DataFrame) -> DataFrame:
+    """A row per document: persons, created, updated, corrected, skipped, doors, doors_created, doors_fuzzy, marks, active,
+    planned, removed. Created: principals that were not there; updated: those that were and get a number or a name;
+    corrected: reads that mean a known look-alike; fuzzy: doors whose name is another's, but for case."""
+    who, door = _matched(domain, columns, rows)
+    known = domain.principal.select(F.col("serial").alias("principal"), F.col("number").alias("old_number"), F.col("person_name").alias("old_name"), F.lit(True).alias("there"))
+    people = who.join(known, "principal", "left")
+    there = F.coalesce("there", F.lit(False))
+    filled = (F.col("number").isNotNull() & F.col("old_number").isNull()) | ((F.coalesce("person_name", F.lit("")) != "") & (F.coalesce("old_name", F.lit("")) == ""))
+    one = people.groupBy("doc").agg(
+        F.count("*").alias("persons"),
+        F.count_distinct(F.when(~there, F.col("principal"))).alias("created"),
+        F.count_distinct(F.when(there & filled, F.col("principal"))).alias("updated"),
+        F.count_if(F.col("found") != F.col("raw")).alias("corrected"),
+        F.count_if(F.col("principal").isNull()).alias("skipped"),
+    )
+    labels = domain.resource.select(F.col("serial").alias("resource"), "door_name")
+    placed = door.join(labels, "resource", "left")
+    two = placed.groupBy("doc").agg(
+        F.count("*").alias("doors"),
+        F.count_distinct(F.when(F.col("matched").isNull() & F.col("door_name").isNull(), F.col("resource"))).alias("doors_created"),
+        F.count_if(F.col("matched").isNotNull() & (T.casefold(F.col("door_name")) != T.casefold(F.col("name")))).alias("doors_fuzzy"),
+    )
+    state = F.coalesce("state", F.lit("active"))
+    cells = marks.groupBy("doc", "column", "row").agg(F.min(state).alias("state"))
+    three = cells.groupBy("doc").agg(F.count("*").alias("marks"), *(F.count_if(F.col("state") == s).alias(n) for s, n in (("active", "active"), ("planned", "planned"), ("remove", "removed"))))
+    counts = [c for part in (one, two, three) for c in part.columns if c != "doc"]
+    return one.join(two, "doc", "full").join(three, "doc", "full").na.fill(0, counts).select("doc", *counts)
+
+
+def removed_report(removed: DataFrame, domain: Domain) -> DataFrame:
+    """What `import_removed` would write, one row: marks, principals, grants, and marks of unknown principals or resources."""
+    who = domain.principal.select(F.col("serial").alias("principal"), F.lit(True).alias("p"))
+    what = domain.resource.select(F.col("serial").alias("resource"), F.lit(True).alias("r"))
+    j = removed.select("principal", "resource").join(who, "principal", "left").join(what, "resource", "left")
+    ok = F.col("p").isNotNull() & F.col("r").isNotNull()
+    return j.agg(F.count("*").alias("marks"), F.count_distinct(F.when(ok, F.col("principal"))).alias("principals"), F.count_distinct(F.when(ok, F.struct("principal", "resource"))).alias("grants"), F.count_if(~ok).alias("skipped"))
 
 
 def import_matrix(domain: Domain, columns: DataFrame, rows: DataFrame, marks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -209,10 +309,7 @@ def import_matrix(domain: Domain, columns: DataFrame, rows: DataFrame, marks: Da
     one file never match each other. Columns take known serials (greedy_serials); an unreadable one that matches
     nothing is skipped. Existing entities only get their blank fields filled.
     """
-    named = match_names(rows.select("name"), domain.resource)
-    door = rows.join(named, "name", "left").withColumn("resource", F.coalesce("serial", T.synthetic_serial(F.col("name")))).drop("serial")
-    claimed = greedy_serials(columns, domain.principal.select("serial")).withColumnRenamed("serial", "found")
-    who = columns.join(claimed, ["doc", "column"], "left").withColumn("principal", F.coalesce("found", F.when(F.col("valid"), F.col("raw"))))
+    who, door = _matched(domain, columns, rows)
     news = who.where("principal IS NOT NULL").select(F.col("principal").alias("serial"), "person_name")
     number = who.where("principal IS NOT NULL").groupBy(F.col("principal").alias("serial")).agg(F.min("number").alias("n_number"))
     principal = fill_blanks(domain.principal, news, "serial", ["person_name"]).join(domain.principal.select("serial", "number"), "serial", "left").join(number, "serial", "left")

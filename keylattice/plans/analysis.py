@@ -61,6 +61,19 @@ def group_detail(d: Domain, group: int) -> DataFrame:
     return labelled_resources(d).join(on, "serial", "left").select(section().alias("section"), "serial", "label", F.coalesce("on", F.lit(False)).alias("on"))
 
 
+def group_members(d: Domain, group: int) -> DataFrame:
+    """principal, label, place of a group's members, in the order of principals."""
+    members = d.membership.where(F.col("grp") == group).select(F.col("principal").alias("serial")).distinct()
+    place = F.row_number().over(Window.partitionBy(F.lit(group)).orderBy(F.asc_nulls_first("number"), "person_name", "serial"))  # one group
+    return labelled_principals(d).join(members, "serial", "left_semi").select(F.col("serial").alias("principal"), "label", place.alias("place"))
+
+
+def principal_totals(d: Domain) -> DataFrame:
+    """serial and the number of its links in each state."""
+    n = d.flags().groupBy(F.col("principal").alias("serial")).agg(*(F.count_if(s).alias(s) for s in ("active", "planned", "removed", "desired")))
+    return d.principal.select("serial").join(n, "serial", "left").na.fill(0)
+
+
 def section() -> Column:
     return F.coalesce(F.nullif(F.col("location"), F.lit("")), F.lit("—"))
 

@@ -10,29 +10,30 @@ from keylattice.functions import text as T
 
 LINE_GAP, STRIP_GAP, COLUMN_SLACK, BAND_GAP, BAND_PAD, MARK_TOLERANCE = 3.0, 5.0, 25.0, 15.0, 4.0, 7.0
 HEADER_SPLIT, HEADER_GAP, LABEL_RIGHT, PROPERTY_GAP = 190.0, 20.0, 230.0, 10.0
-HEADER = r"^\s*(?:\[\s*\S+\s+(\d+)\s*\]\s*)?(.*?)\s*/\s*(\S+)\s*$"
-FOOTER = r"Zeile\s*(\d+)\s*-\s*(\d+)\s*;\s*Spalte\s*(\d+)\s*-\s*(\d+)"
+# Fixed value: a footer's row and column ranges, with a few odd characters between its parts.
+FOOTER = r"Zeile\D{0,3}(\d+)\s*-\s*(\d+)\D{1,8}Spalte\D{0,3}(\d+)\s*-\s*(\d+)"
 
 
 def line_words(words: DataFrame, gap: float = LINE_GAP) -> DataFrame:
     """doc, page, line, top, ws (x0, text, x1, top): a word joins a line while its top is within `gap` of the line's
     first word.
 
-    The anchor is the first word, not the last one, so a page's ordered words are folded; a page is one small group.
+    The anchor is the first word, not the last one, so a page's ordered words are folded; a page is one small group. The
+    fold keeps the anchor and the places where lines begin; the lines are cut afterwards.
     """
-    ordered = words.groupBy("doc", "page").agg(F.array_sort(F.collect_list(F.struct(F.bround("top", 1).alias("r"), "x0", "top", "text", "x1"))).alias("ws"))
-    word = lambda w: F.struct(*(w[c].alias(c) for c in ("x0", "text", "x1", "top")))
-    start = F.array().cast("array<struct<top:double,ws:array<struct<x0:double,text:string,x1:double,top:double>>>>")
+    ordered = words.groupBy("doc", "page").agg(F.array_sort(F.collect_list(F.struct(F.bround("top", 1).alias("r"), "x0", "top", "text", "x1"))).alias("all"))
+    start = F.struct(F.lit(0).alias("i"), F.lit(None).cast("double").alias("anchor"), F.array().cast("array<int>").alias("begins"))
 
     def step(acc, w):
-        last = F.element_at(acc, -1)
-        fits = (F.size(acc) > 0) & (F.abs(w["top"] - F.try_element_at(acc, F.lit(-1))["top"]) <= gap)
-        grown = F.struct(last["top"].alias("top"), F.array_append(last["ws"], word(w)).alias("ws"))
-        alone = F.struct(w["top"].alias("top"), F.array(word(w)).alias("ws"))
-        return F.when(fits, F.array_append(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), grown)).otherwise(F.array_append(acc, alone))
+        new = acc["anchor"].isNull() | (F.abs(w["top"] - acc["anchor"]) > gap)
+        begins = F.when(new, F.array_append(acc["begins"], acc["i"])).otherwise(acc["begins"])
+        return F.struct((acc["i"] + 1).alias("i"), F.when(new, w["top"]).otherwise(acc["anchor"]).alias("anchor"), begins.alias("begins"))
 
-    folded = ordered.select("doc", "page", F.posexplode(F.aggregate("ws", start, step)).alias("line", "l"))
-    return folded.select("doc", "page", "line", F.col("l.top").alias("top"), F.array_sort("l.ws").alias("ws"))
+    folded = ordered.withColumn("begins", F.aggregate("all", start, step)["begins"])
+    cut = folded.select("doc", "page", "all", F.posexplode(F.arrays_zip("begins", F.slice("begins", 2, F.size("begins")).alias("ends"))).alias("line", "l"))
+    own = F.slice("all", F.col("l.begins") + 1, F.coalesce(F.col("l.ends"), F.size("all")) - F.col("l.begins"))
+    word = lambda w: F.struct(*(w[c].alias(c) for c in ("x0", "text", "x1", "top")))
+    return cut.select("doc", "page", "line", F.element_at("all", F.col("l.begins") + 1)["top"].alias("top"), F.array_sort(F.transform(own, word)).alias("ws"))
 
 
 def joined(ws: Column) -> Column:
@@ -83,9 +84,12 @@ def location_norm(x: Column) -> Column:
     return F.when(x.rlike(r"^[. ]*\z"), F.lit(None)).otherwise(x)
 
 
-def header_id(x: Column) -> Column:
-    part = lambda i: F.nullif(F.regexp_extract(x, HEADER, i), F.lit(""))
-    return F.struct(part(1).cast("int").alias("number"), part(2).alias("name"), part(3).alias("serial"))
+def header_id(x: Column, prefix: str = T.NUMBER_PREFIX) -> Column:
+    """struct(number, name, serial) of `prefix n name / serial`, where the number, also in brackets behind any word, and the
+    name may be missing."""
+    pattern = rf"^\s*(?:\[\s*\S+\s+(\d+)\s*\]|(?:{prefix})\s+(\d+))?\s*(.*?)\s*/\s*(\S+)\s*$"
+    part = lambda i: F.nullif(F.regexp_extract(x, pattern, i), F.lit(""))
+    return F.struct(F.coalesce(part(1), part(2)).cast("int").alias("number"), part(3).alias("name"), part(4).alias("serial"))
 
 
 def count_check(rows: DataFrame, stated: DataFrame) -> DataFrame:
@@ -99,10 +103,11 @@ def orientation(votes: DataFrame) -> DataFrame:
     return votes.groupBy("doc").agg((F.count_if("reversed_ok") >= F.count_if("normal_ok")).alias("reversed"))
 
 
-def serial_band(words: DataFrame, gap: float = BAND_GAP, pad: float = BAND_PAD) -> DataFrame:
+def serial_band(words: DataFrame, gap: float = BAND_GAP, pad: float = BAND_PAD, keys: list[str] | None = None) -> DataFrame:
     """doc, page, low, high: the largest vertical cluster of serial-shaped words; on ties the lowest on the page."""
-    runs = islands(words, ["doc", "page"], "top", gap, "run").groupBy("doc", "page", "run").agg(F.count("*").alias("n"), F.min("top").alias("first"), F.max("bottom").alias("last"))
-    return runs.groupBy("doc", "page").agg(F.max_by(F.struct("first", "last"), F.struct("n", "first")).alias("b")).select("doc", "page", (F.col("b.first") - pad).alias("low"), (F.col("b.last") + pad).alias("high"))
+    keys = keys or ["doc", "page"]
+    runs = islands(words, keys, "top", gap, "run").groupBy(*keys, "run").agg(F.count("*").alias("n"), F.min("top").alias("first"), F.max("bottom").alias("last"))
+    return runs.groupBy(*keys).agg(F.max_by(F.struct("first", "last"), F.struct("n", "first")).alias("b")).select(*keys, (F.col("b.first") - pad).alias("low"), (F.col("b.last") + pad).alias("high"))
 
 
 def nearest_strip(marks: DataFrame, centres: DataFrame, tolerance: float = MARK_TOLERANCE) -> DataFrame:
@@ -131,7 +136,7 @@ def coverage(found: DataFrame, expected: DataFrame) -> DataFrame:
     return expected.join(n, "doc", "left").select("doc", F.coalesce("n", F.lit(0)).alias("n"), "expected", (F.col("expected").isNull() | (F.coalesce("n", F.lit(0)) == F.col("expected"))).alias("consistent"))
 
 
-def native_columns(words: DataFrame, split: float = HEADER_SPLIT, gap: float = HEADER_GAP, widest: float = 20.0, label: str = "PERSONEN") -> DataFrame:
+def native_columns(words: DataFrame, split: float = HEADER_SPLIT, gap: float = HEADER_GAP, widest: float = 16.0, label: str = "PERSONEN") -> DataFrame:
     """doc, page, strip, xc, raw, name of each rotated header: its words are stored backwards, from below to above.
 
     Above `split` stands the name. Below it stands the identifier, up to the first gap; what follows is another band.

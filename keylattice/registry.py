@@ -320,3 +320,5 @@ def q_dedupe_ordered(spark, sf_dir):
 # -- layout and pixels, on rows made from lineitem ------------------------------------------------------------------
 QUERIES |= L.QUERIES | P.QUERIES
 ORACLE_SQL |= L.ORACLE_SQL | P.ORACLE_SQL
+
+from keylattice import registry_imports  # noqa: E402, F401  registers its queries here

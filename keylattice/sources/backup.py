@@ -155,3 +155,42 @@ def restore_replace(records: DataFrame, doc: str) -> Domain:
     membership = _list(own, "principals", "groups", "code").join(code, "code").select(F.col("owner").alias("principal"), "grp")
     held = _list(own, "groups", "resources", "resource").withColumnRenamed("owner", "code").join(code, "code").select("grp", "resource")
     return Domain(principal, resource, grp, grants, membership, held)
+
+
+def merge_errors(records: DataFrame, known: Domain) -> DataFrame:
+    """doc, error of every fault that keeps a document from being merged into a domain: those of the document with what is known,
+    and group names that belong to another code."""
+    groups = records.where("error IS NULL AND kind = 'groups'").select("doc", F.col("id").alias("code"), F.get_json_object("body", "$.name").alias("name"))
+    here = known.grp.select(F.lower("name").alias("low"), F.col("export_code").alias("other"))
+    taken = groups.join(here, F.lower("name") == F.col("low")).where(F.upper("other") != F.col("code"))
+    return backup_errors(records, known).union(taken.select("doc", F.concat(F.lit("group name of another code: "), "name").alias("error")))
+
+
+def restore_merge(records: DataFrame, doc: str, domain: Domain) -> Domain:
+    """The domain after one valid document is merged into it.
+
+    Resources and principals are matched by serial, groups by code: what is listed replaces the fields and all relations of
+    its record, what isn't listed stays. If the document names an implicit group, no other stays implicit. New groups
+    get the next ids in the document's order.
+    """
+    new = restore_replace(records, doc)
+    known = domain.grp.select(F.col("id").alias("old"), F.upper("export_code").alias("export_code"))
+    last = domain.grp.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))  # one row
+    ids = new.grp.join(known, "export_code", "left").crossJoin(last).select(F.col("id").alias("place"), F.coalesce("old", F.col("last") + 1 + F.col("id")).alias("grp"), "name", "export_code", "is_implicit")
+    moved = new.grp.agg(F.coalesce(F.bool_or("is_implicit"), F.lit(False)).alias("moved"))  # one row
+    kept = domain.grp.join(ids.select(F.col("grp").alias("id")), "id", "left_anti").crossJoin(moved)
+    grp = kept.select("id", "name", "export_code", (F.col("is_implicit") & ~F.col("moved")).alias("is_implicit")).unionByName(ids.select(F.col("grp").alias("id"), "name", "export_code", "is_implicit"))
+
+    def upsert(old: DataFrame, rows: DataFrame) -> DataFrame:
+        fields = [c for c in rows.columns if c != "serial" and c in old.columns]
+        both = old.join(rows.select("serial", F.struct(*fields).alias("new")), "serial", "full")
+        return both.select(*(F.when(F.col("new").isNotNull(), F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) if c in fields else F.col(c) for c in old.columns))
+
+    named = lambda df, c: df.select(F.col(c).alias("grp")).distinct()
+    by_place = ids.select(F.col("place").alias("grp"), F.col("grp").alias("id"))
+    real = lambda df: df.join(by_place, "grp").drop("grp").withColumnRenamed("id", "grp")
+    listed = new.principal.select(F.col("serial").alias("principal"))
+    grants = domain.grants.join(listed, "principal", "left_anti").unionByName(new.grants)
+    membership = domain.membership.join(listed, "principal", "left_anti").unionByName(real(new.membership).select("principal", "grp"))
+    held = domain.group_resource.join(named(ids, "grp"), "grp", "left_anti").unionByName(real(new.group_resource).select("grp", "resource"))
+    return Domain(upsert(domain.principal, new.principal), upsert(domain.resource, new.resource), grp, grants, membership, held)

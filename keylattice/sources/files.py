@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from keylattice.functions import text as T
+from keylattice.sources.domain import Domain
 
 # The suffixes of images, and the places in the matrix export.
 IMAGES = "png jpg jpeg tif tiff bmp webp".split()
@@ -98,3 +99,26 @@ def positional_grants(columns: DataFrame, doors: DataFrame, marks: DataFrame, st
     ok = marks.join(errors.select("doc").distinct(), "doc", "left_anti").join(states.groupBy("doc", "ci", "ri").agg(F.min("state").alias("seen")), ["doc", "ci", "ri"], "left")
     named = ok.join(columns.select("doc", "ci", F.col("serial").alias("principal")), ["doc", "ci"]).join(doors.select("doc", "ri", F.col("serial").alias("resource")), ["doc", "ri"])
     return named.select("doc", "principal", "resource", F.when(F.coalesce("seen", F.lit("active")) == "active", "active").otherwise("planned").alias("state")).distinct()
+
+
+def rebuilt(domain: Domain, columns: DataFrame, doors: DataFrame, marks: DataFrame, persons: DataFrame, other_doors: DataFrame, states: DataFrame) -> tuple[Domain, DataFrame]:
+    """(domain, errors) after a matrix export, the complete truth of its system, replaces all principals and resources.
+
+    persons(doc, ci, serial, number, person_name), other_doors and states are the second reading of the same matrix. Unless
+    both agree, there are errors and the domain stays as it is. Groups stay, but nobody belongs to them and they hold nothing;
+    removed and desired sets are gone with the old principals.
+    """
+    errors = align_errors(columns, doors, persons.select("doc", "ci", "serial"), other_doors)
+    wrong = errors.agg((F.count("*") > 0).alias("wrong"))  # one row
+
+    def chosen(old: DataFrame, new: DataFrame) -> DataFrame:
+        """`new`, or `old` where there are errors; both are read, so that the choice is part of the plan."""
+        return old.crossJoin(wrong).where("wrong").drop("wrong").unionByName(new.crossJoin(wrong).where("NOT wrong").drop("wrong"), allowMissingColumns=True)
+
+    blank = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    principal = columns.select("doc", "ci", "serial").join(persons.select("doc", "ci", "number", "person_name"), ["doc", "ci"], "left").select("serial", "number", blank("person_name"))
+    resource = doors.select("serial", "door_name", "room_number", "location", "area")
+    grants = positional_grants(columns, doors, marks, states, errors).select("principal", "resource", "state")
+    none = lambda df: df.where(F.lit(False))
+    made = Domain(chosen(domain.principal, principal), chosen(domain.resource, resource), domain.grp, chosen(domain.grants, grants), chosen(domain.membership, none(domain.membership)), chosen(domain.group_resource, none(domain.group_resource)))
+    return made, errors
