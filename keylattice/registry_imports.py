@@ -19,6 +19,7 @@ from keylattice.registry import QUERIES, query, simple
 from keylattice.sources import backup as B
 from keylattice.sources import files as S
 from keylattice.sources.domain import AdapterDomain, Domain
+from keylattice.sources.shared import settled
 
 # -- list printouts -------------------------------------------------------------------------------------------------
 _LIST = """, item AS (SELECT l_orderkey AS o, l_partkey AS p, min(l_suppkey) AS s, max(l_returnflag) AS f FROM lineitem GROUP BY 1, 2),
@@ -29,20 +30,20 @@ _WITH_LIST = "WITH " + _LIST.lstrip(", ")
 @query(_WITH_LIST + """SELECT CAST(o AS VARCHAR) AS doc, CAST(k AS INTEGER) AS "row", 'Door ' || p || CASE WHEN p % 3 = 0 THEN ' cont' ELSE '' END AS door_name, CAST(s % 90 AS VARCHAR) AS room_number, p || '-' || s AS serial,
 f || CASE WHEN p % 3 = 0 THEN ' more' ELSE '' END AS area, CASE WHEN o % 5 <> 0 THEN 'L.' || o % 7 END AS location, 'Sys ' || o % 10 AS locking_system FROM placed""", prelude=False)
 def src_list_pdf(spark, sf_dir):
-    return X.parse_list(O.list_words(spark, sf_dir))[1]
+    return X.parse_list(settled(O.list_words(spark, sf_dir)))[1]
 
 
 @query(_WITH_LIST + """SELECT CAST(o AS VARCHAR) AS doc, 'S' || o AS serial, CAST(CASE WHEN o % 4 <> 0 THEN o % 1000 END AS INTEGER) AS number, 'Name' || o AS person_name, 'Sys ' || o % 10 AS locking_system, DATE '2024-01-02' AS printed_on,
 CAST(count(*) + CASE WHEN o % 6 = 0 THEN 1 ELSE 0 END AS INTEGER) AS stated, CAST(count(*) AS INTEGER) AS parsed, o % 6 <> 0 AS consistent FROM placed GROUP BY o""", prelude=False)
 def lay_count(spark, sf_dir):
     """Identity, system, print date, stated and parsed counts of list printouts."""
-    return X.parse_list(O.list_words(spark, sf_dir))[0]
+    return X.parse_list(settled(O.list_words(spark, sf_dir)))[0]
 
 
 def _listed(spark: SparkSession, sf_dir: str):
     """The adapter's domain, and list printouts whose principals are the orders' suppliers."""
     d = AdapterDomain(spark, sf_dir)
-    heads, rows = X.parse_list(O.list_words(spark, sf_dir))
+    heads, rows = X.parse_list(settled(O.list_words(spark, sf_dir)))
     rows = rows.withColumn("serial", F.split("serial", "-")[0])
     heads = heads.withColumn("serial", (F.col("doc").cast("long") % 150).cast("string"))
     return d, heads, rows
@@ -88,42 +89,46 @@ sold AS (SELECT DISTINCT doc, s, c, l_partkey AS p FROM lineitem JOIN col ON l_s
 _SERIAL = "lpad(CAST(s % 100 AS VARCHAR), 2, '0') || 'X' || lpad(CAST(s // 100 AS VARCHAR), 4, 'A')"
 
 
+def _matrix(spark: SparkSession, sf_dir: str) -> X.Matrix:
+    return X.parse_matrix(settled(O.matrix_words(spark, sf_dir)))
+
+
 @query(_MATRIX + f"""SELECT doc, CAST(c AS INTEGER) AS "column", {_SERIAL} AS serial, true AS valid, false AS suspect, CAST(CASE WHEN s % 7 <> 0 THEN s % 1000 END AS INTEGER) AS number, 'Supplier' || s AS person_name FROM col""", prelude=False)
 def lay_persons(spark, sf_dir):
-    return X.parse_matrix(O.matrix_words(spark, sf_dir)).columns.drop("raw")
+    return _matrix(spark, sf_dir).columns.drop("raw")
 
 
 @query(_MATRIX + """SELECT doc, CAST(r AS INTEGER) AS "row", 'Room ' || p AS name, CASE WHEN p % 50 <> 0 THEN CAST(p % 50 AS VARCHAR) ELSE '' END AS room_number, 'E' || p % 9 AS floor FROM door""", prelude=False)
 def lay_doors(spark, sf_dir):
-    return X.parse_matrix(O.matrix_words(spark, sf_dir)).doors
+    return _matrix(spark, sf_dir).doors
 
 
 @query(_MATRIX + """SELECT doc, CAST(c AS INTEGER) AS "column", CAST(r AS INTEGER) AS "row", 'active' AS state FROM sold JOIN door USING (doc, p)""", prelude=False)
 def src_matrix_pdf(spark, sf_dir):
-    return X.parse_matrix(O.matrix_words(spark, sf_dir)).marks
+    return _matrix(spark, sf_dir).marks
 
 
 @query(_MATRIX + """SELECT doc, CAST(max(c) AS INTEGER) AS "columns", CAST(max(c) AS INTEGER) AS expected_columns, CAST(max(r) AS INTEGER) AS "rows", CAST(max(r) AS INTEGER) AS expected_rows, false AS scan, true AS consistent FROM col JOIN door USING (doc) GROUP BY 1""", prelude=False)
 def lay_coverage(spark, sf_dir):
-    return X.parse_matrix(O.matrix_words(spark, sf_dir)).coverage
+    return _matrix(spark, sf_dir).coverage
 
 
 @query(_MATRIX + """SELECT doc, CAST(doc AS INTEGER) % 2 = 1 AS native FROM col JOIN door USING (doc) GROUP BY 1""", prelude=False)
 def src_is_native(spark, sf_dir):
-    return X.is_native(O.matrix_words(spark, sf_dir, F.col("doc").cast("int") % 2 == 0))
+    return X.is_native(settled(O.matrix_words(spark, sf_dir, F.col("doc").cast("int") % 2 == 0)))
 
 
 @query("""SELECT CAST(l_orderkey AS VARCHAR) AS doc, 'list' AS format FROM lineitem GROUP BY 1 UNION ALL SELECT 'm' || s_nationkey, 'matrix' FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem) GROUP BY 1""", prelude=False)
 def src_dispatch(spark, sf_dir):
     """The format of list and matrix printouts, from their words."""
     matrix = O.matrix_words(spark, sf_dir).withColumn("doc", F.concat(F.lit("m"), "doc"))
-    return X.detect_format(O.list_words(spark, sf_dir).unionByName(matrix))
+    return X.detect_format(settled(O.list_words(spark, sf_dir).unionByName(matrix)))
 
 
 def _imported(spark: SparkSession, sf_dir: str):
     """The adapter's domain and the matrices of `matrix_words`, whose columns read as suppliers' keys in part."""
     d = AdapterDomain(spark, sf_dir)
-    m = X.parse_matrix(O.matrix_words(spark, sf_dir))
+    m = _matrix(spark, sf_dir)
     key = F.regexp_extract("person_name", r"(\d+)", 1)
     columns = m.columns.withColumns({"raw": F.when(key.cast("int") % 3 == 0, F.col("raw")).otherwise(key), "valid": key.cast("int") % 2 == 0})
     return d, columns, m.doors, m.marks
