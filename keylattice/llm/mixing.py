@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from keylattice.llm.common import WORD, materialise, table
+from keylattice.llm.common import WORD, materialise, release, table
 
 #: Buckets of one histogram level: 2 ** LEVEL_BITS.
 LEVEL_BITS = 10
@@ -97,7 +97,8 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
         if level == LEVELS:  # the documents of the last bucket are taken if that is nearer
             edge = edge + F.when(F.col("at.n") - left < left, 1).otherwise(0)
         moved = state.alias("s").join(edges.alias("e"), F.col("s.source").eqNullSafe(F.col("e.source")), "left")
-        state = materialise(moved.select("s.source", "s.n", "target", "whole", left.alias("rest"), edge.cast("long").alias("edge")), "mix-state")
+        done, state = state, materialise(moved.select("s.source", "s.n", "target", "whole", left.alias("rest"), edge.cast("long").alias("edge")), "mix-state")
+        release(done)
     out = compact.alias("d").join(state.alias("s"), same, "left").withColumn("copies", (F.col("whole") + F.when(bits < F.col("edge"), 1).otherwise(0)).cast("long"))
     return out.select("doc_id", "d.source", "size", F.col("n").alias("source_size"), "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), "key")
 
