@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 from functools import reduce
 
@@ -22,9 +23,15 @@ ORIENTATION = (
     "ost west nord sued sud no nw so sw nordost nordwest suedost suedwest sudost sudwest links rechts mitte oben unten innen aussen".split()
 )
 SUFFIXES = "nordost nordwest suedost suedwest sudost sudwest ost west nord sued sud".split()
-# Latin letters with a mark and their base letters.
-MARKED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿŠšŽžČčŘřĚěŇňŤťĎďŮů"
-BASE = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyySsZzCcRrEeNnTtDdUu"
+def _marked() -> tuple[str, str]:
+    """Latin, Greek and Cyrillic letters that decompose to one base letter and marks, and those letters, by Unicode's rules."""
+    blocks = [*range(0xAA, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000)]
+    base = {chr(c): "".join(x for x in unicodedata.normalize("NFKD", chr(c)) if not unicodedata.combining(x)) for c in blocks}
+    kept = {c: b for c, b in base.items() if b != c and len(b) == 1}
+    return "".join(kept), "".join(kept.values())
+
+
+MARKED, BASE = _marked()
 
 
 def fold_marks(x: Column) -> Column:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from keylattice.functions import text as T
 from keylattice.operators import reconcile as R
@@ -163,13 +164,13 @@ def m_state_transition(spark, sf_dir):
     return R.state_transition(AdapterDomain(spark, sf_dir).flags(), _marks(spark, sf_dir))
 
 
-@query(""", lists AS (SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS principal, CAST(l_partkey AS VARCHAR) AS resource FROM lineitem JOIN principal ON serial = CAST(l_suppkey AS VARCHAR) WHERE number IS NOT NULL AND l_quantity < 10)
+@query(""", lists AS (SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS principal, CAST(l_partkey AS VARCHAR) AS resource FROM lineitem JOIN principal ON serial = CAST(l_suppkey AS VARCHAR) WHERE number IS NOT NULL)
 SELECT * FROM (SELECT principal, resource, CASE WHEN principal IN (SELECT principal FROM lists) THEN l.p IS NOT NULL ELSE coalesce(active, false) END AS active, coalesce(planned, false) AS planned, coalesce(removed, false) AS removed, coalesce(desired, false) AS desired
 FROM flags FULL JOIN (SELECT *, principal AS p FROM lists) l USING (principal, resource)) WHERE active OR planned OR removed OR desired""")
 def m_import_list(spark, sf_dir):
     d = AdapterDomain(spark, sf_dir)
-    small = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_quantity < 10").select(F.col("l_suppkey").cast("string").alias("principal"), F.col("l_partkey").cast("string").alias("resource"))
-    lists = small.join(d.principal.where("number IS NOT NULL").select(F.col("serial").alias("principal")), "principal", "left_semi")
+    listed = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_suppkey").cast("string").alias("principal"), F.col("l_partkey").cast("string").alias("resource"))
+    lists = listed.join(d.principal.where("number IS NOT NULL").select(F.col("serial").alias("principal")), "principal", "left_semi")
     return R.import_list(d.flags(), lists)
 
 
@@ -301,7 +302,7 @@ def j_serial_match(spark, sf_dir):
 def j_serial_greedy(spark, sf_dir):
     k = _known_serials(spark, sf_dir)
     reads = k.select(F.substring("serial", 1, 2).alias("doc"), F.substring("serial", 4, 4).alias("c"), F.translate("serial", "0", "O").alias("raw"))
-    return E.greedy_serials(reads.select("doc", F.row_number().over(__import__("pyspark").sql.Window.partitionBy("doc").orderBy("c")).alias("column"), "raw"), k)
+    return E.greedy_serials(reads.select("doc", F.row_number().over(Window.partitionBy("doc").orderBy("c")).alias("column"), "raw"), k)
 
 
 @query(_SERIALS + "SELECT s AS raw, s AS serial, true AS valid, false AS suspect FROM k", prelude=False)

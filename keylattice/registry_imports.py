@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,9 +17,10 @@ from keylattice.plans import layout as L
 from keylattice.plans import parsing as X
 from keylattice.plans import pixels as P
 from keylattice.plans import printouts as O
-from keylattice.registry import QUERIES, query, simple
+from keylattice.registry import ORACLE_SQL, query, simple
 from keylattice.sources import backup as B
 from keylattice.sources import files as S
+from keylattice.sources import versions as V
 from keylattice.sources.domain import AdapterDomain, Domain
 from keylattice.sources.shared import settled
 
@@ -452,19 +455,58 @@ def cls_box_mean(spark, sf_dir):
     return _grid(spark, sf_dir).select("doc", "col", F.posexplode(P.box_mean(F.col("px"), F.col("w"), F.col("h"))).alias("place", "mean"))
 
 
-# -- oracles for what had none --------------------------------------------------------------------------------------
+# -- SQL for queries of other modules ------------------------------------------------------------------------------
 _W = """WITH w AS (SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS doc, 1 AS page, CAST(l_partkey AS VARCHAR) AS text, CAST(l_partkey % 97 AS DOUBLE) AS x0, l_linenumber * 2.0::DOUBLE AS top, l_partkey % 2 = 0 AS upright FROM lineitem)\n"""
-
-
-@query(_W + """, t AS (SELECT *, CASE WHEN top - lag(top) OVER (PARTITION BY doc ORDER BY top) <= 2.5 THEN 0 ELSE 1 END AS new FROM w), g AS (SELECT *, sum(new) OVER (PARTITION BY doc ORDER BY top, text ROWS UNBOUNDED PRECEDING) AS run FROM t),
+_STRIPS = """, s AS (SELECT *, sum(CASE WHEN d <= 5 THEN 0 ELSE 1 END) OVER (PARTITION BY doc ORDER BY x0 ROWS UNBOUNDED PRECEDING) - 1 AS strip FROM (SELECT *, x0 + 1 AS xc, x0 - lag(x0) OVER (PARTITION BY doc ORDER BY x0) AS d FROM w WHERE NOT upright))"""
+ORACLE_SQL["lay_serial_band"] = _W + """, t AS (SELECT *, CASE WHEN top - lag(top) OVER (PARTITION BY doc ORDER BY top) <= 2.5 THEN 0 ELSE 1 END AS new FROM w), g AS (SELECT *, sum(new) OVER (PARTITION BY doc ORDER BY top, text ROWS UNBOUNDED PRECEDING) AS run FROM t),
 r AS (SELECT doc, run, count(*) AS n, min(top) AS a, max(top + 1) AS b FROM (SELECT doc, top, max(run) OVER (PARTITION BY doc, top) AS run FROM g) GROUP BY 1, 2)
-SELECT doc, 1 AS page, max_by(a, {'n': n, 'a': a}) - 4 AS low, max_by(b, {'n': n, 'a': a}) + 4 AS high FROM r GROUP BY 1""", prelude=False)
-def lay_serial_band_sql(spark, sf_dir):
-    return QUERIES["lay_serial_band"](spark, sf_dir)
-
-
-@query(_W + """, s AS (SELECT doc, x0 + 1 AS xc, sum(CASE WHEN d <= 5 THEN 0 ELSE 1 END) OVER (PARTITION BY doc ORDER BY x0 ROWS UNBOUNDED PRECEDING) - 1 AS strip FROM (SELECT *, x0 - lag(x0) OVER (PARTITION BY doc ORDER BY x0) AS d FROM w WHERE NOT upright)),
-c AS (SELECT doc, strip, avg(xc) AS xc FROM s GROUP BY 1, 2), m AS (SELECT DISTINCT doc, text, x0 FROM w WHERE upright)
-SELECT doc, 1 AS page, text AS mark, arg_min(strip, {'d': abs(x0 - xc), 's': strip}) AS strip FROM m JOIN c USING (doc) WHERE abs(x0 - xc) <= 7 GROUP BY 1, 3""", prelude=False)
-def j_mark_nearest_sql(spark, sf_dir):
-    return QUERIES["j_mark_nearest"](spark, sf_dir)
+SELECT doc, 1 AS page, max_by(a, {'n': n, 'a': a}) - 4 AS low, max_by(b, {'n': n, 'a': a}) + 4 AS high FROM r GROUP BY 1"""
+ORACLE_SQL["j_mark_nearest"] = _W + _STRIPS + """, c AS (SELECT doc, strip, avg(xc) AS xc FROM s GROUP BY 1, 2), m AS (SELECT DISTINCT doc, text, x0 FROM w WHERE upright)
+SELECT doc, 1 AS page, text AS mark, arg_min(strip, {'d': abs(x0 - xc), 's': strip}) AS strip FROM m JOIN c USING (doc) WHERE abs(x0 - xc) <= 7 GROUP BY 1, 3"""
+ORACLE_SQL["lay_lines"] = _W + """, a AS (SELECT doc, list_reduce(list_transform(list(DISTINCT top ORDER BY top), lambda x: [x]), lambda acc, x: CASE WHEN x[1] - acc[-1] > 3 THEN list_append(acc, x[1]) ELSE acc END) AS anchors FROM w GROUP BY 1)
+SELECT doc, 1 AS page, CAST(line AS INTEGER) AS line, anchors[line + 1] AS top, string_agg(text, ' ' ORDER BY x0, text, top) AS text FROM (SELECT doc, anchors, x0, text, top, len(list_filter(anchors, lambda v: v <= top)) - 1 AS line FROM w JOIN a USING (doc)) GROUP BY 1, 3, 4"""
+ORACLE_SQL["lay_native_cols"] = _W + _STRIPS + """, low AS (SELECT *, CASE WHEN top - lag(top + 1) OVER o > 2 THEN 1 ELSE 0 END AS cut FROM s WHERE top >= 9 WINDOW o AS (PARTITION BY doc, strip ORDER BY top, x0)), first AS (SELECT *, sum(cut) OVER (PARTITION BY doc, strip ORDER BY top, x0 ROWS UNBOUNDED PRECEDING) AS band FROM low),
+raw AS (SELECT doc, strip, string_agg(reverse(text), '' ORDER BY -top, x0, reverse(text)) AS raw FROM first WHERE band = 0 GROUP BY 1, 2), name AS (SELECT doc, strip, string_agg(reverse(text), ' ' ORDER BY -top, x0, reverse(text)) AS name FROM s WHERE top < 9 GROUP BY 1, 2)
+SELECT doc, strip, coalesce(raw, '') AS raw, coalesce(name, '') AS name FROM (SELECT DISTINCT doc, strip FROM s) LEFT JOIN raw USING (doc, strip) LEFT JOIN name USING (doc, strip) WHERE coalesce(name, '') <> '' OR regexp_full_match(raw, '[0-9]{7}')"""
+
+
+@query(_MATRIX + "SELECT doc, CAST((c - 1) // 20 + 1 AS INTEGER) AS page, 'Room' || CASE WHEN p % 50 <> 0 THEN ' ' || p ELSE '' END AS name FROM door JOIN (SELECT DISTINCT doc, (c - 1) // 20 * 20 + 1 AS c FROM col) USING (doc)", prelude=False)
+def lay_native_doors_named(spark, sf_dir):
+    """Labels left of the grid, without the numbers of another column behind them."""
+    return L.native_doors(settled(O.matrix_words(spark, sf_dir))).select("doc", "page", "name")
+
+
+@query(_MATRIX + f"SELECT doc, CAST((c - 1) // 20 + 1 AS INTEGER) AS page, {_SERIAL} AS raw, CASE WHEN s % 7 <> 0 THEN 'No. ' || s % 1000 || ' ' ELSE '' END || 'Supplier' || s AS name FROM col", prelude=False)
+def lay_native_cols_named(spark, sf_dir):
+    return L.native_columns(settled(O.matrix_words(spark, sf_dir))).select("doc", "page", "raw", "name")
+
+
+simple("src_routes", "SELECT serial, CASE CAST(serial AS INTEGER) % 5 WHEN 0 THEN 'image' WHEN 1 THEN 'csv' WHEN 2 THEN 'backup' WHEN 3 THEN 'matrix' ELSE 'image' END AS kind FROM resource",
+       lambda d: d.resource.select("serial", S.route(F.concat(F.lit("dir/"), "serial", F.element_at(F.array(*map(F.lit, (".PNG", ".Csv", ".json", ".pdf", ".jpeg"))), F.col("serial").cast("int") % 5 + 1)), F.lit("matrix")).alias("kind")))
+
+_ALL_ROWS = """, states AS (SELECT principal, resource, unnest([CASE WHEN active THEN 'active' END, CASE WHEN planned THEN 'planned' END, CASE WHEN removed THEN 'removed' END, CASE WHEN desired THEN 'desired' END]) AS state FROM flags)
+SELECT 'principal' AS what, serial AS a, coalesce(CAST(number AS VARCHAR), '') AS b, person_name AS c FROM principal UNION ALL SELECT 'resource', serial, door_name, location FROM resource UNION ALL SELECT 'group', export_code, name, CAST(is_implicit AS VARCHAR) FROM grps
+UNION ALL SELECT 'grant', principal, resource, state FROM states WHERE state IS NOT NULL UNION ALL SELECT 'member', principal, 'B' || grp, '' FROM membership UNION ALL SELECT 'held', 'B' || grp, resource, '' FROM group_resource"""
+
+
+@query(_ALL_ROWS)
+def snk_tables(spark, sf_dir):
+    """The domain, written as a version, published and read back."""
+    settled(spark.range(1))  # a session without a folder gets one
+    root = f"{spark.sparkContext.getCheckpointDir()}/domain-{uuid.uuid4().hex}"
+    V.publish(spark, root, V.write_version(AdapterDomain(spark, sf_dir), root))
+    return _domain_rows(V.current(spark, root))
+
+
+@query(_MATRIX.replace("WITH ", ", ", 1) + f""", one AS (SELECT min('nation-' || doc || '.csv') AS path FROM sold), mine AS (SELECT * FROM sold JOIN door USING (doc, p) JOIN one ON path = 'nation-' || doc || '.csv')
+SELECT 'principal' AS what, {_SERIAL} AS a, CAST(s % 1000 AS VARCHAR) AS b, 'Name' AS c FROM col JOIN one ON path = 'nation-' || doc || '.csv' UNION ALL SELECT DISTINCT 'resource', 'L' || p, p_name || ' ' || p, p_type || '.2' FROM mine JOIN part ON p = p_partkey
+UNION ALL SELECT 'group', export_code, name, CAST(is_implicit AS VARCHAR) FROM grps UNION ALL SELECT 'grant', {_SERIAL}, 'L' || p, CASE WHEN (r - 1) % 4 = 0 THEN 'planned' ELSE 'active' END FROM mine""")
+def m_import_csv(spark, sf_dir):
+    """The adapter's domain rebuilt from the first nation's export."""
+    files = O.export_files(spark, sf_dir)
+    cells = settled(S.csv_cells(files.join(files.agg(F.min("path").alias("path")), "path")))
+    columns, doors, marks = S.csv_matrix(cells)
+    states = marks.where("ri % 4 = 0").select("doc", "ci", "ri", F.lit("planned").alias("state"))
+    number = F.concat(F.substring("serial", 4, 4), F.substring("serial", 1, 2))
+    persons = columns.select("doc", "ci", "serial", (F.regexp_replace(number, "A", "").cast("int") % 1000).alias("number"), F.lit("Name").alias("person_name"))
+    return _domain_rows(S.rebuilt(AdapterDomain(spark, sf_dir), columns, doors, marks, persons, doors, states)[0])
