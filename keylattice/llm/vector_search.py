@@ -21,8 +21,8 @@ from keylattice.llm.common import materialise, release, table
 PIVOTS, BLOCK, CHUNK = 32, 1024, 256
 #: Sampled vectors that pivots are taken from and that give the first thresholds; the longest that are sampled.
 SAMPLE, LONGEST = 1024, 4096
-#: Vectors near one pivot are dealt over so many tasks; blocks in a page of summaries; queries in a block.
-SPREAD, PAGE, QUERIES = 16, 256, 256
+#: Blocks of vectors near one pivot that one task packs; blocks in a page of summaries; queries in a block.
+SHARE, PAGE, QUERIES = 16, 256, 256
 
 
 def quantised(embedding: Column, scale: int = 256) -> Column:
@@ -140,7 +140,10 @@ def _blocks(vectors: DataFrame, guide, rows: int, k: int | None = None) -> DataF
         if held is not None and len(held):
             yield block(held)
 
-    ordered = vectors.repartition("dim", "near", F.pmod(F.xxhash64("id"), F.lit(SPREAD))).sortWithinPartitions("dim", "near", "id")
+    # What is near one pivot goes to as many tasks as it needs, by its size: a hot pivot is split, a small one makes whole blocks.
+    parts = vectors.groupBy("dim", "near").agg(F.ceil(F.count("*") / (SHARE * rows)).alias("parts"))
+    placed = vectors.join(parts, ["dim", "near"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    ordered = placed.repartition("dim", "near", "part").sortWithinPartitions("dim", "near", "id")
     made = ordered.select("dim", "near", "id", "v").mapInPandas(packed, "dim int, block long, ids binary, data binary, far binary, low binary, high binary, most double, least binary")
     # A block goes by a hash of what it holds; equal blocks would give equal results, which count once.
     return made.withColumn("block", F.xxhash64("dim", "ids", "data"))
