@@ -98,18 +98,20 @@ def set_desired(domain: Domain, pairs: DataFrame, wished: bool) -> DataFrame:
     now = _desired(domain.grants)
     if wished:
         return _with_desired(domain.grants, now.unionByName(pairs.select("principal", "resource")))
-    drop = pairs.join(domain.inherited(), ["principal", "resource"], "left_anti")
+    drop = domain.beyond_groups(pairs.select("principal", "resource"))
     return _with_desired(domain.grants, now.join(drop, ["principal", "resource"], "left_anti"))
 
 
 def unassign_group(domain: Domain, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(membership, grants) after principals leave groups (principal, grp): wishes for the group's resources go, unless
     another group still covers them."""
-    left = domain.membership.join(pairs, ["principal", "grp"], "left_anti")
-    lost = domain.membership.join(pairs, ["principal", "grp"], "left_semi").join(domain.group_resource, "grp").select("principal", "resource")
-    covered = left.join(domain.group_resource, "grp").select("principal", "resource")
-    drop = lost.join(covered, ["principal", "resource"], "left_anti").distinct()
-    return left, _with_desired(domain.grants, _desired(domain.grants).join(drop, ["principal", "resource"], "left_anti"))
+    marked = domain.membership.join(pairs.select("principal", "grp").distinct().withColumn("leaves", F.lit(True)), ["principal", "grp"], "left")
+    left = marked.where("leaves IS NULL").select("principal", "grp")
+    # Each wish meets the groups that its principal leaves and keeps, and those that hold its resource.
+    own = marked.groupBy("principal").agg(*(F.collect_set(F.when(rule, F.col("grp"))).alias(n) for n, rule in (("lost", F.col("leaves").isNotNull()), ("kept", F.col("leaves").isNull()))))
+    met = _desired(domain.grants).join(own, "principal", "left").join(domain.holders(), "resource", "left")
+    overlap = lambda c: F.coalesce(F.arrays_overlap(c, "held_by"), F.lit(False))
+    return left, _with_desired(domain.grants, met.where(~(overlap("lost") & ~overlap("kept"))).select("principal", "resource"))
 
 
 def assign_group(domain: Domain, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -250,16 +250,7 @@ def individual(d: Domain, scope: str = "soll") -> DataFrame:
     rule = "active OR planned OR removed" if scope == "ist" else "desired"
     basis = d.flags().where(rule).withColumn("n_current", F.count("*").over(Window.partitionBy("principal")))
     state = F.when(F.col("active"), "active").when(F.col("planned"), "planned").when(F.col("removed"), "removed").otherwise("add")
-    return beyond_groups(d, basis).select("principal", "resource", state.alias("state"), "n_current")
-
-
-def beyond_groups(d: Domain, pairs: DataFrame) -> DataFrame:
-    """Pairs (principal, resource, ...) whose resource no group of the principal holds. Each pair meets the groups of its
-    principal and those of its resource; what groups hold is never written out for every member."""
-    mine = d.membership.groupBy("principal").agg(F.collect_set("grp").alias("own_groups"))
-    holders = d.group_resource.groupBy("resource").agg(F.collect_set("grp").alias("held_by"))
-    met = pairs.join(mine, "principal", "left").join(holders, "resource", "left")
-    return met.where(~F.coalesce(F.arrays_overlap("own_groups", "held_by"), F.lit(False))).select(*pairs.columns)
+    return d.beyond_groups(basis).select("principal", "resource", state.alias("state"), "n_current")
 
 
 def detail(d: Domain, principal: str) -> DataFrame:
@@ -306,7 +297,7 @@ def fate_ordered(d: Domain, resource: str) -> DataFrame:
 
 def individual_desirers(d: Domain) -> DataFrame:
     """(resource, principal) that is wished without a group of the principal that holds the resource."""
-    return beyond_groups(d, d.flags().where("desired").select("principal", "resource"))
+    return d.beyond_groups(d.flags().where("desired").select("principal", "resource"))
 
 
 def addable(d: Domain, resource: str) -> DataFrame:

@@ -152,16 +152,17 @@ _MARKS = """, marks AS (SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS principal,
 , m AS (SELECT principal, resource, bool_or(state = 'active') AS ma, bool_or(state = 'planned') AS mp, bool_or(state = 'remove') AS mr FROM marks GROUP BY 1, 2)\n"""
 
 
-def _marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _marks(spark: SparkSession, sf_dir: str, once: bool = True) -> DataFrame:
     state = F.when(F.col("l_linenumber") % 3 == 0, "active").when(F.col("l_linenumber") % 3 == 1, "planned").otherwise("remove")
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_suppkey").cast("string").alias("principal"), F.col("l_partkey").cast("string").alias("resource"), state.alias("state")).distinct()
+    marks = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_suppkey").cast("string").alias("principal"), F.col("l_partkey").cast("string").alias("resource"), state.alias("state"))
+    return marks.distinct() if once else marks
 
 
 @query(_MARKS + """, s AS (SELECT principal, resource, coalesce(active, false) OR coalesce(ma, false) AS a, coalesce(planned, false) AND NOT coalesce(ma, false) AS p, coalesce(removed, false) AND NOT coalesce(ma, false) AS r,
 coalesce(mp, false) AS mp, coalesce(mr, false) AS mr, coalesce(desired, false) AS desired FROM flags FULL JOIN m USING (principal, resource))
 SELECT principal, resource, a AND NOT mr AS active, (p OR (mp AND NOT a)) AND NOT mr AS planned, (r AND NOT mp) OR mr AS removed, desired FROM s WHERE (a AND NOT mr) OR ((p OR (mp AND NOT a)) AND NOT mr) OR (r AND NOT mp) OR mr OR desired""")
 def m_state_transition(spark, sf_dir):
-    return R.state_transition(AdapterDomain(spark, sf_dir).flags(), _marks(spark, sf_dir))
+    return R.state_transition(AdapterDomain(spark, sf_dir).flags(), _marks(spark, sf_dir, once=False))
 
 
 @query(""", lists AS (SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS principal, CAST(l_partkey AS VARCHAR) AS resource FROM lineitem JOIN principal ON serial = CAST(l_suppkey AS VARCHAR) WHERE number IS NOT NULL)
@@ -302,7 +303,9 @@ def j_serial_match(spark, sf_dir):
 def j_serial_greedy(spark, sf_dir):
     k = _known_serials(spark, sf_dir)
     reads = k.select(F.substring("serial", 1, 2).alias("doc"), F.substring("serial", 4, 4).alias("c"), F.translate("serial", "0", "O").alias("raw"))
-    return E.greedy_serials(reads.select("doc", F.row_number().over(Window.partitionBy("doc").orderBy("c")).alias("column"), "raw"), k)
+    # A printout of fifty columns at most, whatever the table's size.
+    numbered = reads.withColumn("n", F.row_number().over(Window.partitionBy("doc").orderBy("c")) - 1)
+    return E.greedy_serials(numbered.select(F.concat_ws("-", "doc", F.floor(F.col("n") / 50)).alias("doc"), (F.col("n") % 50 + 1).alias("column"), "raw"), k)
 
 
 @query(_SERIALS + "SELECT s AS raw, s AS serial, true AS valid, false AS suspect FROM k", prelude=False)

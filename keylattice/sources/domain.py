@@ -32,6 +32,17 @@ class Domain:
         """Distinct (principal, resource) that some group of the principal holds."""
         return self.membership.join(self.group_resource, "grp").select("principal", "resource").distinct()
 
+    def holders(self) -> DataFrame:
+        """resource, held_by: the groups that hold each resource."""
+        return self.group_resource.groupBy("resource").agg(F.collect_set("grp").alias("held_by"))
+
+    def beyond_groups(self, pairs: DataFrame) -> DataFrame:
+        """Pairs (principal, resource, ...) whose resource no group of the principal holds. Each pair meets the groups of its
+        principal and those of its resource; what groups hold is never written out for every member."""
+        mine = self.membership.groupBy("principal").agg(F.collect_set("grp").alias("own_groups"))
+        met = pairs.join(mine, "principal", "left").join(self.holders(), "resource", "left")
+        return met.where(~F.coalesce(F.arrays_overlap("own_groups", "held_by"), F.lit(False))).select(*pairs.columns)
+
 
 def grant_flags(grants: DataFrame) -> DataFrame:
     return grants.groupBy("principal", "resource").agg(*(F.coalesce(F.bool_or(F.col("state") == s), F.lit(False)).alias(s) for s in STATES))
