@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once; a longer text is a piece of its own.
-PIECE = 3 << 20
+PIECE = 2 << 20
 
 #: The white space of `[^\x20\x09-\x0D]+`; fixed values.
 SPACES = bytes([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])

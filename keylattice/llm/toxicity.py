@@ -21,6 +21,8 @@ FOLD = 400
 NEIGHBOURS, BLOCK = 8, 64
 #: Terms in at least one of COMMON examples are kept as a dense matrix; MARGIN covers its single precision.
 COMMON, MARGIN = 20, 1e-4
+#: Bytes of text that are scored at once.
+PIECE = 1 << 20
 #: Weight of a term that tells nothing about the class, next to those that do.
 FLOOR = 0.1
 THRESHOLD = 0.3
@@ -275,7 +277,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_E
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, offsets in pieces(batch, batch.schema.names[at]):
+            for part, data, offsets in pieces(batch, batch.schema.names[at], PIECE):
                 score, evidence = index.value.documents(data, offsets)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score), pa.array(evidence, kind)], names=[*part.schema.names, "score", "evidence"])
 
