@@ -634,6 +634,57 @@ def test_targets_of_many_sources(spark):
     assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-6 * max(1, want[s]) for s in want)
 
 
+def test_odd_tables(spark):
+    """Null and repeated ids, repeated rows, null texts, columns with names of results, and tables without rows."""
+    texts = ["one two three four five six", None, "", "an idiot, a clown!", "x " * 30]
+    rows = [(i % 4 if i % 5 else None, texts[i % len(texts)], "s" if i % 3 else None, i) for i in range(40)] * 2
+    names = ["score", "predicted", "evidence", "n_tokens", "ids_sha256", "key", "batch", "size", "copies", "taken", "component_id", "doc", "c0", "_key", "_batch"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n int")
+    for name in names:
+        docs = docs.withColumn(name, F.lit("old"))
+    labels = spark.createDataFrame([(i, i % 2, (i + 1) % 2) for i in range(4)] + [(None, 1, 1), (1, 0, None)], "doc_id long, quality int, toxic int")
+    n = len(rows)
+
+    for made, gone in ((quality.score_quality(docs, labels), {"score", "predicted"}), (toxicity.score_toxicity(docs, labels), {"score", "predicted", "evidence"})):
+        got = made.collect()
+        assert len(got) == n and set(made.columns) == set(docs.columns) and sorted(r.n for r in got) == sorted(r[3] for r in rows)
+        assert all(r[c] == "old" for r in got for c in names if c not in gone)
+        assert len({(r.text, r.score) for r in got}) == len(texts)  # equal texts, equal scores
+    made = bpe.encode_documents(docs)
+    got = made.collect()
+    assert len(got) == n and all(r[c] == "old" for r in got for c in names if c not in ("n_tokens", "ids_sha256"))
+    path = token_store.shared_path(spark, "odd-store")
+    token_store.write_store(docs, path)
+    stored = token_store.read_store(spark, path).orderBy("start").collect()
+    assert sorted(str(r.doc_id) for r in stored) == sorted(str(r[0]) for r in rows) and [r.start for r in stored[1:]] == [r.start + r.n_tokens for r in stored[:-1]]
+    pairs = jaccard_join.jaccard_components(docs).collect()
+    assert len(pairs) == n and all((r.component_id is None) == (r.doc_id is None) for r in pairs)
+    kept = jaccard_join.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns and kept.where("doc_id is null").count() == sum(r[0] is None for r in rows)
+    mixed = mixing.mix_sources(docs).collect()
+    assert len(mixed) == n and all(0 <= r.taken <= 2 * r.size for r in mixed)
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.concat(F.lit("http://a.org/"), "text").alias("url"), F.concat(F.lit("<p>"), "text").alias("html"), F.lit("old").alias("text"), F.lit("old").alias("n_chars"), F.lit("old").alias("page"), F.lit("old").alias("found"), "n")
+    for made in (html_text.extract_main_text(pages), url_filter.judge_urls(pages, url_filter.RULES)):
+        got = made.collect()
+        assert len(got) == n and all(r.page == r.found == "old" for r in got)
+    for none in (quality.score_quality(docs.limit(0), labels), toxicity.score_toxicity(docs.limit(0), labels), html_text.extract_main_text(pages.limit(0)), mixing.mix_sources(docs.limit(0)), jaccard_join.drop_near_duplicates(docs.limit(0))):
+        assert none.collect() == []
+
+
+def test_pipeline_mix_keeps_columns_of_any_name(spark):
+    import corpus_pipeline as cp
+
+    docs = spark.createDataFrame([(i, "w " * (1 + i % 7), "ab"[i % 2], "x", i) for i in range(50)], "doc_id long, text string, source string, _key string, copies int")
+    mixed = cp.mix(spark, docs, DIR)
+    assert mixed.columns == docs.columns
+    taken = {r.doc_id: r.copies for r in mixing.mix_sources(docs.drop("copies")).collect()}
+    got = {}
+    for r in mixed.collect():
+        assert (r._key, r.copies) == ("x", r.doc_id)
+        got[r.doc_id] = got.get(r.doc_id, 0) + 1
+    assert got == {i: c for i, c in taken.items() if c}
+
+
 def test_pipeline(spark):
     import corpus_pipeline as cp
 
