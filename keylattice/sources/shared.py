@@ -15,7 +15,7 @@ def settled(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         root = context.getConf().get("spark.checkpoint.dir")
-        if not root and not context.master.startswith("local"):
+        if not root and context.master != "local" and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(root or tempfile.mkdtemp(prefix="spark-keylattice-"))
     return df.checkpoint()
