@@ -313,6 +313,7 @@ simple("q_principal_totals", """SELECT serial, count(*) FILTER (active) AS activ
 simple("snk_markdown_lines", """, keys AS (SELECT principal, string_agg(export_code, '+' ORDER BY export_code) AS key FROM membership JOIN grps ON grp = id GROUP BY 1),
 r AS (SELECT DISTINCT key, location, resource FROM keys JOIN membership USING (principal) JOIN group_resource USING (grp) JOIN resource ON serial = resource)
 SELECT key, location, '### ' || location || chr(10) || chr(10) || string_agg('- ' || label || ' (' || resource || ')', chr(10) ORDER BY lower(label), resource) || chr(10) AS markdown FROM r JOIN (SELECT serial AS resource, label FROM rlabel) USING (resource) GROUP BY 1, 2""", A.markdown)
+ORACLE_SQL["snk_markdown"] = ORACLE_SQL["snk_markdown_lines"]
 
 # -- scalar functions and joins, with inputs that reach every branch ------------------------------------------------
 _K = "WITH k AS (SELECT lpad(CAST(p_partkey % 100 AS VARCHAR), 2, '0') || 'X' || lpad(CAST(p_partkey // 100 AS VARCHAR), 4, 'A') AS s FROM part)\n"
