@@ -112,7 +112,7 @@ def overlap(d: Domain, scope: str = "active") -> DataFrame:
 
 
 #: Principals of a block of the overlap matrix, and resources that are multiplied at a time.
-OVERLAP_BLOCK, OVERLAP_CHUNK = 256, 8192
+OVERLAP_BLOCK, OVERLAP_CHUNK = 512, 8192
 
 
 def _block_overlap(rows: pa.Table) -> pa.Table:
