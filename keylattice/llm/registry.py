@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from keylattice.llm import bpe, html_text, jaccard_join, lexical_search, media, mixing, quality, token_store, toxicity, url_filter, vector_search
+from keylattice.llm import bpe, conversation_repair, html_text, jaccard_join, lexical_search, media, mixing, quality, token_store, toxicity, url_filter, vector_search
 
 QUERIES = {
     f.__name__: f
@@ -17,7 +17,8 @@ QUERIES = {
         bpe.op8_byte_bpe,
         jaccard_join.op9_jaccard_join,
         mixing.op10_mixing,
+        conversation_repair.op11_conversation_repair,
         lexical_search.op13_lexical_search,
     )
 }
-ORACLE_SQL = vector_search.ORACLE | url_filter.ORACLE | lexical_search.ORACLE
+ORACLE_SQL = vector_search.ORACLE | url_filter.ORACLE | conversation_repair.ORACLE | lexical_search.ORACLE
