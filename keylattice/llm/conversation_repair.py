@@ -135,7 +135,7 @@ def repair(initials: str, faults: bytes, costs: Costs = Costs(), block: int = BL
 
 
 def with_faults(rows: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text and `fault`, the first that holds: blank, duplicate, truncated. Null roles and texts are a space.
+    """conv_id, turn, role, text, `seen` (place among equal rows) and `fault`, the first that holds: blank, duplicate, truncated. Null roles and texts are a space.
 
     One exchange by conv_id serves the window and the stream after it.
     """
@@ -143,8 +143,8 @@ def with_faults(rows: DataFrame) -> DataFrame:
     gone = F.col("gone") if "gone" in rows.columns else F.lit(False)
     ended = F.rtrim("text", F.lit(BLANKS))
     seen = F.row_number().over(Window.partitionBy("conv_id", "gone", "role", "text").orderBy(F.col("turn").asc_nulls_first()))
-    fault = F.when(F.col("gone"), GONE).when(ended == "", BLANK).when(seen > 1, DUPLICATE).when(~F.right(ended, F.lit(1)).isin(*MARKS), TRUNCATED).otherwise(NONE)
-    return rows.withColumn("gone", gone).repartition("conv_id").withColumn("fault", fault.cast("int")).drop("gone")
+    fault = F.when(F.col("gone"), GONE).when(ended == "", BLANK).when(F.col("seen") > 1, DUPLICATE).when(~F.right(ended, F.lit(1)).isin(*MARKS), TRUNCATED).otherwise(NONE)
+    return rows.withColumn("gone", gone).repartition("conv_id").withColumn("seen", seen).withColumn("fault", fault.cast("int")).drop("gone")
 
 
 class Conversation:
@@ -222,7 +222,7 @@ def repair_conversations(rows: DataFrame, costs: Costs = Costs(), texts: bool =
         nothing = F.lit(None).cast("string")
         all_rows = all_rows.unionByName(lost.select("conv_id", F.lit(None).cast("long").alias("turn"), nothing.alias("role"), nothing.alias("text"), F.lit(True).alias("gone")))
     schema = pa.schema([*KIND, TEXTS]) if texts else KIND
-    order = ["conv_id", F.col("turn").asc_nulls_first(), "role", "text"]
+    order = ["conv_id", F.col("turn").asc_nulls_first(), "role", "text", "seen"]
 
     def repaired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, ready = None, []
@@ -239,7 +239,7 @@ def repair_conversations(rows: DataFrame, costs: Costs = Costs(), texts: bool =
         if current is not None:
             yield pa.RecordBatch.from_pylist([current.close(costs, texts)], schema)
 
-    sorted_rows = with_faults(all_rows).sortWithinPartitions(*order)
+    sorted_rows = with_faults(all_rows).sortWithinPartitions(*order).drop("seen")
     names = "conv_id long, gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string, repaired_sha256 string"
     return sorted_rows.mapInArrow(repaired, names + (", repaired array<struct<role:string,text:string>>" if texts else ""))
 
@@ -303,8 +303,8 @@ def _oracle() -> str:
         SELECT conv_id, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role,
                CASE hit WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
         FROM hits, range(CASE WHEN hit = 3 THEN 2 ELSE 1 END) WHERE hit > 0),
-    placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
-                      row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS seen FROM damaged),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, seen) AS i FROM (
+        SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS seen FROM damaged)),
     faults AS (SELECT *, left(role, 1) AS initial, count(*) OVER (PARTITION BY conv_id) AS n,
                       CASE WHEN NOT regexp_matches(text, '{word}') THEN 1 WHEN seen > 1 THEN 2
                            WHEN right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
