@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from keylattice.llm import bpe, conversation_repair, html_text, jaccard_join, lexical_search, media, mixing, quality, token_store, toxicity, url_filter, vector_search
+from keylattice.llm import bpe, conversation_repair, html_text, jaccard_join, lexical_search, media, mixing, quality, sharding, token_store, toxicity, url_filter, vector_search
 
 QUERIES = {
     f.__name__: f
@@ -18,6 +18,7 @@ QUERIES = {
         jaccard_join.op9_jaccard_join,
         mixing.op10_mixing,
         conversation_repair.op11_conversation_repair,
+        sharding.op12_kd_sharding,
         lexical_search.op13_lexical_search,
     )
 }
