@@ -31,7 +31,7 @@ def odd(spark):
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_oracle(spark, name):
     c = duckdb.connect()
-    for t in ("pages", "embeddings"):
+    for t in ("pages", "embeddings", "documents", "benchmark", "conversations"):
         c.sql(f"create view {t} as select * from '{DIR}/{t}.parquet'")
     df = registry.QUERIES[name](spark, DIR)
     want = c.sql(registry.ORACLE_SQL[name])
