@@ -80,23 +80,25 @@ def id_bucket(column: str, modulus: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, max_docs: int, max_chars: int, positive: int = 1, share: float = 0.5) -> tuple[list[tuple[int, str, int]], float]:
-    """(id, text, label) of at most max_docs labelled training texts of at most max_chars characters each, in an order that only
-    depends on their ids, up to `share` of them of the rarer class `positive`; and the share of that class among all training labels.
+    """(id, text, label) of at most max_docs labelled training documents, chosen by their ids alone, up to `share` of them of the
+    rarer class `positive`; and the share of that class among all training labels that have a document.
 
-    Rows whose id or label is null are left out; of labels that repeat an id the largest counts, of texts the smallest. This is the one place where labels are
-    read; everything that is fitted comes from this bounded sample, whatever the corpus size.
+    Labels meet the documents, by id, before the draw, so a label without a document takes no place. Of a text longer than max_chars the
+    sample has a window of that length, at a place that depends on the id: only what is fitted is cut. Null texts count as empty;
+    rows whose id or label is null are left out; of labels that repeat an id the largest counts, of texts the smallest. This is the one place where
+    labels are read; everything that is fitted comes from this bounded sample, whatever the corpus size.
     """
-    known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & train).groupBy("doc_id").agg(F.max("label").alias("label"))
-    # Labels are few beside texts; those of a fold are counted and the first of each class by hash taken in one pass.
-    key = F.xxhash64(F.col("doc_id"), F.lit(17))
+    known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & train)
+    known = known.groupBy("doc_id").agg(F.max("label").alias("label")).join(docs.select("doc_id"), "doc_id", "left_semi")
     want = int(max_docs * share)
     counts = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     total = sum(counts.values())
-    ids = [r for part, n in ((F.col("label") == positive, want), (F.col("label") != positive, max_docs - want)) for r in known.where(part).orderBy(key, "doc_id").limit(n).collect()]
+    order = [F.xxhash64(F.col("doc_id"), F.lit(17)), F.col("doc_id")]
+    ids = [r for part, n in ((F.col("label") == positive, want), (F.col("label") != positive, max_docs - want)) for r in known.where(part).orderBy(*order).limit(n).collect()]
     small = docs.sparkSession.createDataFrame([(r.doc_id, r.label) for r in ids], "doc_id long, label int")
-    short = docs.select("doc_id", "text").where(F.char_length("text").between(0, max_chars))
-    got = short.join(F.broadcast(small), "doc_id").select("doc_id", "text", "label").collect()
-    rows: dict[int, tuple[int, str, int]] = {}
-    for r in sorted(got, key=lambda r: (r.doc_id, r.text)):
-        rows.setdefault(r.doc_id, (r.doc_id, r.text, r.label))
-    return sorted(rows.values(), key=lambda r: (r[2] != positive, r[0])), counts.get(positive, 0) / total if total else 0.0
+    text = F.coalesce("text", F.lit(""))
+    size = F.char_length(text)
+    start = 1 + F.pmod(F.xxhash64(F.col("doc_id"), F.lit(18)), F.greatest(size - max_chars, F.lit(0)) + 1)
+    cut = F.when(size > max_chars, F.substring(text, start.cast("int"), F.lit(max_chars))).otherwise(text)
+    got = docs.select("doc_id", "text").join(F.broadcast(small), "doc_id").groupBy("doc_id", "label").agg(F.min(cut).alias("text")).collect()
+    return sorted(((r.doc_id, r.text, r.label) for r in got), key=lambda r: (r[2] != positive, r[0])), counts.get(positive, 0) / total if total else 0.0

@@ -1,4 +1,10 @@
-"""Toxicity: votes of the nearest labelled examples by exact TF-IDF cosine over a block-max inverted index."""
+"""Toxicity: votes of the nearest labelled examples by exact TF-IDF cosine over a block-max inverted index.
+
+Vectors are plain TF-IDF, (1 + log tf) * (log((1 + n) / (1 + df)) + 1) over all words of the examples, of unit length. Labels come in with
+the votes alone: each of the NEIGHBOURS nearest examples votes with its label, weighted by its nearness, on the document as a whole and on
+each word that it shares with it. The calibration, a logistic function of the whole vote and of the words that lean most, is fitted on
+examples that are scored without themselves.
+"""
 
 from __future__ import annotations
 
@@ -18,60 +24,38 @@ from keylattice.llm.words import ragged
 MAX_EXAMPLES, MAX_CHARS = 3000, 20_000
 #: Examples of each class that the calibration is fitted on, each scored without itself.
 FOLD = 400
-NEIGHBOURS, BLOCK = 8, 64
-#: Terms in at least one of COMMON examples are kept as a dense matrix; MARGIN covers its single precision.
+#: Voters, at most a quarter of the examples, and how many of them are shown as evidence; chosen by cross-validation in training rows.
+NEIGHBOURS, EVIDENCE = 256, 8
+#: Examples of a block, and documents that meet a block together.
+BLOCK, TOGETHER = 64, 64
+#: Weights of terms in at least one of COMMON examples are kept as a matrix beside their postings; MARGIN covers its single precision.
 COMMON, MARGIN = 20, 1e-4
 #: Bytes of text that are scored at once.
 PIECE = 1 << 20
-#: Weight of a term that tells nothing about the class, next to those that do.
-FLOOR = 0.1
 THRESHOLD = 0.3
 
 # Bytes of a term: ASCII letters and all of a multi-byte character.
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 _LETTER[128:] = True
-#: A word also counts by its leading bytes, which stand for inflected forms.
-PREFIXES = (3, 5, 7)
 
 
 def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and rows of all terms: words, and leading bytes of longer words."""
+    """Hashes and rows of all words."""
     starts, ends, rows = spans(_LETTER[data], offsets)
-    hashes = Hashes(LOWER[data])
-    out, of = [hashes.of(starts, ends)], [rows]
-    for n in PREFIXES:
-        long = ends - starts > n
-        out.append(hashes.of(starts[long], starts[long] + n) ^ np.uint64(n))
-        of.append(rows[long])
-    return np.concatenate(out), np.concatenate(of)
-
-
-def telling(df: np.ndarray, df_bad: np.ndarray, n: int, bad: int) -> np.ndarray:
-    """Factor of a term's IDF: FLOOR, and the root of its log-likelihood ratio (of presence against class, over n examples,
-    `bad` of them toxic) where toxic examples have it more often."""
-    ratio = np.zeros(len(df))
-    for seen, of, here in ((df_bad, bad, df), (df - df_bad, n - bad, df), (bad - df_bad, bad, n - df), (n - bad - df + df_bad, n - bad, n - df)):
-        expected = of * here / max(n, 1)
-        ratio += np.where(seen > 0, seen * np.log(np.maximum(seen, 0.5) / np.maximum(expected, 1e-9)), 0)
-    return FLOOR + np.where(df_bad * n > df * bad, np.sqrt(np.maximum(2 * ratio, 0)), 0)
+    return Hashes(LOWER[data]).of(starts, ends), rows
 
 
 class BlockMaxIndex:
-    """Postings of all terms of all examples over blocks of BLOCK examples, with each block's largest weight of each term.
-
-    A term weighs its IDF times `telling`, which is never 0: no term is dropped.
-    """
+    """Postings of all terms of all examples over blocks of BLOCK examples, with each block's largest weight of each term."""
 
     def __init__(self, sample: list[tuple[int, str, int]], neighbours: int = NEIGHBOURS, prior: float | None = None):
         """prior: share of toxic rows among all labelled training rows; by default that of the sample."""
-        self.k = neighbours
         labels = np.array([y for _, _, y in sample], dtype=np.int64)
-        share = float(labels.mean()) if len(labels) else 0.0
-        self.prior = share if prior is None or share in (0.0, 1.0) else prior
-        # The sample has more toxic rows than the labels: votes count as if it had as many.
-        self.odds = np.array([(1 - self.prior) / (1 - share), self.prior / share]) if 0 < share < 1 else np.ones(2)
-        self.slope, self.offset = 1.0, 0.0
+        self.share = float(labels.mean()) if len(labels) else 0.0
+        self.prior = self.share if prior is None or self.share in (0.0, 1.0) else prior
+        self.k = min(neighbours, max(8, len(sample) // 4))
+        self.model: np.ndarray | None = None
         found = [(np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32))]
         for at in range(0, len(sample), 100):
             encoded = [t.encode() for _, t, _ in sample[at : at + 100]]
@@ -85,27 +69,27 @@ class BlockMaxIndex:
         del found
         order = np.argsort(hashes, kind="stable")
         hashes, row, counts = hashes[order], row[order], counts[order]
-        n, bad = len(sample), int(labels.sum())
+        n = len(sample)
         start = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.zeros(0, np.int64)
         self.word = hashes[start]
         self.post_start = np.append(start, len(hashes))
         df = np.diff(self.post_start)
         del hashes, order
-        df_bad = np.add.reduceat(labels[row], start) if len(start) else df
-        self.idf = (np.log((1 + n) / (1 + df)) + 1) * telling(df, df_bad, n, bad)
+        self.idf = np.log((1 + n) / (1 + df)) + 1
         term = np.repeat(np.arange(len(self.word), dtype=np.int32), df)
         weight = (1 + np.log(counts)) * self.idf[term]
         weight /= np.sqrt(np.bincount(row, weight**2, n))[row]
         some = np.zeros(n, bool)
         some[row] = True
-        # Documents without any term are all alike: their score is their share of toxic examples.
-        alike = np.bincount(labels[~some], minlength=2) * self.odds
+        # Documents without any term are all alike: their score is their share of toxic examples, as often as the labels have them.
+        odds = np.array([(1 - self.prior) / (1 - self.share), self.prior / self.share]) if 0 < self.share < 1 else np.ones(2)
+        alike = np.bincount(labels[~some], minlength=2) * odds
         self.base = float((alike[1] + 10 * self.prior) / (alike.sum() + 10))
         # Similar examples share a block, so that block maxima are tight: they go by their heaviest term.
         lead = np.full(n, len(self.word))
         order = np.argsort(weight, kind="stable")
         lead[row[order]] = term[order]
-        order = np.lexsort((np.arange(n), lead, labels, ~some))
+        order = np.lexsort((np.arange(n), lead, ~some))
         place = np.empty(n, np.int32)
         place[order] = np.arange(n)
         self.ids = np.array([i for i, _, _ in sample], dtype=np.int64)[order]
@@ -116,32 +100,30 @@ class BlockMaxIndex:
         self.post_row, self.post_weight = place[row[by]], weight[by].astype(np.float32)
 
     def derive(self) -> None:
-        """The matrix of common terms; of the others, runs of one term's postings in one block, and the largest weight of
-        each run; and the examples' own vectors."""
+        """Of rare terms, runs of one term's postings in one block with their largest weight; of common terms, a matrix of
+        weights, a row for each example, and of the largest weights, a row for each block; and maps that searches use and clear."""
         df = np.diff(self.post_start)
         common = df * COMMON >= len(self.ids)
         self.column = np.where(common, np.cumsum(common) - 1, -1)
         term = np.repeat(np.arange(len(df), dtype=np.int32), df)
         dense = common[term]
-        self.matrix = np.zeros((int(common.sum()), self.blocks * BLOCK), np.float32)
-        self.matrix[self.column[term[dense]], self.post_row[dense]] = self.post_weight[dense]
+        self.matrix = np.zeros((self.blocks * BLOCK, int(common.sum())), np.float32)
+        self.matrix[self.post_row[dense], self.column[term[dense]]] = self.post_weight[dense]
+        self.matrix_max = self.matrix.reshape(self.blocks, BLOCK, self.matrix.shape[1]).max(axis=1)
         block = self.post_row // BLOCK
-        new = ~dense
-        new[1:] &= (block[1:] != block[:-1]) | (term[1:] != term[:-1])
+        new = np.ones(len(block), bool)
+        new[1:] = (block[1:] != block[:-1]) | (term[1:] != term[:-1])
         start = np.flatnonzero(new)
-        length = np.diff(np.append(start, len(block)))
-        self.run_block, self.run_start, self.run_size = block[start], start.astype(np.int32), np.minimum(length, self.post_start[term[start] + 1] - start).astype(np.int32)
-        weight = np.where(dense, 0, self.post_weight)  # a run's slice may reach over common terms
-        self.run_max = np.maximum.reduceat(weight, start) if len(start) else self.post_weight[:0]
-        self.term_run = np.searchsorted(start, self.post_start)
-        order = np.argsort(self.post_row, kind="stable")
-        self.example_term, self.example_weight = term[order], self.post_weight[order]
-        self.example_start = np.searchsorted(self.post_row[order], np.arange(self.size + 1))
-        self.query = np.zeros(len(df))
+        size = np.diff(np.append(start, len(block)))
+        weight = np.maximum.reduceat(self.post_weight, start) if len(start) else self.post_weight[:0]
+        rare = ~dense[start]
+        self.run_block, self.run_start, self.run_size, self.run_max = block[start][rare], start[rare].astype(np.int32), size[rare].astype(np.int32), weight[rare]
+        self.term_run = np.searchsorted(start[rare], self.post_start)
+        self.term_run[1:][common] = self.term_run[:-1][common]
+        self.slot = np.full(self.blocks * BLOCK, -1, np.int32)
 
     def __getstate__(self) -> dict:
-        made = ("column", "matrix", "run_block", "run_start", "run_size", "run_max", "term_run", "example_term", "example_weight", "example_start", "query")
-        return {k: v for k, v in self.__dict__.items() if k not in made}
+        return {k: v for k, v in self.__dict__.items() if k not in ("column", "matrix", "matrix_max", "run_block", "run_start", "run_size", "run_max", "term_run", "slot")}
 
     def vectors(self, hashes: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rows, terms and weights of unit TF-IDF vectors, over the terms that some example has."""
@@ -154,112 +136,146 @@ class BlockMaxIndex:
         weight = (1 + np.log(count)) * self.idf[term]
         return row, term, weight / np.sqrt(np.bincount(row, weight**2, n))[row] if len(row) else weight
 
-    def common(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
-        """Cosines of n documents and all examples as far as common terms make them."""
-        if "matrix" not in self.__dict__:  # made where it is used, not on the driver
-            self.derive()
-        column = self.column[term]
-        some = column >= 0
-        q = np.zeros((n, len(self.matrix)), np.float32)
-        q[row[some], column[some]] = weight[some]
-        return q @ self.matrix
+    def admitted(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, k: int) -> np.ndarray:
+        """Cosines of n documents and all examples that can be among the k nearest; -1 where a block's bound ruled them out.
 
-    def nearest(self, term: np.ndarray, weight: np.ndarray, known: np.ndarray | None = None, k: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of highest cosine, exactly: from what common terms make, only blocks whose upper bound reaches
-        the k-th best are searched, and what may be among the k best is scored again in double precision.
-
-        Ties go to the example's place in the index, so equal texts have equal neighbours.
+        A block's bound for a document is the product of its weights and the block's largest weights, over all terms. Blocks come
+        by falling bound; a document meets a block only while its bound reaches the k-th best cosine so far.
         """
-        if not self.size:
-            return np.zeros(0), np.zeros(0, np.int64)
-        k = k or self.k
-        score = (self.common(np.zeros(len(term), np.int64), term, weight, 1)[0] if known is None else known).astype(np.float64)
-        at = max(len(score) - k, 0)
-        first, n = self.term_run[term], self.term_run[term + 1] - self.term_run[term]
-        run, of = ragged(first, n), np.repeat(weight, n)
-        block = self.run_block[run]
-        bound = score.reshape(self.blocks, BLOCK).max(axis=1) + np.bincount(block, of * self.run_max[run], self.blocks)
-        mine = (bound >= np.partition(score, at)[at] - MARGIN)[block]
-        sizes = self.run_size[run[mine]]
-        post = ragged(self.run_start[run[mine]], sizes)
-        score += np.bincount(self.post_row[post], np.repeat(of[mine], sizes) * self.post_weight[post], len(score))
+        q = np.zeros((n, self.matrix.shape[1]), np.float32)
+        column = self.column[term]
+        q[row[column >= 0], column[column >= 0]] = weight[column >= 0]
+        first = self.term_run[term]
+        runs = self.term_run[term + 1] - first
+        run, of, at = ragged(first, runs), np.repeat(weight, runs), np.repeat(row, runs)
+        bound = q @ self.matrix_max.T + np.bincount(at * self.blocks + self.run_block[run], of * self.run_max[run], n * self.blocks).reshape(n, self.blocks)
+        order = np.argsort(self.run_block[run], kind="stable")
+        run, of, at = run[order], of[order], at[order]
+        edge = np.searchsorted(self.run_block[run], np.arange(self.blocks + 1))
+        score = np.full((n, self.blocks * BLOCK), -1, np.float32)
+        score[:, self.size :] = -2
+        bar, seen, again = np.full(n, -1.0), 0, k
+        for b in np.argsort(-bound.sum(axis=0), kind="stable"):
+            meets = bound[:, b] >= bar - MARGIN
+            if meets.any():
+                here = slice(b * BLOCK, (b + 1) * BLOCK)
+                own = np.flatnonzero(meets)
+                some = q[own] @ self.matrix[here].T
+                mine = slice(edge[b], edge[b + 1])
+                sizes = np.where(meets[at[mine]], self.run_size[run[mine]], 0)
+                post = ragged(self.run_start[run[mine]], sizes)
+                to = np.repeat((np.cumsum(meets) - 1)[at[mine]], sizes) * BLOCK + self.post_row[post] - b * BLOCK
+                some += np.bincount(to, np.repeat(of[mine], sizes) * self.post_weight[post], len(own) * BLOCK).reshape(-1, BLOCK)
+                score[own, here] = np.where(np.arange(b * BLOCK, (b + 1) * BLOCK) < self.size, some, -2)
+            seen += BLOCK
+            if seen >= again and score.shape[1] > k:  # the bar is looked at anew whenever twice as much was seen
+                bar, again = np.maximum(bar, np.partition(score, -k, axis=1)[:, -k]), 2 * seen
+        return score
+
+    def nearest(self, term: np.ndarray, weight: np.ndarray, score: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The k examples of highest cosine, exactly: what may be among them by `score` is scored again in double precision. Also
+        the features of their votes. Ties go to the example's place, so equal texts have equal neighbours."""
+        at = max(len(score) - k - (without >= 0), 0)
         near = np.flatnonzero((score >= np.partition(score, at)[at] - MARGIN) & (score > 0))
-        self.query[term] = weight
-        start, sizes = self.example_start[near], self.example_start[near + 1] - self.example_start[near]
-        own = ragged(start, sizes)
-        exact = np.bincount(np.repeat(np.arange(len(near)), sizes), self.query[self.example_term[own]] * self.example_weight[own], len(near))
-        self.query[term] = 0
+        near = near[near != without]
+        column = self.column[term]
+        common, rare = np.flatnonzero(column >= 0), np.flatnonzero(column < 0)
+        shared = self.matrix[near[:, None], column[common]].astype(np.float64)
+        sizes = self.post_start[term[rare] + 1] - self.post_start[term[rare]]
+        post = ragged(self.post_start[term[rare]], sizes)
+        self.slot[near] = np.arange(len(near))
+        of, at = self.slot[self.post_row[post]], np.repeat(rare, sizes)
+        self.slot[near] = -1
+        hit = of >= 0
+        of, at, post = of[hit], at[hit], post[hit]
+        exact = (shared * weight[common]).sum(axis=1) + np.bincount(of, weight[at] * self.post_weight[post], len(near))
         top = np.lexsort((near, -exact))[:k]
-        return exact[top], near[top]
-
-    def vote(self, score: np.ndarray, near: np.ndarray) -> float:
-        """Share of toxic among the neighbours, weighted by nearness and drawn to the prior."""
-        vote = self.odds[self.labels[near]] / (1.05 - np.minimum(score, 1))
-        return float((vote @ self.labels[near] + self.prior) / (vote.sum() + 1))
+        vote = np.zeros(len(near))
+        vote[top] = 1 / (1.05 - np.minimum(exact[top], 1))
+        vote *= len(top) / max(vote.sum(), 1e-9)
+        toxic = np.where(self.labels[near] == 1, vote, 0)
+        toxic_of, all_of = (np.bincount(at, v[of], len(term)) for v in (toxic, vote))
+        toxic_of[common], all_of[common] = toxic @ (shared > 0), vote @ (shared > 0)
+        x = self.features(float(toxic.sum()), len(top), toxic_of, all_of)
+        return exact[top], near[top], x
 
-    def calibrated(self, vote: float) -> float:
-        """The vote as a probability: a logistic function of its log odds."""
-        odds = np.log(max(vote, 1e-6) / max(1 - vote, 1e-6))
-        return float(1 / (1 + np.exp(-np.clip(self.slope * odds + self.offset, -30, 30))))
+    def features(self, toxic: float, k: int, toxic_of: np.ndarray, all_of: np.ndarray) -> np.ndarray:
+        """Log odds of the vote of k neighbours, and how far those of the two words that lean most are above them."""
+        whole = (toxic + self.share) / (k + 1)
+        expected = (toxic / max(k, 1) + self.share) / 2
+        lean = np.sort(np.log((toxic_of + 2 * expected) / (all_of - toxic_of + 2 * (1 - expected))) - np.log(expected / (1 - expected)))[::-1]
+        return np.array([np.log(whole / (1 - whole)), *lean[:2], *[0.0] * max(2 - len(lean), 0), 1.0])
 
     def calibrate(self, fold: int = FOLD) -> None:
         """Fits the logistic function on examples that are scored by their neighbours without themselves."""
-        if not self.size or self.labels[: self.size].min() == self.labels[: self.size].max():
+        labels = self.labels[: self.size]
+        if not self.size or labels.min() == labels.max():
             return
         self.derive()
-        x, y = [], []
-        for label in (0, 1):
-            own = np.flatnonzero(self.labels[: self.size] == label)
-            for j in own[:: max(1, -(-len(own) // fold))]:
-                at = slice(*self.example_start[j : j + 2])
-                score, near = self.nearest(self.example_term[at], self.example_weight[at].astype(np.float64), k=self.k + 1)
-                keep = np.flatnonzero(near != j)[: self.k]
-                x.append(np.log((v := min(max(self.vote(score[keep], near[keep]), 1e-6), 1 - 1e-6)) / (1 - v)))
-                y.append(label)
-        x, y = np.array(x), np.array(y, dtype=float)
-        weight = np.where(y == 1, self.prior / max(y.mean(), 1e-9), (1 - self.prior) / max(1 - y.mean(), 1e-9))
-        a, b = 1.0, 0.0
-        for _ in range(50):  # Newton steps, drawn a little to the identity
-            p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-            g = np.array([(weight * (p - y) * x).sum() + (a - 1), (weight * (p - y)).sum() + b])
-            h = weight * p * (1 - p)
-            step = np.linalg.solve(np.array([[(h * x * x).sum() + 1, (h * x).sum()], [(h * x).sum(), h.sum() + 1]]), g)
-            a, b = a - np.clip(step[0], -1, 1), b - np.clip(step[1], -1, 1)
-        self.slope, self.offset = float(max(a, 0.1)), float(b)
+        chosen = np.concatenate([own[:: max(1, -(-len(own) // fold))] for own in (np.flatnonzero(labels == y) for y in (0, 1))])
+        rank = np.full(len(self.ids), -1)
+        rank[chosen] = np.arange(len(chosen))
+        mine = rank[self.post_row] >= 0
+        row, term, weight = rank[self.post_row[mine]], np.repeat(np.arange(len(self.word)), np.diff(self.post_start))[mine], self.post_weight[mine].astype(np.float64)
+        order = np.argsort(row, kind="stable")
+        row, term, weight = row[order], term[order], weight[order]
+        edge, xs = np.searchsorted(row, np.arange(len(chosen) + 1)), []
+        for lo in range(0, len(chosen), TOGETHER):
+            hi = min(lo + TOGETHER, len(chosen))
+            group = slice(edge[lo], edge[hi])
+            score = self.admitted(row[group] - lo, term[group], weight[group], hi - lo, self.k + 1)
+            for i in range(lo, hi):
+                own = slice(edge[i], edge[i + 1])
+                xs.append(self.nearest(term[own], weight[own], score[i - lo], self.k, int(chosen[i]))[2])
+        x, y = np.array(xs), labels[chosen].astype(float)
+        weight = np.where(y == 1, self.prior / y.mean(), (1 - self.prior) / (1 - y.mean()))
+        model, pull = np.zeros(x.shape[1]), np.array([1.0] * (x.shape[1] - 1) + [1e-3])
+        for _ in range(60):  # Newton steps, drawn a little to nothing
+            p = 1 / (1 + np.exp(-np.clip(x @ model, -30, 30)))
+            gradient = x.T @ (weight * (p - y)) + pull * model
+            curve = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(pull)
+            model -= np.clip(np.linalg.solve(curve, gradient), -1, 1)
+        self.model = model
 
-    def documents(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[list[dict]]]:
-        """Score and evidence of every row: its neighbours' calibrated vote; `base` without a neighbour."""
+    def documents(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+        """Score and evidence (the nearest examples) of every row: the calibrated votes; `base` without a neighbour."""
         n = len(offsets) - 1
-        score, evidence = np.full(n, self.base), [[] for _ in range(n)]
-        if not self.size:
-            return score, evidence
-        row, term, weight = self.vectors(*terms(data, offsets), n)
-        if not len(row):
-            return score, evidence
-        starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-        ends = np.append(starts[1:], len(row))
-        for k, (lo, hi) in enumerate(zip(starts, ends, strict=True)):
-            if k % BLOCK == 0:
-                group = slice(lo, ends[min(k + BLOCK, len(ends)) - 1])
-                known = self.common(np.searchsorted(row[starts], row[group]) - k, term[group], weight[group], min(BLOCK, len(starts) - k))
-            s, i = self.nearest(term[lo:hi], weight[lo:hi], known[k % BLOCK])
-            if len(s):
-                score[row[lo]] = self.calibrated(self.vote(s, i))
-                evidence[row[lo]] = [{"example": int(self.ids[j]), "similarity": float(c), "label": int(self.labels[j])} for c, j in zip(s, i, strict=True)]
-        return score, evidence
+        score, shown = np.full(n, self.base), np.zeros(n, np.int64)
+        near_all, exact_all = [np.zeros(0, np.int64)], [np.zeros(0)]
+        row, term, weight = self.vectors(*terms(data, offsets), n) if self.size else (np.zeros(0, np.int64),) * 3
+        if len(row):
+            if "matrix" not in self.__dict__:  # made where it is used, not on the driver
+                self.derive()
+            starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+            ends = np.append(starts[1:], len(row))
+            for at in range(0, len(starts), TOGETHER):
+                last = min(at + TOGETHER, len(starts))
+                group = slice(starts[at], ends[last - 1])
+                found = self.admitted(np.searchsorted(row[starts], row[group]) - at, term[group], weight[group], last - at, self.k)
+                for i in range(at, last):
+                    own = slice(starts[i], ends[i])
+                    exact, near, x = self.nearest(term[own], weight[own], found[i - at], self.k)
+                    if len(near) and self.model is not None:
+                        score[row[starts[i]]] = 1 / (1 + np.exp(-np.clip(x @ self.model, -30, 30)))
+                    shown[row[starts[i]]] = min(len(near), EVIDENCE)
+                    near_all.append(near[:EVIDENCE])
+                    exact_all.append(exact[:EVIDENCE])
+        near = np.concatenate(near_all)
+        fields = [pa.array(self.ids[near]), pa.array(np.concatenate(exact_all)), pa.array(self.labels[near].astype(np.int32))]
+        evidence = pa.StructArray.from_arrays(fields, ["example", "similarity", "label"])
+        return score, pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(shown)]).astype(np.int32)), evidence)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, max_chars: int = MAX_CHARS) -> DataFrame:
     """`docs` (doc_id, text, ...) with score (0 to 1, higher: toxic likelier), predicted and evidence.
 
     Examples are a bounded sample of labelled rows outside the held-out fold (crc32(doc_id) mod 4 = 2), both classes
-    with all their terms. Evidence lists the neighbours: example id, cosine and label. The score is the neighbours'
-    vote, weighted by nearness and by the share of each class among all labels, and calibrated on examples that are
-    scored without themselves. All whole texts are scored, in one pass without a shuffle; a very long one is a piece of its
-    own. Texts without a term of any example, null and empty ones too, get the share of toxic examples among examples
-    without terms, drawn to that of all labels; without any label the score is 0. Ties among neighbours go by their
-    place in the index. Rows may repeat and ids be null; an empty table gives an empty result;
-    other columns stay, but columns named score, predicted or evidence are replaced.
+    with all their words. Evidence lists the nearest EVIDENCE of the voters: example id, cosine and label. The score is calibrated
+    to the share of each class among all labels. All whole texts are scored, in one pass without a shuffle; a very long one is
+    a piece of its own. Texts without a word of any example, null and empty ones too, get the share of toxic examples among
+    examples without words, drawn to that of all labels; so do all texts if the labels have one class only, and without any
+    label the score is 0. Ties among neighbours go by their place in the index. Rows may repeat and ids be null; an empty table
+    gives an empty result; other columns stay, but columns named score, predicted or evidence are replaced.
     """
     spark = docs.sparkSession
     sample, prior = labelled_sample(docs, labels, "toxic", id_bucket("doc_id", 4) != 2, max_examples, max_chars, share=1 / 3)
@@ -273,13 +289,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_E
     at = base.columns.index("text")
     nothing = F.array().cast("array<struct<example:bigint,similarity:double,label:int>>")
     out_schema = base.select(F.struct(*base.columns, F.lit(0.0).alias("score"), nothing.alias("evidence")).alias("s")).schema["s"].dataType
-    kind = pa.list_(pa.struct([("example", pa.int64()), ("similarity", pa.float64()), ("label", pa.int32())]))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in pieces(batch, batch.schema.names[at], PIECE):
                 score, evidence = index.value.documents(data, offsets)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score), pa.array(evidence, kind)], names=[*part.schema.names, "score", "evidence"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score), evidence], names=[*part.schema.names, "score", "evidence"])
 
     out = base.mapInArrow(scored, out_schema)
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
