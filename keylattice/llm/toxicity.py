@@ -139,8 +139,8 @@ class BlockMaxIndex:
     def admitted(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, k: int) -> np.ndarray:
         """Cosines of n documents and all examples that can be among the k nearest; -1 where a block's bound ruled them out.
 
-        A block's bound for a document is the product of its weights and the block's largest weights, over all terms. Blocks come
-        by falling bound; a document meets a block only while its bound reaches the k-th best cosine so far.
+        A block's bound for a document is the product of its weights and the block's largest weights, over all terms. A document
+        meets the blocks of highest bound, and then those whose bound reaches the k-th best cosine of these.
         """
         q = np.zeros((n, self.matrix.shape[1]), np.float32)
         column = self.column[term]
@@ -154,22 +154,24 @@ class BlockMaxIndex:
         edge = np.searchsorted(self.run_block[run], np.arange(self.blocks + 1))
         score = np.full((n, self.blocks * BLOCK), -1, np.float32)
         score[:, self.size :] = -2
-        bar, seen, again = np.full(n, -1.0), 0, k
-        for b in np.argsort(-bound.sum(axis=0), kind="stable"):
-            meets = bound[:, b] >= bar - MARGIN
-            if meets.any():
-                here = slice(b * BLOCK, (b + 1) * BLOCK)
-                own = np.flatnonzero(meets)
-                some = q[own] @ self.matrix[here].T
+        # First the blocks of highest bound, enough for k examples; then whatever reaches the k-th best of these.
+        some = min(-(-k // BLOCK) + 1, self.blocks)
+        early = np.zeros((n, self.blocks), bool)
+        np.put_along_axis(early, np.argpartition(-bound, some - 1, axis=1)[:, :some], True, axis=1)
+        for turn in (early, None):
+            if turn is None:
+                bar = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] > k else np.full(n, -1.0)
+                turn = ~early & (bound >= bar[:, None] - MARGIN)
+            for b in np.flatnonzero(turn.any(axis=0)):
+                meets = turn[:, b]
+                here, own = slice(b * BLOCK, (b + 1) * BLOCK), np.flatnonzero(meets)
+                got = q[own] @ self.matrix[here].T
                 mine = slice(edge[b], edge[b + 1])
                 sizes = np.where(meets[at[mine]], self.run_size[run[mine]], 0)
                 post = ragged(self.run_start[run[mine]], sizes)
                 to = np.repeat((np.cumsum(meets) - 1)[at[mine]], sizes) * BLOCK + self.post_row[post] - b * BLOCK
-                some += np.bincount(to, np.repeat(of[mine], sizes) * self.post_weight[post], len(own) * BLOCK).reshape(-1, BLOCK)
-                score[own, here] = np.where(np.arange(b * BLOCK, (b + 1) * BLOCK) < self.size, some, -2)
-            seen += BLOCK
-            if seen >= again and score.shape[1] > k:  # the bar is looked at anew whenever twice as much was seen
-                bar, again = np.maximum(bar, np.partition(score, -k, axis=1)[:, -k]), 2 * seen
+                got += np.bincount(to, np.repeat(of[mine], sizes) * self.post_weight[post], len(own) * BLOCK).reshape(-1, BLOCK)
+                score[own, here] = np.where(np.arange(b * BLOCK, (b + 1) * BLOCK) < self.size, got, -2)
         return score
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, score: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

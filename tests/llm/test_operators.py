@@ -14,7 +14,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from keylattice.llm import bpe, html_text, jaccard_join, media, mixing, quality, registry, token_store, toxicity, url_filter, vector_search
+from keylattice.llm import bpe, common, html_text, jaccard_join, media, mixing, quality, registry, token_store, toxicity, url_filter, vector_search
 from keylattice.llm.components import connected_components
 
 DIR = "/root/testdata/sf0.001"
@@ -129,22 +129,35 @@ def test_quality_query_equals_brute_force(spark):
         assert abs(r.score - want) < 1e-6 and r.predicted == (r.score >= 0.3) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
 
 
-def test_toxic_neighbours_are_exact():
-    rng = random.Random(2)
-    vocabulary = [f"w{chr(97 + i)}x" for i in range(20)]
-    sample = [(i, " ".join(rng.choices(vocabulary[:8] if i % 2 else vocabulary[8:], k=6)), i % 2) for i in range(300)]
-    index = toxicity.BlockMaxIndex(sample)
-    assert index.size
-    for texts in ([], [b""], [b"zzz"]):  # pieces without any term of the vocabulary
-        offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-        assert (index.documents(np.frombuffer(b"".join(texts), np.uint8), offsets)[0] == index.base).all()
+def _vectors_of(index):
+    """Dense vectors of the examples, by place."""
     dense = np.zeros((index.size, len(index.word)))
     for t in range(len(index.word)):
         lo, hi = index.post_start[t], index.post_start[t + 1]
         dense[index.post_row[lo:hi], t] = index.post_weight[lo:hi]
-    for q in dense[::17]:
-        terms = np.flatnonzero(q)
-        s, i = index.nearest(terms, q[terms])
+    return dense
+
+
+@pytest.mark.parametrize("common", [2, 20, 10**9])
+def test_toxic_neighbours_are_exact(monkeypatch, common):
+    monkeypatch.setattr(toxicity, "COMMON", common)
+    monkeypatch.setattr(toxicity, "BLOCK", 8)
+    rng = random.Random(2)
+    vocabulary = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}x" for i in range(160)]
+    sample = [(i, " ".join(rng.choices(vocabulary[i % 20 * 8 : i % 20 * 8 + 8], k=4) + [f"lead{chr(97 + i % 20)}"] * 5 + ["the"] * (i % 3)), i % 2) for i in range(400)] + [(1000 + i, "the waax waax", 0) for i in range(30)]
+    index = toxicity.BlockMaxIndex(sample, neighbours=16)
+    assert index.size and index.k == 16
+    for texts in ([], [b""], [b"zzz"]):  # pieces without any term of the vocabulary
+        offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+        assert (index.documents(np.frombuffer(b"".join(texts), np.uint8), offsets)[0] == index.base).all()
+    dense = _vectors_of(index)
+    index.derive()
+    queries = dense[::7]
+    row, term = np.nonzero(queries)
+    score = index.admitted(row, term, queries[row, term], len(queries), index.k)
+    assert (score == -1).mean() > 0.5  # blocks ruled out by their bounds
+    for i, q in enumerate(queries):
+        s, near, _ = index.nearest(np.flatnonzero(q), q[q > 0], score[i], index.k)
         scores = dense @ q
         want = [k for k in np.lexsort((np.arange(len(scores)), -scores.round(12))) if scores[k] > 0][: index.k]
         assert np.allclose(s, scores[want])
@@ -156,24 +169,15 @@ def _tfidf_by_hand(sample):
     def counted(text):
         counts = {}
         for w in re.findall(rb"[a-z\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode())):
-            for t in [w, *((n, w[:n]) for n in toxicity.PREFIXES if len(w) > n)]:
-                counts[t] = counts.get(t, 0) + 1
+            counts[w] = counts.get(w, 0) + 1
         return counts
 
     found = [counted(t) for t, _ in sample]
-    n, bad = len(sample), sum(y for _, y in sample)
     df = {}
-    for v, (_, y) in zip(found, sample, strict=True):
+    for v in found:
         for t in v:
-            df.setdefault(t, [0, 0])[y] += 1
-
-    def weight(t):
-        good, toxic = df[t]
-        table = [(toxic, bad, good + toxic), (good, n - bad, good + toxic), (bad - toxic, bad, n - good - toxic), (n - bad - good, n - bad, n - good - toxic)]
-        g = 2 * sum(o * np.log(o * n / (row * col)) for o, row, col in table if o)
-        return (np.log((1 + n) / (1 + good + toxic)) + 1) * (toxicity.FLOOR + (np.sqrt(max(g, 0)) if toxic * n > (good + toxic) * bad else 0))
-
-    weights = {t: weight(t) for t in df}
+            df[t] = df.get(t, 0) + 1
+    weights = {t: np.log((1 + len(sample)) / (1 + n)) + 1 for t, n in df.items()}
 
     def vector(counts):
         out = {t: (1 + np.log(c)) * weights[t] for t, c in counts.items() if t in weights}
@@ -183,40 +187,67 @@ def _tfidf_by_hand(sample):
     return [vector(v) for v in found], lambda text: vector(counted(text)), len(df)
 
 
-def _check_evidence(index, examples, vector, texts, got):
-    place = {int(i): k for k, i in enumerate(index)}
-    for text, evidence in zip(texts, got, strict=True):
-        mine = vector(text)
-        scores = np.array([sum(x * e.get(t, 0) for t, x in mine.items()) for e in examples])
-        want = np.sort(scores[scores > 0])[::-1][: toxicity.NEIGHBOURS]
-        assert np.allclose([g["similarity"] for g in evidence], want, atol=1e-6)
-        assert np.allclose([g["similarity"] for g in evidence], scores[[place[g["example"]] for g in evidence]], atol=1e-6)
-
-
-def test_toxicity_uses_all_terms_of_whole_texts():
+def _by_hand(ids, labels, examples, vector, k, model, share, text):
+    """Score and (similarity of each example) of a text, from plain dictionaries; None without a neighbour."""
+    mine = vector(text)
+    scores = {i: sum(x * e.get(t, 0) for t, x in mine.items()) for i, e in zip(ids, examples, strict=True)}
+    of = dict(zip(ids, examples, strict=True))
+    near = [i for i in sorted(scores, key=lambda i: -scores[i]) if scores[i] > 0][:k]
+    if not near:
+        return None, scores
+    weight = {i: 1 / (1.05 - min(scores[i], 1)) for i in near}
+    weight = {i: w * len(near) / sum(weight.values()) for i, w in weight.items()}
+    toxic = sum(w for i, w in weight.items() if labels[i])
+    expected, lean = (toxic / len(near) + share) / 2, []
+    for t in mine:
+        one = sum(w for i, w in weight.items() if labels[i] and t in of[i])
+        none = sum(w for i, w in weight.items() if not labels[i] and t in of[i])
+        lean.append(np.log((one + 2 * expected) / (none + 2 * (1 - expected))) - np.log(expected / (1 - expected)))
+    whole = (toxic + share) / (len(near) + 1)
+    x = [np.log(whole / (1 - whole)), *sorted([*lean, 0, 0] if len(lean) < 2 else lean, reverse=True)[:2], 1]
+    if len(lean) == 1:
+        x[1:3] = lean[0], 0
+    return 1 / (1 + np.exp(-np.dot(x, model))), scores
+
+
+def test_toxicity_uses_all_words_of_whole_texts():
     rng = random.Random(9)
     vocabulary = [f"{a}{b}word" for a in "abcdefghij" for b in "klmnopqrst"]
-    texts = [" ".join(rng.choices(vocabulary, k=rng.randint(3, 60))) + f" only{'xyzw'[i % 4]}{chr(97 + i % 26)}" for i in range(400)]
-    sample = [(t, int(i % 5 == 0)) for i, t in enumerate(texts)]
-    index = toxicity.BlockMaxIndex([(i, t, y) for i, (t, y) in enumerate(sample)])
-    assert index.size == len(texts) and set(index.labels) == {0, 1}
-    examples, vector, terms = _tfidf_by_hand(sample)
+    texts = [" ".join(rng.choices(vocabulary, k=rng.randint(3, 60)) + ["idiot"] * (i % 5 == 0)) + f" only{'xyzw'[i % 4]}{chr(97 + i % 26)}" for i in range(400)]
+    sample = [(i, t, int(i % 5 == 0)) for i, t in enumerate(texts)]
+    index = toxicity.BlockMaxIndex(sample, neighbours=30)
+    index.calibrate()
+    assert index.size == len(texts) and set(index.labels) == {0, 1} and index.model is not None
+    examples, vector, terms = _tfidf_by_hand([(t, y) for _, t, y in sample])
     assert len(index.word) == terms
-    queries = ["akword", "zzz akword blword " * 3, "ONLYXA", *texts[::40]]
+    queries = ["akword", "zzz akword idiot blword " * 3, "ONLYXA", *texts[::40]]
     data = [q.encode() for q in queries]
-    _, evidence = index.documents(np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(d) for d in data])]).astype(np.int64))
-    _check_evidence(range(400), examples, vector, queries, evidence)
+    score, evidence = index.documents(np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(d) for d in data])]).astype(np.int64))
+    ids, labels = list(range(400)), {i: y for i, _, y in sample}
+    for q, s, own in zip(queries, score, evidence.to_pylist(), strict=True):
+        want, scores = _by_hand(ids, labels, examples, vector, 30, index.model, index.share, q)
+        best = sorted((x for x in scores.values() if x > 0), reverse=True)[: toxicity.EVIDENCE]
+        assert np.allclose([e["similarity"] for e in own], best, atol=1e-6) and np.allclose([scores[e["example"]] for e in own], best, atol=1e-6)
+        assert abs(s - want) < 1e-4 or len(set(np.round(sorted(scores.values())[-31:-29], 9))) == 1  # unless the last voters tie
 
 
 def test_toxicity_query_equals_brute_force(spark):
     docs, labels = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{DIR}/labels.parquet")
     label = {r.doc_id: r.toxic for r in labels.collect() if r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2}
-    sample = sorted((r.doc_id, r.text, label[r.doc_id]) for r in docs.collect() if r.doc_id in label and r.text is not None and len(r.text) <= toxicity.MAX_CHARS)
-    examples, vector, _ = _tfidf_by_hand([(t, y) for _, t, y in sample])
+    found = toxicity.labelled_sample(docs, labels, "toxic", toxicity.id_bucket("doc_id", 4) != 2, 3000, 20_000)[0]
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert sorted(i for i, _, _ in found) == sorted(i for i in label if i in texts)
+    assert all((texts[i] or "") == t or len(t) == 20_000 and t in texts[i] for i, t, _ in found)
     rows = toxicity.score_toxicity(docs, labels).collect()
     held = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
     assert sum(bool(r.evidence) for r in held) > len(held) // 2
-    _check_evidence([i for i, _, _ in sample], examples, vector, [r.text for r in rows[::5]], [r.evidence for r in rows[::5]])
+    examples, vector, _ = _tfidf_by_hand([(t, y) for _, t, y in found])
+    place = {i: k for k, (i, _, _) in enumerate(found)}
+    for r in rows[::5]:
+        mine = vector(r.text)
+        scores = np.array([sum(x * e.get(t, 0) for t, x in mine.items()) for e in examples])
+        want = np.sort(scores[scores > 0])[::-1][: toxicity.EVIDENCE]
+        assert np.allclose([g["similarity"] for g in r.evidence], want, atol=1e-6) and np.allclose(scores[[place[g["example"]] for g in r.evidence]], want, atol=1e-6)
     query = {r.doc_id: r for r in toxicity.op5_toxicity(spark, DIR).collect()}
     assert len(query) == len(rows)
     assert all(abs(query[r.doc_id].score - r.score) < 1e-9 and query[r.doc_id].predicted == (r.score >= 0.3) and query[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
@@ -228,12 +259,31 @@ def test_toxicity_votes_are_calibrated():
     sample = [(i, " ".join([*rng.choices(words, k=30), *["idiot", "clown"][: i % 3 == 0 and 2]]), int(i % 3 == 0)) for i in range(600)]
     index = toxicity.BlockMaxIndex(sample, prior=0.1)
     index.calibrate()
-    assert index.slope > 0 and index.calibrated(0.01) < index.calibrated(0.5) < index.calibrated(0.99)
+    assert (index.model[:2] > 0).all()
     texts = [" ".join(rng.choices(words, k=30)).encode() for _ in range(100)] + [(" ".join(rng.choices(words, k=30)) + " clown idiot").encode() for _ in range(20)]
     score, _ = index.documents(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64))
     assert (score[:100] < 0.3).mean() > 0.95 and (score[100:] >= 0.3).all()
 
 
+def test_sample_of_few_labels_and_long_texts(spark):
+    """Labels without a document take no place in the sample, and long texts are cut for fitting, not left out."""
+    rng = random.Random(11)
+    good, bad = [f"good{chr(97 + i)}" for i in range(20)], [f"vile{chr(97 + i)}" for i in range(20)]
+    docs = spark.createDataFrame([(i, "\n".join(" ".join(rng.choices(bad if i % 2 else good, k=9)) + ("!!! $$$" if i % 2 else ".") for _ in range(600))) for i in range(100)] + [(200, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 2 == 0), i % 2) for i in range(5000)] + [(200, 1, 0)], "doc_id long, quality int, toxic int")
+    train = common.id_bucket("doc_id", 4) != 2
+    sample, share = common.labelled_sample(docs, labels, "toxic", train, 3000, 20_000)
+    usable = [i for i in [*range(100), 200] if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert sorted(i for i, _, _ in sample) == usable and abs(share - sum(i % 2 for i in usable[:-1]) / len(usable)) < 1e-9
+    assert all(len(t) == 20_000 for i, t, _ in sample if i != 200) and len({t.index("a") for i, t, _ in sample if i != 200}) > 1
+    few, _ = common.labelled_sample(docs, labels, "toxic", train, 20, 100)
+    assert len(few) == 20 and sum(y for _, _, y in few) == 10
+    for r in toxicity.score_toxicity(docs, labels).where("doc_id < 100").collect():
+        assert r.predicted == r.doc_id % 2
+    for r in quality.score_quality(docs, labels).where("doc_id < 100").collect():
+        assert r.predicted == 1 - r.doc_id % 2
+
+
 def test_media_round_trip_and_general_decoder():
     rng = random.Random(3)
     payloads = [b"", b"a", bytes(range(256)) * 2, rng.randbytes(3000), b"\0" * 500, b"\x01\x02\x00" * 99, "“é”\n".encode() * 50]
