@@ -22,7 +22,9 @@ BINS, STEP, TIE = 1024, 12, 62
 #: Rows of a node's boundary that are told apart at once.
 FEW = 1 << STEP
 #: What a row takes beside its text, and bytes of a file of a shard.
-ROW_BYTES, FILE_BYTES = 16, 256 << 20
+ROW_BYTES, FILE_BYTES = 16, 64 << 20
+#: Runs of a shard's rows in one partition, a few numbers each, that are broadcast when slots are read.
+MOST_RUNS = 1_000_000
 #: Names of own columns beside those of documents.
 OWN = "_keylattice_{}"
 
@@ -177,7 +179,10 @@ def read_shards(spark: SparkSession, path: str, schema: StructType) -> DataFrame
     runs = got.groupBy("shard", part.alias("part")).agg(F.min(place).alias("first"), F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
     shard, run, start = (OWN.format(c) for c in ("shard", "run", "start"))
+    runs = materialise(runs, "shard-runs")
     starts = runs.select(F.col("shard").alias(shard), F.col("part").alias(run), (before - F.col("first")).alias(start))
+    if runs.count() <= MOST_RUNS:  # else Spark shuffles the rows
+        starts = F.broadcast(starts)
     joined = got.join(starts, (F.col("shard") == F.col(shard)) & (part == F.col(run)))
     return joined.select(*[f"`{n}`" for n in schema.names], (F.col(place) + F.col(start)).alias("slot"))
 
