@@ -29,17 +29,6 @@ def classify_cell(grey: Column, centre: Column, solid: Column, diagonal: Column,
     return F.when((side < LEAST_SIDE) | (grey < EMPTY), "empty").when(cross, "x").when(share < FAINT, "faint").otherwise("hatch")
 
 
-def box_mean(px: Column, w: Column, h: Column) -> Column:
-    """3 x 3 mean of every pixel, by index; the border takes the neighbours there are."""
-    def mean(i):
-        x, y = i % w, F.floor(i / w)
-        around = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda k: F.when((x + k % 3 - 1).between(0, w - 1) & (y + F.floor(k / 3) - 1).between(0, h - 1), F.get(px, ((y + F.floor(k / 3) - 1) * w + x + k % 3 - 1).cast("int"))))
-        held = F.filter(around, lambda v: v.isNotNull())
-        return F.aggregate(held, F.lit(0.0), lambda a, v: a + v) / F.size(held)
-
-    return F.transform(F.sequence(F.lit(0), w * h - 1), mean)
-
-
 def hatched_columns(cells: DataFrame) -> DataFrame:
     """doc, col of columns that are crossed out: at least 80 % of their cells are hatched."""
     return cells.groupBy("doc", "col").agg(F.avg((F.col("kind") == "hatch").cast("double")).alias("share")).where(F.col("share") >= HATCHED_SHARE).select("doc", "col")

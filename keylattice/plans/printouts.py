@@ -84,6 +84,62 @@ def matrix_words(spark: SparkSession, sf_dir: str, crosses: Column | None = None
     return rotated.unionByName(_words(heading.union(rows).union(foot))).unionByName(marks)
 
 
+def drawn_marks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(runs, sizes) of the pages of `matrix_words` without crosses, at the resolution of drawn marks: of every four pairs of supplier
+    and part one is a bold mark, one a thin one, one hollow and one a speck."""
+    scale = R.DPI / 72.0
+    supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_nationkey").alias("n"), F.col("s_suppkey").alias("s"))
+    col = supplier.withColumn("i", F.row_number().over(Window.partitionBy("n").orderBy("s")) - 1).withColumns({"page": F.floor(F.col("i") / MATRIX_COLUMNS).cast("int") + 1, "x": 300 + PITCH * (F.col("i") % MATRIX_COLUMNS), "doc": F.col("n").cast("string")})
+    sold = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p")).distinct().join(col.select("s", "doc", "page", "x"), "s")
+    door = sold.select("doc", "p").distinct().withColumn("r", F.row_number().over(Window.partitionBy("doc").orderBy("p")))
+    top = lambda r: 320 + LEADING * r
+    # Of each kind, rows above and below the centre that are inked, and how far to each side.
+    strokes = ((list(range(-8, 8)), 8), (list(range(-2, 3)), 7), ([-8, -7, 6, 7], 8), ([0], 5))
+    kinds = F.array(*(F.struct(F.array(*map(F.lit, ys)).alias("ys"), F.lit(half).alias("half")) for ys, half in strokes))
+    marks = sold.join(door, ["doc", "p"]).withColumn("k", F.get(kinds, ((F.col("s") + F.col("p")) % 4).cast("int")))
+    pixel = lambda c: F.floor(c * scale).cast("int")
+    cx, cy = pixel(F.col("x")), pixel(top(F.col("r")) + R.CELL_HALF + R.CELL_DROP)
+    runs = marks.select("doc", "page", "k.half", cx.alias("cx"), cy.alias("cy"), F.explode("k.ys").alias("dy"))
+    runs = runs.select("doc", "page", (F.col("cy") + F.col("dy")).alias("y"), (F.col("cx") - F.col("half")).alias("x0"), (F.col("cx") + F.col("half")).alias("x1"), F.lit(0).alias("grey"))
+    last = door.groupBy("doc").agg(F.max("r").alias("r"))
+    sizes = col.select("doc", "page").distinct().join(last, "doc").select("doc", "page", pixel(F.lit(300 + PITCH * (MATRIX_COLUMNS + 1))).alias("width"), pixel(top(F.col("r") + 4)).alias("height"))
+    return runs, sizes
+
+
+#: A ruled page: margin, label column, heading, cells, and their numbers.
+MARGIN, LABEL, HEADING, CELL, YEARS, ROWS = 4, 60, 24, 32, 7, 12
+
+
+def _shade(kind: Column, u: Column, v: Column) -> Column:
+    """Grey of a cell's pixel: empty, bold cross, thin cross, hatch, faint cross, corner."""
+    near = lambda d: (F.abs(u - v) <= d) | (F.abs(u + v - (CELL - 1)) <= d)
+    return (F.when((kind == 1) & near(3), 0).when((kind == 2) & near(1), 0).when((kind == 3) & ((u + v) % 5 < 3), 110)
+            .when((kind == 4) & near(2), 185).when((kind == 5) & (u + v < 26), 0).otherwise(255))
+
+
+def scanned_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ruled page of each supplier as a raster: years across, parts' keys mod ROWS down; how often it sold what decides on the kind of a cell."""
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    sold = li.groupBy(F.col("l_suppkey").alias("s"), (F.year("l_shipdate") % YEARS).alias("c"), (F.col("l_partkey") % ROWS).alias("r")).agg((F.count("*") % 6).cast("int").alias("kind"))
+    kinds = sold.groupBy("s").agg(F.map_from_entries(F.collect_list(F.struct((F.col("r") * YEARS + F.col("c")).cast("int").alias("at"), "kind"))).alias("kinds"))
+    left, top = MARGIN + LABEL, MARGIN + HEADING
+    width, height = left + YEARS * CELL + 1 + MARGIN, top + ROWS * CELL + 1 + MARGIN
+    rows = kinds.select(F.col("s").cast("string").alias("doc"), "kinds", F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("y"))
+    y = F.col("y")
+    down, r = (y - top) % CELL, F.floor((y - top) / CELL).cast("int")
+    own = F.transform(F.sequence(F.lit(0), F.lit(YEARS - 1)), lambda c: F.coalesce(F.get(F.array(F.try_element_at("kinds", (r * YEARS + c).cast("int"))), F.lit(0)), F.lit(0)))
+    rows = rows.withColumn("own", F.when((y > top) & (y < top + ROWS * CELL), own))
+    ruled_row = (y == MARGIN) | ((y >= top) & (y <= top + ROWS * CELL) & (down == 0))
+
+    def px(x: Column) -> Column:
+        inside = x.between(MARGIN, left + YEARS * CELL) & y.between(MARGIN, top + ROWS * CELL)
+        ruled = (x == MARGIN) | ((x >= left) & ((x - left) % CELL == 0)) | ruled_row
+        cell = F.when(F.col("own").isNotNull() & (x > left), _shade(F.get("own", F.floor((x - left) / CELL).cast("int")), (x - left) % CELL, down)).otherwise(255)
+        return F.when(~inside, 255).when(ruled, 0).otherwise(cell)
+
+    return rows.select("doc", F.lit(1).alias("page"), "y", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), px).alias("px"))
+
+
 def export_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path, length, content: the matrix of each nation as a semicolon export in UTF-16."""
     supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_nationkey").alias("n"), F.col("s_suppkey").alias("s"))

@@ -17,6 +17,7 @@ from keylattice.plans import layout as L
 from keylattice.plans import parsing as X
 from keylattice.plans import pixels as P
 from keylattice.plans import printouts as O
+from keylattice.plans import raster as RA
 from keylattice.registry import ORACLE_SQL, query, simple
 from keylattice.sources import backup as B
 from keylattice.sources import files as S
@@ -450,10 +451,61 @@ def cls_ink(spark, sf_dir):
     return _grid(spark, sf_dir).select("doc", "col", P.ink(F.col("px")).alias("ink"))
 
 
-@query(_GRID + """, x AS (SELECT doc, col, i, (p * 7 + i * 37) % 256 AS v FROM g CROSS JOIN (SELECT unnest(range(12)) AS i)), n AS (SELECT a.doc, a.col, a.i, sum(b.v) AS total, count(*) AS n FROM x a JOIN x b ON a.doc = b.doc AND a.col = b.col AND abs(a.i % 4 - b.i % 4) <= 1 AND abs(a.i // 4 - b.i // 4) <= 1 GROUP BY 1, 2, 3)
-SELECT doc, col, CAST(i AS INTEGER) AS place, CAST(total AS DOUBLE) / n AS mean FROM n""", prelude=False)
+# -- pages as pixels ------------------------------------------------------------------------------------------------
+#: The pages of `printouts.scanned_pages`, pixel by pixel: what lies inside a cell's border, 14 x 14 of 32 x 32.
+_PIXELS = """WITH sold AS (SELECT l_suppkey AS s, year(l_shipdate) % 7 AS c, l_partkey % 12 AS r, count(*) % 6 AS kind FROM lineitem GROUP BY 1, 2, 3),
+cells AS (SELECT s, c, r, coalesce(kind, 0) AS kind FROM (SELECT DISTINCT s FROM sold) CROSS JOIN (SELECT unnest(range(7)) AS c) CROSS JOIN (SELECT unnest(range(12)) AS r) LEFT JOIN sold USING (s, c, r)),
+px AS (SELECT s, c, r, u, v, CASE WHEN kind = 1 AND (abs(u - v) <= 3 OR abs(u + v - 31) <= 3) THEN 0 WHEN kind = 2 AND (abs(u - v) <= 1 OR abs(u + v - 31) <= 1) THEN 0 WHEN kind = 3 AND (u + v) % 5 < 3 THEN 110
+    WHEN kind = 4 AND (abs(u - v) <= 2 OR abs(u + v - 31) <= 2) THEN 185 WHEN kind = 5 AND u + v < 26 THEN 0 ELSE 255 END AS g FROM cells CROSS JOIN (SELECT unnest(range(9, 23)) AS u) CROSS JOIN (SELECT unnest(range(9, 23)) AS v)),
+part AS (SELECT s, c, r, (CASE WHEN v < 14 THEN 0 WHEN v < 18 THEN 1 ELSE 2 END) * 3 + CASE WHEN u < 14 THEN 0 WHEN u < 18 THEN 1 ELSE 2 END AS k, CASE WHEN avg(g) < 127.5 THEN 1 ELSE 0 END AS ink, sum(255 - g) AS dark FROM px GROUP BY 1, 2, 3, 4),
+shape AS (SELECT s, c, r, sum(ink) FILTER (k = 4) AS centre, sum(ink) FILTER (k % 2 = 0) / 5 - sum(ink) FILTER (k % 2 = 1) / 4 AS diagonal FROM part GROUP BY 1, 2, 3),
+feature AS (SELECT s, c, r, count(*) FILTER (g < 200) / count(*) AS grey, count(*) FILTER (g < 128) / count(*) AS ink, count(*) FILTER (g < 64) / count(*) AS solid FROM px GROUP BY 1, 2, 3),
+kinds AS (SELECT CAST(s AS VARCHAR) AS doc, CAST(c + 1 AS INTEGER) AS "column", CAST(r + 1 AS INTEGER) AS "row", grey, ink, solid, CAST(centre AS DOUBLE) AS centre, diagonal,
+    CASE WHEN grey < 0.12 THEN 'empty' WHEN centre >= 0.45 AND solid >= 0.15 AND (diagonal >= 0.15 OR (ink < 0.35 AND diagonal >= 0.05)) THEN 'x' WHEN ink < 0.2 THEN 'faint' ELSE 'hatch' END AS kind FROM feature JOIN shape USING (s, c, r))\n"""
+
+
+def _scan_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the cells of the scanned pages are known to be."""
+    left, top = O.MARGIN + O.LABEL, O.MARGIN + O.HEADING
+    doc = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_suppkey").cast("string").alias("doc")).distinct()
+    at = doc.select("doc", F.lit(1).alias("page"), F.explode(F.sequence(F.lit(1), F.lit(O.YEARS))).alias("column")).withColumn("row", F.explode(F.sequence(F.lit(1), F.lit(O.ROWS))))
+    edge = lambda c, base, k: (base + O.CELL * (F.col(c) - 1 + k)).cast("int")
+    return at.withColumns({"x0": edge("column", left, 0), "x1": edge("column", left, 1), "y0": edge("row", top, 0), "y1": edge("row", top, 1)})
+
+
+@query(_PIXELS + """SELECT doc, "column", "row", grey, ink, solid, centre, diagonal, kind FROM kinds""", prelude=False)
+def cls_cell_pixels(spark, sf_dir):
+    """Features and kind of each cell, from the pixels of its page."""
+    return RA.classify_cells(O.scanned_pages(spark, sf_dir), _scan_cells(spark, sf_dir)).drop("page")
+
+
+@query(_PIXELS + """SELECT CAST(s AS VARCHAR) AS doc, CAST(c + 1 AS INTEGER) AS "column", CAST(r + 1 AS INTEGER) AS "row", CAST(k AS INTEGER) AS place, CAST(dark AS BIGINT) AS dark, ink FROM part""", prelude=False)
 def cls_box_mean(spark, sf_dir):
-    return _grid(spark, sf_dir).select("doc", "col", F.posexplode(P.box_mean(F.col("px"), F.col("w"), F.col("h"))).alias("place", "mean"))
+    """The reduction of each cell to 3 x 3 parts."""
+    sums = RA.cell_sums(O.scanned_pages(spark, sf_dir), _scan_cells(spark, sf_dir))
+    parts = F.arrays_zip(F.array(*(f"dark{i}" for i in range(9))).alias("dark"), RA.inked_parts(sums).alias("ink"))
+    return sums.select("doc", "column", "row", F.posexplode(parts).alias("place", "p")).select("doc", "column", "row", "place", "p.dark", "p.ink")
+
+
+@query("""WITH d AS (SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS doc FROM lineitem), l AS (SELECT 'v' AS axis, 0 AS place, 4.0::DOUBLE AS pos UNION ALL SELECT 'v', k + 1, 64.0 + 32 * k FROM (SELECT unnest(range(8)) AS k)
+UNION ALL SELECT 'h', 0, 4.0 UNION ALL SELECT 'h', k + 1, 28.0 + 32 * k FROM (SELECT unnest(range(13)) AS k)) SELECT doc, axis, CAST(place AS INTEGER) AS place, pos FROM d CROSS JOIN l""", prelude=False)
+def cls_rulings(spark, sf_dir):
+    """The rulings of the scanned pages, as their pixels show them."""
+    _, down, across = RA.grid(settled(O.scanned_pages(spark, sf_dir)))
+    both = down.select("doc", F.lit("v").alias("axis"), "lines").unionByName(across.select("doc", F.lit("h").alias("axis"), "lines"))
+    return both.select("doc", "axis", F.posexplode("lines").alias("place", "pos"))
+
+
+@query(_PIXELS + """SELECT doc, "column", "row", kind FROM kinds WHERE kind <> 'empty'""", prelude=False)
+def src_matrix_image(spark, sf_dir):
+    """The marks of scanned pages: rulings, grid and kinds of cells from pixels alone."""
+    return RA.read_scan(settled(O.scanned_pages(spark, sf_dir))).where("kind <> 'empty'").select("doc", "column", "row", "kind")
+
+
+@query(_MATRIX + """SELECT doc, CAST(c AS INTEGER) AS "column", CAST(r AS INTEGER) AS "row", CASE (s + p) % 4 WHEN 0 THEN 'active' WHEN 1 THEN 'planned' ELSE 'remove' END AS state FROM sold JOIN door USING (doc, p) WHERE (s + p) % 4 < 3""", prelude=False)
+def src_native_matrix(spark, sf_dir):
+    """The states of drawn marks."""
+    return X.parse_native(settled(O.matrix_words(spark, sf_dir, F.lit(False))), *O.drawn_marks(spark, sf_dir), include_removed=True).marks
 
 
 # -- SQL for queries of other modules ------------------------------------------------------------------------------

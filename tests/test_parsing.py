@@ -12,6 +12,7 @@ from keylattice.operators.resolve import rank_rows
 from keylattice.plans import analysis as A
 from keylattice.plans import layout as L
 from keylattice.plans import parsing as X
+from keylattice.plans import raster as RA
 from keylattice.sources import backup as B
 from keylattice.sources import files as S
 from keylattice.sources import versions as V
@@ -156,11 +157,12 @@ def test_drawn_marks(spark):
                             grey[y][x] = 20
         raster += [("d", page, y, px) for y, px in enumerate(grey)]
     df, px = frame(spark, words), spark.createDataFrame(raster, "doc string, page int, y int, px array<int>")
-    m = X.parse_native(df, px, dpi=72)
+    pages = RA.runs_of(px), RA.page_sizes(px)
+    m = X.parse_native(df, *pages, dpi=72)
     assert of(m.columns, "d", "column", "serial", "number", "person_name") == [(1, "11XAB01", 7, "Name"), (2, "12XCD2E", None, "Other")]
     assert of(m.doors, "d", "row", "name") == [(1, "First door"), (2, "Second door 40"), (3, "Third door")]
     assert of(m.marks, "d", "column", "row", "state") == [(1, 1, "active"), (1, 3, "planned")]
-    assert of(X.parse_native(df, px, include_removed=True, dpi=72).marks, "d", "column", "row", "state") == [(1, 1, "active"), (1, 3, "planned"), (2, 2, "remove")]
+    assert of(X.parse_native(df, *pages, include_removed=True, dpi=72).marks, "d", "column", "row", "state") == [(1, 1, "active"), (1, 3, "planned"), (2, 2, "remove")]
     assert [(r.consistent, r.scan) for r in m.coverage.collect()] == [(True, True)]
     assert [r.native for r in X.is_native(df).collect()] == [True]
     assert [r.native for r in X.is_native(df.unionByName(frame(spark, upright("d", 1, 310, 400, "x")))).collect()] == [False]
