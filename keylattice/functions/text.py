@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,20 +23,57 @@ ORIENTATION = (
     "ost west nord sued sud no nw so sw nordost nordwest suedost suedwest sudost sudwest links rechts mitte oben unten innen aussen".split()
 )
 SUFFIXES = "nordost nordwest suedost suedwest sudost sudwest ost west nord sued sud".split()
-def _marked() -> tuple[str, str]:
-    """Latin, Greek and Cyrillic letters that decompose to one base letter and marks, and those letters, by Unicode's rules."""
-    blocks = [*range(0xAA, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000)]
-    base = {chr(c): "".join(x for x in unicodedata.normalize("NFKD", chr(c)) if not unicodedata.combining(x)) for c in blocks}
-    kept = {c: b for c, b in base.items() if b != c and len(b) == 1}
-    return "".join(kept), "".join(kept.values())
+@lru_cache
+def _expansions(change: Callable[[str], str]) -> tuple[str, str]:
+    """All characters beyond ASCII that `change` changes, but for Hangul syllables, and what they become, joined by \x1f."""
+    codes = (c for c in range(0x80, 0x110000) if not (0xAC00 <= c < 0xD7A4 or 0xD800 <= c < 0xE000 or 0x3FFFE < c < 0xE0000 or c >= 0xE1000))
+    table = {chr(c): change(chr(c)) for c in codes}
+    changed = {c: to for c, to in table.items() if to != c}
+    return "".join(changed), "\x1f".join(changed.values())
 
 
-MARKED, BASE = _marked()
+def _bare(c: str) -> str:
+    return "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+
+
+@lru_cache
+def _others(kind: Callable[[str], bool]) -> str:
+    """A pattern of a character of another kind than `kind`, by Unicode's tables: the JVM's may be older."""
+    kept = [c for c in range(0x80, 0x40000) if not 0xD800 <= c < 0xE000 and kind(chr(c))]
+    starts = [c for c, before in zip(kept, [-1, *kept], strict=False) if c != before + 1]
+    ends = [c for c, after in zip(kept, [*kept[1:], -1], strict=True) if c + 1 != after]
+    inside = "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in zip(starts, ends, strict=True))
+    ascii_ = "".join(chr(c) for c in range(0x80) if kind(chr(c)))
+    return f"[^{ascii_}{inside}]"
+
+
+#: First letters, vowels and ends of a Hangul syllable, by Unicode's rule.
+HANGUL = [[chr(start + i) for i in range(n)] for start, n in ((0x1100, 19), (0x1161, 21), (0x11A7, 28))]
+
+
+def _changed(x: Column, change: Callable[[str], str], hangul: bool = False) -> Column:
+    """`x` with every character beyond ASCII changed as `change` does it, by Unicode's tables; ASCII texts stay as they are."""
+    keys, values = (F.lit(t) for t in _expansions(change))
+    to = F.split(values, "\x1f")
+
+    def jamo(c: Column) -> Column:
+        at = F.ascii(c) - 0xAC00
+        parts = (F.floor(at / 588), F.floor(at / 28) % 21, at % 28)
+        letter = [F.get(F.split(F.lit("\x1f".join(h)), "\x1f"), p.cast("int")) for h, p in zip(HANGUL, parts, strict=True)]
+        return F.concat(letter[0], letter[1], F.when(parts[2] > 0, letter[2]).otherwise(""))
+
+    def one(c: Column) -> Column:
+        at = F.instr(keys, c)
+        out = F.when(at > 0, F.get(to, at - 1)).otherwise(c)
+        return F.when((c >= "\uac00") & (c <= "\ud7a3"), jamo(c)).otherwise(out) if hangul else out
+
+    every = F.array_join(F.transform(F.split(x, ""), lambda c: F.when(c <= "\x7f", c).otherwise(one(c))), "")
+    return F.when(x.rlike(r"^[\x00-\x7F]*\z"), x).otherwise(every)
 
 
 def fold_marks(x: Column) -> Column:
-    """Without diacritics: combining marks go, composed Latin letters become their base letter."""
-    return F.translate(F.regexp_replace(x, r"\p{M}", ""), MARKED, BASE)
+    """Compatibility decomposition without combining marks: no diacritics, ligatures, full-width or circled forms."""
+    return _changed(x, _bare, hangul=True)
 
 
 #: Stands before the number of a principal, as a pattern; the label of a site's own numbering.
@@ -50,8 +87,12 @@ def number_split(x: Column, prefix: str = NUMBER_PREFIX) -> Column:
     return F.struct(number.alias("number"), F.when(number.isNotNull(), F.trim(F.regexp_extract(x, pattern, 2))).otherwise(x).alias("name"))
 
 
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
 def casefold(x: Column) -> Column:
-    return F.replace(F.lower(x), F.lit("ß"), F.lit("ss"))
+    """Full case folding: letters that fold to several ones too."""
+    return F.when(x.rlike(r"^[\x00-\x7F]*\z"), F.lower(x)).otherwise(_changed(F.translate(x, UPPER, UPPER.lower()), str.casefold))
 
 
 def serial_valid(x: Column) -> Column:
@@ -97,11 +138,14 @@ def lookalike_block(s: Column) -> Column:
 
 
 def norm_door(x: Column) -> Column:
-    return F.replace(F.regexp_replace(casefold(fold_marks(x)), r"[^\p{L}\p{N}]", ""), F.lit("0"), F.lit("o"))
+    """Letters and digits of any script, folded, with 0 as o."""
+    kept = F.when(x.rlike(r"^[\x00-\x7F]*\z"), F.regexp_replace(F.lower(x), "[^a-z0-9]", "")).otherwise(F.regexp_replace(casefold(fold_marks(x)), _others(str.isalnum), ""))
+    return F.replace(kept, F.lit("0"), F.lit("o"))
 
 
 def door_digits(x: Column) -> Column:
-    return F.regexp_replace(x, r"[^\p{Nd}]", "")
+    """The digits, zeros kept, of all forms that decompose to digits too."""
+    return F.when(x.rlike(r"^[\x00-\x7F]*\z"), F.regexp_replace(x, "[^0-9]", "")).otherwise(F.regexp_replace(fold_marks(x), _others(str.isdigit), ""))
 
 
 def door_sides(x: Column) -> Column:
@@ -171,7 +215,17 @@ def location_concat(*parts: Column) -> Column:
 
 
 def iso_date(x: Column) -> Column:
-    return F.try_to_date(x, "yyyy-MM-dd")
+    """ISO 8601 calendar dates (2024-01-02, 20240102) and week dates (2024-W01-2, 2024W012, 2024-W01, 2024W01: its Monday), else null."""
+    plain = F.when(x.rlike(r"^\d{4}-\d{2}-\d{2}\z"), F.try_to_date(x, "yyyy-MM-dd")).when(x.rlike(r"^\d{8}\z"), F.try_to_date(x, "yyyyMMdd"))
+    part = lambda k: F.regexp_extract(x, r"^(\d{4})-?W(\d{2})(?:-?([1-7]))?\z", k)
+    year = F.nullif(part(1), F.lit("")).cast("int")
+    fourth = F.make_date(F.when(year > 0, year), F.lit(1), F.lit(4))  # always in the first week
+    week, day = part(2).try_cast("int"), F.coalesce(part(3).try_cast("int"), F.lit(1))
+    date = F.date_add(fourth, ((week - 1) * 7 + day - 1 - F.weekday(fourth)).cast("int"))
+    # The dashes are all there or none; a year has the weeks whose Thursday it has.
+    shaped = x.rlike(r"^\d{4}(-W\d{2}(-[1-7])?|W\d{2}[1-7]?)\z")
+    thursday = F.date_add(date, (4 - day).cast("int"))
+    return F.coalesce(plain, F.when(shaped & (week >= 1) & (F.year(thursday) == year), date))
 
 
 def utc_iso(ts: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from keylattice.functions import text as T
 from keylattice.operators.resolve import greedy_serials, match_names
+from keylattice.sources.shared import settled
 from keylattice.sources.domain import STATES, Domain, grant_flags
 
 
@@ -189,6 +190,27 @@ def resolve_padded(cards: DataFrame, known: DataFrame) -> DataFrame:
     return tries.join(known.select("serial").distinct(), "serial").groupBy("raw").agg(F.min_by("serial", "place").alias("serial"))
 
 
+def containing(texts: DataFrame, text: str, tokens: DataFrame, gram: int = 3) -> DataFrame:
+    """`text` of `texts` beside the rows of `tokens` (token, ...) that it contains.
+
+    An index of grams: a token meets the texts by its rarest run of `gram` letters, all of it if it is shorter, and is then looked
+    for. The empty token is in every text.
+    """
+    grams = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))
+    size = F.least(F.length("token"), F.lit(gram))
+    asked = tokens.select("token").where("token IS NOT NULL").distinct().withColumn("size", size)
+    own = asked.select("token", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("token") - F.col("size") + 1), lambda i: F.substring("token", i, F.col("size"))))).alias("gram"))
+    whole = F.array_distinct(F.concat(F.array(F.lit("")), *(grams(F.col(text), n) for n in range(1, gram + 1))))
+    index = texts.select(text).where(F.col(text).isNotNull()).distinct().withColumn("gram", F.explode(whole)).join(own.select("gram").distinct(), "gram", "left_semi")
+    index = settled(index)
+    often = index.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = own.join(often, "gram").groupBy("token").agg(F.count("*").alias("k"), F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    # A token with a run that no text has is nowhere.
+    full = own.groupBy("token").agg(F.count("*").alias("k"))
+    met = rarest.join(full, ["token", "k"]).select("token", "gram").join(index, "gram").where(F.col(text).contains(F.col("token")))
+    return met.select(text, "token").join(tokens, "token").select(text, *tokens.columns)
+
+
 def seed_groups(domain: Domain, names: DataFrame, tokens: DataFrame, cards: DataFrame) -> Domain:
     """The domain after groups are filled and handed out.
 
@@ -198,14 +220,15 @@ def seed_groups(domain: Domain, names: DataFrame, tokens: DataFrame, cards: Data
     groups hold.
     """
     fold = lambda c: T.casefold(T.collapse_ws(F.col(c)))
-    last = domain.resource.groupBy(fold("door_name").alias("k")).agg(F.max("serial").alias("resource"))
+    resource = settled(domain.resource.select("serial", fold("door_name").alias("k"), F.lower(F.concat_ws(" ", "location", "area")).alias("place")))
+    last = resource.groupBy("k").agg(F.max("serial").alias("resource"))
     by_name = names.select("grp", fold("door_name").alias("k")).join(last, "k").select("grp", "resource")
-    place = domain.resource.select(F.col("serial").alias("resource"), F.lower(F.concat_ws(" ", "location", "area")).alias("place"))
-    by_token = place.join(tokens, F.col("place").contains(F.lower(F.col("token")))).select("grp", "resource")
+    holding = containing(resource.select("place").distinct(), "place", tokens.select("grp", F.lower("token").alias("token")))
+    by_token = resource.select(F.col("serial").alias("resource"), "place").join(holding, "place").select("grp", "resource")
     filled = by_name.unionByName(by_token).distinct()
     touched = names.select("grp").union(tokens.select("grp")).distinct()
-    held = domain.group_resource.join(touched, "grp", "left_anti").unionByName(filled)
-    given = cards.join(resolve_padded(cards, domain.principal), "raw").select(F.col("serial").alias("principal"), "grp").distinct()
+    held = settled(domain.group_resource.join(touched, "grp", "left_anti").unionByName(filled))
+    given = settled(cards.join(resolve_padded(cards, domain.principal), "raw").select(F.col("serial").alias("principal"), "grp").distinct())
     members = domain.membership.join(given.select("principal").distinct(), "principal", "left_anti").unionByName(given)
     wished = given.join(held, "grp").select("principal", "resource")
     grants = _with_desired(domain.grants, _desired(domain.grants).unionByName(wished))

@@ -2,21 +2,71 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from keylattice.functions import text as T
+from keylattice.sources.shared import settled
+
+#: Names up to SHORT letters meet by what is left after deletions, names from SHORT - EDITS letters by two of PIECES pieces.
+EDITS, SHORT, PIECES = 2, 34, 4
+
+
+def _spellings(key: Column) -> Column:
+    """Hashes of a short name without any one or two of its letters, and of itself: names within two edits share one."""
+    n = F.length(key)
+    without = lambda s, i: F.concat(F.substring(s, F.lit(1), i), F.substring(s, i + 2, n))
+    places = F.filter(F.sequence(F.lit(-1), n - 1), lambda i: i >= 0)
+    once = F.transform(places, lambda i: without(key, i))
+    twice = F.flatten(F.transform(places, lambda i: F.transform(F.filter(places, lambda j: j > i), lambda j: without(without(key, j), i))))
+    return F.array_distinct(F.transform(F.concat(F.array(key), once, twice), lambda s: F.xxhash64(F.lit("spelling"), s)))
+
+
+def _pieces(key: Column, asked: bool) -> Column:
+    """Hashes of two of four pieces of a long name, with its length: two edits leave two pieces whole.
+
+    A known name has its own pieces. A name that is asked for has what stands at these places in any name that it may be, of
+    any length within two letters, with each of both pieces shifted as far as two edits allow.
+    """
+    n = F.length(key)
+    keys = []
+    for delta in range(-EDITS, EDITS + 1) if asked else (0,):
+        size = n - delta  # of the known name
+        start = lambda i, size=size: F.floor(size * i / PIECES).cast("int")
+        piece = lambda i, shift, start=start: F.substring(key, start(i) + shift + 1, start(i + 1) - start(i))
+        for i in range(PIECES):
+            for j in range(i + 1, PIECES):
+                for a in range(-EDITS, EDITS + 1):
+                    for b in range(-EDITS, EDITS + 1):
+                        if (asked and abs(a) + abs(b - a) + abs(delta - b) <= EDITS) or (not asked and a == b == 0):
+                            keys.append(F.when((start(i) + a >= 0) & (start(j) + b >= 0), F.xxhash64(size, F.lit(i), F.lit(j), piece(i, a), piece(j, b))))
+    return F.array_distinct(F.filter(F.array(*keys), lambda k: k.isNotNull()))
+
+
+def _meeting(key: Column, asked: bool) -> Column:
+    n, none = F.length(key), F.array().cast("array<bigint>")
+    return F.concat(F.when(n <= SHORT, _spellings(key)).otherwise(none), F.when(n >= SHORT - EDITS - 1, _pieces(key, asked)).otherwise(none))
+
+
+def near_names(asked: DataFrame, known: DataFrame, *same: str) -> DataFrame:
+    """key, other, d of all pairs of different texts of `asked` (key) and `known` (other) with equal columns `same` that are within two edits.
+
+    Pairs meet by equal keys that any two such texts share, and are verified after; no block of alike names is ever
+    compared pair by pair.
+    """
+    left = asked.select("key", *same).distinct().withColumn("meet", F.explode(_meeting(F.col("key"), True)))
+    right = known.select("other", *same).distinct().withColumn("meet", F.explode(_meeting(F.col("other"), False)))
+    pairs = left.join(right, ["meet", *same]).where(F.abs(F.length("key") - F.length("other")) <= EDITS).select("key", "other", *same).distinct()
+    return pairs.withColumn("d", T.edit_distance(F.col("key"), F.col("other"))).where(F.col("d") <= EDITS)
 
 
 def match_names(queries: DataFrame, known: DataFrame) -> DataFrame:
     """name, serial: the known resource (serial, door_name, in the order of `serial`) that each distinct name means.
 
     An equal case-folded name wins (the first); then the only equal normalised name; then the only nearest normalised
-    name within two edits among those with equal digits and sides. Ambiguity is no match. The edit distance only
-    runs inside a block of equal digits and sides, for names that the first two stages left.
+    name within two edits among those with equal digits and sides. Ambiguity is no match. Names that the first two stages left
+    meet their candidates by `near_names`.
     """
     q = queries.select("name").where("name IS NOT NULL").distinct()
     q = q.withColumns({"low": T.casefold(F.col("name")), "key": T.norm_door(F.col("name"))})
@@ -28,7 +78,8 @@ def match_names(queries: DataFrame, known: DataFrame) -> DataFrame:
     open_ = staged.where("exact IS NULL AND same_n IS NULL AND key <> ''").select("name", "key", T.door_digits(F.col("name")).alias("digits"), T.door_sides(F.col("name")).alias("sides"))
     # Equal normalised names stand for one candidate that is ambiguous when there are several of them.
     blocks = named.groupBy("key", T.door_digits(F.col("door_name")).alias("digits"), T.door_sides(F.col("door_name")).alias("sides")).agg(F.min("serial").alias("serial"), F.count("*").alias("n"))
-    near = open_.join(blocks.withColumnRenamed("key", "other"), ["digits", "sides"]).withColumn("d", T.edit_distance(F.col("key"), F.col("other"))).where("d <= 2")
+    close = near_names(open_, blocks.withColumnRenamed("key", "other"), "digits", "sides")
+    near = open_.join(close, ["key", "digits", "sides"]).join(blocks.withColumnRenamed("key", "other"), ["other", "digits", "sides"])
     best = near.groupBy("name", "d").agg(F.sum("n").alias("n"), F.min("serial").alias("serial"))
     best = best.groupBy("name").agg(F.min_by(F.struct("n", "serial"), "d").alias("b")).select("name", F.when(F.col("b.n") == 1, F.col("b.serial")).alias("fuzzy"))
     out = staged.join(best, "name", "left")
@@ -72,18 +123,22 @@ def dedupe_ordered(items: DataFrame, known: DataFrame) -> DataFrame:
     return first.join(known.select("id"), "id", "left_semi").select("pos", "id")
 
 
-def rank_rows(df: DataFrame, *order, runs: tuple[Column, ...], name: str = "index") -> DataFrame:
-    """Dense 0-based positions over an order that begins with `runs` (nulls first), or with what they are a prefix of.
+def rank_rows(df: DataFrame, *order: Column | str, name: str = "index") -> DataFrame:
+    """`df` with its dense 0-based positions in a global order (nulls first unless said otherwise); ties stand in any order.
 
-    Each run of equal `runs` is numbered on its own; the rows before it are a running sum over the counts of runs, so no
-    task sees all rows.
+    Rows are sorted by ranges; a row's position is its place in its range behind the sizes of the ranges before it, of which
+    the driver sees one number each. No task sees more than a range.
     """
-    keys = [f"run{i}" for i in range(len(runs))]
-    placed = df.select(F.struct("*").alias("row"), *(c.alias(k) for c, k in zip(runs, keys, strict=True)))
-    inside = [c if isinstance(c, Column) else F.col(c) for c in order]
-    own = df.select(F.struct("*").alias("row"), *(c.alias(k) for c, k in zip(runs, keys, strict=True)), F.row_number().over(Window.partitionBy(*runs).orderBy(*inside)).alias("own"))
-    before = Window.orderBy(*(F.asc_nulls_first(k) for k in keys)).rowsBetween(Window.unboundedPreceding, -1)
-    starts = placed.groupBy(*keys).agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    same = [F.col(f"o.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]
-    joined = own.alias("o").join(starts.alias("s"), reduce(lambda a, b: a & b, same))
-    return joined.select("o.row.*", (F.col("before") + F.col("own") - 1).alias(name))
+    spark = df.sparkSession
+    keys = [c if isinstance(c, Column) else F.col(c) for c in order]
+    place, own, first = (f"_keylattice_{c}" for c in ("place", "part", "first"))
+    ordered = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys)
+    ordered = settled(ordered.withColumn(place, F.monotonically_increasing_id()))
+    part = F.shiftright(place, 33).cast("int")
+    before, starts = 0, []
+    for r in sorted(ordered.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()):
+        starts.append((r.part, before))
+        before += r.n
+    sizes = F.broadcast(spark.createDataFrame(starts, f"{own} int, {first} long"))  # a row per range
+    out = ordered.join(sizes, part == F.col(own))
+    return out.select(*[f"`{c}`" for c in df.columns], (F.col(first) + F.col(place) - F.shiftleft(F.col(own).cast("long"), 33)).alias(name))

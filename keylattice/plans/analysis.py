@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -64,8 +65,8 @@ def group_detail(d: Domain, group: int) -> DataFrame:
 def group_members(d: Domain, group: int) -> DataFrame:
     """principal, label, place of a group's members, in the order of principals."""
     members = d.membership.where(F.col("grp") == group).select(F.col("principal").alias("serial")).distinct()
-    place = F.row_number().over(Window.partitionBy(F.lit(group)).orderBy(F.asc_nulls_first("number"), "person_name", "serial"))  # one group
-    return labelled_principals(d).join(members, "serial", "left_semi").select(F.col("serial").alias("principal"), "label", place.alias("place"))
+    ranked = rank_rows(labelled_principals(d).join(members, "serial", "left_semi"), F.asc_nulls_first("number"), "person_name", "serial", name="before")
+    return ranked.select(F.col("serial").alias("principal"), "label", (F.col("before") + 1).cast("int").alias("place"))
 
 
 def principal_totals(d: Domain) -> DataFrame:
@@ -105,14 +106,17 @@ def overlap(d: Domain, scope: str = "active") -> DataFrame:
     matrix where its sets meet: no pair is ever shuffled, and a resource that all hold is one column of each block.
     """
     sets = _scoped(d.flags(), scope).withColumnRenamed("principal", "serial")
-    blocks = max(1, -(-d.principal.count() // OVERLAP_BLOCK))
+    # Pairs of blocks are the tasks: enough of them for all cores, as long as blocks aren't small.
+    cores = d.principal.sparkSession.sparkContext.defaultParallelism
+    n = d.principal.count()
+    blocks = max(1, -(-n // OVERLAP_BLOCK), min(math.ceil(math.sqrt(2 * cores)), n // OVERLAP_LEAST))
     held = d.principal.select("serial").join(sets, "serial", "left").withColumn("block", F.pmod(F.xxhash64("serial"), F.lit(blocks)))
     met = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "serial", "resource")
     return met.groupBy("low", "high").applyInArrow(_block_overlap, "a string, b string, shared long, pct int, alpha double, dark boolean, is_self boolean")
 
 
-#: Principals of a block of the overlap matrix, and resources that are multiplied at a time.
-OVERLAP_BLOCK, OVERLAP_CHUNK = 512, 8192
+#: Principals of a block of the overlap matrix, at most and in general at least, and resources that are multiplied at a time.
+OVERLAP_BLOCK, OVERLAP_LEAST, OVERLAP_CHUNK = 512, 128, 8192
 
 
 def _block_overlap(rows: pa.Table) -> pa.Table:
@@ -216,13 +220,13 @@ def change_sheets(d: Domain) -> DataFrame:
 def principals_indexed(d: Domain) -> DataFrame:
     """principal, ci: the places of all principals by number (none first), name and serial."""
     order = (F.asc_nulls_first("number"), "person_name", "serial")
-    return rank_rows(labelled_principals(d), *order, runs=(F.col("number"), F.left("person_name", F.lit(12))), name="ci").select(F.col("serial").alias("principal"), "ci")
+    return rank_rows(d.principal.select("serial", "number", "person_name"), *order, name="ci").select(F.col("serial").alias("principal"), "ci")
 
 
 def resources_indexed(d: Domain, used: DataFrame | None = None) -> DataFrame:
     """resource, ri: the places of all resources, or of the used ones, by location, name and serial."""
     r = d.resource if used is None else d.resource.join(used.select(F.col("resource").alias("serial")).distinct(), "serial", "left_semi")
-    return rank_rows(r, "location", "door_name", "serial", runs=(F.col("location"), F.left("door_name", F.lit(2))), name="ri").select(F.col("serial").alias("resource"), "ri")
+    return rank_rows(r.select("serial", "location", "door_name"), "location", "door_name", "serial", name="ri").select(F.col("serial").alias("resource"), "ri")
 
 
 def matrix(d: Domain, scope: str = "all") -> DataFrame:

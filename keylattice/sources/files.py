@@ -18,9 +18,9 @@ from keylattice.sources.domain import Domain
 IMAGES = "png jpg jpeg tif tiff bmp webp".split()
 SERIAL_ROW, FIRST_DOOR, FIRST_MARK = 5, 6, 8
 AREA, SERIAL, NAME, SITE, BUILDING, FLOOR, ROOM = range(1, 8)
-#: A matrix export is one building's printout; larger files are reported, not read.
-MAX_BYTES = 64 * 1024 * 1024
 LEAST_PREFIX = 4
+#: Cells that a file's reader hands on at once.
+CELLS = 50_000
 
 
 def is_image(path: Column) -> Column:
@@ -38,24 +38,39 @@ def collect_files(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths)).select("path", "length", "content").dropDuplicates(["path"])
 
 
-def csv_cells(files: DataFrame) -> DataFrame:
+def csv_cells(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """doc, r, c, text, error of every non-blank cell of UTF-16 files (path, length, content).
 
-    A file that can't be read is one row with an error; the others are not touched. Empty files have no row.
+    A file that can't be read, or has more than `max_bytes` if that is given, is one row with an error; the others are not touched.
+    Empty files have no row. A file is read twice as a stream: to its end, to know that it is whole, and then cell by cell.
     """
 
+    def lines(content: bytes) -> Iterator[list[str]]:
+        return csv.reader(io.TextIOWrapper(io.BytesIO(content), "utf-16", newline=None), delimiter=";")
+
+    def table(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["doc", "r", "c", "text", "error"]).astype({"r": "Int32", "c": "Int32"})
+
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        csv.field_size_limit(2**31 - 1)
         for batch in batches:
             for path, length, content in batch.itertuples(index=False):
-                rows = []
+                content = bytes(content or b"")
                 try:
-                    if length > MAX_BYTES:
-                        raise ValueError(f"{length} bytes are more than {MAX_BYTES}")
-                    lines = csv.reader(io.StringIO(bytes(content or b"").decode("utf-16"), newline=None), delimiter=";")
-                    rows = [(path, r, c, cell.strip(), None) for r, line in enumerate(lines) for c, cell in enumerate(line) if cell.strip()]
+                    if max_bytes is not None and length > max_bytes:
+                        raise ValueError(f"{length} bytes are more than {max_bytes}")
+                    for _ in lines(content) if content else ():
+                        pass
                 except (UnicodeError, csv.Error, ValueError) as e:
-                    rows = [(path, None, None, None, str(e))]
-                yield pd.DataFrame(rows, columns=["doc", "r", "c", "text", "error"]).astype({"r": "Int32", "c": "Int32"})
+                    yield table([(path, None, None, None, str(e))])
+                    continue
+                rows = []
+                for r, line in enumerate(lines(content) if content else ()):
+                    rows += [(path, r, c, cell.strip(), None) for c, cell in enumerate(line) if cell.strip()]
+                    if len(rows) >= CELLS:
+                        yield table(rows)
+                        rows = []
+                yield table(rows)
 
     return files.select("path", "length", "content").mapInPandas(read, "doc string, r int, c int, text string, error string")
 
@@ -122,3 +137,17 @@ def rebuilt(domain: Domain, columns: DataFrame, doors: DataFrame, marks: DataFra
     none = lambda df: df.where(F.lit(False))
     made = Domain(chosen(domain.principal, principal), chosen(domain.resource, resource), domain.grp, chosen(domain.grants, grants), chosen(domain.membership, none(domain.membership)), chosen(domain.group_resource, none(domain.group_resource)))
     return made, errors
+
+
+def outcomes(files: DataFrame) -> DataFrame:
+    """path, outcome, cells, columns, doors of every export among `files` (path, length, content): read, empty, or the error of one
+    that can't be read, which doesn't keep the others from being read."""
+    cells = csv_cells(files)
+    mark = F.lower("text") == "x"
+    found = cells.groupBy(F.col("doc").alias("path")).agg(
+        F.max("error").alias("error"), F.count("text").alias("cells"), F.count_if((F.col("r") == SERIAL_ROW) & (F.col("c") >= FIRST_MARK)).alias("columns"),
+        F.count_distinct(F.when(F.col("r") >= FIRST_DOOR, F.col("r"))).alias("doors"), F.count_if((F.col("r") >= FIRST_DOOR) & (F.col("c") >= FIRST_MARK) & mark).alias("marks"),
+    )
+    n = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    outcome = F.when(F.col("error").isNotNull(), "faulty").when(F.coalesce("cells", F.lit(0)) == 0, "empty").otherwise("read")
+    return files.select("path").join(found, "path", "left").select("path", outcome.alias("outcome"), "error", *map(n, ("cells", "columns", "doors", "marks")))
