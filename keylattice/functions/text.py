@@ -23,6 +23,11 @@ ORIENTATION = (
     "ost west nord sued sud no nw so sw nordost nordwest suedost suedwest sudost sudwest links rechts mitte oben unten innen aussen".split()
 )
 SUFFIXES = "nordost nordwest suedost suedwest sudost sudwest ost west nord sued sud".split()
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is evaluated, and written into the plan, once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 @lru_cache
 def _expansions(change: Callable[[str], str]) -> tuple[str, str]:
     """All characters beyond ASCII that `change` changes, but for Hangul syllables, and what they become, joined by \x1f."""
@@ -51,6 +56,10 @@ def _others(kind: Callable[[str], bool]) -> str:
 HANGUL = [[chr(start + i) for i in range(n)] for start, n in ((0x1100, 19), (0x1161, 21), (0x11A7, 28))]
 
 
+def _ascii(x: Column) -> Column:
+    return x.rlike(r"^[\x00-\x7F]*\z")
+
+
 def _changed(x: Column, change: Callable[[str], str], hangul: bool = False) -> Column:
     """`x` with every character beyond ASCII changed as `change` does it, by Unicode's tables; ASCII texts stay as they are."""
     keys, values = (F.lit(t) for t in _expansions(change))
@@ -67,8 +76,8 @@ def _changed(x: Column, change: Callable[[str], str], hangul: bool = False) -> C
         out = F.when(at > 0, F.get(to, at - 1)).otherwise(c)
         return F.when((c >= "\uac00") & (c <= "\ud7a3"), jamo(c)).otherwise(out) if hangul else out
 
-    every = F.array_join(F.transform(F.split(x, ""), lambda c: F.when(c <= "\x7f", c).otherwise(one(c))), "")
-    return F.when(x.rlike(r"^[\x00-\x7F]*\z"), x).otherwise(every)
+    every = lambda v: F.array_join(F.transform(F.split(v, ""), lambda c: F.when(c <= "\x7f", c).otherwise(one(c))), "")
+    return bound(x, lambda v: F.when(_ascii(v), v).otherwise(every(v)))
 
 
 def fold_marks(x: Column) -> Column:
@@ -92,18 +101,13 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 def casefold(x: Column) -> Column:
     """Full case folding: letters that fold to several ones too."""
-    return F.when(x.rlike(r"^[\x00-\x7F]*\z"), F.lower(x)).otherwise(_changed(F.translate(x, UPPER, UPPER.lower()), str.casefold))
+    return bound(x, lambda v: F.when(_ascii(v), F.lower(v)).otherwise(_changed(F.translate(v, UPPER, UPPER.lower()), str.casefold)))
 
 
 def serial_valid(x: Column) -> Column:
     return F.coalesce(x.rlike(SERIAL), F.lit(False))
 
 
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """`use` of a value that is evaluated, and written into the plan, once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def repair_serial(raw: Column) -> Column:
     """struct(serial, valid, suspect). Suspect: it took more than the trivial repairs."""
     made = lambda s, valid, suspect: F.struct(s.alias("serial"), valid.alias("valid"), F.lit(suspect).alias("suspect"))
@@ -139,13 +143,13 @@ def lookalike_block(s: Column) -> Column:
 
 def norm_door(x: Column) -> Column:
     """Letters and digits of any script, folded, with 0 as o."""
-    kept = F.when(x.rlike(r"^[\x00-\x7F]*\z"), F.regexp_replace(F.lower(x), "[^a-z0-9]", "")).otherwise(F.regexp_replace(casefold(fold_marks(x)), _others(str.isalnum), ""))
-    return F.replace(kept, F.lit("0"), F.lit("o"))
+    kept = lambda v: F.when(_ascii(v), F.regexp_replace(F.lower(v), "[^a-z0-9]", "")).otherwise(F.regexp_replace(casefold(fold_marks(v)), _others(str.isalnum), ""))
+    return F.replace(bound(x, kept), F.lit("0"), F.lit("o"))
 
 
 def door_digits(x: Column) -> Column:
     """The digits, zeros kept, of all forms that decompose to digits too."""
-    return F.when(x.rlike(r"^[\x00-\x7F]*\z"), F.regexp_replace(x, "[^0-9]", "")).otherwise(F.regexp_replace(fold_marks(x), _others(str.isdigit), ""))
+    return bound(x, lambda v: F.when(_ascii(v), F.regexp_replace(v, "[^0-9]", "")).otherwise(F.regexp_replace(fold_marks(v), _others(str.isdigit), "")))
 
 
 def door_sides(x: Column) -> Column:

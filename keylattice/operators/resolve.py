@@ -29,19 +29,23 @@ def _pieces(key: Column, asked: bool) -> Column:
     A known name has its own pieces. A name that is asked for has what stands at these places in any name that it may be, of
     any length within two letters, with each of both pieces shifted as far as two edits allow.
     """
-    n = F.length(key)
-    keys = []
-    for delta in range(-EDITS, EDITS + 1) if asked else (0,):
-        size = n - delta  # of the known name
-        start = lambda i, size=size: F.floor(size * i / PIECES).cast("int")
-        piece = lambda i, shift, start=start: F.substring(key, start(i) + shift + 1, start(i + 1) - start(i))
-        for i in range(PIECES):
-            for j in range(i + 1, PIECES):
-                for a in range(-EDITS, EDITS + 1):
-                    for b in range(-EDITS, EDITS + 1):
-                        if (asked and abs(a) + abs(b - a) + abs(delta - b) <= EDITS) or (not asked and a == b == 0):
-                            keys.append(F.when((start(i) + a >= 0) & (start(j) + b >= 0), F.xxhash64(size, F.lit(i), F.lit(j), piece(i, a), piece(j, b))))
-    return F.array_distinct(F.filter(F.array(*keys), lambda k: k.isNotNull()))
+    ways = [
+        (delta, i, j, a, b)
+        for delta in (range(-EDITS, EDITS + 1) if asked else (0,))
+        for i in range(PIECES) for j in range(i + 1, PIECES)
+        for a in range(-EDITS, EDITS + 1) for b in range(-EDITS, EDITS + 1)
+        if (abs(a) + abs(b - a) + abs(delta - b) <= EDITS if asked else a == b == 0)
+    ]
+    table = F.expr("array(" + ", ".join("named_struct('d', {}, 'i', {}, 'j', {}, 'a', {}, 'b', {})".format(*w) for w in ways) + ")")
+
+    def way(w: Column) -> Column:
+        size = F.length(key) - w["d"]  # of the known name
+        start = lambda k: F.floor(size * k / PIECES).cast("int")
+        piece = lambda k, shift: F.substring(key, start(k) + shift + 1, start(k + 1) - start(k))
+        inside = (start(w["i"]) + w["a"] >= 0) & (start(w["j"]) + w["b"] >= 0)
+        return F.when(inside, F.xxhash64(size, w["i"], w["j"], piece(w["i"], w["a"]), piece(w["j"], w["b"])))
+
+    return F.array_distinct(F.filter(F.transform(table, way), lambda k: k.isNotNull()))
 
 
 def _meeting(key: Column, asked: bool) -> Column:
@@ -68,16 +72,17 @@ def match_names(queries: DataFrame, known: DataFrame) -> DataFrame:
     name within two edits among those with equal digits and sides. Ambiguity is no match. Names that the first two stages left
     meet their candidates by `near_names`.
     """
-    q = queries.select("name").where("name IS NOT NULL").distinct()
-    q = q.withColumns({"low": T.casefold(F.col("name")), "key": T.norm_door(F.col("name"))})
-    k = known.select("serial", "door_name").withColumns({"low": T.casefold(F.col("door_name")), "key": T.norm_door(F.col("door_name"))})
+    keys = lambda c: {"low": T.casefold(F.col(c)), "key": T.norm_door(F.col(c)), "digits": T.door_digits(F.col(c)), "sides": T.door_sides(F.col(c))}
+    # Keys are computed once: they carry Unicode's tables, and every stage reads them.
+    q = settled(queries.select("name").where("name IS NOT NULL").distinct().withColumns(keys("name")))
+    k = settled(known.select("serial", "door_name").withColumns(keys("door_name")))
     named = k.where("door_name <> ''")
     exact = k.groupBy("low").agg(F.min("serial").alias("exact"))
     same = named.groupBy("key").agg(F.min("serial").alias("same"), F.count("*").alias("same_n"))
-    staged = q.join(exact, "low", "left").join(same, "key", "left")
-    open_ = staged.where("exact IS NULL AND same_n IS NULL AND key <> ''").select("name", "key", T.door_digits(F.col("name")).alias("digits"), T.door_sides(F.col("name")).alias("sides"))
+    staged = settled(q.join(exact, "low", "left").join(same, "key", "left"))
+    open_ = staged.where("exact IS NULL AND same_n IS NULL AND key <> ''").select("name", "key", "digits", "sides")
     # Equal normalised names stand for one candidate that is ambiguous when there are several of them.
-    blocks = named.groupBy("key", T.door_digits(F.col("door_name")).alias("digits"), T.door_sides(F.col("door_name")).alias("sides")).agg(F.min("serial").alias("serial"), F.count("*").alias("n"))
+    blocks = named.groupBy("key", "digits", "sides").agg(F.min("serial").alias("serial"), F.count("*").alias("n"))
     close = near_names(open_, blocks.withColumnRenamed("key", "other"), "digits", "sides")
     near = open_.join(close, ["key", "digits", "sides"]).join(blocks.withColumnRenamed("key", "other"), ["other", "digits", "sides"])
     best = near.groupBy("name", "d").agg(F.sum("n").alias("n"), F.min("serial").alias("serial"))
