@@ -30,14 +30,6 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def trim() -> None:
-    """Give freed memory back to the system: a reused worker would keep the most it ever held."""
-    pa.default_memory_pool().release_unused()
-    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
-    if give_back:
-        give_back(0)
-
-
 def pieces(batch: pa.RecordBatch, column: str, size: int = PIECE) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Runs of whole rows with about `size` bytes of text each: (rows, bytes, offsets)."""
     data, offsets = raw(batch.column(column))
@@ -90,6 +82,15 @@ def powers(n: int, base: int) -> np.ndarray:
     return out
 
 
+def trim() -> None:
+    """Give freed memory back to the system: a reused worker would keep the most it ever held, and tables of powers too."""
+    powers.cache_clear()
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if give_back:
+        give_back(0)
+
+
 class Hashes:
     """64-bit hashes of any spans of a buffer from one prefix sum (a polynomial with an odd base, mod 2 ** 64)."""
 
