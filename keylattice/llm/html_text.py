@@ -19,8 +19,9 @@ MAX_PAGES, MAX_CHARS = 400, 60_000
 #: Costs of labelling neighbours differently: next in page order, and next with the same DOM parent.
 NEXT, SIBLING = 0.4, 0.4
 
-# Elements whose content is never text of the page; fixed values.
-HIDDEN = "script|style|template|title|textarea|select|button|svg|iframe"
+# Elements whose content is never text of the page; fixed values. Those of RAW run to their end tag or the page's end; of the
+# others one that isn't closed within its section runs to the next block.
+RAW, HIDDEN = "script|style|template|title|textarea", "select|button|svg|iframe"
 # Elements that end a block; fixed values.
 BLOCK = set(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header "
@@ -40,12 +41,19 @@ BAD_WORDS = set(
 PARTS = set("area bar block body box button buttons container content form group inner item items label left link links list outer panel right row section slot thread top unit wrap wrapper".split())
 # First words that stand for boilerplate only before such a word or in a role; fixed values.
 WEAK_WORDS = set("search tags tag legal more header side rail overlay paging form respond".split())
+# First words that stand for boilerplate if the last one names a container, whatever is between: `cookie-law-info-bar`; fixed values.
+STRONG_WORDS = set("cookie cookies gdpr consent newsletter advert advertisement adsense".split())
 GOOD_WORDS = set("article main content body post entry story text".split())
 
 # A self-closed svg has no content; a slash that ends an unquoted value doesn't close it.
 _EMPTY = r"<svg(?:\s+[^\s=>\"'/]++(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"']++))?)*+\s*/>"
+_OPEN = r"(?=[\s>/])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>"
+_SECTION = r"/(?:article|main|section|body|html)\b"
+_BLOCKS = "|".join(sorted(BLOCK, key=len, reverse=True))
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|{_EMPTY}|<(?P<hidden>{HIDDEN})(?=[\s>/])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=hidden)\s*>|\Z)|"
+    rf"<!--.*?(?:-->|\Z)|{_EMPTY}|<(?P<raw>{RAW}){_OPEN}.*?(?:</(?P=raw)\s*>|\Z)|"
+    rf"<(?P<hidden>{HIDDEN}){_OPEN}[^<]*+(?:<(?!{_SECTION}|(?P=hidden)[\s>/]|/(?P=hidden)\s*>)[^<]*+)*+</(?P=hidden)\s*>|"
+    rf"<(?:{HIDDEN}){_OPEN}[^<]*+(?:<(?!/?(?:{_BLOCKS})[\s>/])[^<]*+)*+|"
     r"<(?P<close>/?)(?P<tag>[a-zA-Z][^\s>/]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
     re.S | re.I,
 )
@@ -54,6 +62,8 @@ WORDS = re.compile(r"[a-z]+")
 
 
 def _names_boilerplate(words: list[str], role: bool) -> bool:
+    if words[0] in STRONG_WORDS and (words[-1] in PARTS or words[-1] in BAD_WORDS):
+        return True
     last = len(words)
     while last > 1 and words[last - 1] in PARTS:
         last -= 1
@@ -165,7 +175,8 @@ def features(blocks: list[Block], hints: bool = True) -> np.ndarray:
             1,
             b.hint > 0 if hints else 0,
             b.hint < 0 if hints else 0,
-            b.linked / n,
+            # Inside what is marked as content a link is part of it.
+            0 if hints and b.hint > 0 else b.linked / n,
             min(math.log1p(words), 6) / 3,
             min(math.log1p(n), 8) / 4,
             b.tag == "p",

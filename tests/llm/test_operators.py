@@ -721,6 +721,23 @@ def test_odd_tables(spark):
         assert none.collect() == []
 
 
+def test_html_keeps_linked_items_and_text_behind_unclosed_elements():
+    weights = html_text.train([])
+    body = "<p>A first paragraph of the article, with enough words to be one.</p>"
+    page = f"<html><body><article>{body}<ul><li>one item of text</li><li><a href='x'>three</a></li><li>another item of text</li></ul>{body}</article></body></html>"
+    assert "three" in html_text.main_text(page, weights).split("\n")
+    for tag in ("button", "select", "svg", "iframe"):
+        page = f"<html><body><article>{body}<div><{tag} class='x'>never this</div><p>But this paragraph stays, as it is part of it.</p></article><p>And this one.</p></body></html>"
+        got = html_text.main_text(page, weights)
+        assert "But this paragraph stays, as it is part of it." in got and "never this" not in got, tag
+        closed = f"<article>{body}<{tag}>not <div>that</div></{tag}><p>But this paragraph stays, as it is part of it.</p></article>"
+        got = html_text.main_text(closed, weights)
+        assert "that" not in got and "But this paragraph stays" in got, tag
+    page = f"<body><article>{body}</article><div id='cookie-law-info-bar'><p>We use small files, and you may agree to them here, or not at all.</p></div></body>"
+    assert "agree" not in html_text.main_text(page, weights)
+    assert html_text.main_text("<article><p>" + "<button>" * 20_000 + "</p><p>The end of a page that is hard to read.</p></article>", weights)
+
+
 def test_pipeline_mix_keeps_columns_of_any_name(spark):
     import corpus_pipeline as cp
 
