@@ -18,7 +18,8 @@ from keylattice.plans import parsing as X
 from keylattice.plans import pixels as P
 from keylattice.plans import printouts as O
 from keylattice.plans import raster as RA
-from keylattice.registry import ORACLE_SQL, query, simple
+from keylattice.plans import tiles as TI
+from keylattice.registry import _INDEX, ORACLE_SQL, query, simple
 from keylattice.sources import backup as B
 from keylattice.sources import files as S
 from keylattice.sources import versions as V
@@ -563,3 +564,30 @@ def m_import_csv(spark, sf_dir):
     number = F.concat(F.substring("serial", 4, 4), F.substring("serial", 1, 2))
     persons = columns.select("doc", "ci", "serial", (F.regexp_replace(number, "A", "").cast("int") % 1000).alias("number"), F.lit("Name").alias("person_name"))
     return _domain_rows(S.rebuilt(AdapterDomain(spark, sf_dir), columns, doors, marks, persons, doors, states)[0])
+
+
+# -- folders of files, pages of a matrix ----------------------------------------------------------------------------
+@query(_MATRIX + """, n AS (SELECT doc, CAST(doc AS INTEGER) % 5 AS k, (SELECT count(*) FROM col WHERE col.doc = door.doc) AS cols, count(*) AS doors, (SELECT count(*) FROM sold WHERE sold.doc = door.doc) AS marks FROM door GROUP BY doc)
+SELECT 'nation-' || doc || '.csv' AS path, CASE k WHEN 3 THEN 'faulty' WHEN 4 THEN 'empty' ELSE 'read' END AS outcome, CASE WHEN k < 3 THEN 5 + cols + 6 * doors + marks ELSE 0 END AS cells,
+CASE WHEN k < 3 THEN cols ELSE 0 END AS columns, CASE WHEN k < 3 THEN doors ELSE 0 END AS doors, CASE WHEN k < 3 THEN marks ELSE 0 END AS marks FROM n""", prelude=False)
+def src_bulk_dir(spark, sf_dir):
+    """What became of every file of a folder: of each five exports one is cut off inside a letter, and one is empty."""
+    files = O.export_files(spark, sf_dir)
+    k = F.regexp_extract("path", r"(\d+)", 1).cast("int") % 5
+    content = F.when(k == 3, F.expr("substring(content, 1, length(content) - 1)")).when(k == 4, F.lit(b"")).otherwise(F.col("content"))
+    return S.outcomes(files.select("path", F.length(content).cast("long").alias("length"), content.alias("content"))).drop("error")
+
+
+@query(_INDEX.format(used="") + """, tile AS (SELECT ci // 36 AS tc, ri // 48 AS tr, count(*) AS n, string_agg(ci || '-' || ri || ':' || weight, ' ' ORDER BY ci, ri) AS cells FROM w JOIN ci USING (principal) JOIN ri USING (resource) WHERE weight > 0 GROUP BY 1, 2),
+pc AS (SELECT ci // 36 AS tc, string_agg(label, '|' ORDER BY ci) AS heads FROM ci JOIN plabel ON serial = principal GROUP BY 1), pr AS (SELECT ri // 48 AS tr, string_agg(label, '|' ORDER BY ri) AS labels FROM ri JOIN rlabel ON serial = resource GROUP BY 1)
+SELECT CAST(tc AS INTEGER) AS tc, CAST(tr AS INTEGER) AS tr, heads, labels, CAST(coalesce(n, 0) AS INTEGER) AS n, coalesce(cells, '') AS cells FROM pc CROSS JOIN pr LEFT JOIN tile USING (tc, tr)""")
+def snk_tiles(spark, sf_dir):
+    """The matrix as pages of A4, written as JSON by tile and read back."""
+    d = AdapterDomain(spark, sf_dir)
+    pages = TI.tiles(d, A.matrix(d), "a4")
+    settled(spark.range(1))  # a session without a folder gets one
+    path = f"{spark.sparkContext.getCheckpointDir()}/tiles-{uuid.uuid4().hex}"
+    TI.write_tiles(pages, path)
+    labels = lambda c: F.array_join(F.transform(c, lambda x: x["label"]), "|")
+    marks = F.array_join(F.transform("cells", lambda x: F.concat(x["ci"], F.lit("-"), x["ri"], F.lit(":"), x["weight"])), " ")
+    return TI.read_tiles(spark, path, pages.schema).select("tc", "tr", labels("columns").alias("heads"), labels("rows").alias("labels"), F.size("cells").alias("n"), marks.alias("cells"))
