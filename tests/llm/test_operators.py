@@ -752,12 +752,68 @@ def test_pipeline_mix_keeps_columns_of_any_name(spark):
     assert got == {i: c for i, c in taken.items() if c}
 
 
-def test_pipeline(spark):
+def _one_pass(texts):
+    data = [(t or "").encode() for t in texts]
+    return np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(d) for d in data])]).astype(np.int64)
+
+
+def test_pipeline_equals_brute_force(spark):
+    """Every stage on its own input, against plain loops on one machine."""
     import corpus_pipeline as cp
 
-    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    docs, labels = spark.read.parquet(f"{DIR}/documents.parquet"), spark.read.parquet(f"{DIR}/labels.parquet")
+    kept = {}
     for name, stage in cp.STAGES[:-1]:
         out = stage(spark, docs, DIR)
         assert out.columns == docs.columns, name
-        docs = spark.createDataFrame(out.collect(), out.schema)
-    assert cp.STAGES[-1][1](spark, docs, DIR).count() == docs.count()
+        before, rows = docs.collect(), out.collect()
+        kept[name] = sorted(r.doc_id for r in rows)
+        docs, known = spark.createDataFrame(rows, out.schema), {r.doc_id: r for r in before}
+        assert {r.doc_id: r for r in rows}.items() <= known.items()  # documents stay as they are
+        texts = [r.text for r in before]
+        source = spark.createDataFrame(before, out.schema)
+        if name == "quality":
+            model = quality.train(common.labelled_sample(source, labels, "quality", common.id_bucket("doc_id", 5) != 0, quality.MAX_DOCS, quality.MAX_CHARS, positive=0)[0])
+            want = [r.doc_id for r, score in zip(before, model.documents(*_one_pass(texts)), strict=True) if score >= 0.3]
+        elif name == "toxicity":
+            sample, prior = common.labelled_sample(source, labels, "toxic", common.id_bucket("doc_id", 4) != 2, toxicity.MAX_EXAMPLES, toxicity.MAX_CHARS, share=1 / 3)
+            index = toxicity.BlockMaxIndex(sample, prior=prior)
+            index.calibrate()
+            want = [r.doc_id for r, score in zip(before, index.documents(*_one_pass(texts))[0], strict=True) if score < 0.3]
+        elif name == "near_duplicates":
+            sets = {}
+            for r in before:
+                words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), r.text or ""))
+                sets[r.doc_id] = {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+            leader = {i: i for i in sets}
+
+            def find(i):
+                while leader[i] != i:  # noqa: B023
+                    i = leader[i]  # noqa: B023
+                return i
+
+            ids = sorted(sets)
+            for k, i in enumerate(ids):
+                for j in ids[:k]:
+                    both = len(sets[i] & sets[j])
+                    if both and 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                        a, b = sorted((find(i), find(j)))
+                        leader[b] = a
+            want = [i for i in ids if find(i) == i]
+        else:  # the mix: as often as it says, near to each source's target
+            size, taken = {}, {}
+            count = lambda r: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
+            for r in before:
+                size[r.source] = size.get(r.source, 0) + count(r)
+            for r in rows:
+                taken[r.source] = taken.get(r.source, 0) + count(r)
+            most = {s: max(count(r) for r in before if r.source == s) for s in size}
+            target = _targets(size, (5, 2, 1), 1.5, 2)
+            assert all(abs(taken.get(s, 0) - target[s]) <= most[s] for s in size) and all(kept[name].count(i) <= 2 for i in set(kept[name]))
+            continue
+        assert kept[name] == sorted(want), name
+    assert 0 < len(kept["near_duplicates"]) < len(kept["toxicity"]) < len(kept["quality"])
+    coding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(spark, public_tokenizers.path(bpe.RANKS)), special_tokens={})
+    got = cp.STAGES[-1][1](spark, docs, DIR).collect()
+    want = sorted((r.doc_id, coding.encode_ordinary(r.text or "")) for r in docs.collect())
+    assert sorted((r.doc_id, list(r.tokens)) for r in got) == want
