@@ -159,3 +159,22 @@ def test_runs_and_ink_in_windows(spark, monkeypatch):
     got = {r.column: (r.ink, r.centre) for r in RA.ink_in(RA.runs_of(pages), frame).collect()}
     count = lambda x, y, n: int((img[y - n : y + n, x - n : x + n] < 100).sum())
     assert got == {i: (count(x, y, 9), count(x, y, 3)) for i, (x, y) in enumerate(windows) if count(x, y, 9)}
+
+
+def test_tiles_keep_empty_pages(spark):
+    from keylattice.plans import tiles as TI
+    from keylattice.sources.domain import Domain
+
+    assert [TI.page_cells(s, d) for s in ("a4", "a3", "odd") for d in (False, True)] == [(36, 48), (36, 46), (60, 79), (60, 78), (60, 79), (60, 78)]
+    frame = spark.createDataFrame
+    p = frame([(f"{i:03d}", i, f"N{i}") for i in range(40)], "serial string, number int, person_name string")
+    r = frame([(f"L{i:03d}", "", "", "", "") for i in range(50)], "serial string, door_name string, room_number string, location string, area string")
+    none = [frame([], x) for x in ("id long, name string, export_code string, is_implicit boolean", "principal string, resource string, state string", "principal string, grp long", "grp long, resource string")]
+    cells = frame([(0, 0, 2), (35, 47, 1), (36, 48, 2)], "ci long, ri long, weight int")
+    got = {(t.tc, t.tr): t for t in TI.tiles(Domain(p, r, *none), cells, "a4").collect()}
+    assert got.keys() == {(a, b) for a in (0, 1) for b in (0, 1)}
+    assert [len(got[k].columns) for k in sorted(got)] == [36, 36, 4, 4] and [len(got[k].rows) for k in sorted(got)] == [48, 2, 48, 2]
+    assert [[tuple(c) for c in got[k].cells] for k in sorted(got)] == [[(0, 0, 2), (35, 47, 1)], [], [], [(36, 48, 2)]]
+    assert got[1, 1].columns[0].label == "N36" and got[1, 1].rows[1].serial == "L049"
+    (one,) = TI.tiles(Domain(p.limit(0), r.limit(0), *none), cells.limit(0)).collect()
+    assert (one.tc, one.tr, one.columns, one.rows, one.cells) == (0, 0, [], [], [])
