@@ -299,7 +299,20 @@ def j_serial_match(spark, sf_dir):
     return E.match_serials(k.select(F.col("serial").alias("raw")), k)
 
 
-@query()
+_PAIRS = ", ".join(f"'{a}'" for x in T.LOOKALIKES for a in (x, x[::-1]))
+_CLASSES = "translate(upper({}), 'OQDS958BG6LI7TZA', '0000000000111124')"
+#: A walk over the columns of each printout, with what is claimed so far.
+_GREEDY = _SERIALS.replace("WITH ", "WITH RECURSIVE ", 1) + f""", raw AS (SELECT substr(s, 1, 2) AS doc, substr(s, 4, 4) AS c, translate(s, '0', 'O') AS raw FROM k),
+reads AS (SELECT doc || '-' || n // 50 AS doc, n % 50 + 1 AS col, raw FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY c) - 1 AS n FROM raw)),
+near AS (SELECT doc, col, raw, list(DISTINCT s ORDER BY s) FILTER (length(s) = length(raw) AND NOT list_contains(list_transform(range(1, length(s) + 1),
+    lambda i: upper(raw)[i] = upper(s)[i] OR list_contains([{_PAIRS}], upper(raw)[i] || upper(s)[i])), false)) AS near FROM reads LEFT JOIN k ON {_CLASSES.format("raw")} = {_CLASSES.format("s")} GROUP BY 1, 2, 3),
+walk AS (SELECT doc, CAST(0 AS BIGINT) AS col, coalesce(list(raw) FILTER (list_contains(near, raw)), []) AS taken, CAST(NULL AS VARCHAR) AS serial FROM near GROUP BY doc
+    UNION ALL SELECT doc, col, CASE WHEN pick IS NULL THEN taken ELSE list_append(taken, pick) END, pick FROM (SELECT n.doc, n.col, taken, CASE WHEN list_contains(near, raw) THEN raw
+        WHEN len(list_filter(near, lambda x: NOT list_contains(taken, x))) = 1 THEN list_filter(near, lambda x: NOT list_contains(taken, x))[1] END AS pick FROM walk JOIN near n ON n.doc = walk.doc AND n.col = walk.col + 1))
+SELECT doc, CAST(col AS INTEGER) AS "column", serial FROM walk WHERE col > 0"""
+
+
+@query(_GREEDY, prelude=False)
 def j_serial_greedy(spark, sf_dir):
     k = _known_serials(spark, sf_dir)
     reads = k.select(F.substring("serial", 1, 2).alias("doc"), F.substring("serial", 4, 4).alias("c"), F.translate("serial", "0", "O").alias("raw"))

@@ -558,7 +558,11 @@ UNION ALL SELECT 'group', export_code, name, CAST(is_implicit AS VARCHAR) FROM g
 def m_import_csv(spark, sf_dir):
     """The adapter's domain rebuilt from the first nation's export."""
     files = O.export_files(spark, sf_dir)
-    cells = settled(S.csv_cells(files.join(files.agg(F.min("path").alias("path")), "path")))
+    return _rebuilt(spark, sf_dir, files.join(files.agg(F.min("path").alias("path")), "path"))
+
+
+def _rebuilt(spark: SparkSession, sf_dir: str, files: DataFrame) -> DataFrame:
+    cells = settled(S.csv_cells(files))
     columns, doors, marks = S.csv_matrix(cells)
     states = marks.where("ri % 4 = 0").select("doc", "ci", "ri", F.lit("planned").alias("state"))
     number = F.concat(F.substring("serial", 4, 4), F.substring("serial", 1, 2))
@@ -566,6 +570,13 @@ def m_import_csv(spark, sf_dir):
     return _domain_rows(S.rebuilt(AdapterDomain(spark, sf_dir), columns, doors, marks, persons, doors, states)[0])
 
 
+@query(_MATRIX.replace("WITH ", ", ", 1) + f""" SELECT 'principal' AS what, {_SERIAL} AS a, CAST(s % 1000 AS VARCHAR) AS b, 'Name' AS c FROM col WHERE doc IN (SELECT doc FROM sold) UNION ALL SELECT DISTINCT 'resource', 'L' || p, p_name || ' ' || p, p_type || '.2' FROM sold JOIN part ON p = p_partkey
+UNION ALL SELECT 'group', export_code, name, CAST(is_implicit AS VARCHAR) FROM grps UNION ALL SELECT 'grant', {_SERIAL}, 'L' || p, CASE WHEN (r - 1) % 4 = 0 THEN 'planned' ELSE 'active' END FROM sold JOIN door USING (doc, p)""")
+def m_import_exports(spark, sf_dir):
+    """The adapter's domain rebuilt from all exports of a folder."""
+    return _rebuilt(spark, sf_dir, O.export_files(spark, sf_dir))
+
+
 # -- folders of files, pages of a matrix ----------------------------------------------------------------------------
 @query(_MATRIX + """, n AS (SELECT doc, CAST(doc AS INTEGER) % 5 AS k, (SELECT count(*) FROM col WHERE col.doc = door.doc) AS cols, count(*) AS doors, (SELECT count(*) FROM sold WHERE sold.doc = door.doc) AS marks FROM door GROUP BY doc)
 SELECT 'nation-' || doc || '.csv' AS path, CASE k WHEN 3 THEN 'faulty' WHEN 4 THEN 'empty' ELSE 'read' END AS outcome, CASE WHEN k < 3 THEN 5 + cols + 6 * doors + marks ELSE 0 END AS cells,

@@ -132,8 +132,9 @@ def rebuilt(domain: Domain, columns: DataFrame, doors: DataFrame, marks: DataFra
 
     blank = lambda c: F.coalesce(c, F.lit("")).alias(c)
     principal = columns.select("doc", "ci", "serial").join(persons.select("doc", "ci", "number", "person_name"), ["doc", "ci"], "left").select("serial", "number", blank("person_name"))
-    resource = doors.select("serial", "door_name", "room_number", "location", "area")
-    grants = positional_grants(columns, doors, marks, states, errors).select("principal", "resource", "state")
+    # A resource that several exports have is as the first one has it.
+    resource = doors.groupBy("serial").agg(F.min_by(F.struct("door_name", "room_number", "location", "area"), F.struct("doc", "ri")).alias("r")).select("serial", "r.*")
+    grants = positional_grants(columns, doors, marks, states, errors).select("principal", "resource", "state").distinct()
     none = lambda df: df.where(F.lit(False))
     made = Domain(chosen(domain.principal, principal), chosen(domain.resource, resource), domain.grp, chosen(domain.grants, grants), chosen(domain.membership, none(domain.membership)), chosen(domain.group_resource, none(domain.group_resource)))
     return made, errors
