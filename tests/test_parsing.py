@@ -275,7 +275,7 @@ def test_metrics_of_a_matrix(spark):
 def test_places_sets_and_texts(spark):
     rows = [(None, "b", "1"), (None, "a", "2"), (3, "", "0"), (3, "ab", "9"), (1, "x", "5")]
     df = spark.createDataFrame(rows, "n int, name string, serial string").repartition(3)
-    got = {r.serial: r.place for r in rank_rows(df, F.asc_nulls_first("n"), "name", "serial", runs=(F.col("n"), F.left("name", F.lit(1))), name="place").collect()}
+    got = {r.serial: r.place for r in rank_rows(df, F.asc_nulls_first("n"), "name", "serial", name="place").collect()}
     assert got == {"2": 0, "1": 1, "5": 2, "0": 3, "9": 4}
     pairs = spark.createDataFrame([("p", "a,b"), ("p", "c"), ("q", "a"), ("q", "b,c"), ("r", "c"), ("r", "a,b")], "principal string, resource string")
     assert [(r.principals, r.n_principals, r.n_items) for r in A.clones(pairs).collect()] == [("p,r", 2, 2)]
