@@ -1,12 +1,86 @@
 """What must not grow faster than the tables, or end up in one task."""
 
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from keylattice import registry
+from keylattice.operators import reconcile as R
+from keylattice.plans import analysis as A
+from keylattice.plans import layout as L
 from keylattice.plans import printouts as O
+from keylattice.plans import tiles as TI
+from keylattice.sources.domain import AdapterDomain, reached
 from keylattice.sources.shared import tasks
 
 DIR = "/root/testdata/sf0.001"
 
 
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_pages_of_few_suppliers_are_dealt_to_many_tasks(spark):
     pages = O.scanned_pages(spark, DIR)
     assert pages.rdd.getNumPartitions() >= tasks(spark)
     assert pages.selectExpr("max(size(px))", "min(size(px))", "max(y)").first() == (293, 293, 416)
+
+
+def test_pairs_of_members_and_resources_are_distinct_without_a_shuffle(spark):
+    members = spark.createDataFrame([("a", 1), ("a", 2), ("a", 2), ("b", 2), ("c", 3)], "principal string, grp long")
+    held = spark.createDataFrame([(1, "x"), (2, "x"), (2, "y"), (2, "y"), (4, "z")], "grp long, resource string")
+    pairs = reached(members, held)
+    assert sorted(map(tuple, pairs.collect())) == [("a", "x"), ("a", "y"), ("b", "x"), ("b", "y")]
+    for df in (pairs, AdapterDomain(spark, DIR).inherited(), A.access_report(AdapterDomain(spark, DIR))):
+        plan = _plan(df)
+        assert plan.index("Join") < plan.index("Aggregate")
+
+
+def test_what_groups_hold_is_not_written_out_for_members(spark):
+    d = AdapterDomain(spark, DIR)
+    some = d.resource.where("room_number < '3'").select(F.col("serial").alias("resource"))
+    for included in (True, False):
+        plan = _plan(R.set_group_resources(d, 3, some, included)[1])
+        assert "Join Inner\n" not in plan and "Join Cross" not in plan
+        assert "Join Inner, (grp" not in plan
+    plan = _plan(R.assign_group(d, d.principal.select(F.col("serial").alias("principal"), F.lit(2).cast("long").alias("grp")))[1])
+    assert "Join Inner, (grp" not in plan
+
+
+@pytest.mark.parametrize("name", ["m_crud_delete", "set_difference", "set_union", "q_import_changes"])
+def test_flags_are_not_dealt_to_states_and_back(spark, name):
+    assert "Generate" not in _plan(registry.QUERIES[name](spark, DIR))
+
+
+def test_a_block_of_principals_is_sent_a_row_each(spark):
+    assert "collect_set(at" in _plan(A.overlap(AdapterDomain(spark, DIR), "planned"))
+
+
+def test_tiles_are_few_files(spark, tmp_path):
+    pages = spark.range(500).select((F.col("id") % 25).cast("int").alias("tc"), F.floor(F.col("id") / 25).cast("int").alias("tr"))
+    TI.write_tiles(pages, f"{tmp_path}/tiles")
+    assert len([f for f in os.listdir(f"{tmp_path}/tiles") if f.startswith("part")]) <= tasks(spark)
+    assert sorted(map(tuple, TI.read_tiles(spark, f"{tmp_path}/tiles", pages.schema).collect())) == sorted(map(tuple, pages.collect()))
+
+
+def test_pages_without_marks_are_not_printed(spark):
+    col = O._columns(spark, DIR)
+    marks, door, pages = O._marked(spark, DIR, col, 3)
+    shown = {(r.doc, r.page) for r in pages.collect()}
+    marked = {(r.doc, r.page) for r in marks.collect()}
+    assert marked <= shown and shown - marked <= {(r.doc, r.page) for r in pages.where("band = 0").collect()}
+    assert door.agg(F.max("r")).first()[0] <= 3
+
+
+def test_lines_of_a_page_are_folded_between_gaps(spark):
+    tops = [10.0, 12.5, 13.0, 15.9, 16.2, 30.0, 33.0, 33.1, 36.1, 60.0, 60.0]
+    words = spark.createDataFrame([("d", 1, str(i), float(i), i + 1.0, t) for i, t in enumerate(tops)], "doc string, page int, text string, x0 double, x1 double, top double")
+    want, anchor = [], None
+    for i, t in enumerate(tops):
+        if anchor is None or abs(t - anchor) > L.LINE_GAP:
+            anchor, _ = t, want.append([])
+        want[-1].append(str(i))
+    got = L.line_words(words)
+    assert "_run" in _plan(got)
+    assert [(r.line, [w.text for w in r.ws]) for r in got.orderBy("line").collect()] == list(enumerate(want))
