@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keylattice.sources.domain import Domain
+from keylattice.sources.shared import settled
 
 FORMAT, VERSION, MAX_BYTES = "keylattice-backup", 1, 10 * 1024 * 1024
 LISTS = ("active", "planned", "removed", "desired")
@@ -119,6 +120,10 @@ def backup_errors(records: DataFrame, known: Domain | None = None) -> DataFrame:
 
     `known` are entities outside the document that it may refer to (merge); without it, only its own count (replace).
     """
+    return _errors(settled(records), known)  # files are read once
+
+
+def _errors(records: DataFrame, known: Domain | None) -> DataFrame:
     shape = records.where("error IS NOT NULL").select("doc", "error")
     ids = records.where("error IS NULL")
     twice = ids.groupBy("doc", "kind", "id").agg(F.count("*").alias("n")).where("n > 1").select("doc", F.concat(F.lit("twice: "), "kind", F.lit(" "), "id").alias("error"))
@@ -142,7 +147,7 @@ def backup_errors(records: DataFrame, known: Domain | None = None) -> DataFrame:
 
 def restore_replace(records: DataFrame, doc: str) -> Domain:
     """The domain that one valid document describes, exactly. Ids of groups are their places."""
-    own = records.where((F.col("doc") == doc) & F.col("error").isNull())
+    own = settled(records.where((F.col("doc") == doc) & F.col("error").isNull()))  # files are read once
     of = lambda kind, schema: own.where(F.col("kind") == kind).select("place", F.from_json("body", schema).alias("b"))
     principal = of("principals", "serial string, number int, person_name string").select("b.*")
     resource = of("resources", "serial string, door_name string, room_number string, location string, area string").select("b.*")
@@ -160,10 +165,11 @@ def restore_replace(records: DataFrame, doc: str) -> Domain:
 def merge_errors(records: DataFrame, known: Domain) -> DataFrame:
     """doc, error of every fault that keeps a document from being merged into a domain: those of the document with what is known,
     and group names that belong to another code."""
+    records = settled(records)
     groups = records.where("error IS NULL AND kind = 'groups'").select("doc", F.col("id").alias("code"), F.get_json_object("body", "$.name").alias("name"))
     here = known.grp.select(F.lower("name").alias("low"), F.col("export_code").alias("other"))
     taken = groups.join(here, F.lower("name") == F.col("low")).where(F.upper("other") != F.col("code"))
-    return backup_errors(records, known).union(taken.select("doc", F.concat(F.lit("group name of another code: "), "name").alias("error")))
+    return _errors(records, known).union(taken.select("doc", F.concat(F.lit("group name of another code: "), "name").alias("error")))
 
 
 def restore_merge(records: DataFrame, doc: str, domain: Domain) -> Domain:

@@ -84,3 +84,8 @@ def test_lines_of_a_page_are_folded_between_gaps(spark):
     got = L.line_words(words)
     assert "_run" in _plan(got)
     assert [(r.line, [w.text for w in r.ws]) for r in got.orderBy("line").collect()] == list(enumerate(want))
+
+
+@pytest.mark.parametrize("name", ["m_validate_backup", "m_merge_errors", "m_restore_replace", "m_restore_merged"])
+def test_backups_are_read_once(spark, name):
+    assert "MapInPandas" not in _plan(registry.QUERIES[name](spark, DIR))
