@@ -12,7 +12,7 @@ from keylattice.plans import layout as L
 from keylattice.plans import printouts as O
 from keylattice.plans import tiles as TI
 from keylattice.sources.domain import AdapterDomain, reached
-from keylattice.sources.shared import tasks
+from keylattice.sources.shared import places, tasks
 
 DIR = "/root/testdata/sf0.001"
 
@@ -89,3 +89,21 @@ def test_lines_of_a_page_are_folded_between_gaps(spark):
 @pytest.mark.parametrize("name", ["m_validate_backup", "m_merge_errors", "m_restore_replace", "m_restore_merged"])
 def test_backups_are_read_once(spark, name):
     assert "MapInPandas" not in _plan(registry.QUERIES[name](spark, DIR))
+
+
+def test_exports_come_in_pieces_that_grow_with_the_marks(spark):
+    """A piece has a few columns and no blank line, so that an export is no single value and no dense grid."""
+    files = O.export_files(spark, DIR)
+    most = files.selectExpr("max(size(rows))", "count(distinct first_column)").first()
+    assert most[0] <= O.EXPORT_ROWS and most[1] > 1
+    marks = files.where("first_column > 0")
+    blank = F.filter(F.split(F.decode("content", "UTF-16"), "\n"), lambda v: F.trim(F.translate(v, ";", "")) == "")
+    assert marks.where(F.size(blank) > 0).count() == 0
+    one = O.export_files(spark, DIR, O.first_export(spark, DIR)).select("path").distinct().collect()
+    assert [r.path for r in one] == [files.agg(F.min("path")).first()[0]]
+
+
+def test_places_are_numbered_in_runs(spark):
+    rows = spark.createDataFrame([(g, k * step) for g, step in (("a", 1), ("b", 9000), ("c", 40000)) for k in range(12)], "g string, k long")
+    got = sorted(map(tuple, places(rows, "g", "k", "at").collect()))
+    assert [at for _, _, at in got] == [*range(12)] * 3
