@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from keylattice import registry
 from keylattice.operators import reconcile as R
+from keylattice.operators import resolve as E
 from keylattice.plans import analysis as A
 from keylattice.plans import layout as L
 from keylattice.plans import printouts as O
@@ -107,3 +108,12 @@ def test_places_are_numbered_in_runs(spark):
     rows = spark.createDataFrame([(g, k * step) for g, step in (("a", 1), ("b", 9000), ("c", 40000)) for k in range(12)], "g string, k long")
     got = sorted(map(tuple, places(rows, "g", "k", "at").collect()))
     assert [at for _, _, at in got] == [*range(12)] * 3
+
+
+def test_names_of_small_blocks_have_no_keys_and_no_side_is_broadcast(spark):
+    asked = spark.createDataFrame([("raum1x", "1"), ("saal22", "22")], "key string, digits string")
+    known = spark.createDataFrame([("raum1", "1"), ("raum12", "1"), ("saal2", "22"), ("halle", "1")], "other string, digits string")
+    pairs = E.near_names(asked, known, "digits")
+    assert sorted((r.key, r.other, r.d) for r in pairs.collect()) == [("raum1x", "raum1", 1), ("raum1x", "raum12", 1), ("saal22", "saal2", 1)]
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
