@@ -1,5 +1,7 @@
 """Fixtures of the authorization algebra with values that follow from its rules."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,6 +153,40 @@ def test_greedy_serials_claim_in_order(spark):
     assert {r.column: r.serial for r in E.greedy_serials(cols, known).collect()} == {1: "08", 2: "05", 3: None}
 
 
+def test_lookalikes_meet_by_spelling_and_not_by_class(spark):
+    rng = random.Random(3)
+    letters = "".join(sorted({c for x in T.LOOKALIKES for c in x})) + "x3"
+    known = sorted({"".join(rng.choices(letters, k=n)) for n, some in ((2, 60), (3, 60), (9, 4)) for _ in range(some)})
+    near = {p for x in T.LOOKALIKES for p in (x, x[::-1])}
+    swap = lambda s: "".join(rng.choice([c, *(p[1] for p in near if p[0] == c)]) for c in s)
+    asked = sorted({swap(k) for k in known for _ in range(2)})
+    alike = lambda a, b: len(a) == len(b) and all(x == y or x + y in near for x, y in zip(a.upper(), b.upper(), strict=True))
+    q, k = spark.createDataFrame([(a,) for a in asked], "raw string"), spark.createDataFrame([(b,) for b in known], "serial string")
+    got = E.lookalikes(q, k).collect()
+    assert len(got) == len(set(got)) and {(r.raw, r.serial) for r in got} == {(a, b) for a in asked for b in known if alike(a, b)}
+    # All digits: the class of 0, 5, 6, 8 and 9 has 125 texts of three letters, of which 8 at most look like one.
+    digits = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("raw"))
+    seen = [(i, c) for i in range(3) for c in "0123456789"]
+    assert digits.select(F.sum(F.size(T.lookalike_spellings(F.col("raw"), seen)))).first()[0] == 14**3
+
+
+def test_greedy_serials_equal_a_walk(spark):
+    rng = random.Random(4)
+    known = sorted({"".join(rng.choices("0S589", k=3)) for _ in range(40)})
+    near = {p for x in T.LOOKALIKES for p in (x, x[::-1])}
+    cols = [(d, i, "".join(rng.choices("0S589", k=3))) for d in "ab" for i in range(1, 60)] + [("a", 60, None), ("b", 60, "3")]
+    want = {}
+    for d in "ab":
+        own = sorted((c for c in cols if c[0] == d), key=lambda c: c[1])
+        taken = {raw for _, _, raw in own if raw in known}
+        for _, i, raw in own:
+            free = [k for k in known if raw and len(k) == len(raw) and all(x == y or x + y in near for x, y in zip(raw, k, strict=True)) and k not in taken]
+            want[d, i] = raw if raw in known else free[0] if len(free) == 1 else None
+            taken |= {want[d, i]}
+    got = E.greedy_serials(spark.createDataFrame(cols, "doc string, column int, raw string"), spark.createDataFrame([(k,) for k in known], "serial string"))
+    assert {(r.doc, r.column): r.serial for r in got.collect()} == want and any(want.values())
+
+
 def test_native_marks(spark):
     df = spark.createDataFrame([(0.05, 0.9), (0.5, 0.1), (0.5, 0.5), (0.2, 0.5)], "i double, c double")
     assert [r.s for r in df.select(P.classify_native(F.col("i"), F.col("c"), True).alias("s")).collect()] == ["none", "remove", "active", "planned"]
