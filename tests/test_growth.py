@@ -1,6 +1,7 @@
 """What must not grow faster than the tables, or end up in one task."""
 
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -117,3 +118,23 @@ def test_names_of_small_blocks_have_no_keys_and_no_side_is_broadcast(spark):
     assert sorted((r.key, r.other, r.d) for r in pairs.collect()) == [("raum1x", "raum1", 1), ("raum1x", "raum12", 1), ("saal22", "saal2", 1)]
     plan = pairs._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan
+
+
+def test_lines_within_one_gap_are_not_folded(spark):
+    """Most runs of a page are one line; they are neither put in order twice nor folded, and all others are as before."""
+    draw = random.Random(5)
+    rows = [("d", p, f"t{i}", draw.randrange(40) / 2, 1.0, float(draw.choice((20 * draw.randrange(4) + draw.randrange(3), draw.randrange(900) / 10)))) for p in (1, 2, 3) for i in range(25 * p)]
+    rows += [("e", 1, "b", 2.0, 3.0, 10.04), ("e", 1, "a", 1.0, 2.0, 10.0), ("e", 1, "c", 0.0, 1.0, 13.0), ("e", 2, "x", 0.0, 1.0, None), ("e", 2, "y", 1.0, 2.0, 5.0)]
+    words = spark.createDataFrame(rows, "doc string, page int, text string, x0 double, x1 double, top double")
+    want = []
+    for key in sorted({r[:2] for r in rows}):
+        ordered = sorted(([None if r[5] is None else round(r[5], 1), r[3], r[5], r[2], r[4]] for r in rows if r[:2] == key), key=lambda w: (w[0] is not None, w[0] or 0, w[1], w[2] or 0, w[3]))
+        found, anchor = [], None
+        for w in ordered:
+            if anchor is None or abs(w[2] - anchor) > L.LINE_GAP:
+                anchor, _ = w[2], found.append([])
+            found[-1].append(w)
+        want += [(*key, i, line[0][2], [(w[1], w[3]) for w in sorted(line, key=lambda w: (w[1], w[3]))]) for i, line in enumerate(found)]
+    got = L.line_words(words)
+    assert [(r.doc, r.page, r.line, r.top, [(w.x0, w.text) for w in r.ws]) for r in got.orderBy("doc", "page", "line").collect()] == want
+    assert "CASE WHEN flat" in _plan(got)
