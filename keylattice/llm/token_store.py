@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,7 +14,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from keylattice.llm.common import materialise, release, shared_path, table, written
 from keylattice.llm.textbuf import LOWER, spans
@@ -25,6 +26,8 @@ END = 1
 WINDOW, CUT_BITS, LEAST, MOST = 16, 9, 128, 4096
 #: Joined between words that are encoded together; its own token tells them apart.
 SENTINEL = "\x01"
+#: Words of these letters alone, none with a capital and none that could combine.
+LETTERS = re.compile("[a-zß-öø-ÿ]+")
 
 
 def cuts(ids: np.ndarray) -> list[int]:
@@ -89,6 +92,24 @@ def crc_combine(first: int, second: int, n: int) -> int:
     return first ^ second
 
 
+def whole_letters(vocabulary: str) -> dict[int, str] | None:
+    """The byte-level characters of each of LETTERS, if the vocabulary's normaliser leaves words of LETTERS as they are and its
+    pre-tokeniser never splits them, so that its model alone encodes them; else null."""
+    rules = json.loads(vocabulary)
+    steps = lambda k: (rules.get(k) or {}).get({"normalizer": "normalizers", "pre_tokenizer": "pretokenizers"}[k]) or [rules.get(k) or {}]
+    space = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+    runs = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+    level = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+    kept = all(s in ({"type": "NFC"}, {"type": "Lowercase"}, space) for s in steps("normalizer"))
+    cut = [{k: v for k, v in s.items() if k != "trim_offsets"} for s in steps("pre_tokenizer")]
+    if not kept or cut != [runs, level] or rules.get("post_processor") or rules.get("truncation") or rules.get("padding"):
+        return None
+    if any(LETTERS.fullmatch(t["content"].lower()) for t in rules["added_tokens"]):
+        return None
+    of = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    return {i: of.pre_tokenize_str(chr(i))[0][0] for i in range(256) if LETTERS.fullmatch(chr(i))}
+
+
 def word_encoder(spark: SparkSession, path: str) -> Callable[[], Callable[[list[str]], list[list[int]]]]:
     with open(path, encoding="utf-8") as f:  # a vocabulary file of the driver, of bounded size
         vocabulary = spark.sparkContext.broadcast(f.read())
@@ -97,10 +118,19 @@ def word_encoder(spark: SparkSession, path: str) -> Callable[[], Callable[[list[
         coder = Tokenizer.from_str(vocabulary.value)
         one = lambda words: [e.ids for e in coder.encode_batch_fast(words, add_special_tokens=False)]
         mark = one([SENTINEL])[0]
+        letters, model = whole_letters(vocabulary.value), coder.model
 
         def encode(words: list[str]) -> list[list[int]]:
             out: list[list[int]] = [[] for _ in words]
-            plain = [i for i, w in enumerate(words) if w and SENTINEL not in w]
+            rest: Iterable[int] = range(len(words))
+            if letters is not None:
+                rest = []
+                for i, w in enumerate(words):
+                    if LETTERS.fullmatch(w):
+                        out[i] = [t.id for t in model.tokenize(w if w.isascii() else w.translate(letters))]
+                    else:
+                        rest.append(i)
+            plain = [i for i in rest if words[i] and SENTINEL not in words[i]]
             if len(mark) == 1:
                 for at in range(0, len(plain), 256):
                     some = plain[at : at + 256]

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -343,6 +344,23 @@ def test_token_store(spark, odd):
         at += len(ids)
 
 
+def test_token_store_encodes_words_of_letters_by_the_model_alone(spark):
+    """Most words are letters alone, which the vocabulary's rules leave whole: they need no normaliser and no pre-tokeniser."""
+    path = public_tokenizers.path(token_store.VOCABULARY)
+    with open(path, encoding="utf-8") as f:
+        vocabulary = f.read()
+    letters = token_store.whole_letters(vocabulary)
+    assert len(letters) == 26 + 32 and letters[ord("a")] == "a" and letters[ord("ß")] == "ÃŁ"
+    coder = Tokenizer.from_str(vocabulary)
+    words = ["a", "the", "straße", "ñandú", "ÿ", "Ünder", "e\u0301t", "x÷y", "don't", "'ll", "ſtil", "ﬁn", "a1b", "1", "..", "日本", "\x01", "a\x01b", "İstanbul", "thesßäñ" * 300]
+    words += ["".join(random.Random(i).choices([*map(chr, letters)], k=1 + i % 40)) for i in range(3000)]
+    encode = token_store.word_encoder(spark, path)()
+    assert encode(words) == [coder.encode(w, add_special_tokens=False).ids for w in words]
+    rules = json.loads(vocabulary)
+    for other in (rules | {"normalizer": {"type": "NFKD"}}, rules | {"pre_tokenizer": {"type": "Whitespace"}}, rules | {"pre_tokenizer": None}, rules | {"added_tokens": [{"content": "the"}]}):
+        assert token_store.whole_letters(json.dumps(other)) is None
+
+
 def test_token_store_keeps_special_strings(spark):
     a, b = "<|startoftext|>", "<|endoftext|>"
     texts = [f"end {b} x", f"A{b}B", b, a + b, f" {b}{b} it's{a}'s", f"é{b}\u0301 {b.upper()} <|EndOfText|>", f"<{b}> <|end {b}\n", "<|endof", "text|> x", f"x{a}", f"{b[:-1]} {b}", f"1{a}2 \t{b}\t", "word " * 9 + b]
