@@ -138,3 +138,20 @@ def test_lines_within_one_gap_are_not_folded(spark):
     got = L.line_words(words)
     assert [(r.doc, r.page, r.line, r.top, [(w.x0, w.text) for w in r.ws]) for r in got.orderBy("doc", "page", "line").collect()] == want
     assert "CASE WHEN flat" in _plan(got)
+
+
+@pytest.mark.parametrize("name", ["lay_count", "src_list_pdf"])
+def test_words_of_lists_are_not_dealt_out(spark, name):
+    """Orders are dealt to tasks once, and neither their words nor their lines after that."""
+    plan = registry.QUERIES[name](spark, DIR)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "SortMergeJoin" not in plan and "settled" not in plan
+
+
+def test_lines_of_a_page_equal_those_of_its_words(spark):
+    rng = random.Random(4)
+    tops = lambda: rng.choice([float(rng.randrange(60)), rng.randrange(1200) / 20, rng.uniform(0, 60)])
+    rows = [("d", p, rng.choice("abc"), float(rng.randrange(9)), 9.0, tops()) for p in range(40) for _ in range(rng.randrange(1, 40))] + [("e", 1, "x", 1.0, 2.0, None), ("e", 1, "y", 1.0, 2.0, 5.0), ("e", 1, "z", 0.0, 2.0, 6.0)]
+    words = spark.createDataFrame(rows, "doc string, page int, text string, x0 double, x1 double, top double").repartition(3)
+    got = L.with_lines(L.paged(words)).select("doc", "page", F.explode("lines").alias("l")).select("doc", "page", "l.line", "l.top", "l.ws")
+    want = L.line_words(words).select("doc", "page", "line", "top", "ws")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
