@@ -11,6 +11,7 @@ from keylattice.operators import reconcile as R
 from keylattice.operators import resolve as E
 from keylattice.plans import analysis as A
 from keylattice.plans import layout as L
+from keylattice.plans import parsing as X
 from keylattice.plans import printouts as O
 from keylattice.plans import tiles as TI
 from keylattice.sources.domain import AdapterDomain, reached
@@ -155,3 +156,12 @@ def test_lines_of_a_page_equal_those_of_its_words(spark):
     got = L.with_lines(L.paged(words)).select("doc", "page", F.explode("lines").alias("l")).select("doc", "page", "l.line", "l.top", "l.ws")
     want = L.line_words(words).select("doc", "page", "line", "top", "ws")
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_words_of_pages_are_dealt_out_once(spark):
+    """Lines, footers and what tells formats apart are read from a page's row: no window over its words, and no second shuffle of them."""
+    words = O.matrix_words(spark, DIR, high=O.MATRIX_ROWS).limit(1000)
+    once = _plan(words).count("Repartition")
+    for df in (X.page_footers(words), X.detect_format(words)):
+        plan = _plan(df)
+        assert plan.count("Repartition") == once + 1 and "_apart" not in plan
