@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from keylattice.functions import text as T
 from keylattice.sources.domain import Domain
-from keylattice.sources.shared import places, settled, spread
+from keylattice.sources.shared import hashed, places, settled, spread
 
 # The suffixes of images, and the places in the matrix export.
 IMAGES = "png jpg jpeg tif tiff bmp webp".split()
@@ -92,6 +92,7 @@ def csv_cells(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
 def csv_matrix(cells: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(columns, doors, marks) of csv_cells: (doc, ci, serial), (doc, ri, serial, door_name, room_number, location,
     area) and (doc, ci, ri). Columns without a serial and rows without a name don't count, nor do files with an error in any piece."""
+    n = cells.count()
     # As a table of its own, it has a size that Spark knows: few such files are broadcast, and the cells stay where they are.
     faulty = settled(cells.where("error IS NOT NULL").select("doc").distinct())
     good = cells.where("error IS NULL").join(faulty, "doc", "left_anti")
@@ -101,14 +102,15 @@ def csv_matrix(cells: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     body = good.where(F.col("r") >= FIRST_DOOR)
     at = places(body.where((F.col("c") == NAME) & (F.col("text") != "")).select("doc", "r").distinct(), "doc", "r", "ri")
     cell = lambda c: F.coalesce(F.max(F.when(F.col("c") == c, F.col("text"))), F.lit(""))
-    meta = spread(body.where(F.col("c").between(AREA, ROOM)).select("doc", "r", "c", "text"), cells.count(), "doc", "r").join(at, ["doc", "r"])
+    meta = spread(body.where(F.col("c").between(AREA, ROOM)).select("doc", "r", "c", "text"), n, "doc", "r").join(at, ["doc", "r"])
     meta = meta.groupBy("doc", "r").agg(F.max("ri").alias("ri"), *(cell(c).alias(f"m{c}") for c in range(AREA, ROOM + 1)))
     cut = lambda c, n: F.left(T.collapse_ws(F.col(f"m{c}")), F.lit(n))
     location = F.left(T.location_concat(F.col(f"m{SITE}"), F.col(f"m{BUILDING}"), T.collapse_ws(F.col(f"m{FLOOR}"))), F.lit(64))
     named = meta.select("doc", "r", F.col(f"m{SERIAL}").alias("serial"), cut(NAME, 255).alias("door_name"), cut(ROOM, 64).alias("room_number"), location.alias("location"), cut(AREA, 64).alias("area"), "ri")
     columns, doors = settled(columns), settled(named)
-    crosses = good.where(F.lower("text") == "x")
-    marks = crosses.join(columns.select("doc", "c", "ci"), ["doc", "c"]).join(doors.select("doc", "r", "ri"), ["doc", "r"]).select("doc", "ci", "ri")
+    crosses = good.where((F.col("r") >= FIRST_DOOR) & (F.col("c") >= FIRST_MARK) & (F.lower("text") == "x")).select("doc", "r", "c")
+    crosses = crosses.join(hashed(columns.select("doc", "c", "ci")), ["doc", "c"]).select("doc", "r", "ci")
+    marks = spread(crosses, n, "doc", "r").join(doors.select("doc", "r", "ri"), ["doc", "r"]).select("doc", "ci", "ri")
     return columns.drop("c"), doors.drop("r"), marks
 
 

@@ -77,3 +77,36 @@ def test_texts_of_doors_are_put_in_order_once(spark, monkeypatch):
             assert not any("Exchange" in x for x in _above(nodes, k))
     dealt = [int(m[1]) for _, line in nodes for m in [re.search(r"hashpartitioning\(doc#\d+, r#\d+, (\d+)\), REPARTITION_BY_NUM", line)] if m]
     assert dealt == [-(-cells.count() // 10)]
+
+
+@pytest.mark.parametrize("most", [1 << 20, 50])
+def test_marks_of_odd_cells(spark, monkeypatch, most):
+    """Twice as many marks for a column or a cross that comes twice, none for a line without a name, a faulty file or one without a path."""
+    monkeypatch.setattr(shared, "TASK_ROWS", most)
+    rows = odd_cells()
+    heads = sorted((row[0], row[2]) for row in rows if row[0] in ("a", "b") and row[1] == 5 and row[2] >= 8)
+    ci = [(doc, c, [x for x in heads if x[0] == doc].index((doc, c)) + k) for i, (doc, c) in enumerate(heads) for k in [i - heads.index((doc, c))]]
+    _, doors = _by_hand(rows)
+    want = [(doc, i, doors[doc, r][1]) for doc, r, c, text, _ in rows if text and text.lower() == "x" and (doc, r) in doors for d, at, i in ci if (d, at) == (doc, c)]
+    for threshold in ("-1", "10m"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        try:
+            got = [tuple(r) for r in S.csv_matrix(spark.createDataFrame(rows, CELLS).repartition(5))[2].select("doc", "ci", "ri").collect()]
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert sorted(got) == sorted(want) and len(got) > len(set(got)) > 0
+
+
+def test_crosses_are_not_put_in_order_for_their_columns(spark, monkeypatch):
+    """Columns are hashed where they are not broadcast, and crosses are dealt by line to as many tasks as the cells ask for."""
+    monkeypatch.setattr(shared, "TASK_ROWS", 10)
+    cells = shared.settled(spark.createDataFrame(odd_cells(), CELLS))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = [line for _, line in _nodes(S.csv_matrix(cells)[2])]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum("ShuffledHashJoin [doc" in line and ", c#" in line for line in lines) == 1
+    assert not any("SortMergeJoin [doc" in line and ", c#" in line for line in lines)
+    dealt = [int(m[1]) for line in lines for m in [re.search(r"hashpartitioning\(doc#\d+, r#\d+, (\d+)\), REPARTITION_BY_NUM", line)] if m]
+    assert dealt == [-(-cells.count() // 10)]
