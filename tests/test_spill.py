@@ -2,9 +2,11 @@
 
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 
+from keylattice.plans import raster as RA
 from keylattice.sources import files as S
 from keylattice.sources import shared
 
@@ -110,3 +112,96 @@ def test_crosses_are_not_put_in_order_for_their_columns(spark, monkeypatch):
     assert not any("SortMergeJoin [doc" in line and ", c#" in line for line in lines)
     dealt = [int(m[1]) for line in lines for m in [re.search(r"hashpartitioning\(doc#\d+, r#\d+, (\d+)\), REPARTITION_BY_NUM", line)] if m]
     assert dealt == [-(-cells.count() // 10)]
+
+
+RASTER = "doc string, page int, y int, px array<int>"
+
+
+def _hatched(seed=4, height=90, width=60):
+    """A page with four vertical rulings and three horizontal ones, and hatching that is ink in many parts of a position, but not in all."""
+    y, x = np.mgrid[:height, :width]
+    img = np.where(((x + y) % 5 < 3) & (y > 12) & (y < height - 12) & (x > 26), 90, 255)
+    img[np.random.default_rng(seed).random(img.shape) < 0.02] = 0
+    img[:, [3, 25, 26, 50]] = 0
+    img[[5, 40, 80]] = 0
+    return img
+
+
+def _rows(doc, img):
+    return [(doc, 1, y, [int(v) for v in row]) for y, row in enumerate(img)]
+
+
+def _found(rows, bands, gap=8):
+    """Vertical rulings by hand: the ink of all rows of a page, repeated ones too, by position and part."""
+    out = {}
+    for doc in sorted({r[0] for r in rows if r[0] is not None}):
+        own = [r for r in rows if r[0] == doc]
+        height, width = max(r[2] for r in own) + 1, max(len(r[3]) for r in own if r[3] is not None)
+        parts = min(height, bands)
+        edge = [(2 * k * height + parts) // (2 * parts) for k in range(parts + 1)]
+        ink = np.zeros((parts, width), int)
+        for _, _, y, px in own:
+            for x, v in enumerate(px or ()):
+                ink[next(k for k in range(parts) if k * height / parts < y + 0.5 <= (k + 1) * height / parts), x] += v is not None and v < 128
+        runs, lines = [], []
+        for x in np.flatnonzero((510 * ink >= 279 * np.diff(edge)[:, None]).all(0)):
+            runs.append([x]) if not runs or runs[-1][-1] != x - 1 else runs[-1].append(x)
+        for at in (float(np.mean(r)) for r in runs):
+            if lines and at - lines[-1] < gap:
+                lines[-1] = (lines[-1] + at) / 2
+            else:
+                lines.append(at)
+        if lines:
+            out[doc] = lines
+    return out
+
+
+def _read(pages, threshold, known=True):
+    spark = pages.sparkSession
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        whole = RA.page_sizes(pages).selectExpr("doc", "page", "0 AS x0", "0 AS y0", "width AS x1", "height AS y1", *(["rows"] if known else []))
+        return {r.doc: r.lines for r in RA.rulings(pages, whole, "v", 12).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("threshold", ["-1", "10m"])
+def test_rulings_of_odd_rows(spark, threshold):
+    """Pages in one task and cut over many, rows that are missing, short, null or come twice, and pages without an id."""
+    a, b = _hatched(1), _hatched(2)
+    rows = _rows("a", a) + [r for r in _rows("b", b) if r[2] not in (7, 8, 30)] + [(d, p, y, px[: 30 + y]) for d, p, y, px in _rows("short", a)] + [(None, *r[1:]) for r in _rows("c", a)]
+    rows += [(d, p, y, None if y == 20 else [None if x == 9 else v for x, v in enumerate(px)]) for d, p, y, px in _rows("null", b)] + _rows("one", a[:1]) + _rows("white", np.full((9, 9), 255))
+    want = _found(rows, 12)
+    assert len(want) >= 4 and len(want["a"]) == 3
+    for pages in (spark.createDataFrame(rows, RASTER).coalesce(1), spark.createDataFrame(rows, RASTER).repartition(7)):
+        assert _read(pages, threshold) == _read(pages, threshold, False) == want
+    half = b.copy()
+    half[:50, 12], half[50:, 40] = 0, 255
+    twice = _rows("a", a) * 2 + _rows("b", b) + [(d, p, y, [int(v) for v in px]) for (d, p, y, _), px in zip(_rows("b", b), half, strict=True)]
+    pages = spark.createDataFrame(twice, RASTER).coalesce(1)
+    assert _read(pages, threshold) == _read(pages, threshold, False) == _found(twice, 12)
+
+
+def test_of_a_page_that_is_there_whole_only_rulings_go_on():
+    img = _hatched()
+    n = len(img)
+    sizes = {"x0": 0, "y0": 0, "x1": img.shape[1], "y1": n}
+    fixed = {c: pa.array(np.full(n, v, np.int32)) for c, v in sizes.items()}
+    page = {"doc": pa.array(["d"] * n), "page": pa.array(np.ones(n, np.int32)), "y": pa.array(np.arange(n, dtype=np.int32)), "px": pa.array([[int(v) for v in row] for row in img], pa.list_(pa.int32())), **fixed}
+    counted = lambda rows, part: pa.Table.from_batches(RA._ink_counts(iter([pa.RecordBatch.from_pydict(page | {"rows": pa.array(np.full(n, rows, np.int64))}).slice(*part)]), "v", 12, RA.RULED))
+    whole = counted(n, (0, n))
+    assert sorted(set(whole.column("pos").to_pylist())) == [3, 25, 26, 50] and whole.num_rows == 4 * 12
+    more, some = counted(n + 1, (0, n)), counted(n, (0, 50))
+    assert more.num_rows > whole.num_rows and set(some.column("pos").to_pylist()) > {3, 25, 26, 50}
+
+
+def test_rows_of_pixels_are_not_put_in_order(spark):
+    pages = spark.createDataFrame(_rows("a", _hatched()), RASTER)
+    whole = RA.page_sizes(pages).selectExpr("doc", "page", "0 AS x0", "0 AS y0", "width AS x1", "height AS y1", "rows")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = [line for _, line in _nodes(RA.rulings(pages, whole, "v", 12))]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert any("ShuffledHashJoin" in line for line in lines) and not any("SortMergeJoin" in line for line in lines)
